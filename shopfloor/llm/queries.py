@@ -1,8 +1,10 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
+from .quality import op10_quality_rules
 from .secrets import op4_secret_scan
 
 QUERIES = {
     "op4_secret_scan": op4_secret_scan,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
