@@ -1,9 +1,11 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
+from .decontam import op2_decontamination
 from .quality import op10_quality_rules
 from .secrets import op4_secret_scan
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op4_secret_scan": op4_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
