@@ -3,10 +3,12 @@
 from .decontam import op2_decontamination
 from .quality import op10_quality_rules
 from .secrets import op4_secret_scan
+from .simhash import op6_simhash_components
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_secret_scan": op4_secret_scan,
+    "op6_simhash_components": op6_simhash_components,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
