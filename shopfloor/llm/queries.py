@@ -4,11 +4,13 @@ from .decontam import op2_decontamination
 from .quality import op10_quality_rules
 from .secrets import op4_secret_scan
 from .simhash import op6_simhash_components
+from .token_counts import op7_token_counts
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_secret_scan": op4_secret_scan,
     "op6_simhash_components": op6_simhash_components,
+    "op7_token_counts": op7_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
