@@ -68,18 +68,22 @@ def _powers_up_to(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return made[0], made[1]
 
 
-def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte slices: a polynomial over mixed byte values modulo 2^64, from prefix sums, then mixed.
+def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of slices of a uint64 array: a polynomial modulo 2^64 from prefix sums, then mixed.
 
-    Dividing by the power of the start makes equal slices equal wherever they stand.
+    Dividing by the power of the start makes equal slices equal wherever they stand.  Values should be mixed.
     """
-    values = mixed(np.arange(1, 257, dtype=np.uint64))[data]
-    powers, inverse = _powers_up_to(max(len(data), CHUNK).bit_length())
-    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(values * powers[: len(data)], out=prefix[1:])
+    powers, inverse = _powers_up_to(max(len(values), CHUNK).bit_length())
+    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * powers[: len(values)], out=prefix[1:])
     return mixed((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte slices."""
+    return sequence_hashes(mixed(np.arange(1, 257, dtype=np.uint64))[data], starts, ends)
+
+
 def single_spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
     """All words joined by one space each: bytes, starts, ends."""
     sizes = ends - starts

@@ -2,6 +2,7 @@
 
 from .decontam import op2_decontamination
 from .quality import op10_quality_rules
+from .recompression import op5_repeat_removal
 from .secrets import op4_secret_scan
 from .simhash import op6_simhash_components
 from .token_counts import op7_token_counts
@@ -9,6 +10,7 @@ from .token_counts import op7_token_counts
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_secret_scan": op4_secret_scan,
+    "op5_repeat_removal": op5_repeat_removal,
     "op6_simhash_components": op6_simhash_components,
     "op7_token_counts": op7_token_counts,
     "op10_quality_rules": op10_quality_rules,
