@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,21 +33,23 @@ Arrays = dict[str, np.ndarray]
 
 
 def pack(body: Arrays) -> bytes:
-    return pickle.dumps(body, protocol=5)
+    """Arrays as bytes: the bytes of equal rank of each array stand together, then zstandard."""
+    turned = {k: (v.dtype.str, np.ascontiguousarray(v).view(np.uint8).reshape(-1, v.itemsize).T.tobytes()) for k, v in body.items()}
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(turned, protocol=5))
 
 
 def unpack(body: bytes) -> Arrays:
-    return pickle.loads(body)
-
-
-def _planes(codes: np.ndarray) -> Arrays:
-    """Codes as low and high bytes apart: the high bytes are mostly zero, so they compress to little."""
-    codes = codes.astype("<u4")
-    return {"low": (codes & 0xFFFF).astype("<u2"), "high": (codes >> 16).astype("<u2")}
+    turned = pickle.loads(zstandard.ZstdDecompressor().decompress(body))
+    out = {}
+    for k, (kind, raw) in turned.items():
+        size = np.dtype(kind).itemsize
+        out[k] = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return out
 
 
 def codes(body: Arrays) -> np.ndarray:
-    return body["low"].astype(np.int64) | body["high"].astype(np.int64) << 16
+    """For every token, the place of its hash in ``words``."""
+    return body["place"][body["rank"]]
 
 
 def build(
@@ -57,11 +60,12 @@ def build(
     strings: bool = False,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(block, n_keys, n_tokens, body)``, written to the shared folder.
+    """``(block, n_keys, n_tokens, dict, body)``, written to the shared folder.
 
-    The body has ``ids`` (``doc_id`` as int64, null as ``NO_ID``), ``sizes`` (bytes per text), ``lens`` (tokens
-    per text), ``words`` (distinct hashes, frequent first), codes in two planes, the int64 columns of ``carry``,
-    and with ``strings`` the distinct tokens' bytes in ``chars`` and their ``ends``.
+    The dictionary has ``words``, the sorted distinct hashes, and with ``strings`` their bytes in ``chars`` and
+    ``ends``.  The body has ``ids`` (``doc_id`` as int64, null as ``NO_ID``), ``lens`` (tokens per text), the int64
+    columns of ``carry``, ``rank`` (each token's word by frequency, which compresses well) and ``place`` (where
+    the word of a rank stands in ``words``).
     """
     columns = ["doc_id", *carry]
 
@@ -69,24 +73,25 @@ def build(
         hashes = np.concatenate([p["hash"] for p in parts])
         words, first, code, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         order = np.argsort(-count, kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        body = {"words": words[order], **_planes(rank[code])}
-        for name in ("ids", "sizes", "lens", *carry):
+        rank = np.empty(len(order), dtype=np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        body = {"place": order.astype(np.uint32), "rank": rank[code]}
+        for name in ("ids", "lens", *carry):
             body[name] = np.concatenate([p[name] for p in parts])
+        known = {"words": words}
         if strings:
-            pieces = np.concatenate([p["pieces"] for p in parts])[first[order]] if len(order) else np.zeros(0, object)
-            body["chars"] = np.frombuffer(b"".join(pieces.tolist()), dtype=np.uint8)
-            body["ends"] = np.cumsum([len(x) for x in pieces], dtype=np.int64)
+            pieces = np.concatenate([p["pieces"] for p in parts])[first] if len(first) else np.zeros(0, object)
+            known["chars"] = np.frombuffer(b"".join(pieces.tolist()), dtype=np.uint8)
+            known["ends"] = np.cumsum([len(x) for x in pieces], dtype=np.int64)
         block = TaskContext.get().partitionId() << 32 | n
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(words)], pa.int64()), pa.array([len(hashes)], pa.int64()), pa.array([pack(body)], pa.binary())], ["block", "n_keys", "n_tokens", "body"])
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(words)], pa.int64()), pa.array([len(hashes)], pa.int64()), pa.array([pack(known)], pa.binary()), pa.array([pack(body)], pa.binary())], ["block", "n_keys", "n_tokens", "dict", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, n = [], 0, 0
         for rows, data, offsets in arrays.chunks(batches, text):
             data = arrays.lower_ascii(data) if lower else data
             starts, ends, of = cut(data, offsets)
-            part = {"hash": arrays.slice_hashes(data, starts, ends), "sizes": np.diff(offsets), "lens": np.bincount(of, minlength=len(rows))}
+            part = {"hash": arrays.slice_hashes(data, starts, ends), "lens": np.bincount(of, minlength=len(rows))}
             for name in columns:
                 value = rows.column(rows.schema.get_field_index(name)).cast(pa.int64()).fill_null(int(NO_ID))
                 part["ids" if name == "doc_id" else name] = value.to_numpy(zero_copy_only=False)
@@ -104,76 +109,92 @@ def build(
             yield finish(parts, n)
 
     rows = docs.select(*columns, text)
-    return materialize(rows.mapInArrow(run, "block long, n_keys long, n_tokens long, body binary"))
+    return materialize(rows.mapInArrow(run, "block long, n_keys long, n_tokens long, dict binary, body binary"))
 
 
 def shards_for(keys: int) -> int:
     return max(12, -(-int(keys) // PER_SHARD))
 
 
-def _to(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (arrays.mixed(keys) % np.uint64(shards)).astype(np.int64)
-
-
-def _split(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
-    to = _to(keys, shards)
+def split(to: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """Places of the entries of each shard that has any."""
     order = np.argsort(to, kind="stable")
     cuts = np.searchsorted(to[order], np.arange(shards + 1))
     return [(s, order[cuts[s] : cuts[s + 1]]) for s in range(shards) if cuts[s + 1] > cuts[s]]
 
 
+def ranged(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shards as equal ranges of hashes: for sorted keys, the answers of all shards in order are in the keys' order."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
 Extract = Callable[[Arrays], tuple[np.ndarray, Callable[[np.ndarray], Arrays]]]
+Reduce = Callable[[np.ndarray, list[Arrays]], tuple[list[Arrays], Arrays | None]]
+COLUMNS = ("dict", "body")
+
 
+def messages(block: int, keys: np.ndarray, to: np.ndarray, select: Callable[[np.ndarray], Arrays], shards: int) -> list[tuple[int, int, bytes]]:
+    return [(s, block, pack({"keys": keys[i], **select(i)})) for s, i in split(to, shards)]
 
-def exchange(blocks: DataFrame, extract: Extract, reduce: Callable[[int, np.ndarray, list[Arrays]], tuple[list[Arrays], Arrays | None]], shards: int) -> DataFrame:
+
+def exchange(blocks: DataFrame, extract: Extract, reduce: Reduce, shards: int, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """``(block, shard, body)``: answers for the keys of every block, and at block -1 what a shard says for itself.
 
-    ``extract(body)`` gives the block's distinct uint64 keys and a function that selects what goes with some of
-    them.  ``reduce(shard, keys, parts)`` gets all blocks' keys of a shard, concatenated, and what came with them
-    per block; it returns arrays per block aligned with that block's keys, and anything more it has to say.
+    ``extract`` gets the arrays of ``columns`` and gives the block's sorted keys, hashes in uint64, and a function
+    that selects what goes with some of them.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys, select = extract(unpack(body.as_py()))
-                out = [(s, pack({"keys": keys[i], **select(i)})) for s, i in _split(keys, shards)]
+            for row in batch.to_pylist():
+                keys, select = extract({k: v for c in columns for k, v in unpack(row[c]).items()})
+                out = messages(row["block"], keys, ranged(keys, shards), select, shards)
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([block] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], ["shard", "block", "body"])
+                    s, b, body = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(b, pa.int64()), pa.array(body, pa.binary())], ["shard", "block", "body"])
+
+    return answered(blocks.select("block", *columns).mapInArrow(send, "shard int, block long, body binary"), reduce)
+
+
+def answered(sent: DataFrame, reduce: Reduce) -> DataFrame:
+    """Answers to messages ``(shard, block, body)``.
+
+    ``reduce(keys, parts)`` gets all blocks' keys of a shard, concatenated, and what came with them per block; it
+    returns arrays per block, aligned with that block's keys, and anything more it has to say.
+    """
 
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         parts = [unpack(b) for b in pdf["body"]]
-        answers, own = reduce(int(key[0]), np.concatenate([p["keys"] for p in parts]), parts)
+        answers, own = reduce(np.concatenate([p["keys"] for p in parts]), parts)
         out = [(b, int(key[0]), pack(a)) for b, a in zip(pdf["block"], answers)]
         return pd.DataFrame(out + ([(-1, int(key[0]), pack(own))] if own is not None else []), columns=["block", "shard", "body"])
 
-    sent = blocks.select("block", "body").mapInArrow(send, "shard int, block long, body binary")
     return sent.groupBy("shard").applyInPandas(work, "block long, shard int, body binary")
 
 
-def receive(blocks: DataFrame, answers: DataFrame, extract: Extract, finish: Callable[[int, Arrays, np.ndarray, Arrays], pd.DataFrame], schema: str, shards: int) -> DataFrame:
-    """Bring answers back: ``finish(block, body, keys, answer)`` per block, the answer's arrays aligned with the keys."""
+def apart(values: np.ndarray, parts: list[Arrays]) -> list[np.ndarray]:
+    """Values for concatenated keys, cut into those of each part."""
+    return np.split(values, np.cumsum([len(p["keys"]) for p in parts])[:-1])
+
+
+def joined(rows: pd.DataFrame) -> Arrays:
+    """A block's answers ``(shard, body)`` in the order of its sorted keys."""
+    bodies = [unpack(b) for b in rows.sort_values("shard")["body"]]
+    return {k: np.concatenate([b[k] for b in bodies]) for k in (bodies[0] if bodies else ())}
+
+
+def receive(blocks: DataFrame, answers: DataFrame, finish: Callable[[int, Arrays, pd.DataFrame], pd.DataFrame], schema: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """Bring answers back: ``finish(block, arrays, rows)`` per block, with the rows of ``answers`` for it."""
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return finish_empty()
-        body = unpack(left["body"].iloc[0])
-        keys, _ = extract(body)
-        by_shard = dict(zip(right["shard"], right["body"]))
-        answer: Arrays = {}
-        for s, i in _split(keys, shards):
-            for name, values in unpack(by_shard[s]).items():
-                if name not in answer:
-                    answer[name] = np.zeros(len(keys), dtype=values.dtype)
-                answer[name][i] = values
-        return finish(int(left["block"].iloc[0]), body, keys, answer)
-
-    def finish_empty() -> pd.DataFrame:
-        return pd.DataFrame({name.split()[0]: [] for name in schema.split(", ")})
+            return pd.DataFrame({name.split()[0]: [] for name in schema.split(", ")})
+        row = left.iloc[0]
+        return finish(int(row["block"]), {k: v for c in columns for k, v in unpack(row[c]).items()}, right)
 
     back = answers.where("block >= 0")
-    return blocks.select("block", "body").groupBy("block").cogroup(back.groupBy("block")).applyInPandas(work, schema)
+    return blocks.select("block", *columns).groupBy("block").cogroup(back.groupBy("block")).applyInPandas(work, schema)
 
 
 def total(blocks: DataFrame, column: str) -> int:

@@ -136,7 +136,7 @@ def _extract_symbols(body: blocks.Arrays):
     return keys, lambda i: {"least": least[i], "several": most[i] > least[i]}
 
 
-def _reduce_symbols(shard: int, keys: np.ndarray, parts: list[blocks.Arrays]):
+def _reduce_symbols(keys: np.ndarray, parts: list[blocks.Arrays]):
     """The least document of each symbol that stands in more than one, ``NO_ID`` for any other."""
     least, several = (np.concatenate([p[k] for p in parts]) for k in ("least", "several"))
     order, fresh = _groups(least, keys)
@@ -145,14 +145,15 @@ def _reduce_symbols(shard: int, keys: np.ndarray, parts: list[blocks.Arrays]):
     many = (least[order][last] > least[order][first]) | np.logical_or.reduceat(several[order], first)
     out = np.empty(len(keys), dtype=np.int64)
     out[order] = np.where(many, least[order][first], blocks.NO_ID)[np.cumsum(fresh) - 1]
-    return [{"least": x} for x in np.split(out, np.cumsum([len(p["keys"]) for p in parts])[:-1])], None
+    return [{"least": x} for x in blocks.apart(out, parts)], None
 
 
 def _candidates(window: int):
-    def finish(block: int, body: blocks.Arrays, keys: np.ndarray, answer: blocks.Arrays) -> pd.DataFrame:
+    def finish(block: int, body: blocks.Arrays, rows: pd.DataFrame) -> pd.DataFrame:
         words, of, first = _decode(body)
         lens, ids = body["lens"], body["ids"]
-        least = answer["least"] if len(keys) else np.zeros(0, np.int64)
+        keys, _ = _extract_symbols(body)
+        least = blocks.joined(rows).get("least", np.zeros(0, np.int64))
         seen = lambda names: least[np.searchsorted(keys, names)]
         copied = (seen(_whole(words, body)) < ids) if len(ids) else np.zeros(0, bool)
         name, left, right, d = symbols(words, of)
@@ -183,20 +184,20 @@ def _extract_windows(body: blocks.Arrays):
     return body["hash"][first], lambda i: {"check": body["check"][first][i], "ids": body["ids"][body["of"]][first][i]}
 
 
-def _reduce_windows(shard: int, keys: np.ndarray, parts: list[blocks.Arrays]):
+def _reduce_windows(keys: np.ndarray, parts: list[blocks.Arrays]):
     check, ids = (np.concatenate([p[k] for p in parts]) for k in ("check", "ids"))
     order, fresh = _groups(ids, check, keys)
     least = np.empty(len(keys), dtype=np.int64)
     least[order] = ids[order][fresh][np.cumsum(fresh) - 1]
-    return [{"least": x} for x in np.split(least, np.cumsum([len(p["keys"]) for p in parts])[:-1])], None
+    return [{"least": x} for x in blocks.apart(least, parts)], None
 
 
 def _removals(window: int):
-    def finish(block: int, body: blocks.Arrays, keys: np.ndarray, answer: blocks.Arrays) -> pd.DataFrame:
+    def finish(block: int, body: blocks.Arrays, rows: pd.DataFrame) -> pd.DataFrame:
         order, fresh = _groups(body["ids"][body["of"]], body["check"], body["hash"])
         hit = np.zeros(len(order), dtype=bool)
         if len(order):
-            hit[order] = answer["least"][np.cumsum(fresh) - 1] < body["ids"][body["of"][order]]
+            hit[order] = blocks.joined(rows)["least"][np.cumsum(fresh) - 1] < body["ids"][body["of"][order]]
         at, of = body["at"][hit], body["of"][hit]
         # Overlapping windows of one text become one span.
         fresh = np.concatenate([[True], (at[1:] > at[:-1] + window) | (of[1:] != of[:-1])]) if len(at) else np.zeros(0, bool)
@@ -207,8 +208,8 @@ def _removals(window: int):
         doc = np.concatenate([d, whole])
         lo = np.concatenate([at[i] - body["first"][d], np.zeros(len(whole), np.int64)])
         hi = np.concatenate([at[j] + window - body["first"][d], body["lens"][whole]])
-        rows = pd.DataFrame({"doc": doc, "start": lo, "end": hi}).groupby("doc", sort=True).agg(list).reset_index()
-        return pd.DataFrame({"doc_id": body["ids"][rows["doc"]], "text_hash": body["text_h"][rows["doc"]], "starts": rows["start"], "ends": rows["end"]})
+        gone = pd.DataFrame({"doc": doc, "start": lo, "end": hi}).groupby("doc", sort=True).agg(list).reset_index()
+        return pd.DataFrame({"doc_id": body["ids"][gone["doc"]], "text_hash": body["text_h"][gone["doc"]], "starts": gone["start"], "ends": gone["end"]})
 
     return finish
 
@@ -222,10 +223,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     corpus = blocks.build(rows.withColumnRenamed("text_hash", "text_h").select("doc_id", "text", "text_h"), carry=("text_h",))
     shards = blocks.shards_for(blocks.total(corpus, "n_tokens") // 4)
     least = blocks.exchange(corpus, _extract_symbols, _reduce_symbols, shards)
-    wins = materialize(blocks.receive(corpus, least, _extract_symbols, _candidates(window), "block long, n long, body binary", shards))
+    wins = materialize(blocks.receive(corpus, least, _candidates(window), "block long, n long, body binary"))
     shards = blocks.shards_for(blocks.total(wins, "n"))
-    first = blocks.exchange(wins, _extract_windows, _reduce_windows, shards)
-    return blocks.receive(wins, first, _extract_windows, _removals(window), "doc_id long, text_hash long, starts array<long>, ends array<long>", shards)
+    first = blocks.exchange(wins, _extract_windows, _reduce_windows, shards, ("body",))
+    return blocks.receive(wins, first, _removals(window), "doc_id long, text_hash long, starts array<long>, ends array<long>", ("body",))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

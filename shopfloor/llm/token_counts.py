@@ -80,18 +80,17 @@ def token_counts(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     the block's pre-token frequencies per document.
     """
 
-    def reduce(shard: int, keys: np.ndarray, parts: list[blocks.Arrays]):
+    def reduce(keys: np.ndarray, parts: list[blocks.Arrays]):
         _, first, where = np.unique(keys, return_index=True, return_inverse=True)
         pieces: list[bytes] = []
         for p in parts:
             raw, ends = p["chars"].tobytes(), p["ends"].tolist()
             pieces += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
         count = np.concatenate([_counts(model, [pieces[i] for i in first[a : a + 20_000]]) for a in range(0, len(first), 20_000)])[where]
-        cuts = np.cumsum([len(p["keys"]) for p in parts])[:-1]
-        return [{"n": c} for c in np.split(count, cuts)], None
+        return [{"n": c} for c in blocks.apart(count, parts)], None
 
-    def finish(block: int, body: blocks.Arrays, keys: np.ndarray, answer: blocks.Arrays) -> pd.DataFrame:
-        ids, lens = body["ids"], body["lens"]
+    def finish(block: int, body: blocks.Arrays, rows: pd.DataFrame) -> pd.DataFrame:
+        ids, lens, answer = body["ids"], body["lens"], blocks.joined(rows)
         of = np.repeat(np.arange(len(ids)), lens)
         n = np.bincount(of, weights=answer["n"][blocks.codes(body)] if len(of) else None, minlength=len(ids))
         return pd.DataFrame({"doc_id": ids, "n_bytes": body["given"], "n_tokens": n.astype(np.int64)})
@@ -101,9 +100,9 @@ def token_counts(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     ready = docs.select("doc_id", F.octet_length(given).cast("long").alias("given"), F.when(given == "", "").otherwise(F.concat(F.lit(" "), F.replace(given, F.lit(MARK), F.lit(" ")))).alias("text"))
     corpus = blocks.build(ready, cut=cut, strings=True, carry=("given",))
     shards = blocks.shards_for(blocks.total(corpus, "n_keys"))
-    answers = blocks.exchange(corpus, _extract, reduce, shards)
+    answers = blocks.exchange(corpus, _extract, reduce, shards, ("dict",))
     schema = "doc_id long, n_bytes long, n_tokens long"
-    out = blocks.receive(corpus, answers, _extract, finish, schema, shards)
+    out = blocks.receive(corpus, answers, finish, schema, ("body",))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != int(blocks.NO_ID), F.col("doc_id")))
 
 
