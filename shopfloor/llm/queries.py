@@ -1,6 +1,7 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
 from .decontam import op2_decontamination
+from .lm import op3_lm_scores
 from .quality import op10_quality_rules
 from .recompression import op5_repeat_removal
 from .secrets import op4_secret_scan
@@ -9,6 +10,7 @@ from .token_counts import op7_token_counts
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_lm_scores": op3_lm_scores,
     "op4_secret_scan": op4_secret_scan,
     "op5_repeat_removal": op5_repeat_removal,
     "op6_simhash_components": op6_simhash_components,
