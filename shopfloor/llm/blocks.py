@@ -35,7 +35,7 @@ Arrays = dict[str, np.ndarray]
 def pack(body: Arrays) -> bytes:
     """Arrays as bytes: the bytes of equal rank of each array stand together, then zstandard."""
     turned = {k: (v.dtype.str, np.ascontiguousarray(v).view(np.uint8).reshape(-1, v.itemsize).T.tobytes()) for k, v in body.items()}
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(turned, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(turned, protocol=5))
 
 
 def unpack(body: bytes) -> Arrays:
@@ -52,20 +52,31 @@ def codes(body: Arrays) -> np.ndarray:
     return body["place"][body["rank"]]
 
 
+def bags(body: Arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block of bags: text number, place in the dictionary and frequency of every distinct token of every text."""
+    kinds = body["kinds"]
+    ends = np.cumsum(body["gap"], dtype=np.int64)
+    first = np.cumsum(kinds) - kinds
+    before = np.where(first > 0, ends[first - 1], 0) if len(ends) else first
+    return np.repeat(np.arange(len(kinds)), kinds), body["place"][ends - np.repeat(before, kinds)], body["times"]
+
+
 def build(
     docs: DataFrame,
     text: str = "text",
     lower: bool = False,
     cut: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]] = arrays.word_bounds,
-    strings: bool = False,
+    bag: bool = False,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``(block, n_keys, n_tokens, dict, body)``, written to the shared folder.
 
-    The dictionary has ``words``, the sorted distinct hashes, and with ``strings`` their bytes in ``chars`` and
-    ``ends``.  The body has ``ids`` (``doc_id`` as int64, null as ``NO_ID``), ``lens`` (tokens per text), the int64
+    The dictionary has ``words``, the sorted distinct hashes.  The body has ``ids`` (``doc_id`` as int64, null as ``NO_ID``), ``lens`` (tokens per text), the int64
     columns of ``carry``, ``rank`` (each token's word by frequency, which compresses well) and ``place`` (where
     the word of a rank stands in ``words``).
+
+    With ``bag`` the order of tokens is not kept: the dictionary has the tokens' bytes in ``chars`` and their
+    ``sizes``, in the order of their hashes, and the body has, instead of ``rank``, what ``bags`` reads.
     """
     columns = ["doc_id", *carry]
 
@@ -75,14 +86,22 @@ def build(
         order = np.argsort(-count, kind="stable")
         rank = np.empty(len(order), dtype=np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        body = {"place": order.astype(np.uint32), "rank": rank[code]}
+        body = {"place": order.astype(np.uint32)}
         for name in ("ids", "lens", *carry):
             body[name] = np.concatenate([p[name] for p in parts])
-        known = {"words": words}
-        if strings:
-            pieces = np.concatenate([p["pieces"] for p in parts])[first] if len(first) else np.zeros(0, object)
-            known["chars"] = np.frombuffer(b"".join(pieces.tolist()), dtype=np.uint8)
-            known["ends"] = np.cumsum([len(x) for x in pieces], dtype=np.int64)
+        if bag:
+            n_texts = len(body["lens"])
+            pairs, times = np.unique(np.repeat(np.arange(n_texts), body["lens"]) * max(len(words), 1) + rank[code], return_counts=True)
+            of, own = pairs // max(len(words), 1), pairs % max(len(words), 1)
+            gap = np.diff(own, prepend=0)
+            fresh = np.flatnonzero(np.diff(of, prepend=-1))
+            gap[fresh] = own[fresh]
+            body |= {"kinds": np.bincount(of, minlength=n_texts), "gap": gap.astype(np.uint32), "times": times.astype(np.uint32)}
+            pieces = np.concatenate([p["pieces"] for p in parts])[first].tolist() if len(first) else []
+            known = {"chars": np.frombuffer(b"".join(pieces), dtype=np.uint8), "sizes": np.array([len(x) for x in pieces], dtype=np.uint32)}
+        else:
+            body["rank"] = rank[code]
+            known = {"words": words}
         block = TaskContext.get().partitionId() << 32 | n
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(words)], pa.int64()), pa.array([len(hashes)], pa.int64()), pa.array([pack(known)], pa.binary()), pa.array([pack(body)], pa.binary())], ["block", "n_keys", "n_tokens", "dict", "body"])
 
@@ -95,7 +114,7 @@ def build(
             for name in columns:
                 value = rows.column(rows.schema.get_field_index(name)).cast(pa.int64()).fill_null(int(NO_ID))
                 part["ids" if name == "doc_id" else name] = value.to_numpy(zero_copy_only=False)
-            if strings:
+            if bag:
                 raw = data.tobytes()
                 distinct, first, where = np.unique(part["hash"], return_index=True, return_inverse=True)
                 own = np.array([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())] + [None], dtype=object)[:-1]
@@ -133,8 +152,9 @@ Reduce = Callable[[np.ndarray, list[Arrays]], tuple[list[Arrays], Arrays | None]
 COLUMNS = ("dict", "body")
 
 
-def messages(block: int, keys: np.ndarray, to: np.ndarray, select: Callable[[np.ndarray], Arrays], shards: int) -> list[tuple[int, int, bytes]]:
-    return [(s, block, pack({"keys": keys[i], **select(i)})) for s, i in split(to, shards)]
+def messages(block: int, keys: np.ndarray | None, to: np.ndarray, select: Callable[[np.ndarray], Arrays], shards: int) -> list[tuple[int, int, bytes]]:
+    """``(shard, block, body)`` for each shard that gets anything; without keys only what ``select`` gives."""
+    return [(s, block, pack(({} if keys is None else {"keys": keys[i]}) | select(i))) for s, i in split(to, shards)]
 
 
 def exchange(blocks: DataFrame, extract: Extract, reduce: Reduce, shards: int, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
@@ -166,7 +186,7 @@ def answered(sent: DataFrame, reduce: Reduce) -> DataFrame:
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         parts = [unpack(b) for b in pdf["body"]]
-        answers, own = reduce(np.concatenate([p["keys"] for p in parts]), parts)
+        answers, own = reduce(np.concatenate([p["keys"] for p in parts if "keys" in p] or [np.zeros(0, np.uint64)]), parts)
         out = [(b, int(key[0]), pack(a)) for b, a in zip(pdf["block"], answers)]
         return pd.DataFrame(out + ([(-1, int(key[0]), pack(own))] if own is not None else []), columns=["block", "shard", "body"])
 

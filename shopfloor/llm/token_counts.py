@@ -15,15 +15,17 @@ U+2581                 the model reads it as a space, and so does the cut
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .arrays import ranges
+from .arrays import ranges, slice_hashes
 
 MARK = "▁"
 
@@ -64,13 +66,9 @@ def _counts(path: str, pieces: list[bytes]) -> np.ndarray:
     return np.array([(len(f) if len(t) > 1 else 1) if s else len(f) - 2 for f, s, t in zip(found, led, texts)], dtype=np.int32)
 
 
-def _extract(body: blocks.Arrays):
-    def select(i: np.ndarray) -> blocks.Arrays:
-        starts = np.concatenate([[0], body["ends"][:-1]])[i] if len(i) else np.zeros(0, np.int64)
-        sizes = body["ends"][i] - starts
-        return {"chars": body["chars"][np.repeat(starts, sizes) + ranges(sizes)], "ends": np.cumsum(sizes)}
-
-    return body["words"], select
+def _names(chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return slice_hashes(chars, ends - sizes, ends)
 
 
 def token_counts(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -80,27 +78,44 @@ def token_counts(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     the block's pre-token frequencies per document.
     """
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                known = blocks.unpack(row["dict"])
+                sizes = known["sizes"].astype(np.int64)
+                starts = np.cumsum(sizes) - sizes
+
+                def select(i: np.ndarray) -> blocks.Arrays:
+                    return {"sizes": sizes[i].astype(np.uint32), "chars": known["chars"][np.repeat(starts[i], sizes[i]) + ranges(sizes[i])]}  # noqa: B023
+
+                out = blocks.messages(row["block"], None, blocks.ranged(_names(known["chars"], sizes), shards), select, shards)
+                if out:
+                    s, b, body = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(b, pa.int64()), pa.array(body, pa.binary())], ["shard", "block", "body"])
+
     def reduce(keys: np.ndarray, parts: list[blocks.Arrays]):
-        _, first, where = np.unique(keys, return_index=True, return_inverse=True)
-        pieces: list[bytes] = []
-        for p in parts:
-            raw, ends = p["chars"].tobytes(), p["ends"].tolist()
-            pieces += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
-        count = np.concatenate([_counts(model, [pieces[i] for i in first[a : a + 20_000]]) for a in range(0, len(first), 20_000)])[where]
-        return [{"n": c} for c in blocks.apart(count, parts)], None
+        chars, sizes = (np.concatenate([p[k] for p in parts]) for k in ("chars", "sizes"))
+        ends = np.cumsum(sizes, dtype=np.int64)
+        _, first, where = np.unique(_names(chars, sizes), return_index=True, return_inverse=True)
+        raw = chars.tobytes()
+        count = np.zeros(len(first), dtype=np.uint32)
+        for a in range(0, len(first), 20_000):
+            i = first[a : a + 20_000]
+            count[a : a + 20_000] = _counts(model, [raw[x:y] for x, y in zip((ends[i] - sizes[i]).tolist(), ends[i].tolist())])
+        return [{"n": c} for c in np.split(count[where], np.cumsum([len(p["sizes"]) for p in parts])[:-1])], None
 
     def finish(block: int, body: blocks.Arrays, rows: pd.DataFrame) -> pd.DataFrame:
-        ids, lens, answer = body["ids"], body["lens"], blocks.joined(rows)
-        of = np.repeat(np.arange(len(ids)), lens)
-        n = np.bincount(of, weights=answer["n"][blocks.codes(body)] if len(of) else None, minlength=len(ids))
-        return pd.DataFrame({"doc_id": ids, "n_bytes": body["given"], "n_tokens": n.astype(np.int64)})
+        of, place, times = blocks.bags(body)
+        n = np.bincount(of, weights=blocks.joined(rows)["n"][place].astype(np.int64) * times if len(of) else None, minlength=len(body["ids"]))
+        return pd.DataFrame({"doc_id": body["ids"], "n_bytes": body["given"], "n_tokens": n.astype(np.int64)})
 
     # The model reads the mark as a space; one space in front stands for the one that it adds to a text.
     given = F.coalesce(F.col(text), F.lit(""))
     ready = docs.select("doc_id", F.octet_length(given).cast("long").alias("given"), F.when(given == "", "").otherwise(F.concat(F.lit(" "), F.replace(given, F.lit(MARK), F.lit(" ")))).alias("text"))
-    corpus = blocks.build(ready, cut=cut, strings=True, carry=("given",))
+    corpus = blocks.build(ready, cut=cut, bag=True, carry=("given",))
     shards = blocks.shards_for(blocks.total(corpus, "n_keys"))
-    answers = blocks.exchange(corpus, _extract, reduce, shards, ("dict",))
+    sent = corpus.select("block", "dict").mapInArrow(send, "shard int, block long, body binary")
+    answers = blocks.answered(sent, reduce)
     schema = "doc_id long, n_bytes long, n_tokens long"
     out = blocks.receive(corpus, answers, finish, schema, ("body",))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != int(blocks.NO_ID), F.col("doc_id")))
