@@ -2,6 +2,8 @@
 
 from .decontam import op2_decontamination
 from .lm import op3_lm_scores
+from .packing import op8_packing
+from .preferences import OP1_SQL, op1_preference_pairs
 from .quality import op10_quality_rules
 from .recompression import op5_repeat_removal
 from .secrets import op4_secret_scan
@@ -9,12 +11,14 @@ from .simhash import op6_simhash_components
 from .token_counts import op7_token_counts
 
 QUERIES = {
+    "op1_preference_pairs": op1_preference_pairs,
     "op2_decontamination": op2_decontamination,
     "op3_lm_scores": op3_lm_scores,
     "op4_secret_scan": op4_secret_scan,
     "op5_repeat_removal": op5_repeat_removal,
     "op6_simhash_components": op6_simhash_components,
     "op7_token_counts": op7_token_counts,
+    "op8_packing": op8_packing,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_preference_pairs": OP1_SQL}
