@@ -247,7 +247,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256, kept_text)`` for every row of ``docs``."""
     spans = materialize(repeated_spans(docs, text, window)).dropDuplicates(["doc_id", "text_hash"])
-    spans = spans.select(F.col("doc_id").alias("_id"), "text_hash", "starts", "ends")
+    # How many texts have repeats is not bounded, so the spans are never broadcast.
+    spans = spans.select(F.col("doc_id").alias("_id"), "text_hash", "starts", "ends").hint("merge")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     on = (F.coalesce("doc_id", F.lit(int(blocks.NO_ID))) == F.col("_id")) & (F.xxhash64("text") == F.col("text_hash"))
     joined = rows.join(spans, on, "left").select("doc_id", "text", "starts", "ends")
