@@ -9,6 +9,7 @@ from .recompression import op5_repeat_removal
 from .secrets import op4_secret_scan
 from .simhash import op6_simhash_components
 from .token_counts import op7_token_counts
+from .token_store import op9_token_files
 
 QUERIES = {
     "op1_preference_pairs": op1_preference_pairs,
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_simhash_components": op6_simhash_components,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
+    "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {"op1_preference_pairs": OP1_SQL}
