@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays, golay
+from .blocks import split
 from .components import connected_components
 from .scratch import materialize
+from .words import lower_ascii, words
 
 
 #: Two of three segments of 64 bits hold at most 2 of 4 errors each.
@@ -31,6 +33,7 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 SMALL = 16  # in a bucket of up to this many fingerprints, all pairs are compared
 PER_SHARD = 1_000_000  # keys that one task looks through, about
 TABLES = 5  # independent fingerprints of ``near_duplicates``
+BROADCAST_ROWS = 1_000_000  # pairs of two numbers that may be broadcast
 
 
 def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -126,34 +129,31 @@ def _bucket_links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int
     return np.concatenate(us), np.concatenate(vs)
 
 
-def links(fps: DataFrame, radius: int = 4, segments=SEGMENTS, pairs=PAIRS, rows: int | None = None) -> DataFrame:
-    """``(u, v)``: links between rows of ``fps(node, fp)`` that differ in at most ``radius`` bits.
+def links(fps: DataFrame, radius: int = 4, segments=SEGMENTS, pairs=PAIRS, tables: int = 1) -> DataFrame:
+    """``(u, v)``: links between nodes of ``fps(node, fp)`` that differ in at most ``radius`` bits in one of the tables.
 
-    Each segment is decoded to the indices of the codewords nearby and each pair of segments gives up to 36
-    joined keys of 24 bits.  Entries travel in blocks by key; a task compares the entries of each key and
-    returns, for large buckets, links that span each group instead of all its pairs.
+    ``fp`` is an array of ``tables`` fingerprints.  Each segment is decoded to the indices of the codewords nearby and
+    each pair of segments gives up to 36 joined keys of 24 bits.  Entries travel in blocks by key; a task compares
+    the entries of each key and returns, for large buckets, links that span each group instead of all its pairs.
     """
-    total = (fps.count() if rows is None else rows) * 28 // PER_SHARD + 1
-    shards = 1 << max(2, total.bit_length())
+    keys = fps.count() * 28 * len(pairs) * tables
+    shards = 1 << max(2, (keys // PER_SHARD // (len(pairs) * tables)).bit_length())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 4000):
                 part = batch.slice(at, 4000)
-                node, fp = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-                fp = fp.view(np.uint64)
+                node = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                fp = np.array(part.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.int64).reshape(len(part), tables).view(np.uint64)
                 out: dict[int, tuple[bytes, bytes]] = {}
-                for p, key, row in _keys(fp, segments, pairs):
-                    to = (arrays.mixed(key.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-                    order = np.argsort(to, kind="stable")
-                    cuts = np.searchsorted(to[order], np.arange(shards + 1))
-                    for s in range(shards):
-                        i = order[cuts[s] : cuts[s + 1]]
-                        if len(i):
+                for t in range(tables):
+                    for p, key, row in _keys(fp[:, t], segments, pairs):
+                        to = (arrays.mixed(key.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+                        for s, i in split(to, shards):
                             used, local = np.unique(row[i], return_inverse=True)
                             body = np.empty(len(i), dtype=[("key", "<u4"), ("row", "<u2")])
                             body["key"], body["row"] = key[i], local
-                            out[p * shards + s] = np.stack([fp[used].view(np.int64), node[used]]).tobytes(), body.tobytes()
+                            out[(t * len(pairs) + p) * shards + s] = np.stack([fp[used, t].view(np.int64), node[used]]).tobytes(), body.tobytes()
                 ids, bodies = zip(*out.values()) if out else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(ids, pa.binary()), pa.array(bodies, pa.binary())], ["shard", "ids", "body"])
 
@@ -177,13 +177,103 @@ def components(docs: DataFrame, text: str = "text", radius: int = 4) -> DataFram
     """``(doc_id, fp, component_id)`` for every row of ``docs``."""
     fps = materialize(fingerprints(docs, text))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = connected_components(links(distinct.select(F.col("fp").alias("node"), "fp"), radius))
+    linked = connected_components(links(distinct.select(F.col("fp").alias("node"), F.array("fp").alias("fp")), radius))
     named = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
     named = materialize(named)
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
     return fps.join(named.join(ids, "label").select("fp", "component_id"), "fp")
 
 
+def _word_fingerprints(docs: DataFrame, tables: int) -> DataFrame:
+    """``(doc_id, text_hash, cls, cls2, fp)``: two names of the word sequence, and per table the two 23-bit segments of a
+    SimHash over the set of words, in which a replaced word counts once instead of once per shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in arrays.chunks(batches, "text"):
+            data = arrays.lower_ascii(data)
+            starts, ends, of = arrays.word_bounds(data, offsets)
+            h = arrays.slice_hashes(data, starts, ends)
+            n = np.bincount(of, minlength=len(rows))
+            stop = np.cumsum(n)
+            names = [arrays.sequence_hashes(arrays.mixed(h + np.uint64(k)), stop - n, stop).view(np.int64) for k in (1, 2)]
+            order = np.lexsort((h, of))
+            h, of = h[order], of[order]
+            fresh = np.ones(len(h), dtype=bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+            h, kinds = h[fresh], np.bincount(of[fresh], minlength=len(rows))
+            made = [_majority(arrays.mixed(h ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), kinds) >> np.uint64(18) for t in range(tables)]
+            fp = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * tables, pa.int32()), pa.array(np.stack(made, axis=1).ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(names[0]), pa.array(names[1]), fp], ["doc_id", "text_hash", "cls", "cls2", "fp"])
+
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, cls long, cls2 long, fp array<long>")
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast where a count has shown few rows; a shuffle join otherwise."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` but for those that copy another: of every group linked by copies, the least doc_id stays.
+
+    Texts with equal words are one class.  Classes whose word fingerprints agree up to 2 bits in both segments of
+    some table are compared by the Jaccard similarity of their sets of word shingles, and linked at ``similarity``.
+    Edges between classes that are linked already are not compared.  Rows with null ids stay.  Equal rows of one id
+    are copies of each other; of them one stays.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).where("doc_id is not null")
+    marked = materialize(_word_fingerprints(rows, TABLES))
+    classes = marked.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("fp").alias("fp"))
+    classes = materialize(classes.select(F.col("cls").alias("node"), "cls2", "rep", "fp"))
+    candidates = materialize(links(classes, 4, ((0, 23), (23, 23)), ((0, 1),), TABLES))
+    linked = _linked_classes(rows, classes, candidates, similarity, shingle)
+    named = classes.join(linked, "node", "left").select("node", "cls2", "rep", F.coalesce("component", "node").alias("label"))
+    best = named.groupBy("label").agg(F.min("rep").alias("best"))
+    keep = named.join(best, "label").select(F.col("node").alias("cls"), "cls2", "best")
+    judged = marked.select("doc_id", "text_hash", "cls", "cls2").join(keep, ["cls", "cls2"])
+    copy = (F.col("doc_id") != F.col("best.doc_id")) | (F.col("text_hash") != F.col("best.text_hash"))
+    dropped = materialize(judged.where(copy).select(F.col("doc_id").alias("_dup_id"), F.col("text_hash").alias("_dup_hash")).distinct())
+    kept = docs.join(_sized(dropped, dropped.count()), (docs["doc_id"].cast("long") == F.col("_dup_id")) & (F.xxhash64(docs[text]) == F.col("_dup_hash")), "left_anti")
+    repeated = judged.where(~copy).groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
+    if not repeated:
+        return kept
+    once = kept.where("doc_id is not null").dropDuplicates(["doc_id", text])
+    return once.unionByName(kept.where("doc_id is null"))
+
+
+def _linked_classes(rows: DataFrame, classes: DataFrame, candidates: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``(node, component)`` of classes linked by verified candidates.
+
+    In the first two rounds every class tests its first untested candidate; what is left between different
+    components is tested in the third.
+    """
+    ids = candidates.select(F.col("u").alias("node")).union(candidates.select(F.col("v").alias("node"))).distinct()
+    wanted = materialize(classes.join(ids, "node").select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash")))
+    texts = rows.join(_sized(wanted, wanted.count()), ["doc_id", "text_hash"]).select("node", words(lower_ascii(F.col("text"))).alias("w"))
+    parts = ", ".join(f"w[i + {k}]" for k in range(shingle))
+    shingles = F.expr(f"case when size(w) < {shingle} then array(hash(w)) else array_distinct(transform(sequence(0, size(w) - {shingle}), i -> hash({parts}))) end")
+    sets = materialize(texts.select("node", shingles.alias("s")).dropDuplicates(["node"]))
+    good, left = None, candidates
+    for last in (False, False, True):
+        tested = left
+        if not last:
+            order = left.withColumn("o", F.xxhash64("u", "v"))
+            first = order.select(F.col("u").alias("n"), "o").union(order.select(F.col("v").alias("n"), "o")).groupBy("n").agg(F.min("o").alias("o"))
+            tested = order.join(first.select("o").distinct(), "o").select("u", "v")
+        with_u = tested.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u")
+        both = with_u.join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v").withColumn("common", F.size(F.array_intersect("su", "sv")))
+        passed = both.where(F.col("common") >= similarity * (F.size("su") + F.size("sv") - F.col("common"))).select("u", "v")
+        good = materialize(passed if good is None else passed.unionByName(good))
+        found = connected_components(good)
+        if last:
+            return found
+        found = materialize(found)
+        rest = left.join(tested, ["u", "v"], "left_anti")
+        rest = rest.join(found.toDF("u", "cu"), "u", "left").join(found.toDF("v", "cv"), "v", "left")
+        left = materialize(rest.where("cu is null or cv is null or cu != cv").select("u", "v"))
+    raise AssertionError
+
+
 def op6_simhash_components(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
