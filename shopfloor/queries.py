@@ -34,9 +34,9 @@ isl as (select *, row_number() over (partition by run_id order by source_row) -
 epi as (select run_id, g, row_number() over (partition by run_id order by min(source_row)) n, min(source_row) began from isl where status = 1 group by run_id, g),
 tl as (select i.*, case when i.status = 1 then 'r' || i.run_id || '_e' || e.n end episode_id, 'm41_r' || i.run_id || '_s' || i.shot row_id from isl i left join epi e on i.status = 1 and i.run_id = e.run_id and i.g = e.g)
 """
-QL = TL + """, qd as (select source_row id, shot, cycle_time, source_row * 2 source_row, run_id day from tl where status = 0 and cycle_time is not null
+QL = TL + """, qd as (select source_row id, shot, cycle_time, source_row * 2 source_row, run_id as rday from tl where status = 0 and cycle_time is not null
   union all select source_row + 1000000000, shot, cycle_time, source_row * 2 + 1, run_id from tl where status = 0 and cycle_time is not null and source_row % 3 = 0),
-qr as (select id, shot, cycle_time, source_row, (dense_rank() over (order by day) - 1)::bigint run_id from qd),
+qr as (select id, shot, cycle_time, source_row, (dense_rank() over (order by rday) - 1)::bigint run_id from qd),
 qk as (select *, row_number() over (partition by run_id, shot, cycle_time order by source_row) copy from qr),
 ql as (select id, shot, cycle_time, source_row, run_id, 'q42_r' || run_id || '_s' || shot row_id, row_number() over (partition by run_id order by source_row) place, count(*) over (partition by run_id) n_run, case when cycle_time >= 90 then 1 else 0 end y_defect from qk where copy = 1)
 """
