@@ -23,4 +23,30 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op1_preference_pairs": OP1_SQL}
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# Two substitutions leave four equal words in a row in any 13: those find the alignments, which are then checked whole.
+OP2_SQL = f"""
+with dl as (select doc_id, {WORDS.format(LOWER)} w from documents), bl as (select item_id, {WORDS.format(LOWER)} w from benchmark),
+d as (select doc_id, unnest(w) word, unnest(range(len(w))) pos from dl),
+b as (select item_id, len(w) n, unnest(w) word, unnest(range(len(w))) pos from bl where len(w) >= 5),
+d4 as (select doc_id, unnest(range(len(w) - 3)) pos, w from dl), b4 as (select item_id, unnest(range(len(w) - 3)) pos, w from bl where len(w) >= 5),
+shifts as (select distinct doc_id, item_id, x.pos - y.pos as shift from (select doc_id, pos, array_to_string(w[pos + 1 : pos + 4], ' ') g from d4) x join (select item_id, pos, array_to_string(w[pos + 1 : pos + 4], ' ') g from b4) y using (g)),
+aligned as (select s.doc_id, s.item_id, s.shift, b.n, b.pos, (b.word = d.word)::int eq from shifts s join b on b.item_id = s.item_id join d on d.doc_id = s.doc_id and d.pos = b.pos + s.shift),
+windows as (select *, sum(eq) over w k, count(*) over w c from aligned window w as (partition by doc_id, item_id, shift order by pos rows between current row and 12 following)),
+hits as (select * from windows where (n >= 13 and c = 13 and k >= 11) or (n < 13 and pos = 0 and c = n and k = n))
+select doc_id, item_id, min(pos + shift)::bigint as start, max(pos + shift + least(13, n))::bigint as "end", count(*)::bigint n_windows from hits group by doc_id, item_id, shift
+"""
+
+OP5_SQL = f"""
+with l as (select doc_id, {WORDS.format("coalesce(text, '')")} w from documents),
+win as (select doc_id, i, array_to_string(w[i : i + 49], ' ') k from (select doc_id, w, unnest(range(1, len(w) - 48)) i from l where len(w) >= 50)),
+first as (select k, min(doc_id) least_id from win group by k),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) pos from win join first using (k) where least_id < doc_id),
+each as (select doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) pos from l),
+kept as (select e.doc_id, count(g.pos) n_removed, string_agg(e.word, ' ' order by e.pos) filter (where g.pos is null) t from each e left join gone g on g.doc_id = e.doc_id and g.pos = e.pos group by e.doc_id)
+select l.doc_id, len(w)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from l left join kept using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_preference_pairs": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_repeat_removal": OP5_SQL}
