@@ -30,9 +30,12 @@ from .words import lower_ascii, words
 #: Two of three segments of 64 bits hold at most 2 of 4 errors each.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
-SMALL = 16  # in a bucket of up to this many fingerprints, all pairs are compared
-PER_SHARD = 1_000_000  # keys that one task looks through, about
+SMALL = 6  # in a bucket of up to this many fingerprints, all pairs are compared
+CENTRAL = 2048  # most central members of a bucket that ``_nearest`` looks among
+NEAREST = 2  # links of a member of a large bucket
+PER_SHARD = 400_000  # keys that one task looks through, about
 TABLES = 5  # independent fingerprints of ``near_duplicates``
+FAR = 40  # bits of all tables' 230 by which texts of similarity 0.8 never differ: the mean is 15, the deviation 4
 BROADCAST_ROWS = 1_000_000  # pairs of two numbers that may be broadcast
 
 
@@ -90,12 +93,19 @@ def _keys(fp: np.ndarray, segments, pairs) -> Iterator[tuple[int, np.ndarray, np
 
 
 def _spanning(fp: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, js): links that join what is within ``radius`` bits in one bucket, each member reached once."""
-    rest = np.arange(len(fp))
+    """(i, js): links that join what is within ``radius`` bits in one bucket, each member reached once.
+
+    Members next to the bucket's majority bits come first: many others are near them, so different buckets of one
+    group mostly give the same links, and those between the most similar texts.
+    """
+    centre = _majority(fp, np.array([len(fp)]))[0]
+    rest = np.lexsort((arrays.mixed(fp), np.bitwise_count(fp ^ centre)))
     while len(rest):
         frontier, rest = [int(rest[0])], rest[1:]
-        while frontier and len(rest):
-            i = frontier.pop()
+        at = 0
+        while at < len(frontier) and len(rest):
+            i = frontier[at]
+            at += 1
             close = np.bitwise_count(fp[rest] ^ fp[i]) <= radius
             if close.any():
                 yield i, rest[close]
@@ -103,33 +113,59 @@ def _spanning(fp: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
                 rest = rest[~close]
 
 
-def _bucket_links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between entries of equal key that differ in at most ``radius`` bits.
+def _nearest(fp: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): for each member up to ``NEAREST`` others, at most ``most`` bits apart over all tables, most alike first.
 
-    Entries of one bucket are put in an order that depends on the key, so that different buckets of one group
-    start from different members.
+    Others are looked for among the members next to the bucket's majority bits, ``CENTRAL`` of them at most, so the
+    work is linear in large buckets.  These links do not span what is within reach, but are those of likely copies.
+    """
+    off = sum(np.bitwise_count(f ^ _majority(f, np.array([len(f)]))[0]).astype(np.int64) for f in fp.T)
+    order = np.lexsort((arrays.mixed(fp[:, 0]), off))
+    f = fp[order]
+    head = f[:CENTRAL]
+    for a in range(0, len(f), 256):
+        own = np.arange(a, min(a + 256, len(f)))
+        d = sum(np.bitwise_count(f[own, t][:, None] ^ head[:, t][None, :]).astype(np.int32) for t in range(f.shape[1]))
+        inside = own[own < len(head)]
+        d[inside - a, inside] = 1 << 20
+        k = min(NEAREST, len(head))
+        best = np.argpartition(d, k - 1, axis=1)[:, :k]
+        near = np.take_along_axis(d, best, axis=1) <= most
+        for r in np.flatnonzero(near.any(axis=1)):
+            yield order[own[r]], order[best[r][near[r]]]
+
+
+def _bucket_links(key: np.ndarray, fps: np.ndarray, own: int, node: np.ndarray, radius: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links between entries of equal key that differ in at most ``radius`` bits of table ``own``.
+
+    With ``most``, links are also at most so many bits long over all tables, and large buckets give nearest ones.
     """
-    order = np.lexsort((arrays.mixed(fp ^ key.astype(np.uint64)), key))
-    key, fp, node = key[order], fp[order], node[order]
+    order = np.lexsort((fps[:, own], key))
+    key, fps, node = key[order], fps[order], node[order]
+    fp = fps[:, own]
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     size = np.diff(edge)
     each = np.repeat(size, size)
     some = np.flatnonzero((each > 1) & (each <= SMALL))
     us, vs = [], []
-    k, f, m = key[some], fp[some], node[some]
+    k, f, m = key[some], fps[some], node[some]
     for off in range(1, SMALL):
-        hit = np.flatnonzero((k[off:] == k[:-off]) & (np.bitwise_count(f[off:] ^ f[:-off]) <= radius)) if len(k) > off else np.zeros(0, int)
+        if len(k) <= off:
+            break
+        hit = np.flatnonzero((k[off:] == k[:-off]) & (np.bitwise_count(f[off:, own] ^ f[:-off, own]) <= radius))
+        if most is not None:
+            hit = hit[np.bitwise_count(f[hit + off] ^ f[hit]).sum(axis=1) <= most]
         us.append(m[hit])
         vs.append(m[hit + off])
     for b in np.flatnonzero(size > SMALL):
-        a = edge[b]
-        for i, js in _spanning(fp[a : a + size[b]], radius):
+        a, z = edge[b], edge[b + 1]
+        for i, js in _spanning(fp[a:z], radius) if most is None else _nearest(fps[a:z], most):
             us.append(np.full(len(js), node[a + i]))
             vs.append(node[a + js])
-    return np.concatenate(us), np.concatenate(vs)
+    return np.concatenate(us or [node[:0]]), np.concatenate(vs or [node[:0]])
 
 
-def links(fps: DataFrame, radius: int = 4, segments=SEGMENTS, pairs=PAIRS, tables: int = 1) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, segments=SEGMENTS, pairs=PAIRS, tables: int = 1, most: int | None = None) -> DataFrame:
     """``(u, v)``: links between nodes of ``fps(node, fp)`` that differ in at most ``radius`` bits in one of the tables.
 
     ``fp`` is an array of ``tables`` fingerprints.  Each segment is decoded to the indices of the codewords nearby and
@@ -153,19 +189,19 @@ def links(fps: DataFrame, radius: int = 4, segments=SEGMENTS, pairs=PAIRS, table
                             used, local = np.unique(row[i], return_inverse=True)
                             body = np.empty(len(i), dtype=[("key", "<u4"), ("row", "<u2")])
                             body["key"], body["row"] = key[i], local
-                            out[(t * len(pairs) + p) * shards + s] = np.stack([fp[used, t].view(np.int64), node[used]]).tobytes(), body.tobytes()
+                            out[(t * len(pairs) + p) * shards + s] = np.column_stack([fp[used].view(np.int64), node[used]]).tobytes(), body.tobytes()
                 ids, bodies = zip(*out.values()) if out else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(ids, pa.binary()), pa.array(bodies, pa.binary())], ["shard", "ids", "body"])
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, fp, node = [], [], []
-        for ids, body in zip(pdf["ids"], pdf["body"]):
-            ids = np.frombuffer(ids, dtype=np.int64).reshape(2, -1)
+    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, ids = [], []
+        for known, body in zip(pdf["ids"], pdf["body"]):
             body = np.frombuffer(body, dtype=[("key", "<u4"), ("row", "<u2")])
             keys.append(body["key"])
-            fp.append(ids[0][body["row"]].view(np.uint64))
-            node.append(ids[1][body["row"]])
-        u, v = _bucket_links(np.concatenate(keys), np.concatenate(fp), np.concatenate(node), radius)
+            ids.append(np.frombuffer(known, dtype=np.int64).reshape(-1, tables + 1)[body["row"]])
+        ids = np.concatenate(ids)
+        own = int(key[0]) // (len(pairs) * shards)
+        u, v = _bucket_links(np.concatenate(keys), ids[:, :tables].view(np.uint64), own, ids[:, tables], radius, most)
         pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"u": pair[:, 0], "v": pair[:, 1]})
 
@@ -225,7 +261,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
     marked = materialize(_word_fingerprints(rows, TABLES))
     classes = marked.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("fp").alias("fp"))
     classes = materialize(classes.select(F.col("cls").alias("node"), "cls2", "rep", "fp"))
-    candidates = materialize(links(classes, 4, ((0, 23), (23, 23)), ((0, 1),), TABLES))
+    candidates = materialize(links(classes, 4, ((0, 23), (23, 23)), ((0, 1),), TABLES, most=FAR))
     linked = _linked_classes(rows, classes, candidates, similarity, shingle)
     named = classes.join(linked, "node", "left").select("node", "cls2", "rep", F.coalesce("component", "node").alias("label"))
     best = named.groupBy("label").agg(F.min("rep").alias("best"))
@@ -244,8 +280,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
 def _linked_classes(rows: DataFrame, classes: DataFrame, candidates: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """``(node, component)`` of classes linked by verified candidates.
 
-    In the first two rounds every class tests its first untested candidate; what is left between different
-    components is tested in the third.
+    First every class tests one of its candidates; what is left between different components is tested then.
     """
     ids = candidates.select(F.col("u").alias("node")).union(candidates.select(F.col("v").alias("node"))).distinct()
     wanted = materialize(classes.join(ids, "node").select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash")))
@@ -254,7 +289,7 @@ def _linked_classes(rows: DataFrame, classes: DataFrame, candidates: DataFrame,
     shingles = F.expr(f"case when size(w) < {shingle} then array(hash(w)) else array_distinct(transform(sequence(0, size(w) - {shingle}), i -> hash({parts}))) end")
     sets = materialize(texts.select("node", shingles.alias("s")).dropDuplicates(["node"]))
     good, left = None, candidates
-    for last in (False, False, True):
+    for last in (False, True):
         tested = left
         if not last:
             order = left.withColumn("o", F.xxhash64("u", "v"))
