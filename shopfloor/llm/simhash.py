@@ -269,7 +269,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
     judged = marked.select("doc_id", "text_hash", "cls", "cls2").join(keep, ["cls", "cls2"])
     copy = (F.col("doc_id") != F.col("best.doc_id")) | (F.col("text_hash") != F.col("best.text_hash"))
     dropped = materialize(judged.where(copy).select(F.col("doc_id").alias("_dup_id"), F.col("text_hash").alias("_dup_hash")).distinct())
-    kept = docs.join(_sized(dropped, dropped.count()), (docs["doc_id"].cast("long") == F.col("_dup_id")) & (F.xxhash64(docs[text]) == F.col("_dup_hash")), "left_anti")
+    small = _sized(dropped, dropped.count())
+    kept = docs.join(small, (docs["doc_id"].cast("long") == small["_dup_id"]) & (F.xxhash64(docs[text]) == small["_dup_hash"]), "left_anti")
     repeated = judged.where(~copy).groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     if not repeated:
         return kept
