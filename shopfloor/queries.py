@@ -265,8 +265,16 @@ union all select 'p40', 'chronological', 'primary', row_id, role, strftime(event
 """
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Written once and read again: a table that several schemes use is not built for each of them."""
+    path = files.shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _folds(spark, d: str) -> DataFrame:
-    return casting.folds_table(st.quality(spark, d), st.timeline(spark, d), st.process(spark, d), shot="shot")
+    q, t = _stored(st.quality(spark, d)), _stored(st.timeline(spark, d))
+    return casting.folds_table(q, t, st.process(spark, d), shot="shot")
 
 
 @query(QL + "select run_id, any_value(n_run)::bigint n from ql group by run_id having any_value(n_run) >= 20")
@@ -291,7 +299,7 @@ def split_within_run_aligned(spark, d: str) -> DataFrame:
 
 
 def _run_scheme(spark, d: str, scheme: str) -> DataFrame:
-    q, t = st.quality(spark, d), st.timeline(spark, d)
+    q, t = _stored(st.quality(spark, d)), _stored(st.timeline(spark, d))
     runs = splits.valid_runs(q, "run_id")
     held = splits.apply_exclusions(splits.run_split(t, runs, "run_id", scheme), ~F.col("gate_eligible"))
     return splits.run_split(q, runs, "run_id", scheme).select("row_id", "fold", "role").unionByName(held.select("row_id", "fold", "role"))
