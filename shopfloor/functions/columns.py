@@ -36,12 +36,9 @@ def count_true(cols: list) -> Column:
     return reduce(add, [_col(c).cast("bigint") for c in cols])
 
 
-def row_id(prefix: str, **parts: str) -> Column:
-    """``prefix_<key><value>_...`` (P10); null where any part is null."""
-    pieces = [F.lit(prefix)]
-    for key, c in parts.items():
-        pieces += [F.lit(f"_{key.rstrip('_')}" if key != "_" else "_"), F.col(c).cast("string")]
-    return F.concat(*pieces)
+def row_id(prefix: str, *parts: tuple[str, str]) -> Column:
+    """``prefix_<tag><value>_...`` from (tag, column) pairs (P10); null where any value is null."""
+    return F.concat(F.lit(prefix), *[x for tag, c in parts for x in (F.lit(f"_{tag}"), F.col(c).cast("string"))])
 
 
 def any_null(cols: list[str]) -> Column:

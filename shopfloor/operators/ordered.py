@@ -112,6 +112,52 @@ def history(df: DataFrame, by: list[str], order: str, counter: str, status: str,
     return prior_islands(out, by, order, status)
 
 
+def _places(df: DataFrame, by: list[str], order: str, block: int) -> DataFrame:
+    """Add ``_place``, the 0-based place in the run, from places in blocks of ``order`` and the blocks' counts."""
+    own = Window.partitionBy(*by, "_ob").orderBy(order)
+    local = df.withColumn("_ob", F.floor(F.col(order) / block).cast("bigint")).withColumn("_k", F.row_number().over(own) - 1)
+    counts = local.groupBy(*by, "_ob").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_ob").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = local.join(counts.withColumn("_o", before).drop("_n"), [*by, "_ob"])
+    return joined.withColumn("_place", F.col("_k") + F.col("_o")).drop("_ob", "_k", "_o")
+
+
+def history_blocked(df: DataFrame, by: list[str], order: str, counter: str, status: str, cycle: str, missing: str, block: int = BLOCK, value=1) -> DataFrame:
+    """``history`` and ``episode_id`` for runs too long for one task: the same columns, block by block.
+
+    Blocks are cut by rows of a run.  Each gets the last 20 rows of the one before as a halo for the bounded frames and
+    for the row before; episodes begun and the last warm-up counter are carried on from one summary row per block.
+    """
+    halo = 20
+    if block < halo:
+        raise ValueError("a block holds at least the halo")
+    placed = _places(df, by, order, block).withColumn("_b", F.floor(F.col("_place") / block).cast("bigint")).withColumn("_halo", F.lit(False))
+    edge = placed.where(F.col("_place") % block >= block - halo).withColumn("_b", F.col("_b") + 1).withColumn("_halo", F.lit(True))
+    both = placed.unionByName(edge)
+    keys = [*by, "_b"]
+    out = both.withColumns({
+        "prev_cycle_time": lag_feature(cycle, keys, "_place"),
+        "max_cycle_previous_5": rolling_max(cycle, 5, keys, "_place"),
+        "missing_process_previous_20": rolling_count_true(F.col(missing), 20, keys, "_place"),
+        "missing_shots_before_current": counter_gap(counter, keys, "_place"),
+        "_start": island_start(status, value, keys, "_place"),
+    }).where(~F.col("_halo"))
+    earlier = _run(keys, "_place").rowsBetween(Window.unboundedPreceding, -1)
+    warm = F.when(_is(status, value), F.col(counter))
+    out = out.withColumns({"_begun": F.coalesce(F.sum("_start").over(earlier), F.lit(0)), "_last": F.last(warm, ignorenulls=True).over(earlier)})
+    summary = out.groupBy(*keys).agg(F.sum("_start").alias("_n"), F.max_by(warm, F.when(warm.isNotNull(), F.col("_place"))).alias("_w"))
+    across = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.select(*keys, F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_n0"), F.last("_w", ignorenulls=True).over(across).alias("_w0"))
+    out = out.join(carried, keys)
+    begun = F.col("_begun") + F.col("_n0")
+    out = out.withColumns({
+        "episode_id": F.when(_is(status, value), F.format_string("r%d_e%d", F.col(by[0]), begun + F.col("_start"))),
+        "oracle_shots_since_warm": (F.col(counter) - F.coalesce("_last", "_w0")).cast("double"),
+        "oracle_prior_episodes": begun.cast("double"),
+    })
+    return out.drop("_place", "_b", "_halo", "_start", "_begun", "_last", "_n0", "_w0")
+
+
 def sort_stable(df: DataFrame, time: str, tie: str) -> DataFrame:
     """Total order by time, ties by position (O1)."""
     return df.orderBy(time, tie)

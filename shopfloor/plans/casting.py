@@ -30,7 +30,7 @@ def quality_table(raw: DataFrame) -> DataFrame:
     kept = ordered.dedup_keep_first(runs, ["run_id"], ["id"], "source_row").drop(*LIMITS)
     cells = lambda k: [f"{t}_{k}" for t in TYPES]
     out = kept.withColumns({
-        "row_id": F.concat(F.lit("q42_r"), F.col("run_id").cast("string"), F.lit("_s"), F.col("Shot").cast("string")),
+        "row_id": fn.row_id("q42", ("r", "run_id"), ("s", "Shot")),
         "y_defect": fn.any_positive(cells(1) + cells(2)), "y_cavity_1": fn.any_positive(cells(1)), "y_cavity_2": fn.any_positive(cells(2)),
         **fn.type_flags(TYPES),
     })
@@ -42,7 +42,7 @@ def timeline_table(raw: DataFrame) -> DataFrame:
     """All timeline records with runs, eligibility, episodes and history; ``raw`` has ``source_row``."""
     out = ordered.segment_on_decrease(raw, "source_row", "Shot")
     out = out.withColumns({
-        "row_id": F.concat(F.lit("m41_r"), F.col("run_id").cast("string"), F.lit("_s"), F.col("Shot").cast("string")),
+        "row_id": fn.row_id("m41", ("r", "run_id"), ("s", "Shot")),
         "process_missing": fn.any_null(PROCESS), "gate_eligible": fn.eligible("Machine_Status", PROCESS),
     })
     out = ordered.islands(out, ["run_id"], "source_row", "Machine_Status")
@@ -57,7 +57,7 @@ def joined_table(quality: DataFrame, timeline: DataFrame) -> DataFrame:
 
 def process_table(raw: DataFrame) -> DataFrame:
     """The process log with time, masked and flagged temperatures and nullable label, ordered by time; ``raw`` has ``source_row``."""
-    out = raw.drop(*P40_DROPPED).withColumns({"row_id": F.concat(F.lit("p40_"), F.col("source_row").cast("string")), "event_time": fn.combine_date_time("timestamp", "date")})
+    out = raw.drop(*P40_DROPPED).withColumns({"row_id": fn.row_id("p40", ("", "source_row")), "event_time": fn.combine_date_time("timestamp", "date")})
     out = fn.mask_and_flag(out, TEMPERATURES)
     out = out.withColumns({"label_available": F.col("PassOrFail").isNotNull(), "normal_pressure": fn.threshold_flag("injection_pressure", 615), "y_defect": fn.nullable_label("PassOrFail")})
     return ordered.sort_stable(out, "event_time", "source_row")

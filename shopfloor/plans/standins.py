@@ -30,7 +30,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The timeline with runs, ids, eligibility, episodes and history."""
     out = runs(spark, sf_dir).withColumns({
-        "row_id": F.concat(F.lit("m41_r"), F.col("run_id").cast("string"), F.lit("_s"), F.col("shot").cast("string")),
+        "row_id": fn.row_id("m41", ("r", "run_id"), ("s", "shot")),
         "process_missing": fn.any_null(["cycle_time"]), "gate_eligible": fn.eligible("status", ["cycle_time"]),
     })
     out = ordered.islands(out, ["run_id"], "source_row", "status")
@@ -52,7 +52,7 @@ def quality_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rows without repeats, with ids, positions and a label (cycle times of 90 and more)."""
     out = ordered.dedup_keep_first(quality_runs(spark, sf_dir), ["run_id"], ["id"], "source_row")
-    out = out.withColumn("row_id", F.concat(F.lit("q42_r"), F.col("run_id").cast("string"), F.lit("_s"), F.col("shot").cast("string")))
+    out = out.withColumn("row_id", fn.row_id("q42", ("r", "run_id"), ("s", "shot")))
     out = out.withColumn("shot_position", ordered.position_in_group(["run_id"], "source_row"))
     return out.withColumn("y_defect", (F.col("cycle_time") >= 90).cast("int"))
 
@@ -74,6 +74,6 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def process(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``source_row, row_id, event_time, price_raw, price, price_suspect_high, label, label_available, y_defect``."""
     o = table(spark, sf_dir, "orders")
-    out = o.select(F.col("o_orderkey").alias("source_row"), F.concat(F.lit("p40_"), F.col("o_orderkey").cast("string")).alias("row_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("event_time"), F.col("o_totalprice").alias("price"), F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0).cast("double").alias("label"))
+    out = o.select(F.col("o_orderkey").alias("source_row"), fn.row_id("p40", ("", "o_orderkey")).alias("row_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("event_time"), F.col("o_totalprice").alias("price"), F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0).cast("double").alias("label"))
     out = fn.mask_and_flag(out, ["price"], 10000, 450000)
     return out.withColumns({"label_available": F.col("label").isNotNull(), "y_defect": fn.nullable_label("label"), "normal_price": fn.threshold_flag("price", 200000)})

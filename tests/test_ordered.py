@@ -76,6 +76,18 @@ def test_history_uses_one_shuffle_and_no_single_partition(spark):
     assert plan.count("hashpartitioning(run_id") == 1 and "SinglePartition" not in plan
 
 
+@pytest.mark.parametrize("block", [20, 33, 4096])
+def test_blocked_history_equals_plain_windows(spark, block):
+    rnd = random.Random(block)
+    n = 700
+    df = rows(spark, run_id=[i // 300 for i in range(n)], shot=[i % 300 * 2 + rnd.randrange(2) for i in range(n)], status=[rnd.choice([1, 1, 0, 0, 0, None]) if rnd.random() < 0.3 else 0 for _ in range(n)], cycle=[rnd.choice([None, rnd.random()]) for _ in range(n)], missing=[rnd.random() < 0.4 for _ in range(n)]).repartition(4)
+    args = (RUN, ORDER, "shot", "status", "cycle", "missing")
+    plain = ordered.islands(ordered.history(df, *args), RUN, ORDER, "status")
+    blocked = ordered.history_blocked(df, *args, block=block)
+    assert set(plain.columns) == set(blocked.columns)
+    assert plain.orderBy(ORDER).collect() == blocked.select(*plain.columns).orderBy(ORDER).collect()
+
+
 def test_labels(spark):
     df = spark.createDataFrame([(0, 3, 1, 0, 2, 1), (0, 0, 0, 0, 0, None)], "Short_1 int, Short_2 int, Dent_1 int, Dent_2 int, Bub_1 int, Bub_2 int")
     kinds = ["Short", "Dent", "Bub"]
