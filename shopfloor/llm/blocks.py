@@ -82,7 +82,7 @@ def build(
 
     def finish(parts: list, n: int) -> pa.RecordBatch:
         hashes = np.concatenate([p["hash"] for p in parts])
-        words, first, code, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        words, code, count = np.unique(hashes, return_inverse=True, return_counts=True)
         order = np.argsort(-count, kind="stable")
         rank = np.empty(len(order), dtype=np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -97,8 +97,9 @@ def build(
             fresh = np.flatnonzero(np.diff(of, prepend=-1))
             gap[fresh] = own[fresh]
             body |= {"kinds": np.bincount(of, minlength=n_texts), "gap": gap.astype(np.uint32), "times": times.astype(np.uint32)}
-            pieces = np.concatenate([p["pieces"] for p in parts])[first].tolist() if len(first) else []
-            known = {"chars": np.frombuffer(b"".join(pieces), dtype=np.uint8), "sizes": np.array([len(x) for x in pieces], dtype=np.uint32)}
+            own, sizes, chars = (np.concatenate([p[k] for p in parts]) for k in ("own", "own_sizes", "own_chars"))
+            at = np.unique(own, return_index=True)[1]
+            known = {"chars": chars[np.repeat((np.cumsum(sizes) - sizes)[at], sizes[at]) + arrays.ranges(sizes[at])], "sizes": sizes[at].astype(np.uint32)}
         else:
             body["rank"] = rank[code]
             known = {"words": words}
@@ -115,10 +116,9 @@ def build(
                 value = rows.column(rows.schema.get_field_index(name)).cast(pa.int64()).fill_null(int(NO_ID))
                 part["ids" if name == "doc_id" else name] = value.to_numpy(zero_copy_only=False)
             if bag:
-                raw = data.tobytes()
-                distinct, first, where = np.unique(part["hash"], return_index=True, return_inverse=True)
-                own = np.array([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())] + [None], dtype=object)[:-1]
-                part["pieces"] = own[where]
+                distinct, at = np.unique(part["hash"], return_index=True)
+                sizes = (ends - starts)[at]
+                part |= {"own": distinct, "own_sizes": sizes, "own_chars": data[np.repeat(starts[at], sizes) + arrays.ranges(sizes)]}
             parts.append(part)
             held += len(data)
             if held >= BLOCK:
