@@ -22,12 +22,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialize
 from .words import lower_ascii, words
 
 SPAN = 13  # words in a window
 SUBSTITUTIONS = 2  # at most, in a window
 LEAST = 5  # words of the shortest item that is searched
-BROADCAST_ROWS = 500_000  # seeds of 24 bytes of all items that may be broadcast; more are joined by a shuffle
+BROADCAST_ROWS = 500_000  # rows of up to 24 bytes, seeds or ids, that may be broadcast; more are joined by a shuffle
 GROUPS = ((0, 4, 8, 12), (1, 5, 9), (2, 6, 10), (3, 7, 11))
 MASKS = tuple(tuple(p for g in range(4) if g not in out for p in GROUPS[g]) for out in combinations(range(4), 2))
 
@@ -95,8 +96,14 @@ def _verified(hits: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, columns as they are, whose document matches no item."""
-    dirty = matches(docs, benchmark, text).select(F.col("doc_id").alias("_dirty")).distinct()
+    """The rows of ``docs``, columns as they are, whose document matches no item.
+
+    Up to ``BROADCAST_ROWS`` ids of matching documents are broadcast, so that texts are not shuffled; more are joined
+    by a shuffle.
+    """
+    dirty = materialize(matches(docs, benchmark, text).select(F.col("doc_id").alias("_dirty")).distinct())
+    if dirty.count() <= BROADCAST_ROWS:
+        dirty = F.broadcast(dirty)
     return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_dirty"]), "left_anti")
 
 
