@@ -93,19 +93,22 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
     """
     rows = docs.count()
     groups = max(1, -(-rows // group))
-    dealt = docs.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "source", "cluster").withColumn("_group", F.pmod(F.xxhash64("doc_id", "n_tokens", "source", "cluster"), F.lit(groups)))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster"))
+    own = own.withColumn("_group", F.pmod(F.xxhash64("doc_id", "n_tokens", "source", "cluster"), F.lit(groups)))
+    # pandas would turn a long column with nulls into doubles
+    dealt = own.withColumns({"_none": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "source", "cluster"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        none = lambda column: [None if x is None or x != x else x for x in column.tolist()]
-        made = pack_group(pdf["n_tokens"].tolist(), none(pdf["source"]), none(pdf["cluster"]), capacity)
+        pdf = pdf.sort_values(["n_tokens", "_none", "doc_id", "source", "cluster"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
+        names = lambda c: [x if isinstance(x, str) else None for x in pdf[c].tolist()]
+        made = pack_group(pdf["n_tokens"].tolist(), names("source"), names("cluster"), capacity)
         got = pd.DataFrame(made, columns=["row", "bin", "bin_offset", "length"], dtype=np.int64)
         part = got.groupby("row").cumcount() if len(got) else got["row"]
-        ids = pdf["doc_id"].take(got["row"]).reset_index(drop=True)
-        return pd.DataFrame({"doc_id": ids, "part": part, "bin_id": got["bin"] * groups + key[0], "bin_offset": got["bin_offset"], "length": got["length"]})
+        ids, none = (pdf[c].take(got["row"]).reset_index(drop=True) for c in ("doc_id", "_none"))
+        return pd.DataFrame({"doc_id": ids, "none": none, "part": part, "bin_id": got["bin"] * groups + key[0], "bin_offset": got["bin_offset"], "length": got["length"]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("_group").applyInPandas(run, f"doc_id {kind}, part long, bin_id long, bin_offset long, length long")
+    packed = dealt.groupBy("_group").applyInPandas(run, "doc_id long, none boolean, part long, bin_id long, bin_offset long, length long")
+    return packed.withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id"))).drop("none")
 
 
 def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -71,7 +71,7 @@ def test_near_duplicates(spark):
 
 
 def test_packing_keeps_all_and_conflicts_apart(spark):
-    docs = nasty(9)
+    docs = nasty(9) + [((1 << 60) + 1, "a b"), ((1 << 60) + 2, "c d e")]
     d = packing.with_sizes(frame(spark, docs))
     rows = packing.pack(d, capacity=256, group=40).collect()
     sizes = {}
