@@ -94,7 +94,7 @@ class Rule:
         return " and ".join(f"{f} {'>=' if a else '<'} {t:.6g}" for f, a, t in self.tests)
 
 
-def learn(rows: list[tuple[dict[str, float], bool]], max_rules: int = 12, max_tests: int = 4, cuts: int = 32, least_precision: float = 0.9, least_bad: int = 10) -> list[Rule]:
+def learn(rows: list[tuple[dict[str, float], bool]], max_rules: int = 12, max_tests: int = 4, cuts: int = 32, least_precision: float = 0.95, least_bad: int = 10) -> list[Rule]:
     """Sequential covering for the bad class.
 
     Two thirds of the rows grow a rule test by test for the largest information gain, the last third prunes
@@ -109,7 +109,9 @@ def learn(rows: list[tuple[dict[str, float], bool]], max_rules: int = 12, max_te
     tests = []
     for f in FEATURES:
         values = sorted(x[f] for x, _ in rows)
-        for t in sorted({values[len(values) * k // cuts] for k in range(1, cuts)}) if values else []:
+        distinct = sorted(set(values))
+        # Quantiles of rows and of distinct values: a feature that is 0 nearly everywhere has its cuts among the rest.
+        for t in sorted({v[len(v) * k // cuts] for v in (values, distinct) for k in range(1, cuts)}) if values else []:
             at_least = sum(1 << i for i, (x, _) in enumerate(rows) if x[f] >= t)
             tests += [((f, True, t), at_least), ((f, False, t), everything & ~at_least)]
 
