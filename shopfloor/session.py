@@ -1,7 +1,13 @@
-"""Session settings that the operators rely on."""
+"""Session settings that the operators rely on, and the package for Python workers."""
+
+import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 
 def session(app: str = "shopfloor", **conf: str) -> SparkSession:
     """UTC and ANSI errors, adaptive execution; everything else is the cluster's."""
@@ -10,3 +16,20 @@ def session(app: str = "shopfloor", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the application's Python workers, once, wherever the driver was started from."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="shopfloor-"), "shopfloor_package.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(here)))
+    context.addPyFile(path)
