@@ -33,7 +33,7 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 SMALL = 6  # in a bucket of up to this many fingerprints, all pairs are compared
 CENTRAL = 2048  # most central members of a bucket that ``_nearest`` looks among
 NEAREST = 2  # links of a member of a large bucket
-PER_SHARD = 400_000  # keys that one task looks through, about
+PER_SHARD = 2_000_000  # keys that one task looks through, about; with fewer, a text's fingerprints travel to more tasks
 TABLES = 5  # independent fingerprints of ``near_duplicates``
 FAR = 40  # bits of all tables' 230 by which texts of similarity 0.8 never differ: the mean is 15, the deviation 4
 BROADCAST_ROWS = 1_000_000  # pairs of two numbers that may be broadcast
@@ -135,33 +135,35 @@ def _nearest(fp: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
             yield order[own[r]], order[best[r][near[r]]]
 
 
-def _bucket_links(key: np.ndarray, fps: np.ndarray, own: int, node: np.ndarray, radius: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_links(key: np.ndarray, row: np.ndarray, fps: np.ndarray, own: int, node: np.ndarray, radius: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links between entries of equal key that differ in at most ``radius`` bits of table ``own``.
 
-    With ``most``, links are also at most so many bits long over all tables, and large buckets give nearest ones.
+    An entry is a key and a row of ``fps`` and ``node``.  With ``most``, links are also at most so many bits long over
+    all tables, and large buckets give nearest ones.
     """
-    order = np.lexsort((fps[:, own], key))
-    key, fps, node = key[order], fps[order], node[order]
-    fp = fps[:, own]
+    order = np.lexsort((fps[:, own][row], key))
+    key, row = key[order], row[order]
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     size = np.diff(edge)
     each = np.repeat(size, size)
     some = np.flatnonzero((each > 1) & (each <= SMALL))
     us, vs = [], []
-    k, f, m = key[some], fps[some], node[some]
+    k, r = key[some], row[some]
     for off in range(1, SMALL):
         if len(k) <= off:
             break
-        hit = np.flatnonzero((k[off:] == k[:-off]) & (np.bitwise_count(f[off:, own] ^ f[:-off, own]) <= radius))
+        a, b = r[:-off], r[off:]
+        hit = np.flatnonzero((k[off:] == k[:-off]) & (np.bitwise_count(fps[a, own] ^ fps[b, own]) <= radius))
         if most is not None:
-            hit = hit[np.bitwise_count(f[hit + off] ^ f[hit]).sum(axis=1) <= most]
-        us.append(m[hit])
-        vs.append(m[hit + off])
+            hit = hit[np.bitwise_count(fps[a[hit]] ^ fps[b[hit]]).sum(axis=1) <= most]
+        us.append(node[a[hit]])
+        vs.append(node[b[hit]])
     for b in np.flatnonzero(size > SMALL):
-        a, z = edge[b], edge[b + 1]
-        for i, js in _spanning(fp[a:z], radius) if most is None else _nearest(fps[a:z], most):
-            us.append(np.full(len(js), node[a + i]))
-            vs.append(node[a + js])
+        own_rows = row[edge[b] : edge[b + 1]]
+        f = fps[own_rows]
+        for i, js in _spanning(f[:, own], radius) if most is None else _nearest(f, most):
+            us.append(np.full(len(js), node[own_rows[i]]))
+            vs.append(node[own_rows[js]])
     return np.concatenate(us or [node[:0]]), np.concatenate(vs or [node[:0]])
 
 
@@ -194,14 +196,17 @@ def links(fps: DataFrame, radius: int = 4, segments=SEGMENTS, pairs=PAIRS, table
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(ids, pa.binary()), pa.array(bodies, pa.binary())], ["shard", "ids", "body"])
 
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, ids = [], []
+        keys, rows, ids, at = [], [], [], 0
         for known, body in zip(pdf["ids"], pdf["body"]):
             body = np.frombuffer(body, dtype=[("key", "<u4"), ("row", "<u2")])
+            known = np.frombuffer(known, dtype=np.int64).reshape(-1, tables + 1)
             keys.append(body["key"])
-            ids.append(np.frombuffer(known, dtype=np.int64).reshape(-1, tables + 1)[body["row"]])
+            rows.append(body["row"].astype(np.int32) + np.int32(at))
+            ids.append(known)
+            at += len(known)
         ids = np.concatenate(ids)
         own = int(key[0]) // (len(pairs) * shards)
-        u, v = _bucket_links(np.concatenate(keys), ids[:, :tables].view(np.uint64), own, ids[:, tables], radius, most)
+        u, v = _bucket_links(np.concatenate(keys), np.concatenate(rows), np.ascontiguousarray(ids[:, :tables]).view(np.uint64), own, ids[:, tables].copy(), radius, most)
         pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"u": pair[:, 0], "v": pair[:, 1]})
 
