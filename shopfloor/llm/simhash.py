@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, linked through Golay-code keys.
+"""SimHash near-duplicates, linked through Golay-code keys, and near copies by their sets of shingles.
 
 Rules for unusual input
 -----------------------
@@ -20,22 +20,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import arrays, golay
+from . import arrays, golay, set_join
 from .blocks import split
 from .components import connected_components
 from .scratch import materialize
-from .words import lower_ascii, words
 
 
 #: Two of three segments of 64 bits hold at most 2 of 4 errors each.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 SMALL = 6  # in a bucket of up to this many fingerprints, all pairs are compared
-CENTRAL = 2048  # most central members of a bucket that ``_nearest`` looks among
-NEAREST = 2  # links of a member of a large bucket
 PER_SHARD = 2_000_000  # keys that one task looks through, about; with fewer, a text's fingerprints travel to more tasks
-TABLES = 5  # independent fingerprints of ``near_duplicates``
-FAR = 40  # bits of all tables' 230 by which texts of similarity 0.8 never differ: the mean is 15, the deviation 4
 BROADCAST_ROWS = 1_000_000  # pairs of two numbers that may be broadcast
 
 
@@ -113,33 +108,10 @@ def _spanning(fp: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
                 rest = rest[~close]
 
 
-def _nearest(fp: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, js): for each member up to ``NEAREST`` others, at most ``most`` bits apart over all tables, most alike first.
-
-    Others are looked for among the members next to the bucket's majority bits, ``CENTRAL`` of them at most, so the
-    work is linear in large buckets.  These links do not span what is within reach, but are those of likely copies.
-    """
-    off = sum(np.bitwise_count(f ^ _majority(f, np.array([len(f)]))[0]).astype(np.int64) for f in fp.T)
-    order = np.lexsort((arrays.mixed(fp[:, 0]), off))
-    f = fp[order]
-    head = f[:CENTRAL]
-    for a in range(0, len(f), 256):
-        own = np.arange(a, min(a + 256, len(f)))
-        d = sum(np.bitwise_count(f[own, t][:, None] ^ head[:, t][None, :]).astype(np.int32) for t in range(f.shape[1]))
-        inside = own[own < len(head)]
-        d[inside - a, inside] = 1 << 20
-        k = min(NEAREST, len(head))
-        best = np.argpartition(d, k - 1, axis=1)[:, :k]
-        near = np.take_along_axis(d, best, axis=1) <= most
-        for r in np.flatnonzero(near.any(axis=1)):
-            yield order[own[r]], order[best[r][near[r]]]
-
-
-def _bucket_links(key: np.ndarray, row: np.ndarray, fps: np.ndarray, own: int, node: np.ndarray, radius: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_links(key: np.ndarray, row: np.ndarray, fps: np.ndarray, own: int, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between entries of equal key that differ in at most ``radius`` bits of table ``own``.
 
-    An entry is a key and a row of ``fps`` and ``node``.  With ``most``, links are also at most so many bits long over
-    all tables, and large buckets give nearest ones.
+    An entry is a key and a row of ``fps`` and ``node``.
     """
     order = np.lexsort((fps[:, own][row], key))
     key, row = key[order], row[order]
@@ -154,20 +126,18 @@ def _bucket_links(key: np.ndarray, row: np.ndarray, fps: np.ndarray, own: int, n
             break
         a, b = r[:-off], r[off:]
         hit = np.flatnonzero((k[off:] == k[:-off]) & (np.bitwise_count(fps[a, own] ^ fps[b, own]) <= radius))
-        if most is not None:
-            hit = hit[np.bitwise_count(fps[a[hit]] ^ fps[b[hit]]).sum(axis=1) <= most]
         us.append(node[a[hit]])
         vs.append(node[b[hit]])
     for b in np.flatnonzero(size > SMALL):
         own_rows = row[edge[b] : edge[b + 1]]
         f = fps[own_rows]
-        for i, js in _spanning(f[:, own], radius) if most is None else _nearest(f, most):
+        for i, js in _spanning(f[:, own], radius):
             us.append(np.full(len(js), node[own_rows[i]]))
             vs.append(node[own_rows[js]])
     return np.concatenate(us or [node[:0]]), np.concatenate(vs or [node[:0]])
 
 
-def links(fps: DataFrame, radius: int = 4, segments=SEGMENTS, pairs=PAIRS, tables: int = 1, most: int | None = None) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, segments=SEGMENTS, pairs=PAIRS, tables: int = 1) -> DataFrame:
     """``(u, v)``: links between nodes of ``fps(node, fp)`` that differ in at most ``radius`` bits in one of the tables.
 
     ``fp`` is an array of ``tables`` fingerprints.  Each segment is decoded to the indices of the codewords nearby and
@@ -206,7 +176,7 @@ def links(fps: DataFrame, radius: int = 4, segments=SEGMENTS, pairs=PAIRS, table
             at += len(known)
         ids = np.concatenate(ids)
         own = int(key[0]) // (len(pairs) * shards)
-        u, v = _bucket_links(np.concatenate(keys), np.concatenate(rows), np.ascontiguousarray(ids[:, :tables]).view(np.uint64), own, ids[:, tables].copy(), radius, most)
+        u, v = _bucket_links(np.concatenate(keys), np.concatenate(rows), np.ascontiguousarray(ids[:, :tables]).view(np.uint64), own, ids[:, tables].copy(), radius)
         pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"u": pair[:, 0], "v": pair[:, 1]})
 
@@ -225,30 +195,6 @@ def components(docs: DataFrame, text: str = "text", radius: int = 4) -> DataFram
     return fps.join(named.join(ids, "label").select("fp", "component_id"), "fp")
 
 
-def _word_fingerprints(docs: DataFrame, tables: int) -> DataFrame:
-    """``(doc_id, text_hash, cls, cls2, fp)``: two names of the word sequence, and per table the two 23-bit segments of a
-    SimHash over the set of words, in which a replaced word counts once instead of once per shingle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in arrays.chunks(batches, "text"):
-            data = arrays.lower_ascii(data)
-            starts, ends, of = arrays.word_bounds(data, offsets)
-            h = arrays.slice_hashes(data, starts, ends)
-            n = np.bincount(of, minlength=len(rows))
-            stop = np.cumsum(n)
-            names = [arrays.sequence_hashes(arrays.mixed(h + np.uint64(k)), stop - n, stop).view(np.int64) for k in (1, 2)]
-            order = np.lexsort((h, of))
-            h, of = h[order], of[order]
-            fresh = np.ones(len(h), dtype=bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-            h, kinds = h[fresh], np.bincount(of[fresh], minlength=len(rows))
-            made = [_majority(arrays.mixed(h ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), kinds) >> np.uint64(18) for t in range(tables)]
-            fp = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * tables, pa.int32()), pa.array(np.stack(made, axis=1).ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(names[0]), pa.array(names[1]), fp], ["doc_id", "text_hash", "cls", "cls2", "fp"])
-
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, cls long, cls2 long, fp array<long>")
-
-
 def _sized(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast where a count has shown few rows; a shuffle join otherwise."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -257,17 +203,15 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` but for those that copy another: of every group linked by copies, the least doc_id stays.
 
-    Texts with equal words are one class.  Classes whose word fingerprints agree up to 2 bits in both segments of
-    some table are compared by the Jaccard similarity of their sets of word shingles, and linked at ``similarity``.
-    Edges between classes that are linked already are not compared.  Rows with null ids stay.  Equal rows of one id
-    are copies of each other; of them one stays.
+    Texts with equal words are one class.  Classes whose sets of word shingles have a Jaccard similarity of
+    ``similarity`` or more are linked; ``set_join`` misses no such link that would join two groups.  Rows with null ids
+    stay.  Equal rows of one id are copies of each other; of them one stays.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).where("doc_id is not null")
-    marked = materialize(_word_fingerprints(rows, TABLES))
-    classes = marked.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("fp").alias("fp"))
-    classes = materialize(classes.select(F.col("cls").alias("node"), "cls2", "rep", "fp"))
-    candidates = materialize(links(classes, 4, ((0, 23), (23, 23)), ((0, 1),), TABLES, most=FAR))
-    linked = _linked_classes(rows, classes, candidates, similarity, shingle)
+    marked = materialize(set_join.named_keys(rows, similarity, shingle))
+    classes = marked.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("n").alias("n"), F.min("keys").alias("keys"))
+    classes = materialize(classes.select(F.col("cls").alias("node"), "cls2", "rep", "n", "keys"))
+    linked = set_join.similar_components(classes, lambda nodes: _sets_of(rows, classes, nodes, shingle), similarity)
     named = classes.join(linked, "node", "left").select("node", "cls2", "rep", F.coalesce("component", "node").alias("label"))
     best = named.groupBy("label").agg(F.min("rep").alias("best"))
     keep = named.join(best, "label").select(F.col("node").alias("cls"), "cls2", "best")
@@ -283,36 +227,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
     return once.unionByName(kept.where("doc_id is null"))
 
 
-def _linked_classes(rows: DataFrame, classes: DataFrame, candidates: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """``(node, component)`` of classes linked by verified candidates.
+def _sets_of(rows: DataFrame, classes: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``(node, s)``: the shingle set of every one of ``nodes``, read from the text that stands for its class."""
 
-    First every class tests one of its candidates; what is left between different components is tested then.
-    """
-    ids = candidates.select(F.col("u").alias("node")).union(candidates.select(F.col("v").alias("node"))).distinct()
-    wanted = materialize(classes.join(ids, "node").select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash")))
-    texts = rows.join(_sized(wanted, wanted.count()), ["doc_id", "text_hash"]).select("node", words(lower_ascii(F.col("text"))).alias("w"))
-    parts = ", ".join(f"w[i + {k}]" for k in range(shingle))
-    shingles = F.expr(f"case when size(w) < {shingle} then array(hash(w)) else array_distinct(transform(sequence(0, size(w) - {shingle}), i -> hash({parts}))) end")
-    sets = materialize(texts.select("node", shingles.alias("s")).dropDuplicates(["node"]))
-    good, left = None, candidates
-    for last in (False, True):
-        tested = left
-        if not last:
-            order = left.withColumn("o", F.xxhash64("u", "v"))
-            first = order.select(F.col("u").alias("n"), "o").union(order.select(F.col("v").alias("n"), "o")).groupBy("n").agg(F.min("o").alias("o"))
-            tested = order.join(first.select("o").distinct(), "o").select("u", "v")
-        with_u = tested.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u")
-        both = with_u.join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v").withColumn("common", F.size(F.array_intersect("su", "sv")))
-        passed = both.where(F.col("common") >= similarity * (F.size("su") + F.size("sv") - F.col("common"))).select("u", "v")
-        good = materialize(passed if good is None else passed.unionByName(good))
-        found = connected_components(good)
-        if last:
-            return found
-        found = materialize(found)
-        rest = left.join(tested, ["u", "v"], "left_anti")
-        rest = rest.join(found.toDF("u", "cu"), "u", "left").join(found.toDF("v", "cv"), "v", "left")
-        left = materialize(rest.where("cu is null or cv is null or cu != cv").select("u", "v"))
-    raise AssertionError
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in arrays.chunks(batches, "text"):
+            _, _, s, n = set_join.shingle_sets(data, offsets, shingle)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(s))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "s"])
+
+    wanted = materialize(classes.join(nodes, "node").select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash")))
+    texts = rows.join(_sized(wanted, wanted.count()), ["doc_id", "text_hash"]).select("node", "text")
+    return texts.mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"])
 
 
 def op6_simhash_components(spark, sf_dir: str) -> DataFrame:
