@@ -25,6 +25,7 @@ from .components import connected_components
 from .scratch import materialize
 
 SMALL = 6  # in a bucket of up to this many sets, all pairs are tested at once
+BROADCAST_ROWS = 1_000_000  # rows of a few numbers that may be broadcast
 PIVOTS = 4  # members of a larger bucket that are tested against all others first
 BLOCK = 2048  # members of a large bucket that one task takes from either side
 PER_SHARD = 1_000_000  # keys that one task looks through, about
@@ -57,6 +58,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return h, n, s[fresh], np.bincount(owner[fresh], minlength=rows)
 
 
+def _bitmaps(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of sets: two differ in no more bits than the sets have members in one only."""
+    bit = arrays.mixed(flat.view(np.uint64)) % np.uint64(64 * WORDS)
+    cell, times = np.unique(np.repeat(np.arange(len(n)), n) * (64 * WORDS) + bit.astype(np.int64), return_counts=True)
+    cell = cell[times % 2 == 1]
+    out = np.zeros(len(n) * WORDS, dtype=np.uint64)
+    np.bitwise_or.at(out, cell >> 6, np.uint64(1) << (cell & 63).astype(np.uint64))
+    return out.reshape(-1, WORDS)
+
+
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values))
 
@@ -79,7 +90,7 @@ def common_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def named_keys(rows: DataFrame, t: float, k: int) -> DataFrame:
-    """``(doc_id, text_hash, cls, cls2, n, keys)``: two names of the word sequence, the size of the shingle set and its keys in order."""
+    """``(doc_id, text_hash, cls, cls2, n, keys, bits)``: two names of the word sequence; size, keys in order and bitmap of the shingle set."""
     known, counts = common_shingles(rows, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,6 +98,7 @@ def named_keys(rows: DataFrame, t: float, k: int) -> DataFrame:
             h, words, s, n = shingle_sets(data, offsets, k)
             stop = np.cumsum(words)
             names = [arrays.sequence_hashes(arrays.mixed(h + np.uint64(i)), stop - words, stop).view(np.int64) for i in (1, 2)]
+            bits = _bitmaps(s, n)
             rank = np.zeros(len(s), dtype=np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -94,9 +106,9 @@ def named_keys(rows: DataFrame, t: float, k: int) -> DataFrame:
             s = s[np.lexsort((s, rank, np.repeat(np.arange(len(n)), n)))]
             prefix = n - np.ceil(t * n - EPS).astype(np.int64) + 1
             keys = s[arrays.ranges(n) < np.repeat(prefix, n)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names[0]), pa.array(names[1]), pa.array(n.astype(np.int32)), _lists(keys, np.minimum(prefix, n))], ["doc_id", "text_hash", "cls", "cls2", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names[0]), pa.array(names[1]), pa.array(n.astype(np.int32)), _lists(keys, np.minimum(prefix, n)), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc_id", "text_hash", "cls", "cls2", "n", "keys", "bits"])
 
-    return rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, cls long, cls2 long, n int, keys array<long>")
+    return rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, cls long, cls2 long, n int, keys array<long>, bits binary")
 
 
 def _need(total, t: float):
@@ -154,26 +166,12 @@ def _cross(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, t: floa
 
 
 def _spanning(u: np.ndarray, v: np.ndarray, label: np.ndarray, flat: np.ndarray, n: np.ndarray, t: float) -> list[tuple[int, int]]:
-    """Of the pairs of set numbers ``(u, v)`` those that are similar, but for pairs whose ends are linked already.
-
-    Pairs are taken by the distance of parity bitmaps, which is never more than the number of members in one set only.
-    """
+    """Of the pairs of set numbers ``(u, v)``, nearest by bitmap first, the similar ones whose ends are not linked already."""
     ends = np.cumsum(n)
-    bit = arrays.mixed(flat.view(np.uint64)) % np.uint64(64 * WORDS)
-    cell = np.repeat(np.arange(len(n)), n) * (64 * WORDS) + bit.astype(np.int64)
-    bitmap = np.zeros((len(n), WORDS), dtype=np.uint64)
-    cell, times = np.unique(cell, return_counts=True)
-    cell = cell[times % 2 == 1]
-    np.bitwise_or.at(bitmap.reshape(-1), cell >> 6, np.uint64(1) << (cell & 63).astype(np.uint64))
-    near = []
-    for at in range(0, len(u), 1 << 16):
-        a, b = u[at : at + (1 << 16)], v[at : at + (1 << 16)]
-        d = np.bitwise_count(bitmap[a] ^ bitmap[b]).sum(axis=1, dtype=np.int64)
-        total = n[a] + n[b]
-        some = np.flatnonzero(d <= total - 2 * _need(total, t))
-        near.append(np.stack([d[some], a[some], b[some]], axis=1))
-    near = np.concatenate(near or [np.zeros((0, 3), np.int64)])
-    near = near[np.argsort(near[:, 0], kind="stable")]
+    bits = _bitmaps(flat, n)
+    d = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1, dtype=np.int64)
+    order = np.argsort(d, kind="stable")
+    near = np.stack([u[order], v[order]], axis=1)
     parent = np.unique(label, return_inverse=True)[1].tolist()
     top = list(range(len(n)))
 
@@ -184,7 +182,7 @@ def _spanning(u: np.ndarray, v: np.ndarray, label: np.ndarray, flat: np.ndarray,
         return x
 
     out = []
-    for _, a, b in near.tolist():
+    for a, b in near.tolist():
         x, y = find(parent[a]), find(parent[b])
         if x == y:
             continue
@@ -207,28 +205,51 @@ def _members(pairs: DataFrame) -> DataFrame:
     return pairs.select("bu", "bv", "pairs").mapInArrow(run, "bu long, bv long, node long").distinct()
 
 
-def _tested(pairs: DataFrame, sets: DataFrame, labels: DataFrame | None, t: float) -> DataFrame:
-    """``(u, v)``: similar pairs of ``pairs(bu, bv, pairs)`` that span all that is similar in each two blocks."""
-    members = _members(pairs).join(sets, "node")
-    members = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+def _ends(pdf: pd.DataFrame) -> np.ndarray:
+    return np.unique(np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(-1, 2) for x in pdf["pairs"]] or [np.zeros((0, 2), np.int64)]), axis=0)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+
+def _tested(pairs: DataFrame, nodes: DataFrame, sets_of, labels: DataFrame | None, t: float) -> DataFrame:
+    """``(u, v)``: similar pairs of ``pairs(bu, bv, pairs)`` that span all that is similar in each two blocks.
+
+    Bitmaps rule out most pairs before any set is read.
+    """
+
+    def rule_out(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("node", ignore_index=True)
+        node, n = right["node"].to_numpy(np.int64), right["n"].to_numpy(np.int64)
+        bits = np.frombuffer(b"".join(right["bits"]), dtype=np.uint64).reshape(-1, WORDS)
+        ends = _ends(left)
+        at, near = np.searchsorted(node, ends), np.zeros(len(ends), dtype=bool)
+        for i in range(0, len(at), 1 << 16):
+            a, b = at[i : i + (1 << 16)].T
+            total = n[a] + n[b]
+            near[i : i + (1 << 16)] = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= total - 2 * _need(total, t)
+        return pd.DataFrame({"bu": left["bu"][:1], "bv": left["bv"][:1], "pairs": [ends[near].tobytes()]})
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.drop_duplicates("node").sort_values("node", ignore_index=True)
         node = right["node"].to_numpy(np.int64)
         flat = np.concatenate(right["s"].tolist() or [np.zeros(0, np.int64)]).astype(np.int64)
-        ends = np.unique(np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(-1, 2) for x in left["pairs"]] or [np.zeros((0, 2), np.int64)]), axis=0)
-        at = np.searchsorted(node, ends)
+        at = np.searchsorted(node, _ends(left))
         good = _spanning(at[:, 0], at[:, 1], right["label"].to_numpy(np.int64), flat, right["s"].map(len).to_numpy(np.int64), t)
         good = node[np.array(good, dtype=np.int64).reshape(-1, 2)]
         return pd.DataFrame({"u": good[:, 0], "v": good[:, 1]})
 
-    return pairs.groupBy("bu", "bv").cogroup(members.select("bu", "bv", "node", "label", "s").groupBy("bu", "bv")).applyInPandas(run, "u long, v long")
+    light = _members(pairs).join(nodes.select("node", "n", "bits"), "node").select("bu", "bv", "node", "n", "bits")
+    near = materialize(pairs.groupBy("bu", "bv").cogroup(light.groupBy("bu", "bv")).applyInPandas(rule_out, "bu long, bv long, pairs binary")).where("length(pairs) > 0")
+    members = _members(near)
+    members = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").select("bu", "bv", "node", F.coalesce("component", "node").alias("label"))
+    members = materialize(members)
+    sets = sets_of(members.select("node").distinct())
+    few = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    return near.groupBy("bu", "bv").cogroup(sets.join(few, "node").select("bu", "bv", "node", "label", "s").groupBy("bu", "bv")).applyInPandas(run, "u long, v long")
 
 
 def similar_components(nodes: DataFrame, sets_of, t: float) -> DataFrame:
-    """``(node, component)`` of all ``nodes(node, n, keys)`` that a chain of pairs of similarity ``t`` links to another.
+    """``(node, component)`` of all ``nodes(node, n, keys, bits)`` that a chain of pairs of similarity ``t`` links to another.
 
-    ``sets_of`` takes a table of nodes and gives ``(node, s)``, their shingle sets in ascending order.
+    ``sets_of`` takes a table of nodes and gives ``(node, s)``, their shingle sets in ascending order; a node may come more than once.
     """
     count, keys = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
     shards = max(8, keys // PER_SHARD)
@@ -275,8 +296,7 @@ def similar_components(nodes: DataFrame, sets_of, t: float) -> DataFrame:
     found = materialize(sent.groupBy("shard").applyInPandas(first, "bu long, bv long, pairs binary, entries binary"))
     pairs = found.where("pairs is not null").select("bu", "bv", "pairs")
     large = found.where("length(entries) > 0").select("entries").mapInArrow(unpacked, "key long, node long, pos int, n int")
-    sets = materialize(sets_of(_members(pairs).select("node").union(large.select("node")).distinct()))
-    good = materialize(_tested(pairs, sets, None, t))
+    good = materialize(_tested(pairs, nodes, sets_of, None, t))
     linked = materialize(connected_components(good))
     labelled = large.join(linked, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     labelled = materialize(labelled)
@@ -285,7 +305,7 @@ def similar_components(nodes: DataFrame, sets_of, t: float) -> DataFrame:
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("o", F.explode(F.expr("sequence(0, parts - 1)")))
     dealt = dealt.withColumns({"i": F.least("salt", "o"), "j": F.greatest("salt", "o")}).withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(64, shards))))
     more = materialize(dealt.groupBy("shard").applyInPandas(rest, "bu long, bv long, pairs binary"))
-    added = materialize(_tested(more, sets, linked, t))
+    added = materialize(_tested(more, nodes, sets_of, linked, t))
     if not added.limit(1).count():
         return linked
     return connected_components(good.unionByName(added))

@@ -209,8 +209,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).where("doc_id is not null")
     marked = materialize(set_join.named_keys(rows, similarity, shingle))
-    classes = marked.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("n").alias("n"), F.min("keys").alias("keys"))
-    classes = materialize(classes.select(F.col("cls").alias("node"), "cls2", "rep", "n", "keys"))
+    classes = marked.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("n").alias("n"), F.min("keys").alias("keys"), F.min("bits").alias("bits"))
+    classes = materialize(classes.select(F.col("cls").alias("node"), "cls2", "rep", "n", "keys", "bits"))
     linked = set_join.similar_components(classes, lambda nodes: _sets_of(rows, classes, nodes, shingle), similarity)
     named = classes.join(linked, "node", "left").select("node", "cls2", "rep", F.coalesce("component", "node").alias("label"))
     best = named.groupBy("label").agg(F.min("rep").alias("best"))
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
 
 
 def _sets_of(rows: DataFrame, classes: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """``(node, s)``: the shingle set of every one of ``nodes``, read from the text that stands for its class."""
+    """``(node, s)``: the shingle set of every one of ``nodes``, from the text that stands for its class; once per such row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in arrays.chunks(batches, "text"):
@@ -238,7 +238,7 @@ def _sets_of(rows: DataFrame, classes: DataFrame, nodes: DataFrame, shingle: int
 
     wanted = materialize(classes.join(nodes, "node").select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash")))
     texts = rows.join(_sized(wanted, wanted.count()), ["doc_id", "text_hash"]).select("node", "text")
-    return texts.mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, s array<long>")
 
 
 def op6_simhash_components(spark, sf_dir: str) -> DataFrame:
