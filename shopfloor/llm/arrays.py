@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK = 1 << 20  # bytes of text that are worked on at once (one longer text is worked on alone)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # splitmix64
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+LONG = 256  # bytes of the longest slice that is hashed beside others
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -57,31 +58,61 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
-def _powers_up_to(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^64, 2^bits of each."""
-    made = []
-    for base in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
-        out = np.full(1 << bits, base, dtype=np.uint64)
-        out[0] = 1
-        made.append(np.multiply.accumulate(out))
-    return made[0], made[1]
-
-
-def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of slices of a uint64 array: a polynomial modulo 2^64 from prefix sums, then mixed.
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte slices: eight bytes after eight are mixed in, slices above ``LONG`` bytes go to XXH3.
 
-    Dividing by the power of the start makes equal slices equal wherever they stand.  Values should be mixed.
+    One step is a bijection of the state for given bytes and of the bytes for a given state, so slices of up to eight
+    bytes and equal length never collide, and longer ones only by chance.
     """
-    powers, inverse = _powers_up_to(max(len(values), CHUNK).bit_length())
-    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers[: len(values)], out=prefix[1:])
-    return mixed((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    sizes = ends - starts
+    out = mixed(sizes.astype(np.uint64) + _BASE)
+    if not len(sizes):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from every place on
+    short = sizes <= LONG
+    if not short.all():
+        raw = data.tobytes()
+        i = np.flatnonzero(~short)
+        out[i] = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[i].tolist(), ends[i].tolist())], dtype=np.uint64)
+    left = np.flatnonzero(short & (sizes > 0))
+    at = 0
+    while len(left):
+        size = np.minimum(sizes[left] - at, 8).astype(np.uint64)
+        lane = lanes[starts[left] + at] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * size))
+        out[left] = mixed((out[left] ^ lane) + _BASE)
+        at += 8
+        left = left[sizes[left] > at]
+    return out
 
 
-def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte slices."""
-    return sequence_hashes(mixed(np.arange(1, 257, dtype=np.uint64))[data], starts, ends)
+def window_hashes(values: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of all ``length`` consecutive values of a uint64 array, by the place of the first.
+
+    Windows of a power of two are made of two halves; any other is made of such windows, larger ones first.
+    """
+    n = len(values) - length + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    level = mixed(values + np.uint64(salt))
+    out, at, size = np.full(n, length + salt, dtype=np.uint64), length, 1
+    while True:
+        if length & size:  # the parts of smaller powers stand at the end
+            at -= size
+            out = mixed(out * _ODD + level[at : at + n])
+        size *= 2
+        if size > length:
+            return out
+        level = mixed(level[: len(level) - size // 2] * _ODD + level[size // 2 :] + np.uint64(size))
+
+
+def row_digests(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of 128-bit XXH3 digests of consecutive rows of a uint64 array."""
+    ends = np.cumsum(sizes)
+    raw = np.ascontiguousarray(values).view(np.uint8)
+    found = b"".join(xxhash.xxh3_128_digest(raw[8 * a : 8 * b].tobytes()) for a, b in zip((ends - sizes).tolist(), ends.tolist()))
+    both = np.frombuffer(found, dtype=np.int64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def single_spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:

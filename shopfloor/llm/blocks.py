@@ -68,17 +68,20 @@ def build(
     cut: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]] = arrays.word_bounds,
     bag: bool = False,
     carry: tuple[str, ...] = (),
+    digest: bool = False,
 ) -> DataFrame:
     """``(block, n_keys, n_tokens, dict, body)``, written to the shared folder.
 
-    The dictionary has ``words``, the sorted distinct hashes.  The body has ``ids`` (``doc_id`` as int64, null as ``NO_ID``), ``lens`` (tokens per text), the int64
-    columns of ``carry``, ``rank`` (each token's word by frequency, which compresses well) and ``place`` (where
+    The dictionary has ``words``, the sorted distinct hashes.  The body has ``ids`` (``doc_id`` as int64, null as ``NO_ID``),
+    ``none`` (1 for a null id), ``lens`` (tokens per text), the int64 columns of ``carry``, with ``digest`` the two
+    halves ``digest1`` and ``digest2`` of a 128-bit name of the text's tokens, ``rank`` (each token's word by frequency, which compresses well) and ``place`` (where
     the word of a rank stands in ``words``).
 
     With ``bag`` the order of tokens is not kept: the dictionary has the tokens' bytes in ``chars`` and their
     ``sizes``, in the order of their hashes, and the body has, instead of ``rank``, what ``bags`` reads.
     """
     columns = ["doc_id", *carry]
+    kept = ["ids", "none", "lens", *carry, *(["digest1", "digest2"] if digest else [])]
 
     def finish(parts: list, n: int) -> pa.RecordBatch:
         hashes = np.concatenate([p["hash"] for p in parts])
@@ -87,7 +90,7 @@ def build(
         rank = np.empty(len(order), dtype=np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         body = {"place": order.astype(np.uint32)}
-        for name in ("ids", "lens", *carry):
+        for name in kept:
             body[name] = np.concatenate([p[name] for p in parts])
         if bag:
             n_texts = len(body["lens"])
@@ -113,8 +116,12 @@ def build(
             starts, ends, of = cut(data, offsets)
             part = {"hash": arrays.slice_hashes(data, starts, ends), "lens": np.bincount(of, minlength=len(rows))}
             for name in columns:
-                value = rows.column(rows.schema.get_field_index(name)).cast(pa.int64()).fill_null(int(NO_ID))
-                part["ids" if name == "doc_id" else name] = value.to_numpy(zero_copy_only=False)
+                value = rows.column(rows.schema.get_field_index(name)).cast(pa.int64())
+                part["ids" if name == "doc_id" else name] = value.fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
+                if name == "doc_id":
+                    part["none"] = value.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+            if digest:
+                part["digest1"], part["digest2"] = arrays.row_digests(part["hash"], part["lens"])
             if bag:
                 distinct, at = np.unique(part["hash"], return_index=True)
                 sizes = (ends - starts)[at]
@@ -131,6 +138,11 @@ def build(
     return materialize(rows.mapInArrow(run, "block long, n_keys long, n_tokens long, dict binary, body binary"))
 
 
+def ids_of(body: Arrays) -> pd.Series:
+    """The ids of a block's texts, null where they are."""
+    return pd.Series(body["ids"], dtype="Int64").mask(body["none"].astype(bool))
+
+
 def shards_for(keys: int) -> int:
     return max(12, -(-int(keys) // PER_SHARD))
 

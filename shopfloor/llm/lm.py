@@ -171,13 +171,12 @@ def score(docs: DataFrame, held_out: str, text: str = "text", mu: float = MU) ->
         of = np.repeat(np.arange(len(b.sizes)), b.sizes)
         sums = lambda x: np.bincount(of, weights=x, minlength=len(b.sizes))
         return pd.DataFrame({
-            "doc_id": body["ids"], "held_out": body["train"] == 0, "n_tokens": b.sizes.astype(np.int64), "n_known": sums(b.count > 0).astype(np.int64),
+            "doc_id": blocks.ids_of(body), "held_out": body["train"] == 0, "n_tokens": b.sizes.astype(np.int64), "n_known": sums(b.count > 0).astype(np.int64),
             "train_tokens": n, "base_score": sums(base), "score": sums(log),
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = blocks.receive(corpus, both, finish, schema, ("body",))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != int(blocks.NO_ID), F.col("doc_id")))
+    return blocks.receive(corpus, both, finish, schema, ("body",))
 
 
 def op3_lm_scores(spark, sf_dir: str) -> DataFrame:

@@ -48,9 +48,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     stop = np.cumsum(n)
     count = np.maximum(n - k + 1, 1)
     first = np.repeat(stop - n, count) + arrays.ranges(count)
-    last = np.minimum(first + k, np.repeat(stop, count))
-    s = arrays.sequence_hashes(arrays.mixed(h), first, last).view(np.int64)
     owner = np.repeat(np.arange(rows), count)
+    s = np.zeros(len(owner), dtype=np.int64)
+    whole = n[owner] < k
+    s[~whole] = arrays.window_hashes(h, k)[first[~whole]].view(np.int64)
+    short = np.flatnonzero(n < k)
+    s[whole] = arrays.row_digests(h[n[of] < k], n[short])[0]
     order = np.lexsort((s, owner))
     s, owner = s[order], owner[order]
     fresh = np.ones(len(s), dtype=bool)
@@ -96,8 +99,7 @@ def named_keys(rows: DataFrame, t: float, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in arrays.chunks(batches, "text"):
             h, words, s, n = shingle_sets(data, offsets, k)
-            stop = np.cumsum(words)
-            names = [arrays.sequence_hashes(arrays.mixed(h + np.uint64(i)), stop - words, stop).view(np.int64) for i in (1, 2)]
+            names = arrays.row_digests(h, words)
             bits = _bitmaps(s, n)
             rank = np.zeros(len(s), dtype=np.int64)
             if len(known):

@@ -71,6 +71,17 @@ def _names(chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return slice_hashes(chars, ends - sizes, ends)
 
 
+def _unequal(chars: np.ndarray, sizes: np.ndarray, starts: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Pre-tokens whose bytes are not those of the pre-token ``other``."""
+    out = sizes != sizes[other]
+    i = np.flatnonzero(~out & (other != np.arange(len(other))))
+    inside = ranges(sizes[i].astype(np.int64))
+    same = chars[np.repeat(starts[i], sizes[i]) + inside] == chars[np.repeat(starts[other[i]], sizes[i]) + inside]
+    owner = np.repeat(i, sizes[i])
+    out[owner[~same]] = True
+    return np.flatnonzero(out)
+
+
 def token_counts(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, n_tokens)`` for every row; ``model`` is the path of a sentencepiece model.
 
@@ -98,6 +109,15 @@ def token_counts(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
         ends = np.cumsum(sizes, dtype=np.int64)
         _, first, where = np.unique(_names(chars, sizes), return_index=True, return_inverse=True)
         raw = chars.tobytes()
+        odd = _unequal(chars, sizes, ends - sizes, first[where])
+        if len(odd):  # other bytes than the first of the same hash
+            own: dict[bytes, int] = {}
+            for i in odd.tolist():
+                name = raw[ends[i] - sizes[i] : ends[i]]
+                if name not in own:
+                    own[name] = len(first)
+                    first = np.append(first, i)
+                where[i] = own[name]
         count = np.zeros(len(first), dtype=np.uint32)
         for a in range(0, len(first), 20_000):
             i = first[a : a + 20_000]
@@ -107,7 +127,7 @@ def token_counts(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     def finish(block: int, body: blocks.Arrays, rows: pd.DataFrame) -> pd.DataFrame:
         of, place, times = blocks.bags(body)
         n = np.bincount(of, weights=blocks.joined(rows)["n"][place].astype(np.int64) * times if len(of) else None, minlength=len(body["ids"]))
-        return pd.DataFrame({"doc_id": body["ids"], "n_bytes": body["given"], "n_tokens": n.astype(np.int64)})
+        return pd.DataFrame({"doc_id": blocks.ids_of(body), "n_bytes": body["given"], "n_tokens": n.astype(np.int64)})
 
     # The model reads the mark as a space; one space in front stands for the one that it adds to a text.
     given = F.coalesce(F.col(text), F.lit(""))
@@ -117,8 +137,7 @@ def token_counts(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     sent = corpus.select("block", "dict").mapInArrow(send, "shard int, block long, body binary")
     answers = blocks.answered(sent, reduce)
     schema = "doc_id long, n_bytes long, n_tokens long"
-    out = blocks.receive(corpus, answers, finish, schema, ("body",))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != int(blocks.NO_ID), F.col("doc_id")))
+    return blocks.receive(corpus, answers, finish, schema, ("body",))
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -107,14 +107,14 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, names: list[bytes]) -> None:
+        found = [e.ids for e in self.library.encode_batch_fast([x.decode() for x in names], add_special_tokens=False)]
         sizes = np.array([len(x) for x in found], dtype=np.int64)
         base = len(self.known)
-        self.known.update(zip(hashes, range(base, base + len(hashes))))
+        self.known.update(zip(names, range(base, base + len(names))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], dtype=np.uint32)])
@@ -138,12 +138,12 @@ class Encoder:
         hashes, first, where = np.unique(arrays.slice_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) + len(hashes) > CACHED:
             self._forget()
-        names = hashes.tolist()
-        place = np.array([self.known.get(h, -1) for h in names], dtype=np.int64)
+        raw = data.tobytes()
+        names = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        place = np.array([self.known.get(x, -1) for x in names], dtype=np.int64)
         new = np.flatnonzero(place < 0)
         if len(new):
-            raw = data.tobytes()
-            self._learn([names[i] for i in new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            self._learn([names[i] for i in new])
             place[new] = np.arange(len(self.known) - len(new), len(self.known))
         token = place[where]
         lens = self.sizes[token]
@@ -173,7 +173,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, text: str = "
         for _, data, offsets in arrays.chunks(batches, "text"):
             yield pa.RecordBatch.from_arrays([pa.array([np.append(x, end_id).astype(f"<u{e.width}").tobytes() for x in e.encode(data, offsets)], pa.binary())], ["ids"])
 
-    picked = rows.join(F.broadcast(ids), "doc_id").limit(2 * sample)
+    # Rows of one id are ordered by their text's hash, so that the choice is the same every time.
+    picked = rows.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), F.length("text")).limit(2 * sample)
     samples = sorted(r[0] for r in picked.mapInArrow(run, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()

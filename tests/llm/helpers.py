@@ -40,6 +40,12 @@ def nasty(seed=0, n=60):
     return docs
 
 
+def structured():
+    """Two different words of 1,024 letters whose polynomial hashes modulo a power of two are equal, side by side and apart."""
+    x, y = ("".join(one if bin(i).count("1") % 2 else other for i in range(1024)) for one, other in ("ab", "ba"))
+    return [(700, f"{x} {y}"), (701, x), (702, y), (703, f"so {x} {x} {y}.")]
+
+
 def frame(spark, docs):
     """Documents with all columns, some null, and extra ones whose names the operators might use themselves."""
     rows = [(i, t, None if k % 7 == 0 else "en", None if k % 5 == 0 else f"s{k % 3}", None if t is None else len(t), k, "x", 1.5) for k, (i, t) in enumerate(docs)]

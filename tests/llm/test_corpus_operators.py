@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from helpers import frame, lower, nasty, words
+from helpers import frame, lower, nasty, structured, words
 from pyspark.sql import functions as F
 
 from shopfloor.llm import packing, preferences, simhash, token_counts, token_store
@@ -93,7 +93,7 @@ def test_token_counts(spark):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    docs = nasty(10) + [(900, "  a  b "), (901, "a\n\nb\n c"), (902, "<s> </s>"), (903, "\n"), (904, "a▁b ▁▁"), (905, "x\ty \r\n z　 ​"), (906, " \n")]
+    docs = nasty(10) + [(900, "  a  b "), (901, "a\n\nb\n c"), (902, "<s> </s>"), (903, "\n"), (904, "a▁b ▁▁"), (905, "x\ty \r\n z　 ​"), (906, " \n"), (2**63 - 1, "last id"), *structured()]
     got = sorted((tuple(r) for r in token_counts.token_counts(frame(spark, docs), path).collect()), key=str)
     assert got == sorted(((i, len((t or "").encode()), len(model.encode(t or ""))) for i, t in docs), key=str)
     assert token_counts.token_counts(frame(spark, docs).limit(0), path).count() == 0
@@ -104,7 +104,7 @@ def test_token_files(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = tokenizers.Tokenizer.from_file(path)
-    docs = nasty(11) + [(900, "don't 've"), (901, "a<|endoftext|>b"), (902, "a \n b\n\nc  "), (903, "tab\t\tx \ty\x0b"), (904, "ŁÓDŹ ʀ\x7f")]
+    docs = nasty(11) + [(900, "don't 've"), (901, "a<|endoftext|>b"), (902, "a \n b\n\nc  "), (903, "tab\t\tx \ty\x0b"), (904, "ŁÓDŹ ʀ\x7f"), *structured()]
     d = frame(spark, docs)
     dictionary = token_store.train_dictionary(d, path, 2)
     files = token_store.write_files(d, path, 2, dictionary)

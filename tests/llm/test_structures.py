@@ -56,6 +56,29 @@ def test_words_of_arrays():
         assert got == [words(t) for t in texts]
 
 
+def test_hashes_tell_structured_slices_apart():
+    def morse(bits, one, zero):
+        return "".join(one if bin(i).count("1") % 2 else zero for i in range(1 << bits))
+
+    made = [morse(10, x, y) for x, y in ("ab", "ba")] + [morse(7, x, y) for x, y in ("ab", "ba")] + ["a" * n for n in range(1, 300)] + [chr(97 + i) + "\0" * j for i in range(9) for j in range(9)]
+    raw = np.frombuffer("".join(made).encode(), np.uint8)
+    ends = np.cumsum([len(x) for x in made])
+    h = arrays.slice_hashes(raw, ends - [len(x) for x in made], ends)
+    by = {}
+    for x, y in zip(made, h.tolist()):
+        by.setdefault(y, set()).add(x)
+    assert all(len(v) == 1 for v in by.values()) and len(by) == len(set(made))
+    assert (arrays.slice_hashes(raw[5:], np.zeros(1, np.int64), np.array([3])) == arrays.slice_hashes(raw[5:8], np.zeros(1, np.int64), np.array([3]))).all()
+    values = np.array([1 if bin(i).count("1") % 2 else 2 for i in range(4096)], np.uint64)
+    for n in (1, 2, 5, 13, 50, 64, 1024):
+        w = arrays.window_hashes(values, n)
+        names = {}
+        for i, x in enumerate(w.tolist()):
+            assert names.setdefault(x, tuple(values[i : i + n].tolist())) == tuple(values[i : i + n].tolist())
+        assert len(w) == 4097 - n and len(names) == len({tuple(values[i : i + n].tolist()) for i in range(4097 - n)})
+    assert len(arrays.window_hashes(values[:3], 4)) == 0
+
+
 def test_blocks_pack():
     body = {"a": np.arange(5, dtype=np.uint32), "b": np.zeros(0), "c": np.array([True, False])}
     back = blocks.unpack(blocks.pack(body))

@@ -9,7 +9,7 @@ import re
 import zlib
 
 import pytest
-from helpers import frame, lower, nasty, text, words
+from helpers import frame, lower, nasty, structured, text, words
 from pyspark.sql import functions as F
 
 from shopfloor.llm import decontam, lm, quality, recompression, secrets
@@ -124,17 +124,39 @@ def test_symbols_of_equal_passages_are_equal():
     import numpy as np
 
     rnd = np.random.default_rng(0)
-    inner = rnd.integers(0, 40, 60).astype(np.uint64)
-    found = []
+    inner = rnd.integers(1, 40, 60).astype(np.int64)
+    names, found = {}, []
     for _ in range(30):
-        left, right = (rnd.integers(0, 40, rnd.integers(0, 30)).astype(np.uint64) for _ in range(2))
+        left, right = (rnd.integers(1, 40, rnd.integers(0, 30)).astype(np.int64) for _ in range(2))
         w = np.concatenate([left, inner, right])
-        name, lo, hi, _ = recompression.symbols(w, np.zeros(len(w), np.int64), 4)
-        ok = (lo >= len(left)) & (hi <= len(left) + 60)
-        found.append({(int(n), int(a) - len(left), int(b) - len(left)) for n, a, b in zip(name[ok], lo[ok], hi[ok])})
+        at = np.arange(len(w))
+        s = {"x": w, "start": at, "end": at + 1, "lo": at, "hi": at + 1, "stretch": np.zeros(len(w), np.int64)}
+        for level in range(1, 4):
+            m = recompression.meet(s, level)
+            x = [int(a) if k == 1 and not n else names.setdefault((level, int(a), int(k), int(b), int(n)), 1000 + len(names)) for a, k, b, n in zip(*(m[c] for c in recompression.PAIR))]
+            s = m | {"x": np.array(x, np.int64), "stretch": s["stretch"]}
+        ok = (s["lo"] >= len(left)) & (s["hi"] <= len(left) + 60)
+        found.append({(int(n), int(a) - len(left), int(b) - len(left)) for n, a, b in zip(s["x"][ok], s["start"][ok], s["end"][ok])})
     assert found[0] and all(f == found[0] for f in found)
 
 
+def thue_morse(bits, one="a", zero="b"):
+    return "".join(one if bin(i).count("1") % 2 else zero for i in range(1 << bits))
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeat_removal_of_texts_without_repeats(spark, parts):
+    rnd = random.Random(9)
+    pair = [" ".join(words(" ".join(thue_morse(11, x, y)))) for x, y in ("ab", "ba")]
+    cases = [
+        [(1, "alpha beta gamma"), (2, "delta epsilon")], [(1, "")], [(1, None), (2, None)], [(1, text(rnd, 200, 10**6))],
+        [(1, pair[0]), (2, pair[1])], [(i, text(rnd, 60, 10**6)) for i in range(5)] + [(7, "same words " * 40), (8, "same words " * 40)],
+    ]
+    for docs in cases:
+        got = sorted((tuple(r) for r in recompression.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)).collect()), key=str)
+        assert got == sorted(plain_repeats(docs, 50), key=str)
+
+
 def plain_counts(t):
     w = words(t)
     lines = [x for x in (t or "").split("\n") if words(x)]
@@ -184,7 +206,7 @@ def plain_lm(docs, mu=lm.MU):
 
 
 def test_language_model(spark):
-    docs = nasty(6)
+    docs = nasty(6) + structured() + [(2**63 - 1, "the last id")]
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     got = sorted((tuple(r) for r in lm.score(frame(spark, docs).withColumn("held", held), "held").collect()), key=lambda r: (str(r[:5]), r[5]))
     want = sorted(plain_lm(docs), key=lambda r: (str(r[:5]), r[5]))
