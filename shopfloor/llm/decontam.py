@@ -2,17 +2,21 @@
 
 A mask looks at some positions of a 13-word window and ignores the others.  The 13 positions form four groups
 and each mask ignores two of them, so any two substituted words fall into groups that some mask ignores: six
-masks find every aligned window with at most two substitutions.  Hits are checked word by word.
+masks find every aligned window with at most two substitutions.  Hits are checked word by word, and the windows of
+one alignment are put together.  The overlap so found ends where it must: the word after it (or before it) differs
+or is missing, as an equal one would have made one more window.
 
 Everything is DataFrame functions; no Python runs on the executors.
 
 Rules for unusual input
 -----------------------
 null or empty text         no words, no match, on either side
+very long text             its windows are rows; no array of its words is shuffled
 items under 13 words       searched as a whole, every word equal, down to ``LEAST`` words; shorter ones match nothing
 null ids                   kept as they are: a null doc_id or item_id can match
-repeated rows              every row of ``docs`` is matched by itself, but equal results appear once
+ties, repeated rows        every row of ``docs`` is matched by itself, but equal results appear once
 extra columns              ignored by ``matches``; ``clean`` keeps them
+empty table                no match on either side; ``clean`` then keeps all rows
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ from .words import lower_ascii, words
 SPAN = 13  # words in a window
 SUBSTITUTIONS = 2  # at most, in a window
 LEAST = 5  # words of the shortest item that is searched
-BROADCAST_ROWS = 500_000  # rows of up to 24 bytes, seeds or ids, that may be broadcast; more are joined by a shuffle
+BROADCAST_ROWS = 200_000  # seeds of up to 150 bytes that may be broadcast; more are joined by a shuffle
+BROADCAST_IDS = 1_000_000  # ids that may be broadcast
 GROUPS = ((0, 4, 8, 12), (1, 5, 9), (2, 6, 10), (3, 7, 11))
 MASKS = tuple(tuple(p for g in range(4) if g not in out for p in GROUPS[g]) for out in combinations(range(4), 2))
 
@@ -51,58 +56,65 @@ def _whole_key(array: str, at: Column, length: int) -> Column:
 
 
 def seeds(items: DataFrame) -> DataFrame:
-    """``(key, item_id, ipos)`` for every mask and window of every item, and one whole key for a short item."""
+    """``(key, window, item_id, ipos)`` for every mask and window of every item, and one whole key for a short item."""
     last = F.greatest(F.size("b") - SPAN, F.lit(0))
     at = items.select("item_id", "b", F.explode(F.sequence(F.lit(0), last)).alias("ipos"))
     keys = F.when(F.size("b") >= SPAN, F.array(*_mask_keys("b", F.col("ipos"))))
     for n in range(LEAST, SPAN):
         keys = keys.when(F.size("b") == n, F.array(_whole_key("b", F.lit(0), n)))
-    return at.select(F.explode(keys).alias("key"), "item_id", "ipos")
+    return at.select(F.explode(keys).alias("key"), F.slice("b", F.col("ipos") + 1, F.lit(SPAN)).alias("window"), "item_id", "ipos")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
-    """``(doc_id, item_id, start, end, n_windows)``: one row for each document, item and alignment with a match.
+def _items(benchmark: DataFrame, text: str) -> DataFrame:
+    return benchmark.select("item_id", _hashes(F.col(text)).alias("b")).where(F.size("b") >= LEAST)
+
 
-    Words ``start`` to ``end`` (exclusive) of the document hold the matching windows, of which there are
-    ``n_windows``.  Seeds are broadcast up to ``BROADCAST_ROWS``, so of the documents only hits are shuffled;
-    beyond it, keys and positions are shuffled to the seeds.
+def _hits(docs: DataFrame, table: DataFrame, text: str) -> DataFrame:
+    """``(doc_id, pos, span, ...)``: windows of documents that hold those of ``table(key, window, ...)``, word by word.
+
+    Seeds are broadcast up to ``BROADCAST_ROWS``, so of the documents nothing is shuffled; beyond it, keys are shuffled
+    to the seeds with the words of their window.
     """
-    items = benchmark.select("item_id", _hashes(F.col(item_text)).alias("b")).where(F.size("b") >= LEAST)
-    table = seeds(items)
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        table = F.broadcast(table)
-    short = [r[0] for r in items.select(F.size("b").alias("n")).where(F.col("n") < SPAN).distinct().collect()]  # at most SPAN - LEAST
-    d = docs.select("doc_id", _hashes(F.col(text)).alias("d"))
-    at = d.select("doc_id", "d", F.posexplode("d").alias("pos", "first"))
+    few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    short = [r[0] for r in table.select(F.size("window").alias("n")).where(F.col("n") < SPAN).distinct().collect()]  # at most SPAN - LEAST
+    at = docs.select("doc_id", _hashes(F.col(text)).alias("d")).select("doc_id", "d", F.posexplode("d").alias("pos", "first"))
     left, pos = F.size("d") - F.col("pos"), F.col("pos")
     keys = F.when(left >= SPAN, F.array(*_mask_keys("d", pos))).otherwise(F.array().cast("array<bigint>"))
     for n in sorted(short):
         keys = F.concat(keys, F.when(left >= n, F.array(_whole_key("d", pos, n))).otherwise(F.array().cast("array<bigint>")))
-    probes = at.select("doc_id", "d", "pos", F.explode(keys).alias("key"))
-    hits = probes.join(table, "key").select("doc_id", "item_id", "pos", "ipos", F.slice("d", pos + 1, F.lit(SPAN)).alias("d"))
-    return _verified(hits, items)
-
-
-def _verified(hits: DataFrame, items: DataFrame) -> DataFrame:
-    """Check each hit word by word and put the windows of one alignment together."""
-    both = hits.join(items.withColumnRenamed("item_id", "own_id"), F.col("item_id").eqNullSafe(F.col("own_id")))
-    both = both.withColumn("span", F.least(F.lit(SPAN), F.size("b")))
-    equal = F.expr("size(filter(sequence(0, span - 1), k -> get(d, k) = get(b, ipos + k)))")
-    allowed = F.when(F.size("b") >= SPAN, SUBSTITUTIONS).otherwise(0)
-    found = both.where(equal >= F.col("span") - allowed)
+    own = F.slice("d", pos + 1, F.lit(SPAN)).alias("own")
+    if few:  # the slice is made for hits only
+        both = at.select("doc_id", "d", "pos", F.explode(keys).alias("key")).join(F.broadcast(table), "key").withColumn("own", own)
+    else:
+        both = at.select("doc_id", "pos", own, keys.alias("keys")).select("doc_id", "pos", "own", F.explode("keys").alias("key")).join(table.hint("merge"), "key")
+    span = F.size("window")
+    equal = F.expr("size(filter(sequence(0, size(window) - 1), k -> get(own, k) = window[k]))")
+    found = both.where(equal >= span - F.when(span >= SPAN, SUBSTITUTIONS).otherwise(0))
+    return found.select("doc_id", "pos", span.alias("span"), *[c for c in table.columns if c not in ("key", "window")])
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
+    """``(doc_id, item_id, start, end, n_windows)``: one row for each document, item and alignment with a match.
+
+    Words ``start`` to ``end`` (exclusive) of the document hold the matching windows, of which there are ``n_windows``.
+    """
+    found = _hits(docs, seeds(_items(benchmark, item_text)), text)
     windows = found.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "pos").agg(F.max("span").alias("span"))
-    runs = windows.groupBy("doc_id", "item_id", "shift").agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("span")).alias("end"), F.count(F.lit(1)).alias("n_windows"))
+    ends = [F.min("pos").alias("start"), F.max(F.col("pos") + F.col("span")).alias("end"), F.count(F.lit(1)).alias("n_windows")]
+    runs = windows.groupBy("doc_id", "item_id", "shift").agg(*ends)
     return runs.select("doc_id", "item_id", F.col("start").cast("long"), F.col("end").cast("long"), "n_windows")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, columns as they are, whose document matches no item.
 
-    Up to ``BROADCAST_ROWS`` ids of matching documents are broadcast, so that texts are not shuffled; more are joined
-    by a shuffle.
+    A window that many items share is looked for once, and ids of matching documents are made distinct before they
+    are shuffled.  Up to ``BROADCAST_IDS`` of them are broadcast, so that texts are not shuffled; more are joined by a
+    shuffle.
     """
-    dirty = materialize(matches(docs, benchmark, text).select(F.col("doc_id").alias("_dirty")).distinct())
-    if dirty.count() <= BROADCAST_ROWS:
+    table = seeds(_items(benchmark, item_text)).select("key", "window").distinct()
+    dirty = materialize(_hits(docs, table, text).select(F.col("doc_id").alias("_dirty")).distinct())
+    if dirty.count() <= BROADCAST_IDS:
         dirty = F.broadcast(dirty)
     return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_dirty"]), "left_anti")
 

@@ -9,7 +9,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z in lower case, all else as it is; texts of ASCII alone go the fast way."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def words(text: Column) -> Column:

@@ -32,6 +32,9 @@ def plain_matches(docs, items):
                     if sum(w[p + j] == b[q + j] for j in range(span)) >= span - allowed:
                         at[p - q].add(p)
             out |= {(i, k, min(ps), max(ps) + span, len(ps)) for ps in at.values()}
+            for shift, ps in at.items():  # the overlap cannot be extended: the next word differs
+                end = max(ps) + span
+                assert span < decontam.SPAN or end == len(w) or end - shift == len(b) or w[end] != b[end - shift]
     return out
 
 
@@ -52,7 +55,13 @@ def test_decontamination(spark, monkeypatch):
     assert kept.columns == d.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in docs if i not in {x[0] for x in wanted})
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)  # the way beyond the bound
+    monkeypatch.setattr(decontam, "BROADCAST_IDS", 0)
     assert {tuple(r) for r in decontam.matches(d, b).collect()} == wanted
+    assert sorted(r["doc_id"] for r in decontam.clean(d, b).collect()) == sorted(r["doc_id"] for r in kept.collect())
+    # No whole document crosses a shuffle: the words of one window are the only array below the join.
+    plan = decontam.matches(d, b)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert re.search(r"Generate explode\(keys#\d+\), \[doc_id#\d+L?, pos#\d+, own#\d+\]", plan)
     assert decontam.matches(d.limit(0), b).count() == 0 and decontam.matches(d, b.limit(0)).count() == 0
     assert "Python" not in decontam.matches(d, b)._jdf.queryExecution().executedPlan().toString()
 
