@@ -192,10 +192,71 @@ def test_quality_counts_and_rules(spark):
     assert not kept & {i for i, _ in junk} and kept >= {i for i, _ in good}  # the unlabelled third as well
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
     assert quality.learn(quality.training_rows(d, labels.limit(0))) == []
+    rules = quality.learn(quality.training_rows(d, labels))
+    stats = {r["doc_id"]: r for r in quality.with_statistics(d).selectExpr("doc_id", *[f"{v} as {k}" for k, v in quality.FEATURES.items()]).where("doc_id is not null").collect()}
+    for r in rows:  # the expression says what the list says
+        if r["doc_id"] in stats and r["doc_id"] < 10**6 and len([1 for i, _ in docs + junk + good if i == r["doc_id"]]) == 1:
+            assert r["kept"] == (not r["base_failed"] and not any(x.holds(stats[r["doc_id"]]) for x in rules))
     assert quality.judge(d.limit(0), labels).count() == 0
     assert out.where("kept").count() == len([r for r in rows if r["kept"]])
 
 
+def plain_learn(rows, max_rules=12, max_tests=4, cuts=100, least_precision=0.98, least_bad=5, max_tries=20):
+    """The covering with lists of row numbers."""
+    holds = lambda test, x: (x[test[0]] >= test[2]) == test[1]
+    tests = [(f, above, t) for f in quality.FEATURES for t in quality.thresholds([x[f] for x, _ in rows], [b for _, b in rows], cuts) for above in (True, False)]
+    split = lambda some: (sum(rows[i][1] for i in some), sum(not rows[i][1] for i in some))
+    right = lambda some: split(some)[0] > 0 and split(some)[0] / len(some) >= least_precision
+    grows = lambda some: [i for i in some if i % 3]
+    prunes = lambda some: [i for i in some if i % 3 == 0]
+    left, rules, banned = list(range(len(rows))), [], set()
+    while len(rules) < max_rules and len(banned) <= max_tries and split(grows(left))[0]:
+        chosen, cover = [], left
+        while len(chosen) < max_tests and split(grows(cover))[1]:
+            p0, n0 = split(grows(cover))
+            best = None
+            for test in tests:
+                if chosen or test not in banned:
+                    p1, n1 = split([i for i in grows(cover) if holds(test, rows[i][0])])
+                    gain = p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p0 / (p0 + n0))) if p1 else 0
+                    if gain > 1e-9 and (best is None or gain > best[0]):
+                        best = (gain, test)
+            if best is None:
+                break
+            chosen.append(best[1])
+            cover = [i for i in cover if holds(best[1], rows[i][0])]
+        if not chosen:
+            break
+        heads = []
+        for k in range(1, len(chosen) + 1):
+            some = [i for i in left if all(holds(t, rows[i][0]) for t in chosen[:k])]
+            if right(prunes(some)) and right(some) and split(some)[0] >= least_bad:
+                p, n = split(prunes(some))
+                heads.append(((p - n) / (p + n), -k, some))
+        if not heads:
+            banned.add(chosen[0])
+            continue
+        _, k, some = max(heads)
+        rules.append((tuple(chosen[:-k]), *split(some)))
+        left = [i for i in left if i not in set(some)]
+    return rules
+
+
+def test_rules_equal_a_plain_search():
+    for seed in range(6):
+        rnd = random.Random(seed)
+        rows = []
+        for _ in range(240):
+            x = {f: round(rnd.random(), 2) for f in quality.FEATURES}
+            bad = (x["capitals"] > 0.7 and x["digits"] > 0.4) or x["symbols_per_word"] > 0.9 or rnd.random() < 0.01
+            rows.append((x, bad))
+        found = quality.learn(rows)
+        assert [(r.tests, r.bad, r.good) for r in found] == plain_learn(rows)
+        assert all(r.bad >= 5 and r.bad / (r.bad + r.good) >= 0.98 for r in found)
+        assert sum(r.bad for r in found) >= 0.5 * sum(b for _, b in rows)
+        assert any(len(r.tests) > 1 for r in found)
+
+
 def plain_lm(docs, mu=lm.MU):
     c, c2, before, rows = collections.Counter(), collections.Counter(), collections.Counter(), []
     for i, t in docs:
