@@ -1,26 +1,41 @@
-"""Secret scan: fixed patterns, plus tokens that a battery of randomness tests cannot tell from random ones.
+"""Secret scan: fixed patterns, plus tokens that look random and do not look like the corpus.
+
+A candidate is reported if a battery of randomness tests cannot tell it from random characters of its encoding, and
+if it is a discovery against the null hypothesis that it is ordinary text.  The null model draws characters with the
+frequencies that they have in the whole corpus.  Under it the likelihood ratio of the two models has a mean of at most
+1, so a ratio of r or more has a probability of at most 1 / r (Markov): 1 / r is the p-value.  Benjamini-Hochberg
+on these p-values, within each length class, holds down the share of ordinary tokens among the reported ones.
 
 Everything is a column expression or a small aggregate; no Python runs on the executors.
 
 Rules for unusual input
 -----------------------
 null or empty text     no spans
+very long text         scanned as a whole; the spans are found in one pass
+ties                   spans of equal start are ordered by kind, base kinds first
 repeated rows          each row is scanned and returned by itself
-extra columns          kept, unless their name starts with ``_sec_``
+extra columns          kept, unless their name starts with ``_sec_`` or is ``base_spans`` or ``all_spans``
 empty table            empty result
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialize
+
 # Fixed values of the base patterns: kind, pattern, group whose length counts, least length.
 BASE = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
-CLASSES = 8  # length classes: 24+, 48+, 96+, ...
-CANDIDATE = r"[A-Za-z0-9+/_-]{24,}={0,2}"
+LEAST = 16  # characters of the shortest candidate
+CLASSES = 8  # length classes: 16+, 32+, 64+, ...
+ALPHA = 0.001  # a battery's p-value below this says: not random
+DECADES = 30  # p-values are told apart down to 10 to the minus this
+CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST
 ALPHABETS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
     ("HEX", "^[0-9A-F]+$", "0123456789ABCDEF"),
@@ -92,8 +107,7 @@ def _battery() -> list[tuple[str, str]]:
         ("p3", f"case when c.spread <= 0 then 1e-12D else 2D * {_tail('c.z3')} end"),
         ("half", "-(" + " + ".join(f"ln(greatest(least(c.{p}, 1D), 1e-60D))" for p in ("p1", "p2", "p3")) + ")"),
         ("p", "exp(-c.half) * (1D + c.half + c.half * c.half / 2D)"),
-        ("grade", "cast(floor(least(-100D * log10(greatest(c.p, 1e-30D)), 3000D)) as int)"),
-        ("strength", f"cast(least({CLASSES - 1}, floor(log2(c.n / 24D))) as int)"),
+        ("strength", f"cast(least({CLASSES - 1}, floor(log2(c.n / {LEAST}D))) as int)"),
     ]
 
 
@@ -103,48 +117,75 @@ def _with(column: str, known: list[str], name: str, value: str) -> str:
     return f"transform({column}, c -> named_struct({fields}, '{name}', {value}))"
 
 
+def _masked(text: str, spans: str) -> str:
+    """SQL for the text with the characters of spans, in order, turned into spaces."""
+    return f"""case when size({spans}) = 0 then {text} else aggregate({spans}, named_struct('at', 0, 'out', ''),
+        (a, s) -> named_struct('at', greatest(a.at, s.end), 'out', concat(a.out, substring({text}, a.at + 1, greatest(s.start - a.at, 0)), repeat(' ', s.end - greatest(s.start, a.at)))),
+        a -> concat(a.out, substring({text}, a.at + 1))) end"""
+
+
+def character_costs(docs: DataFrame, text: str = "text") -> dict[str, float]:
+    """-log10 of each alphabet character's frequency among the alphabet's characters in all texts, each counted once more."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    count = lambda c: F.coalesce(F.sum(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(c), F.lit("")))), F.lit(0)) + 1
+    letters = sorted(set("".join(a for _, _, a in ALPHABETS)))
+    row = docs.agg(*[count(c).alias(f"c{i}") for i, c in enumerate(letters)]).first()
+    total = sum(row)
+    return {c: math.log10(total / n) for c, n in zip(letters, row)}
+
+
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``base_spans`` and ``_sec_cands``: further long tokens with letters and digits, tested for randomness."""
+    """Add ``base_spans`` and ``_sec_cands``: further long tokens, outside the base spans."""
     t = "_sec_text"
     df = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
     parts = [_spans(t, kind, pat, group, least, i) for i, (kind, pat, group, least) in enumerate(BASE)]
     df = df.withColumn("base_spans", F.sort_array(F.concat(*parts)))
-    df = df.withColumn("_sec_found", _spans(t, "random", CANDIDATE, 0, 24, len(BASE)))
-    df = df.withColumn("_sec_cands", F.expr(f"transform(filter(_sec_found, c -> not exists(base_spans, b -> b.start < c.end and c.start < b.end)), c -> named_struct('span', c, 'token', substring({t}, c.start + 1, c.end - c.start)))"))
-    df = df.withColumn("_sec_cands", F.expr("filter(_sec_cands, c -> c.token rlike '[0-9]' and c.token rlike '[A-Za-z]')"))
+    df = df.withColumn(t, F.expr(_masked(t, "base_spans")))
+    df = df.withColumn("_sec_found", _spans(t, "random", CANDIDATE, 0, LEAST, len(BASE)))
+    df = df.withColumn("_sec_cands", F.expr(f"transform(_sec_found, c -> named_struct('span', c, 'token', substring({t}, c.start + 1, c.end - c.start)))"))
+    return df.drop("_sec_found", t)
+
+
+def graded(found: DataFrame, costs: dict[str, float]) -> DataFrame:
+    """Give each candidate its length class, whether the battery lets it pass, and its grade: 100 log10 of the likelihood ratio."""
     known = ["span", "token"]
     for name, value in _battery():
-        df = df.withColumn("_sec_cands", F.expr(_with("_sec_cands", known, name, value)))
+        found = found.withColumn("_sec_cands", F.expr(_with("_sec_cands", known, name, value)))
         known.append(name)
-    return df.withColumn("_sec_cands", F.expr("transform(_sec_cands, c -> named_struct('span', c.span, 'strength', c.strength, 'grade', c.grade))")).drop("_sec_found", t)
+    table = "map(" + ", ".join(f"'{c}', {v!r}D" for c, v in costs.items()) + ")"
+    ratio = f"aggregate(filter(split(c.body, ''), x -> x != ''), 0D, (s, x) -> s + coalesce({table}[x], 0D)) - c.n * log10(c.size)"
+    grade = f"cast(floor(greatest(least(100D * ({ratio}), {DECADES * 100}D), 0D)) as int)"
+    return found.withColumn("_sec_cands", F.expr(f"transform(_sec_cands, c -> named_struct('span', c.span, 'strength', c.strength, 'random', c.p >= {ALPHA}D, 'grade', {grade}))"))
 
 
-def ordinary_cutoffs(found: DataFrame, fdr: float) -> dict[int, int]:
-    """Benjamini-Hochberg within each length class: the least grade (-100 log10 p) that is rejected.
+def discoveries(found: DataFrame, fdr: float) -> dict[int, int]:
+    """Benjamini-Hochberg within each length class: the least grade that is a discovery.
 
-    A rejected hypothesis says that the token is ordinary text.  Classes double in length, so the weak
-    p-values of short tokens do not set the cutoff of long ones.  P-values are rounded up to a hundredth
-    of a decade, so the sorted list is a table of at most CLASSES x 3,001 rows whatever the corpus.
+    The hypotheses are those of the candidates that pass the battery: it does not look at the ratio, and of ordinary
+    tokens it lets hardly any pass.  Classes double in length, so the many short tokens do not set the cutoff of long
+    ones.  P-values are rounded up to a hundredth of a decade, so the sorted list is a table of at most CLASSES x
+    3,001 rows whatever the corpus.
     """
-    graded = found.where(F.size("_sec_cands") > 0).select(F.explode("_sec_cands").alias("c")).groupBy("c.strength", "c.grade").agg(F.count(F.lit(1)).alias("n"))
-    ranked = graded.selectExpr("strength", "grade", "sum(n) over (partition by strength order by grade desc) as k", "sum(n) over (partition by strength) as m")
+    each = found.where(F.size("_sec_cands") > 0).select(F.explode("_sec_cands").alias("c")).where("c.random")
+    grades = each.groupBy("c.strength", "c.grade").agg(F.count(F.lit(1)).alias("n"))
+    ranked = grades.selectExpr("strength", "grade", "sum(n) over (partition by strength order by grade desc) as k", "sum(n) over (partition by strength) as m")
     passing = ranked.where(F.pow(F.lit(10.0), -F.col("grade") / 100) <= F.col("k") / F.col("m") * fdr)
     return {r["strength"]: r["cut"] for r in passing.groupBy("strength").agg(F.min("grade").alias("cut")).collect()}
 
 
-def scan(docs: DataFrame, text: str = "text", fdr: float = 0.05) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", fdr: float = 0.05, keep_text: bool = True) -> DataFrame:
     """Add ``base_spans`` and ``all_spans`` (arrays of start, rank, end, kind, in order) to every row of ``docs``.
 
-    Offsets are code points, the end is exclusive.  ``random`` spans do not overlap base spans.  The corpus is
-    read twice: once for the cutoffs of ``ordinary_cutoffs``, once for the result.
+    Offsets are code points, the end is exclusive.  ``random`` spans do not overlap base spans.  The corpus is scanned
+    once and the spans and candidates are stored with its rows (without the text unless ``keep_text``); one more pass
+    counts characters.
     """
+    costs = character_costs(docs, text)
     found = candidates(docs, text)
-    cuts = ordinary_cutoffs(found, fdr)
-    if cuts:
-        cutoff = "case " + " ".join(f"when c.strength = {k} then {v}" for k, v in sorted(cuts.items())) + " else 2147483647 end"
-    else:
-        cutoff = "2147483647"
-    random = F.expr(f"transform(filter(_sec_cands, c -> c.grade < {cutoff}), c -> c.span)")
+    found = graded(materialize(found if keep_text else found.drop(text)), costs)
+    cuts = discoveries(found, fdr)
+    cutoff = "case " + " ".join(f"when c.strength = {k} then {v}" for k, v in sorted(cuts.items())) + " else 2147483647 end" if cuts else "2147483647"
+    random = F.expr(f"transform(filter(_sec_cands, c -> c.random and c.grade >= {cutoff}), c -> c.span)")
     return found.withColumn("all_spans", F.sort_array(F.concat("base_spans", random))).drop("_sec_cands")
 
 
@@ -165,6 +206,6 @@ def digest(spans: Column) -> Column:
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), keep_text=False)
     count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[count(k) for k, *_ in BASE], F.sha2(digest(F.col("base_spans")), 256).alias("base_sha256"), digest(F.col("all_spans")).alias("spans"))

@@ -86,7 +86,7 @@ def test_secret_spans(spark):
     texts = [
         None, "", "token=secret:abcdefghijklmnop", "É token = \"24be64439e3e49cf46b2d7c90f3602a3\" x", f"a {key}{key} b", "PassWord: 'abcdefghijkl' passwd=short api_key=abcdefghijklm",
         "deadbeefdeadbeef" * 3, "0123456789abcdeX", "AKIAAKIAAKIA", "日本 api-key token : aaaaaaaaaaaa.bbb=c", ("token=" + "a" * 12 + " ") * 500,
-        f"see {RANDOM} and internationalisationsabcdef1 and gggggggggggggggggggggggggggggg1",
+        f"see {RANDOM} and internationalisationsabcdef1 and gggggggggggggggggggggggggggggg1 " + "plain words of the corpus say what is ordinary " * 40,
     ]
     docs = frame(spark, list(enumerate(texts)))
     got = {r["doc_id"]: r for r in secrets.scan(docs).select("doc_id", "text", secrets.digest(F.col("base_spans")).alias("b"), secrets.digest(F.col("all_spans")).alias("a")).collect()}
@@ -100,6 +100,44 @@ def test_secret_spans(spark):
     assert "Python" not in secrets.scan(docs)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_planted_keys_are_found_and_ordinary_text_is_not(spark):
+    import string
+
+    rnd = random.Random(11)
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    word = lambda: "".join(rnd.choices(letters, [1 / (i + 2) for i in range(26)], k=rnd.randrange(2, 11)))
+    alphabets = {
+        "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567",
+        "base64": string.ascii_letters + string.digits + "+/", "base64url": string.ascii_letters + string.digits + "-_", "letters": string.ascii_letters,
+    }
+    docs, keys, ordinary = [], {}, {}
+    for i in range(900):
+        kind = [*alphabets, None, None, None][i % 9]
+        n = rnd.choice([24, 32, 40, 64])
+        if kind:
+            extra = "".join(rnd.choices(alphabets[kind], k=n))
+        else:  # names and paths of ordinary words
+            made = [word() for _ in range(9)]
+            extra = rnd.choice(["".join(made), "_".join(made), "/".join(made), "".join(w.title() for w in made), "-".join([*made, str(rnd.randrange(1990, 2030))])])
+        head = " ".join(word() for _ in range(30)) + " "
+        (keys if kind else ordinary)[i] = (kind, len(head), len(head) + len(extra))
+        docs.append((i, head + extra + " " + word()))
+    found = secrets.scan(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).select("doc_id", "all_spans").collect()
+    got = {r["doc_id"]: {(s["start"], s["end"]) for s in r["all_spans"]} for r in found}
+    hit = collections.Counter(kind for i, (kind, a, b) in keys.items() if (a, b) in got[i])
+    assert all(hit[k] >= 0.95 * sum(x[0] == k for x in keys.values()) for k in alphabets), hit
+    wrong = sum(bool(got[i]) for i in ordinary)
+    assert wrong <= 0.05 * (wrong + sum(hit.values())), wrong
+
+
+def test_candidates_beside_base_spans(spark):
+    tail = RANDOM.replace("=", "")
+    texts = ["deadbeefdeadbeef0123 " + tail, f"0123456789abcdef0123{tail.upper()}", "x" * 40]
+    rows = secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    tokens = [[texts[i][c["span"]["start"] : c["span"]["end"]] for c in r["_sec_cands"]] for i, r in enumerate(rows)]
+    assert tokens[0] == [tail] and tokens[1] == [tail.upper()] and tokens[2] == ["x" * 40]
+
+
 def plain_repeats(docs, window):
     key = lambda i: NO_ID if i is None else i
     first = {}
