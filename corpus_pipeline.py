@@ -38,7 +38,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document lies in bins of tokens."""
-    return packing.pack(packing.with_sizes(docs))
+    import public_tokenizers
+
+    return packing.pack(packing.with_sizes(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
 STAGES = [

@@ -69,19 +69,21 @@ def build(
     bag: bool = False,
     carry: tuple[str, ...] = (),
     digest: bool = False,
+    extra: tuple[tuple[str, ...], Callable[[np.ndarray, np.ndarray], Arrays]] = ((), lambda data, offsets: {}),
 ) -> DataFrame:
     """``(block, n_keys, n_tokens, dict, body)``, written to the shared folder.
 
     The dictionary has ``words``, the sorted distinct hashes.  The body has ``ids`` (``doc_id`` as int64, null as ``NO_ID``),
     ``none`` (1 for a null id), ``lens`` (tokens per text), the int64 columns of ``carry``, with ``digest`` the two
-    halves ``digest1`` and ``digest2`` of a 128-bit name of the text's tokens, ``rank`` (each token's word by frequency, which compresses well) and ``place`` (where
+    halves ``digest1`` and ``digest2`` of a 128-bit name of the text's tokens, what the function of ``extra`` gives for
+    its names and each text, ``rank`` (each token's word by frequency, which compresses well) and ``place`` (where
     the word of a rank stands in ``words``).
 
     With ``bag`` the order of tokens is not kept: the dictionary has the tokens' bytes in ``chars`` and their
     ``sizes``, in the order of their hashes, and the body has, instead of ``rank``, what ``bags`` reads.
     """
     columns = ["doc_id", *carry]
-    kept = ["ids", "none", "lens", *carry, *(["digest1", "digest2"] if digest else [])]
+    kept = ["ids", "none", "lens", *carry, *(["digest1", "digest2"] if digest else []), *extra[0]]
 
     def finish(parts: list, n: int) -> pa.RecordBatch:
         hashes = np.concatenate([p["hash"] for p in parts])
@@ -120,6 +122,7 @@ def build(
                 part["ids" if name == "doc_id" else name] = value.fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
                 if name == "doc_id":
                     part["none"] = value.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+            part |= extra[1](data, offsets)
             if digest:
                 part["digest1"], part["digest2"] = arrays.row_digests(part["hash"], part["lens"])
             if bag:

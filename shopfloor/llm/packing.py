@@ -3,16 +3,17 @@
 Rules for unusual input
 -----------------------
 null or empty text     one token, the end, like any other short text
+very long text         cut into full bins and a rest; the rest is packed like a short text
 null source            in conflict with nothing; null cluster likewise
 null doc_id            packed like any other
-repeated rows          copies: the same cluster, so different bins
-longer than a bin      cut into full bins and a rest; the rest is packed like a short text
+ties                   pieces of equal size in the order of id, source and cluster; of equally tight bins the oldest
+repeated rows          copies: the same cluster, so different bins; any number of them is spread over the groups
 extra columns          ignored
+empty table            empty result
 """
 
 from __future__ import annotations
 
-
 from bisect import insort
 
 import numpy as np
@@ -20,10 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import lower_ascii, words
+from . import simhash
+from .scratch import materialize
+from .token_counts import token_counts
 
 CAPACITY = 4096
 GROUP = 8000  # rows that are packed together, about
+EACH = 1 << 16  # equal rows that are written out at once
 
 
 class Bins:
@@ -86,17 +90,20 @@ def pack_group(sizes: list[int], sources: list, clusters: list, capacity: int) -
 def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Pieces of ``docs(doc_id, n_tokens, source, cluster)``: ``(doc_id, part, bin_id, bin_offset, length)``.
 
-    Rows are dealt by a hash of id, size, source and cluster into groups of about ``group`` rows, and each group
-    is packed by one task, largest first; groups share no bin.  A hot source or cluster is spread over all groups
-    by the ids; a third of a group may have one source, which costs one bin each, so a group's search is bounded
-    by its rows squared.
+    Rows are dealt by a hash of all that they have into groups of about ``group`` rows, and each group is packed by one
+    task, largest first; groups share no bin.  Equal rows are counted and numbered first, so that they are dealt like
+    others.  A hot source or cluster is spread over all groups; a third of a group may have one source, which costs
+    one bin each, so a group's search is bounded by its rows squared.
     """
-    rows = docs.count()
-    groups = max(1, -(-rows // group))
+    columns = ["doc_id", "n_tokens", "source", "cluster"]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster"))
-    own = own.withColumn("_group", F.pmod(F.xxhash64("doc_id", "n_tokens", "source", "cluster"), F.lit(groups)))
+    counted = own.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    counted = counted.withColumn("_a", F.explode(F.expr(f"sequence(0L, (_n - 1) div {EACH})")))
+    each = counted.withColumn("_b", F.explode(F.expr(f"sequence(0L, least({EACH}, _n - _a * {EACH}) - 1)")))
+    groups = max(1, -(-docs.count() // group))
+    dealt = each.withColumn("_group", F.pmod(F.xxhash64(*columns, "_a", "_b"), F.lit(groups))).drop("_n", "_a", "_b")
     # pandas would turn a long column with nulls into doubles
-    dealt = own.withColumns({"_none": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})
+    dealt = dealt.withColumns({"_none": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "_none", "doc_id", "source", "cluster"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
@@ -111,11 +118,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
     return packed.withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id"))).drop("none")
 
 
-def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, source, cluster)``: words and an end as tokens; copies by their lower-case words are one cluster."""
-    w = words(lower_ascii(F.col(text)))
-    return docs.select("doc_id", "source", w.alias("w")).select("doc_id", (F.size("w") + 1).cast("long").alias("n_tokens"), "source", F.xxhash64(F.size("w"), F.array_join("w", " ")).alias("cluster"))
+def with_sizes(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """``(doc_id, n_tokens, source, cluster)``: the model's tokens and an end; near copies by their fingerprints are one cluster.
+
+    ``source`` and ``cluster`` are 64-bit names.
+    """
+    rows = docs.select("doc_id", text, F.xxhash64("source").alias("source"), F.col("source").isNull().cast("long").alias("unsourced"))
+    made = (("fp",), lambda data, offsets: {"fp": simhash.quick_fingerprints(data, offsets).view(np.int64)})
+    sized = materialize(token_counts(rows, model, text, ("source", "unsourced"), made))
+    clustered = sized.join(simhash.labelled(sized), "fp")
+    return clustered.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens"), F.when(F.col("unsourced") == 0, F.col("source")).alias("source"), F.col("label").alias("cluster"))
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(with_sizes(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    import public_tokenizers
+
+    return pack(with_sizes(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model")))

@@ -74,6 +74,21 @@ def fingerprints(docs: DataFrame, text: str = "text", words_per_shingle: int = 4
     return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+def quick_fingerprints(data: np.ndarray, offsets: np.ndarray, k: int = 4) -> np.ndarray:
+    """Fingerprints of texts like those of ``fingerprints``, from hashes of word hashes instead of XXH64."""
+    starts, ends, of = arrays.word_bounds(data, offsets)
+    words = arrays.slice_hashes(arrays.lower_ascii(data), starts, ends)
+    n = np.bincount(of, minlength=len(offsets) - 1)
+    short = (n > 0) & (n < k)
+    count = np.where(short, 1, np.maximum(n - k + 1, 0))
+    first = np.repeat(np.cumsum(n) - n, count) + arrays.ranges(count)
+    whole = np.repeat(short, count)
+    hashes = np.zeros(len(first), dtype=np.uint64)
+    hashes[~whole] = arrays.window_hashes(words, k)[first[~whole]]
+    hashes[whole] = arrays.row_digests(words[short[of]], n[short])[0].view(np.uint64)
+    return _majority(hashes, count)
+
+
 def _keys(fp: np.ndarray, segments, pairs) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each pair of segments: its number, the joined codeword indices, and the row each belongs to."""
     near = [golay.nearby((fp >> np.uint64(at)) & np.uint64((1 << width) - 1)) for at, width in segments]
@@ -184,14 +199,19 @@ def links(fps: DataFrame, radius: int = 4, segments=SEGMENTS, pairs=PAIRS, table
     return sent.groupBy("shard").applyInPandas(join, "u long, v long").distinct()
 
 
+def labelled(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """``(fp, label)`` for every distinct fingerprint of ``fps``: the least one of those that links lead to."""
+    distinct = fps.select("fp").distinct()
+    linked = connected_components(links(distinct.select(F.col("fp").alias("node"), F.array("fp").alias("fp")), radius))
+    return materialize(distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", F.coalesce("component", "fp").alias("label")))
+
+
 def components(docs: DataFrame, text: str = "text", radius: int = 4) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs``."""
     fps = materialize(fingerprints(docs, text))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = connected_components(links(distinct.select(F.col("fp").alias("node"), F.array("fp").alias("fp")), radius))
-    named = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
-    named = materialize(named)
-    ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = labelled(fps, radius)
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    ids = named.join(least, "fp").groupBy("label").agg(F.min("least").alias("component_id"))
     return fps.join(named.join(ids, "label").select("fp", "component_id"), "fp")
 
 

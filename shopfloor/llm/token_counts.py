@@ -7,9 +7,11 @@ character, so no piece crosses a pre-token's edge and the counts add up.
 Rules for unusual input
 -----------------------
 null or empty text     no tokens
+very long text         one block by itself
 null doc_id            counted and returned with its null id
-repeated rows          one result row each
+ties, repeated rows    one result row each
 extra columns          ignored
+empty table            empty result
 U+2581                 the model reads it as a space, and so does the cut
 """
 
@@ -82,8 +84,10 @@ def _unequal(chars: np.ndarray, sizes: np.ndarray, starts: np.ndarray, other: np
     return np.flatnonzero(out)
 
 
-def token_counts(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """``(doc_id, n_bytes, n_tokens)`` for every row; ``model`` is the path of a sentencepiece model.
+def token_counts(docs: DataFrame, model: str, text: str = "text", carry: tuple[str, ...] = (), extra=((), lambda data, offsets: {})) -> DataFrame:
+    """``(doc_id, n_bytes, n_tokens, ...)`` for every row; ``model`` is the path of a sentencepiece model.
+
+    The long columns of ``carry`` come along, and those that ``extra`` makes of each text (see ``blocks.build``).
 
     Distinct pre-tokens of each block meet in shards, are counted there once, and their counts come back to
     the block's pre-token frequencies per document.
@@ -127,16 +131,17 @@ def token_counts(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     def finish(block: int, body: blocks.Arrays, rows: pd.DataFrame) -> pd.DataFrame:
         of, place, times = blocks.bags(body)
         n = np.bincount(of, weights=blocks.joined(rows)["n"][place].astype(np.int64) * times if len(of) else None, minlength=len(body["ids"]))
-        return pd.DataFrame({"doc_id": blocks.ids_of(body), "n_bytes": body["given"], "n_tokens": n.astype(np.int64)})
+        return pd.DataFrame({"doc_id": blocks.ids_of(body), "n_bytes": body["given"], "n_tokens": n.astype(np.int64)} | {c: body[c] for c in more})
 
     # The model reads the mark as a space; one space in front stands for the one that it adds to a text.
     given = F.coalesce(F.col(text), F.lit(""))
-    ready = docs.select("doc_id", F.octet_length(given).cast("long").alias("given"), F.when(given == "", "").otherwise(F.concat(F.lit(" "), F.replace(given, F.lit(MARK), F.lit(" ")))).alias("text"))
-    corpus = blocks.build(ready, cut=cut, bag=True, carry=("given",))
+    more = (*carry, *extra[0])
+    ready = docs.select("doc_id", *carry, F.octet_length(given).cast("long").alias("given"), F.when(given == "", "").otherwise(F.concat(F.lit(" "), F.replace(given, F.lit(MARK), F.lit(" ")))).alias("text"))
+    corpus = blocks.build(ready, cut=cut, bag=True, carry=("given", *carry), extra=extra)
     shards = blocks.shards_for(blocks.total(corpus, "n_keys"))
     sent = corpus.select("block", "dict").mapInArrow(send, "shard int, block long, body binary")
     answers = blocks.answered(sent, reduce)
-    schema = "doc_id long, n_bytes long, n_tokens long"
+    schema = ", ".join(["doc_id long", "n_bytes long", "n_tokens long", *[f"{c} long" for c in more]])
     return blocks.receive(corpus, answers, finish, schema, ("body",))
 
 

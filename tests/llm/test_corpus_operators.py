@@ -71,21 +71,37 @@ def test_near_duplicates(spark):
 
 
 def test_packing_keeps_all_and_conflicts_apart(spark):
-    docs = nasty(9) + [((1 << 60) + 1, "a b"), ((1 << 60) + 2, "c d e")]
-    d = packing.with_sizes(frame(spark, docs))
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = nasty(9) + [((1 << 60) + 1, "a b"), ((1 << 60) + 2, "c d e")] + [(950, "the same row")] * 90
+    d = packing.with_sizes(frame(spark, docs), path).cache()
     rows = packing.pack(d, capacity=256, group=40).collect()
-    sizes = {}
+    sizes, want, seen = {}, {}, {}
     for r in d.collect():
         sizes[r["doc_id"]] = sizes.get(r["doc_id"], 0) + r["n_tokens"]
+        seen.setdefault(r["doc_id"], set()).add((r["source"], r["cluster"]))
+    for i, t in docs:
+        want[i] = want.get(i, 0) + len(model.encode(t or "")) + 1
+    assert sizes == want
     got, bins = {}, {}
     for r in rows:
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
-        bins.setdefault(r["bin_id"], []).append((r["bin_offset"], r["length"]))
+        bins.setdefault(r["bin_id"], []).append((r["bin_offset"], r["length"], r["doc_id"], r["part"]))
     assert got == sizes
     for pieces in bins.values():
-        pieces.sort()
-        assert pieces[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(pieces, pieces[1:])) and sum(pieces[-1]) <= 256
+        pieces.sort(key=lambda p: p[:2])
+        assert pieces[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(pieces, pieces[1:])) and pieces[-1][0] + pieces[-1][1] <= 256
+        known = [next(iter(seen[i])) for _, _, i, _ in pieces if i is not None and len(seen[i]) == 1]
+        for k in (0, 1):
+            own = [x[k] for x in known if x[k] is not None]
+            assert len(own) == len(set(own))
+    assert len({r["bin_id"] for r in rows if r["doc_id"] == 950}) == 90
+    clusters = {i: {c for _, c in seen[i]} for i in seen}
+    assert clusters[5] == clusters[6] and clusters[1] == clusters[2] == clusters[3] and clusters[4] != clusters[5]
     assert packing.pack(d.limit(0)).count() == 0
+    assert packing.with_sizes(frame(spark, docs).limit(0), path).count() == 0
 
 
 def test_token_counts(spark):
