@@ -5,13 +5,14 @@ shingles of each (n: size of the set), so these are the keys of a set and no suc
 order, from a sample, only decides how much is compared.  At the first key that a pair shares, the places of the key
 bound the overlap from above, and pairs below the need of t go.
 
-Pairs in small buckets, and those with the members of a large bucket that have fewest rare shingles, are tested first.
-Then every pair of a large bucket that is still in two components is tested, block against block.
+Links that are known before (of near fingerprints) are tested first and join what they can.  Of the pairs of a key,
+only those that are still in two components are tested: first those in small buckets and those with the members of a
+large bucket that have fewest rare shingles, then every pair of a large bucket, block against block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -92,8 +93,8 @@ def common_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return s[order], c[order]
 
 
-def named_keys(rows: DataFrame, t: float, k: int) -> DataFrame:
-    """``(doc_id, text_hash, cls, cls2, n, keys, bits)``: two names of the word sequence; size, keys in order and bitmap of the shingle set."""
+def named_keys(rows: DataFrame, t: float, k: int, fingerprint: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``(doc_id, text_hash, cls, cls2, n, keys, bits, fp)``: two names of the word sequence; size, keys in order, bitmap and SimHash of the shingle set."""
     known, counts = common_shingles(rows, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +102,7 @@ def named_keys(rows: DataFrame, t: float, k: int) -> DataFrame:
             h, words, s, n = shingle_sets(data, offsets, k)
             names = arrays.row_digests(h, words)
             bits = _bitmaps(s, n)
+            fp = fingerprint(s.view(np.uint64), n).view(np.int64)
             rank = np.zeros(len(s), dtype=np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -108,9 +110,9 @@ def named_keys(rows: DataFrame, t: float, k: int) -> DataFrame:
             s = s[np.lexsort((s, rank, np.repeat(np.arange(len(n)), n)))]
             prefix = n - np.ceil(t * n - EPS).astype(np.int64) + 1
             keys = s[arrays.ranges(n) < np.repeat(prefix, n)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names[0]), pa.array(names[1]), pa.array(n.astype(np.int32)), _lists(keys, np.minimum(prefix, n)), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc_id", "text_hash", "cls", "cls2", "n", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names[0]), pa.array(names[1]), pa.array(n.astype(np.int32)), _lists(keys, np.minimum(prefix, n)), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(fp)], ["doc_id", "text_hash", "cls", "cls2", "n", "keys", "bits", "fp"])
 
-    return rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, cls long, cls2 long, n int, keys array<long>, bits binary")
+    return rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, cls long, cls2 long, n int, keys array<long>, bits binary, fp long")
 
 
 def _need(total, t: float):
@@ -211,22 +213,30 @@ def _ends(pdf: pd.DataFrame) -> np.ndarray:
     return np.unique(np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(-1, 2) for x in pdf["pairs"]] or [np.zeros((0, 2), np.int64)]), axis=0)
 
 
+def _labels(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Add ``label``, the component of a node so far."""
+    if labels is None:
+        return members.withColumn("label", F.col("node"))
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+
 def _tested(pairs: DataFrame, nodes: DataFrame, sets_of, labels: DataFrame | None, t: float) -> DataFrame:
     """``(u, v)``: similar pairs of ``pairs(bu, bv, pairs)`` that span all that is similar in each two blocks.
 
-    Bitmaps rule out most pairs before any set is read.
+    Labels and bitmaps rule out most pairs before any set is read.
     """
 
     def rule_out(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("node", ignore_index=True)
-        node, n = right["node"].to_numpy(np.int64), right["n"].to_numpy(np.int64)
+        node, n, label = (right[c].to_numpy(np.int64) for c in ("node", "n", "label"))
         bits = np.frombuffer(b"".join(right["bits"]), dtype=np.uint64).reshape(-1, WORDS)
         ends = _ends(left)
         at, near = np.searchsorted(node, ends), np.zeros(len(ends), dtype=bool)
         for i in range(0, len(at), 1 << 16):
             a, b = at[i : i + (1 << 16)].T
             total = n[a] + n[b]
-            near[i : i + (1 << 16)] = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= total - 2 * _need(total, t)
+            apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+            near[i : i + (1 << 16)] = (apart <= total - 2 * _need(total, t)) & (label[a] != label[b])
         return pd.DataFrame({"bu": left["bu"][:1], "bv": left["bv"][:1], "pairs": [ends[near].tobytes()]})
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -238,19 +248,31 @@ def _tested(pairs: DataFrame, nodes: DataFrame, sets_of, labels: DataFrame | Non
         good = node[np.array(good, dtype=np.int64).reshape(-1, 2)]
         return pd.DataFrame({"u": good[:, 0], "v": good[:, 1]})
 
-    light = _members(pairs).join(nodes.select("node", "n", "bits"), "node").select("bu", "bv", "node", "n", "bits")
-    near = materialize(pairs.groupBy("bu", "bv").cogroup(light.groupBy("bu", "bv")).applyInPandas(rule_out, "bu long, bv long, pairs binary")).where("length(pairs) > 0")
-    members = _members(near)
-    members = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").select("bu", "bv", "node", F.coalesce("component", "node").alias("label"))
-    members = materialize(members)
+    light = _labels(_members(pairs).join(nodes.select("node", "n", "bits"), "node"), labels)
+    near = pairs.groupBy("bu", "bv").cogroup(light.groupBy("bu", "bv")).applyInPandas(rule_out, "bu long, bv long, pairs binary")
+    near = materialize(near.where("length(pairs) > 0"))
+    members = materialize(_labels(_members(near), labels))
     sets = sets_of(members.select("node").distinct())
     few = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
     return near.groupBy("bu", "bv").cogroup(sets.join(few, "node").select("bu", "bv", "node", "label", "s").groupBy("bu", "bv")).applyInPandas(run, "u long, v long")
 
 
-def similar_components(nodes: DataFrame, sets_of, t: float) -> DataFrame:
+def _dealt(links: DataFrame, blocks: int) -> DataFrame:
+    """``(bu, bv, pairs)`` from ``links(u, v)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_pandas(_blobs(u, v, blocks), pa.schema([("bu", pa.int64()), ("bv", pa.int64()), ("pairs", pa.binary())]), preserve_index=False)
+
+    return links.select("u", "v").mapInArrow(run, "bu long, bv long, pairs binary")
+
+
+def similar_components(nodes: DataFrame, sets_of, t: float, links: DataFrame) -> DataFrame:
     """``(node, component)`` of all ``nodes(node, n, keys, bits)`` that a chain of pairs of similarity ``t`` links to another.
 
+    ``links(u, v)`` are tested first; whatever they miss is found by the keys.
+
     ``sets_of`` takes a table of nodes and gives ``(node, s)``, their shingle sets in ascending order; a node may come more than once.
     """
     count, keys = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
@@ -298,8 +320,12 @@ def similar_components(nodes: DataFrame, sets_of, t: float) -> DataFrame:
     found = materialize(sent.groupBy("shard").applyInPandas(first, "bu long, bv long, pairs binary, entries binary"))
     pairs = found.where("pairs is not null").select("bu", "bv", "pairs")
     large = found.where("length(entries) > 0").select("entries").mapInArrow(unpacked, "key long, node long, pos int, n int")
-    good = materialize(_tested(pairs, nodes, sets_of, None, t))
+    good = materialize(_tested(_dealt(links, blocks), nodes, sets_of, None, t))
     linked = materialize(connected_components(good))
+    by_key = materialize(_tested(pairs, nodes, sets_of, linked, t))
+    if by_key.limit(1).count():
+        good = good.unionByName(by_key)
+        linked = materialize(connected_components(good))
     labelled = large.join(linked, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     labelled = materialize(labelled)
     apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")

@@ -3,8 +3,9 @@
 Rules for unusual input
 -----------------------
 null or empty text     fingerprint zero, linked like any other
+very long text         hashed by itself, whole
 null doc_id            fingerprinted and linked; a component's id is its least id that is not null
-repeated rows          each row is returned by itself
+ties, repeated rows    each row is returned by itself; of equally old copies one stays
 extra columns          ignored by ``fingerprints``; ``near_duplicates`` keeps them, unless they start with ``_dup_``
 empty table            empty result
 """
@@ -220,28 +221,30 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8, shingle: int = 5, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` but for those that copy another: of every group linked by copies, the least doc_id stays.
 
     Texts with equal words are one class.  Classes whose sets of word shingles have a Jaccard similarity of
-    ``similarity`` or more are linked; ``set_join`` misses no such link that would join two groups.  Rows with null ids
+    ``similarity`` or more are linked.  Candidates are classes whose SimHash fingerprints differ in at most ``radius`` bits, found
+    by their Golay keys; each link is verified on the sets.  Texts of 0.8 can differ in more bits than any radius
+    of this kind takes, so ``set_join`` then finds every pair that would still join two groups.  Rows with null ids
     stay.  Equal rows of one id are copies of each other; of them one stays.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).where("doc_id is not null")
-    marked = materialize(set_join.named_keys(rows, similarity, shingle))
-    classes = marked.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("n").alias("n"), F.min("keys").alias("keys"), F.min("bits").alias("bits"))
-    classes = materialize(classes.select(F.col("cls").alias("node"), "cls2", "rep", "n", "keys", "bits"))
-    linked = set_join.similar_components(classes, lambda nodes: _sets_of(rows, classes, nodes, shingle), similarity)
-    named = classes.join(linked, "node", "left").select("node", "cls2", "rep", F.coalesce("component", "node").alias("label"))
-    best = named.groupBy("label").agg(F.min("rep").alias("best"))
-    keep = named.join(best, "label").select(F.col("node").alias("cls"), "cls2", "best")
-    judged = marked.select("doc_id", "text_hash", "cls", "cls2").join(keep, ["cls", "cls2"])
-    copy = (F.col("doc_id") != F.col("best.doc_id")) | (F.col("text_hash") != F.col("best.text_hash"))
-    dropped = materialize(judged.where(copy).select(F.col("doc_id").alias("_dup_id"), F.col("text_hash").alias("_dup_hash")).distinct())
+    marked = materialize(set_join.named_keys(rows, similarity, shingle, _majority))
+    first = [F.min(c).alias(c) for c in ("n", "keys", "bits", "fp")]
+    classes = marked.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *first)
+    classes = materialize(classes.withColumnRenamed("cls", "node"))
+    near = links(classes.select("node", F.array("fp").alias("fp")), radius)
+    linked = set_join.similar_components(classes, lambda nodes: _sets_of(rows, classes, nodes, shingle), similarity, near)
+    named = classes.join(linked, "node", "left").select("rep", F.coalesce("component", "node").alias("label"))
+    best = named.groupBy("label").agg(F.min("rep").alias("best")).select("best.doc_id", "best.text_hash")
+    own = marked.select("doc_id", "text_hash")
+    dropped = own.join(best, ["doc_id", "text_hash"], "left_anti").distinct()
+    dropped = materialize(dropped.select(F.col("doc_id").alias("_dup_id"), F.col("text_hash").alias("_dup_hash")))
     small = _sized(dropped, dropped.count())
     kept = docs.join(small, (docs["doc_id"].cast("long") == small["_dup_id"]) & (F.xxhash64(docs[text]) == small["_dup_hash"]), "left_anti")
-    repeated = judged.where(~copy).groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
-    if not repeated:
+    if not own.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
         return kept
     once = kept.where("doc_id is not null").dropDuplicates(["doc_id", text])
     return once.unionByName(kept.where("doc_id is null"))
