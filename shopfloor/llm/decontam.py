@@ -82,14 +82,17 @@ def _hits(docs: DataFrame, table: DataFrame, text: str) -> DataFrame:
     keys = F.when(left >= SPAN, F.array(*_mask_keys("d", pos))).otherwise(F.array().cast("array<bigint>"))
     for n in sorted(short):
         keys = F.concat(keys, F.when(left >= n, F.array(_whole_key("d", pos, n))).otherwise(F.array().cast("array<bigint>")))
-    own = F.slice("d", pos + 1, F.lit(SPAN)).alias("own")
-    if few:  # the slice is made for hits only
-        both = at.select("doc_id", "d", "pos", F.explode(keys).alias("key")).join(F.broadcast(table), "key").withColumn("own", own)
-    else:
-        both = at.select("doc_id", "pos", own, keys.alias("keys")).select("doc_id", "pos", "own", F.explode("keys").alias("key")).join(table.hint("merge"), "key")
+    # Comparisons stay in generated code: a join condition outside it would copy the document's array for every probe.
+    equal = lambda words, at: sum(F.coalesce((F.get(words, at + k) == F.get("window", F.lit(k))).cast("int"), F.lit(0)) for k in range(SPAN))
     span = F.size("window")
-    equal = F.expr("size(filter(sequence(0, size(window) - 1), k -> get(own, k) = window[k]))")
-    found = both.where(equal >= span - F.when(span >= SPAN, SUBSTITUTIONS).otherwise(0))
+    enough = span - F.when(span >= SPAN, SUBSTITUTIONS).otherwise(0)
+    if few:
+        both = at.select("doc_id", "d", "pos", F.explode(keys).alias("key")).join(F.broadcast(table), "key")
+        found = both.where(equal(F.col("d"), pos) >= enough)
+    else:
+        own = at.select("doc_id", "pos", F.slice("d", pos + 1, F.lit(SPAN)).alias("own"), keys.alias("keys"))
+        both = own.select("doc_id", "pos", "own", F.explode("keys").alias("key")).join(table.hint("merge"), "key")
+        found = both.where(equal(F.col("own"), F.lit(0)) >= enough)
     return found.select("doc_id", "pos", span.alias("span"), *[c for c in table.columns if c not in ("key", "window")])
 
 
