@@ -31,8 +31,9 @@ PIVOTS = 4  # members of a larger bucket that are tested against all others firs
 BLOCK = 2048  # members of a large bucket that one task takes from either side
 PER_SHARD = 1_000_000  # keys that one task looks through, about
 KNOWN = 200_000  # shingles whose count in the sample is known to the order
+TABLES = 2  # fingerprints of a set, by different hashes
 WORDS = 16  # 64-bit words of a set's parity bitmap
-ENTRY = [("key", "<i8"), ("node", "<i8"), ("pos", "<i4"), ("n", "<i4")]
+ENTRY = [("key", "<i8"), ("node", "<i8"), ("label", "<i8"), ("pos", "<i4"), ("n", "<i4")]
 EPS = 1e-9
 
 
@@ -94,7 +95,7 @@ def common_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def named_keys(rows: DataFrame, t: float, k: int, fingerprint: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """``(doc_id, text_hash, cls, cls2, n, keys, bits, fp)``: two names of the word sequence; size, keys in order, bitmap and SimHash of the shingle set."""
+    """``(doc_id, text_hash, cls, cls2, n, keys, bits, fp)``: two names of the word sequence; size, keys in order, bitmap and ``TABLES`` fingerprints of the shingle set."""
     known, counts = common_shingles(rows, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +103,7 @@ def named_keys(rows: DataFrame, t: float, k: int, fingerprint: Callable[[np.ndar
             h, words, s, n = shingle_sets(data, offsets, k)
             names = arrays.row_digests(h, words)
             bits = _bitmaps(s, n)
-            fp = fingerprint(s.view(np.uint64), n).view(np.int64)
+            fps = [fingerprint(arrays.mixed(s.view(np.uint64) + np.uint64(i)), n).view(np.int64) for i in range(TABLES)]
             rank = np.zeros(len(s), dtype=np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -110,9 +111,9 @@ def named_keys(rows: DataFrame, t: float, k: int, fingerprint: Callable[[np.ndar
             s = s[np.lexsort((s, rank, np.repeat(np.arange(len(n)), n)))]
             prefix = n - np.ceil(t * n - EPS).astype(np.int64) + 1
             keys = s[arrays.ranges(n) < np.repeat(prefix, n)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names[0]), pa.array(names[1]), pa.array(n.astype(np.int32)), _lists(keys, np.minimum(prefix, n)), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(fp)], ["doc_id", "text_hash", "cls", "cls2", "n", "keys", "bits", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names[0]), pa.array(names[1]), pa.array(n.astype(np.int32)), _lists(keys, np.minimum(prefix, n)), pa.array([x.tobytes() for x in bits], pa.binary()), _lists(np.stack(fps, axis=1).ravel(), np.full(len(n), TABLES))], ["doc_id", "text_hash", "cls", "cls2", "n", "keys", "bits", "fp"])
 
-    return rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, cls long, cls2 long, n int, keys array<long>, bits binary, fp long")
+    return rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, cls long, cls2 long, n int, keys array<long>, bits binary, fp array<long>")
 
 
 def _need(total, t: float):
@@ -138,27 +139,32 @@ def _blobs(u: np.ndarray, v: np.ndarray, blocks: int) -> pd.DataFrame:
 
 
 def _first_pairs(e: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From the entries of some keys: ends of the pairs to test first, and the entries of large buckets."""
+    """From the entries of some keys: ends of the pairs to test first, and the entries of large buckets with several labels."""
     e = e[np.argsort(e["key"], kind="stable")]
     edge = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1], [True]])) if len(e) else np.zeros(1, np.int64)
     size = np.diff(edge)
     each = np.repeat(size, size)
-    us, vs = [], []
+    us, vs, large = [], [], []
     some = e[(each > 1) & (each <= SMALL)]
     for off in range(1, SMALL):
         a, b = some[:-off], some[off:]
-        hit = (a["key"] == b["key"]) & _possible(a, b, t)
+        hit = (a["key"] == b["key"]) & (a["label"] != b["label"]) & _possible(a, b, t)
         us.append(a["node"][hit])
         vs.append(b["node"][hit])
     for i in np.flatnonzero(size > SMALL):
         bucket = e[edge[i] : edge[i + 1]]
-        order = np.lexsort((arrays.mixed(bucket["node"].astype(np.int64).view(np.uint64)), bucket["pos"] / bucket["n"]))
+        _, where, count = np.unique(bucket["label"], return_inverse=True, return_counts=True)
+        if len(count) == 1:
+            continue
+        large.append(bucket)
+        # Members of the largest component with few rare shingles: many others are like them, for other keys too.
+        order = np.lexsort((arrays.mixed(bucket["node"].astype(np.int64).view(np.uint64)), bucket["pos"] / bucket["n"], -count[where]))
         for p in order[:PIVOTS]:
-            hit = bucket[_possible(bucket, bucket[p : p + 1], t)]["node"]
+            hit = bucket[_possible(bucket, bucket[p : p + 1], t) & (bucket["label"] != bucket["label"][p])]["node"]
             us.append(np.full(len(hit), bucket["node"][p]))
             vs.append(hit)
     u, v = (np.concatenate(x or [np.zeros(0, np.int64)]).astype(np.int64) for x in (us, vs))
-    return u[u != v], v[u != v], e[each > SMALL]
+    return u, v, np.concatenate(large) if large else e[:0]
 
 
 def _cross(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -281,12 +287,12 @@ def similar_components(nodes: DataFrame, sets_of, t: float, links: DataFrame) ->
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             per = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             e = np.empty(int(per.sum()), dtype=ENTRY)
             e["key"] = lists.flatten().to_numpy(zero_copy_only=False)
-            e["node"] = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), per)
-            e["n"] = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), per)
+            for i, c in enumerate(("node", "label", "n")):
+                e[c] = np.repeat(batch.column(i).to_numpy(zero_copy_only=False), per)
             e["pos"] = arrays.ranges(per)
             to = (arrays.mixed(e["key"].astype(np.int64).view(np.uint64)) % np.uint64(shards)).astype(np.int64)
             out = [(s, e[i].tobytes()) for s, i in split(to, shards)]
@@ -297,17 +303,19 @@ def similar_components(nodes: DataFrame, sets_of, t: float, links: DataFrame) ->
         made = _blobs(u, v, blocks)
         return pd.concat([made.assign(entries=None), pd.DataFrame({"bu": [-1], "bv": [-1], "pairs": [None], "entries": [large.tobytes()]})], ignore_index=True)
 
+    kept = ["key", "node", "pos", "n"]
+
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body in batch.column(0).to_pylist():
                 e = np.frombuffer(body, dtype=ENTRY)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[c])) for c, _ in ENTRY], [c for c, _ in ENTRY])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[c])) for c in kept], kept)
 
     def rest(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for (_, i, j), g in pdf.groupby(["key", "i", "j"], sort=False):
             e = np.empty(len(g), dtype=ENTRY)
-            for c, _ in ENTRY:
+            for c in [*kept, "label"]:
                 e[c] = g[c]
             label, salt = g["label"].to_numpy(np.int64), g["salt"].to_numpy()
             a, b = salt == i, salt == j
@@ -316,12 +324,13 @@ def similar_components(nodes: DataFrame, sets_of, t: float, links: DataFrame) ->
                 vs.append(v)
         return _blobs(np.concatenate(us).astype(np.int64), np.concatenate(vs).astype(np.int64), blocks)
 
-    sent = nodes.select("node", "n", "keys").mapInArrow(send, "shard int, body binary")
+    good = materialize(_tested(_dealt(links, blocks), nodes, sets_of, None, t))
+    linked = materialize(connected_components(good))
+    known = F.broadcast(linked) if linked.count() <= BROADCAST_ROWS else linked
+    sent = _labels(nodes.select("node", "n", "keys"), known).select("node", "label", "n", "keys").mapInArrow(send, "shard int, body binary")
     found = materialize(sent.groupBy("shard").applyInPandas(first, "bu long, bv long, pairs binary, entries binary"))
     pairs = found.where("pairs is not null").select("bu", "bv", "pairs")
     large = found.where("length(entries) > 0").select("entries").mapInArrow(unpacked, "key long, node long, pos int, n int")
-    good = materialize(_tested(_dealt(links, blocks), nodes, sets_of, None, t))
-    linked = materialize(connected_components(good))
     by_key = materialize(_tested(pairs, nodes, sets_of, linked, t))
     if by_key.limit(1).count():
         good = good.unionByName(by_key)

@@ -225,8 +225,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
     """The rows of ``docs`` but for those that copy another: of every group linked by copies, the least doc_id stays.
 
     Texts with equal words are one class.  Classes whose sets of word shingles have a Jaccard similarity of
-    ``similarity`` or more are linked.  Candidates are classes whose SimHash fingerprints differ in at most ``radius`` bits, found
-    by their Golay keys; each link is verified on the sets.  Texts of 0.8 can differ in more bits than any radius
+    ``similarity`` or more are linked.  Candidates are classes of which one of two SimHash fingerprints differs in at most
+    ``radius`` bits, found by their Golay keys; each link is verified on the sets.  Texts of 0.8 can differ in more bits than any radius
     of this kind takes, so ``set_join`` then finds every pair that would still join two groups.  Rows with null ids
     stay.  Equal rows of one id are copies of each other; of them one stays.
     """
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
     first = [F.min(c).alias(c) for c in ("n", "keys", "bits", "fp")]
     classes = marked.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *first)
     classes = materialize(classes.withColumnRenamed("cls", "node"))
-    near = links(classes.select("node", F.array("fp").alias("fp")), radius)
+    near = links(classes.select("node", "fp"), radius, tables=set_join.TABLES)
     linked = set_join.similar_components(classes, lambda nodes: _sets_of(rows, classes, nodes, shingle), similarity, near)
     named = classes.join(linked, "node", "left").select("rep", F.coalesce("component", "node").alias("label"))
     best = named.groupBy("label").agg(F.min("rep").alias("best")).select("best.doc_id", "best.text_hash")

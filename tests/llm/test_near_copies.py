@@ -110,6 +110,6 @@ def test_similar_sets_share_a_key_that_does_not_rule_them_out():
         b = {x for x in a if rnd.random() > 0.1} | set(rnd.sample(range(200), rnd.randrange(0, 1 + n // 8))) or {1}
         if len(a & b) < 0.8 * len(a | b):
             continue
-        entries = [[(x, i, p, len(s)) for p, x in enumerate(sorted(s)[: len(s) - int(np.ceil(0.8 * len(s) - 1e-9)) + 1])] for i, s in enumerate((a, b))]
+        entries = [[(x, i, i, p, len(s)) for p, x in enumerate(sorted(s)[: len(s) - int(np.ceil(0.8 * len(s) - 1e-9)) + 1])] for i, s in enumerate((a, b))]
         u, _, _ = set_join._first_pairs(np.array(entries[0] + entries[1], dtype=set_join.ENTRY), 0.8)
         assert len(u)
