@@ -29,6 +29,7 @@ SMALL = 6  # in a bucket of up to this many sets, all pairs are tested at once
 BROADCAST_ROWS = 1_000_000  # rows of a few numbers that may be broadcast
 PIVOTS = 4  # members of a larger bucket that are tested against all others first
 BLOCK = 2048  # members of a large bucket that one task takes from either side
+LEAST_BLOCKS = 16  # parts of the nodes, whose pairs are the units of testing
 PER_SHARD = 1_000_000  # keys that one task looks through, about
 KNOWN = 200_000  # shingles whose count in the sample is known to the order
 TABLES = 2  # fingerprints of a set, by different hashes
@@ -167,12 +168,20 @@ def _first_pairs(e: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.nd
     return u, v, np.concatenate(large) if large else e[:0]
 
 
-def _cross(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of an entry of ``a`` and one of ``b`` that can be similar and have different labels."""
+def _cross(a: np.ndarray, la: np.ndarray, xa: np.ndarray, b: np.ndarray, lb: np.ndarray, xb: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of an entry of ``a`` and one of ``b`` that can be similar by places and bitmaps and have different labels."""
     for at in range(0, len(a), 256):
-        x = a[at : at + 256][:, None]
-        i, j = np.nonzero((la[at : at + 256][:, None] != lb[None, :]) & _possible(x, b[None, :], t))
-        yield x[i, 0]["node"], b["node"][j]
+        x = a[at : at + 256]
+        i, j = np.nonzero((la[at : at + 256][:, None] != lb[None, :]) & _possible(x[:, None], b[None, :], t))
+        for k in range(0, len(i), 1 << 16):
+            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            near = _bits_allow(xa[at + p], xb[q], x["n"][p].astype(np.int64) + b["n"][q], t)
+            yield x["node"][p[near]], b["node"][q[near]]
+
+
+def _bits_allow(x: np.ndarray, y: np.ndarray, total: np.ndarray, t: float) -> np.ndarray:
+    """Whether sets with these bitmaps and ``total`` members together can be similar."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= total - 2 * _need(total, t)
 
 
 def _spanning(u: np.ndarray, v: np.ndarray, label: np.ndarray, flat: np.ndarray, n: np.ndarray, t: float) -> list[tuple[int, int]]:
@@ -219,6 +228,10 @@ def _ends(pdf: pd.DataFrame) -> np.ndarray:
     return np.unique(np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(-1, 2) for x in pdf["pairs"]] or [np.zeros((0, 2), np.int64)]), axis=0)
 
 
+def _matrix(bits: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(-1, WORDS)
+
+
 def _labels(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Add ``label``, the component of a node so far."""
     if labels is None:
@@ -235,14 +248,12 @@ def _tested(pairs: DataFrame, nodes: DataFrame, sets_of, labels: DataFrame | Non
     def rule_out(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("node", ignore_index=True)
         node, n, label = (right[c].to_numpy(np.int64) for c in ("node", "n", "label"))
-        bits = np.frombuffer(b"".join(right["bits"]), dtype=np.uint64).reshape(-1, WORDS)
+        bits = _matrix(right["bits"])
         ends = _ends(left)
         at, near = np.searchsorted(node, ends), np.zeros(len(ends), dtype=bool)
         for i in range(0, len(at), 1 << 16):
             a, b = at[i : i + (1 << 16)].T
-            total = n[a] + n[b]
-            apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-            near[i : i + (1 << 16)] = (apart <= total - 2 * _need(total, t)) & (label[a] != label[b])
+            near[i : i + (1 << 16)] = _bits_allow(bits[a], bits[b], n[a] + n[b], t) & (label[a] != label[b])
         return pd.DataFrame({"bu": left["bu"][:1], "bv": left["bv"][:1], "pairs": [ends[near].tobytes()]})
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -283,7 +294,7 @@ def similar_components(nodes: DataFrame, sets_of, t: float, links: DataFrame) ->
     """
     count, keys = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
     shards = max(8, keys // PER_SHARD)
-    blocks = max(1, int((count / 2000) ** 0.5))
+    blocks = max(LEAST_BLOCKS, int((count / 2000) ** 0.5))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,9 +328,9 @@ def similar_components(nodes: DataFrame, sets_of, t: float, links: DataFrame) ->
             e = np.empty(len(g), dtype=ENTRY)
             for c in [*kept, "label"]:
                 e[c] = g[c]
-            label, salt = g["label"].to_numpy(np.int64), g["salt"].to_numpy()
+            label, salt, bits = e["label"], g["salt"].to_numpy(), _matrix(g["bits"])
             a, b = salt == i, salt == j
-            for u, v in _cross(e[a], label[a], e[b], label[b], t):
+            for u, v in _cross(e[a], label[a], bits[a], e[b], label[b], bits[b], t):
                 us.append(u)
                 vs.append(v)
         return _blobs(np.concatenate(us).astype(np.int64), np.concatenate(vs).astype(np.int64), blocks)
@@ -339,6 +350,7 @@ def similar_components(nodes: DataFrame, sets_of, t: float, links: DataFrame) ->
     labelled = materialize(labelled)
     apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
     dealt = labelled.join(apart.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "key")
+    dealt = dealt.join(nodes.select("node", "bits"), "node")
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("o", F.explode(F.expr("sequence(0, parts - 1)")))
     dealt = dealt.withColumns({"i": F.least("salt", "o"), "j": F.greatest("salt", "o")}).withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(64, shards))))
     more = materialize(dealt.groupBy("shard").applyInPandas(rest, "bu long, bv long, pairs binary"))
