@@ -18,16 +18,16 @@ def segment_on_decrease(df: DataFrame, order: str, counter: str, by: tuple[str,
     their own decreases; one summary row per block carries the counts, and the decreases at block edges, on.
     """
     b = F.floor(F.col(order) / block).cast("bigint")
-    own = Window.partitionBy(*by, "_block").orderBy(order)
-    local = df.withColumn("_block", b)
-    local = local.withColumn("_drop", F.coalesce((F.col(counter) < F.lag(counter).over(own)).cast("bigint"), F.lit(0)))
-    local = local.withColumn("_local", F.sum("_drop").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    summary = local.groupBy(*by, "_block").agg(F.sum("_drop").alias("_n"), F.min_by(counter, order).alias("_first"), F.max_by(counter, order).alias("_last"))
-    across = Window.partitionBy(*by).orderBy("_block") if by else Window.partitionBy(F.lit(0)).orderBy("_block")
-    summary = summary.withColumn("_edge", F.coalesce((F.col("_first") < F.lag("_last").over(across)).cast("bigint"), F.lit(0)))
-    summary = summary.withColumn("_before", F.sum(F.col("_n") + F.col("_edge")).over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-    joined = local.join(summary.select(*by, "_block", "_before"), [*by, "_block"])
-    return joined.withColumn(name, F.col("_local") + F.col("_before")).select(*df.columns, name)
+    own = Window.partitionBy(*by, "_sf_block").orderBy(order)
+    local = df.withColumn("_sf_block", b)
+    local = local.withColumn("_sf_drop", F.coalesce((F.col(counter) < F.lag(counter).over(own)).cast("bigint"), F.lit(0)))
+    local = local.withColumn("_sf_local", F.sum("_sf_drop").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    summary = local.groupBy(*by, "_sf_block").agg(F.sum("_sf_drop").alias("_sf_n"), F.min_by(counter, order).alias("_sf_first"), F.max_by(counter, order).alias("_sf_last"))
+    across = Window.partitionBy(*by).orderBy("_sf_block") if by else Window.partitionBy(F.lit(0)).orderBy("_sf_block")
+    summary = summary.withColumn("_sf_edge", F.coalesce((F.col("_sf_first") < F.lag("_sf_last").over(across)).cast("bigint"), F.lit(0)))
+    summary = summary.withColumn("_sf_before", F.sum(F.col("_sf_n") + F.col("_sf_edge")).over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sf_n"))
+    joined = local.join(summary.select(*by, "_sf_block", "_sf_before"), [*by, "_sf_block"])
+    return joined.withColumn(name, F.col("_sf_local") + F.col("_sf_before")).select(*df.columns, name)
 
 
 def _run(by: list[str], order: str):
@@ -62,8 +62,8 @@ def island_start(status: str, value, by: list[str], order: str) -> Column:
 def islands(df: DataFrame, by: list[str], order: str, status: str, value=1, first: int = 1, name: str = "episode_id", label: str = "r%d_e%d") -> DataFrame:
     """Number contiguous stretches of ``value``; ``name`` is null on other rows (W4).  Ids need one ``by`` column."""
     w = _run(by, order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("_start", island_start(status, value, by, order)).withColumn("_n", F.sum("_start").over(w) + first - 1)
-    return out.withColumn(name, F.when(_is(status, value), F.format_string(label, F.col(by[0]), F.col("_n")))).drop("_start", "_n")
+    out = df.withColumn("_sf_start", island_start(status, value, by, order)).withColumn("_sf_n", F.sum("_sf_start").over(w) + first - 1)
+    return out.withColumn(name, F.when(_is(status, value), F.format_string(label, F.col(by[0]), F.col("_sf_n")))).drop("_sf_start", "_sf_n")
 
 
 def lag_feature(c: str, by: list[str], order: str) -> Column:
@@ -96,8 +96,8 @@ def since_last(counter: str, status: str, by: list[str], order: str, value=1) ->
 def prior_islands(df: DataFrame, by: list[str], order: str, status: str, value=1, empty: float = 0.0, name: str = "oracle_prior_episodes") -> DataFrame:
     """Stretches that began before this row."""
     w = _run(by, order).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("_start", island_start(status, value, by, order))
-    return out.withColumn(name, F.coalesce(F.sum("_start").over(w).cast("double"), F.lit(empty))).drop("_start")
+    out = df.withColumn("_sf_start", island_start(status, value, by, order))
+    return out.withColumn(name, F.coalesce(F.sum("_sf_start").over(w).cast("double"), F.lit(empty))).drop("_sf_start")
 
 
 def history(df: DataFrame, by: list[str], order: str, counter: str, status: str, cycle: str, missing: str) -> DataFrame:
@@ -114,12 +114,12 @@ def history(df: DataFrame, by: list[str], order: str, counter: str, status: str,
 
 def _places(df: DataFrame, by: list[str], order: str, block: int) -> DataFrame:
     """Add ``_place``, the 0-based place in the run, from places in blocks of ``order`` and the blocks' counts."""
-    own = Window.partitionBy(*by, "_ob").orderBy(order)
-    local = df.withColumn("_ob", F.floor(F.col(order) / block).cast("bigint")).withColumn("_k", F.row_number().over(own) - 1)
-    counts = local.groupBy(*by, "_ob").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_ob").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = local.join(counts.withColumn("_o", before).drop("_n"), [*by, "_ob"])
-    return joined.withColumn("_place", F.col("_k") + F.col("_o")).drop("_ob", "_k", "_o")
+    own = Window.partitionBy(*by, "_sf_ob").orderBy(order)
+    local = df.withColumn("_sf_ob", F.floor(F.col(order) / block).cast("bigint")).withColumn("_sf_k", F.row_number().over(own) - 1)
+    counts = local.groupBy(*by, "_sf_ob").agg(F.count(F.lit(1)).alias("_sf_n"))
+    before = F.coalesce(F.sum("_sf_n").over(Window.partitionBy(*by).orderBy("_sf_ob").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = local.join(counts.withColumn("_sf_o", before).drop("_sf_n"), [*by, "_sf_ob"])
+    return joined.withColumn("_sf_place", F.col("_sf_k") + F.col("_sf_o")).drop("_sf_ob", "_sf_k", "_sf_o")
 
 
 def history_blocked(df: DataFrame, by: list[str], order: str, counter: str, status: str, cycle: str, missing: str, block: int = BLOCK, value=1) -> DataFrame:
@@ -131,31 +131,31 @@ def history_blocked(df: DataFrame, by: list[str], order: str, counter: str, stat
     halo = 20
     if block < halo:
         raise ValueError("a block holds at least the halo")
-    placed = _places(df, by, order, block).withColumn("_b", F.floor(F.col("_place") / block).cast("bigint")).withColumn("_halo", F.lit(False))
-    edge = placed.where(F.col("_place") % block >= block - halo).withColumn("_b", F.col("_b") + 1).withColumn("_halo", F.lit(True))
+    placed = _places(df, by, order, block).withColumn("_sf_b", F.floor(F.col("_sf_place") / block).cast("bigint")).withColumn("_sf_halo", F.lit(False))
+    edge = placed.where(F.col("_sf_place") % block >= block - halo).withColumn("_sf_b", F.col("_sf_b") + 1).withColumn("_sf_halo", F.lit(True))
     both = placed.unionByName(edge)
-    keys = [*by, "_b"]
+    keys = [*by, "_sf_b"]
     out = both.withColumns({
-        "prev_cycle_time": lag_feature(cycle, keys, "_place"),
-        "max_cycle_previous_5": rolling_max(cycle, 5, keys, "_place"),
-        "missing_process_previous_20": rolling_count_true(F.col(missing), 20, keys, "_place"),
-        "missing_shots_before_current": counter_gap(counter, keys, "_place"),
-        "_start": island_start(status, value, keys, "_place"),
-    }).where(~F.col("_halo"))
-    earlier = _run(keys, "_place").rowsBetween(Window.unboundedPreceding, -1)
+        "prev_cycle_time": lag_feature(cycle, keys, "_sf_place"),
+        "max_cycle_previous_5": rolling_max(cycle, 5, keys, "_sf_place"),
+        "missing_process_previous_20": rolling_count_true(F.col(missing), 20, keys, "_sf_place"),
+        "missing_shots_before_current": counter_gap(counter, keys, "_sf_place"),
+        "_sf_start": island_start(status, value, keys, "_sf_place"),
+    }).where(~F.col("_sf_halo"))
+    earlier = _run(keys, "_sf_place").rowsBetween(Window.unboundedPreceding, -1)
     warm = F.when(_is(status, value), F.col(counter))
-    out = out.withColumns({"_begun": F.coalesce(F.sum("_start").over(earlier), F.lit(0)), "_last": F.last(warm, ignorenulls=True).over(earlier)})
-    summary = out.groupBy(*keys).agg(F.sum("_start").alias("_n"), F.max_by(warm, F.when(warm.isNotNull(), F.col("_place"))).alias("_w"))
-    across = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select(*keys, F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_n0"), F.last("_w", ignorenulls=True).over(across).alias("_w0"))
+    out = out.withColumns({"_sf_begun": F.coalesce(F.sum("_sf_start").over(earlier), F.lit(0)), "_sf_last": F.last(warm, ignorenulls=True).over(earlier)})
+    summary = out.groupBy(*keys).agg(F.sum("_sf_start").alias("_sf_n"), F.max_by(warm, F.when(warm.isNotNull(), F.col("_sf_place"))).alias("_sf_w"))
+    across = Window.partitionBy(*by).orderBy("_sf_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.select(*keys, F.coalesce(F.sum("_sf_n").over(across), F.lit(0)).alias("_sf_n0"), F.last("_sf_w", ignorenulls=True).over(across).alias("_sf_w0"))
     out = out.join(carried, keys)
-    begun = F.col("_begun") + F.col("_n0")
+    begun = F.col("_sf_begun") + F.col("_sf_n0")
     out = out.withColumns({
-        "episode_id": F.when(_is(status, value), F.format_string("r%d_e%d", F.col(by[0]), begun + F.col("_start"))),
-        "oracle_shots_since_warm": (F.col(counter) - F.coalesce("_last", "_w0")).cast("double"),
+        "episode_id": F.when(_is(status, value), F.format_string("r%d_e%d", F.col(by[0]), begun + F.col("_sf_start"))),
+        "oracle_shots_since_warm": (F.col(counter) - F.coalesce("_sf_last", "_sf_w0")).cast("double"),
         "oracle_prior_episodes": begun.cast("double"),
     })
-    return out.drop("_place", "_b", "_halo", "_start", "_begun", "_last", "_n0", "_w0")
+    return out.drop("_sf_place", "_sf_b", "_sf_halo", "_sf_start", "_sf_begun", "_sf_last", "_sf_n0", "_sf_w0")
 
 
 def sort_stable(df: DataFrame, time: str, tie: str) -> DataFrame:

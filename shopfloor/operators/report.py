@@ -135,5 +135,5 @@ def quality_scorecard(parts: list[tuple[str, str, DataFrame, Column, Column]], u
         out = row if out is None else out.unionByName(row)
     none = F.lit(None).cast("double")
     for dimension, dataset in unmeasured:
-        out = out.unionByName(out.limit(1).select(F.lit(dimension).alias("dimension"), F.lit(dataset).alias("dataset"), none.alias("numerator"), none.alias("denominator"), none.alias("value"), F.lit("not measured").alias("status")))
+        out = out.unionByName(out.sparkSession.range(1).select(F.lit(dimension).alias("dimension"), F.lit(dataset).alias("dataset"), none.alias("numerator"), none.alias("denominator"), none.alias("value"), F.lit("not measured").alias("status")))
     return out

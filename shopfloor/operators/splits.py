@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EXCLUDED = "excluded"
+BROADCAST_FOLDS = 100_000  # names of folds that may be broadcast
 COLUMNS = ["dataset", "scheme", "fold", "row_id", "role", "order", "episode_id", "run_id"]
 
 
@@ -29,17 +30,17 @@ def _role(place: Column, n_train: Column, n_dev: Column) -> Column:
 
 def head_fraction(df: DataFrame, by: str, order: str, num: int, den: int) -> DataFrame:
     """The first floor(N num / den) rows of each group (O3)."""
-    ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(order)))
-    sized = ranked.join(df.groupBy(by).agg(F.count(F.lit(1)).alias("_n")), by)
-    return sized.where(F.expr(f"_k <= _n * {num} div {den}")).select(*df.columns)
+    ranked = df.withColumn("_sf_k", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    sized = ranked.join(df.groupBy(by).agg(F.count(F.lit(1)).alias("_sf_n")), by)
+    return sized.where(F.expr(f"_sf_k <= _sf_n * {num} div {den}")).select(*df.columns)
 
 
 def ratio_split(df: DataFrame, by: str, order: str, dev=(7, 10), train=(8, 10), least: int = 20) -> DataFrame:
     """Add ``role``: by place in the run (W12, F1); runs under ``least`` rows are excluded."""
-    cuts = valid_runs(df, by, least).withColumns(cutoffs("n", dev, train)).drop("n")
-    ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    cuts = valid_runs(df, by, least).withColumns({f"_sf_{c}": v for c, v in cutoffs("n", dev, train).items()}).drop("n")
+    ranked = df.withColumn("_sf_k", F.row_number().over(Window.partitionBy(by).orderBy(order)))
     joined = ranked.join(cuts, by, "left")
-    role = F.when(F.col("n_dev").isNull(), EXCLUDED).otherwise(_role(F.col("_k"), F.col("n_train"), F.col("n_dev")))
+    role = F.when(F.col("_sf_n_dev").isNull(), EXCLUDED).otherwise(_role(F.col("_sf_k"), F.col("_sf_n_train"), F.col("_sf_n_dev")))
     return joined.withColumn("role", role).select(*df.columns, "role")
 
 
@@ -64,26 +65,29 @@ def expand_run_roles(runs: DataFrame, by: str, scheme: str, first: int = 2) -> D
     before validates, earlier ones train, later ones are excluded.
     """
     order = Window.partitionBy(F.lit(0)).orderBy(by)  # one row per run
-    r = runs.select(by).distinct().withColumns({"_k": F.row_number().over(order) - 1, "_last": F.max(by).over(Window.partitionBy(F.lit(0))), "_prev": F.lag(by).over(order)})
-    r = r.withColumn("_second", F.max(F.when(F.col(by) != F.col("_last"), F.col(by))).over(Window.partitionBy(F.lit(0))))
-    tests = r.select(F.col(by).alias("_test"), F.col("_k").alias("_test_k"), "_last", "_second", F.col("_prev").alias("_test_prev"))
-    pairs = r.select(F.col(by), F.lit(1).alias("_one")).join(tests.withColumn("_one", F.lit(1)), "_one")
+    r = runs.select(by).distinct().withColumns({"_sf_k": F.row_number().over(order) - 1, "_sf_last": F.max(by).over(Window.partitionBy(F.lit(0))), "_sf_prev": F.lag(by).over(order)})
+    r = r.withColumn("_sf_second", F.max(F.when(F.col(by) != F.col("_sf_last"), F.col(by))).over(Window.partitionBy(F.lit(0))))
+    tests = r.select(F.col(by).alias("_sf_test"), F.col("_sf_k").alias("_sf_test_k"), "_sf_last", "_sf_second", F.col("_sf_prev").alias("_sf_test_prev"))
+    pairs = r.select(F.col(by), F.lit(1).alias("_sf_one")).join(tests.withColumn("_sf_one", F.lit(1)), "_sf_one")
     if scheme == "run_holdout":
-        val = F.when(F.col("_test") == F.col("_last"), F.col("_second")).otherwise(F.col("_last"))
-        role = F.when(F.col(by) == F.col("_test"), "test").when(F.col(by) == val, "validation").otherwise("train")
+        val = F.when(F.col("_sf_test") == F.col("_sf_last"), F.col("_sf_second")).otherwise(F.col("_sf_last"))
+        role = F.when(F.col(by) == F.col("_sf_test"), "test").when(F.col(by) == val, "validation").otherwise("train")
     else:
-        pairs = pairs.where(F.col("_test_k") >= first)
-        role = F.when(F.col(by) == F.col("_test"), "test").when(F.col(by) == F.col("_test_prev"), "validation").when(F.col(by) < F.col("_test"), "train").otherwise(EXCLUDED)
-    return pairs.select(F.col("_test").cast("string").alias("fold"), by, role.alias("role"))
+        pairs = pairs.where(F.col("_sf_test_k") >= first)
+        role = F.when(F.col(by) == F.col("_sf_test"), "test").when(F.col(by) == F.col("_sf_test_prev"), "validation").when(F.col(by) < F.col("_sf_test"), "train").otherwise(EXCLUDED)
+    return pairs.select(F.col("_sf_test").cast("string").alias("fold"), by, role.alias("role"))
 
 
 def run_split(df: DataFrame, runs: DataFrame, by: str, scheme: str, first: int = 2) -> DataFrame:
     """Every row of ``df`` once per fold, with ``fold`` and ``role`` (F3, F4); rows of other runs are excluded."""
-    roles = expand_run_roles(runs, by, scheme, first)
-    folds = roles.select("fold").distinct()
-    each = df.join(F.broadcast(folds))  # one row per run
-    out = each.join(roles.withColumnRenamed("role", "_role"), ["fold", by], "left")
-    return out.withColumn("role", F.coalesce("_role", F.lit(EXCLUDED))).select(*df.columns, "fold", "role")
+    roles = expand_run_roles(runs, by, scheme, first).withColumnsRenamed({"role": "_sf_role", "fold": "_sf_fold"})
+    folds = roles.select("_sf_fold").distinct().withColumn("_sf_one", F.lit(1))
+    if folds.limit(BROADCAST_FOLDS + 1).count() <= BROADCAST_FOLDS:
+        folds = F.broadcast(folds)
+    inside = df.join(roles, by)  # a run has one role in each fold
+    other = df.join(runs.select(by).distinct(), by, "left_anti").withColumn("_sf_one", F.lit(1)).join(folds, "_sf_one").withColumn("_sf_role", F.lit(EXCLUDED))
+    made = [*[c for c in df.columns if c not in ("fold", "role")], F.col("_sf_fold").alias("fold"), F.col("_sf_role").alias("role")]
+    return inside.select(*made).unionByName(other.select(*made))
 
 
 def distinct_times(df: DataFrame, t: str) -> DataFrame:
@@ -96,8 +100,8 @@ def time_cutoffs(df: DataFrame, t: str, dev=(7, 10), train=(8, 10)) -> tuple:
 
     Counts per day find the day that holds a place; only that day's times are sorted.
     """
-    times = distinct_times(df.where(F.col(t).isNotNull()), t).withColumn("_day", F.to_date(t))
-    days = times.groupBy("_day").agg(F.count(F.lit(1)).alias("n")).orderBy("_day").collect()  # one row per day
+    times = distinct_times(df.where(F.col(t).isNotNull()), t).withColumn("_sf_day", F.to_date(t))
+    days = times.groupBy("_sf_day").agg(F.count(F.lit(1)).alias("n")).orderBy("_sf_day").collect()  # one row per day
     total = sum(d["n"] for d in days)
     n_dev = total * dev[0] // dev[1]
     out = []
@@ -105,7 +109,7 @@ def time_cutoffs(df: DataFrame, t: str, dev=(7, 10), train=(8, 10)) -> tuple:
         before, found = 0, None
         for d in days:
             if k and before + d["n"] >= k:
-                found = times.where(F.col("_day") == d["_day"]).orderBy(t).limit(k - before).agg(F.max(t)).first()[0]
+                found = times.where(F.col("_sf_day") == d["_sf_day"]).orderBy(t).limit(k - before).agg(F.max(t)).first()[0]
                 break
             before += d["n"]
         out.append(found)

@@ -45,8 +45,7 @@ def timeline_table(raw: DataFrame) -> DataFrame:
         "row_id": fn.row_id("m41", ("r", "run_id"), ("s", "Shot")),
         "process_missing": fn.any_null(PROCESS), "gate_eligible": fn.eligible("Machine_Status", PROCESS),
     })
-    out = ordered.islands(out, ["run_id"], "source_row", "Machine_Status")
-    return ordered.history(out, ["run_id"], "source_row", "Shot", "Machine_Status", "Cycle_Time", "process_missing")
+    return ordered.history_blocked(out, ["run_id"], "source_row", "Shot", "Machine_Status", "Cycle_Time", "process_missing")
 
 
 def joined_table(quality: DataFrame, timeline: DataFrame) -> DataFrame:

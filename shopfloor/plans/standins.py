@@ -33,8 +33,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row_id": fn.row_id("m41", ("r", "run_id"), ("s", "shot")),
         "process_missing": fn.any_null(["cycle_time"]), "gate_eligible": fn.eligible("status", ["cycle_time"]),
     })
-    out = ordered.islands(out, ["run_id"], "source_row", "status")
-    return ordered.history(out, ["run_id"], "source_row", "shot", "status", "cycle_time", "process_missing")
+    return ordered.history_blocked(out, ["run_id"], "source_row", "shot", "status", "cycle_time", "process_missing")
 
 
 def raw_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

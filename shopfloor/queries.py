@@ -425,6 +425,7 @@ def constant_columns(spark, d: str) -> DataFrame:
 @query(QL + """select 'uniqueness' dimension, 'q42' dataset, (select count(*) from ql)::double numerator, (select count(*) from qr)::double denominator, (select count(*) from ql) / (select count(*) from qr) as value, 'measured' status
 union all select 'completeness', 'm41', count(*) filter (where gate_eligible), count(*), count(*) filter (where gate_eligible) / count(*), 'measured' from tl
 union all select 'validity', 'm41', count(status), count(status), 1, 'measured' from tl
+    union all select 'consistency', 'q42', count(*) filter (where q.cycle_time is not distinct from t.cycle_time), count(*), count(*) filter (where q.cycle_time is not distinct from t.cycle_time) / count(*), 'measured' from ql q join tl t on t.run_id = q.run_id and t.shot = q.shot
 union all select 'accuracy', 'q42', null, null, null, 'not measured' union all select 'timeliness', 'q42', null, null, null, 'not measured'""")
 def quality_scorecard(spark, d: str) -> DataFrame:
     q, t = st.quality_runs(spark, d), st.timeline(spark, d)
@@ -432,6 +433,8 @@ def quality_scorecard(spark, d: str) -> DataFrame:
     eligible = F.sum(F.col("gate_eligible").cast("bigint"))
     valid = F.sum(F.col("status").isin(0, 1).cast("bigint"))
     parts = [("uniqueness", "q42", q, first, F.count(F.lit(1))), ("completeness", "m41", t, eligible, F.count(F.lit(1))), ("validity", "m41", t, valid, F.count("status"))]
+    agreed = link.cell_agreement(st.quality(spark, d), t, ["run_id", "shot"], ["cycle_time"])
+    parts.append(("consistency", "q42", agreed, F.sum("n_equal"), F.sum("n_rows")))
     return report.quality_scorecard(parts, [("accuracy", "q42"), ("timeliness", "q42")])
 
 
@@ -596,3 +599,6 @@ def fingerprint(spark, d: str) -> DataFrame:
     rows = st.raw_timeline(spark, d)
     a, b = validate.fingerprint(rows), validate.fingerprint(rows.repartition(5))
     return a.crossJoin(b.toDF("n2", "s2", "x2")).select("n", ((F.col("hash_sum") == F.col("s2")) & (F.col("hash_xor") == F.col("x2"))).alias("same_when_repeated"))
+
+
+from . import documented  # noqa: E402,F401  registers the queries over the documented tables
