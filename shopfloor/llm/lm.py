@@ -15,10 +15,12 @@ entry per block.
 Rules for unusual input
 -----------------------
 null or empty text     only the end token
+very long text         one block by itself
 null doc_id            a training row, returned with its null id
-repeated rows          each counts and is returned by itself
+ties, repeated rows    each counts and is returned by itself
 no training row        N is 0 and every token unknown; scores are those of the smoothed formulas
 extra columns          ignored
+empty table            empty result
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from . import arrays, blocks
 from .elias_fano import Trie, mapped
 from .scratch import materialize
 
-MU = 1000.0  # strength of the prior, in tokens
+MU = 100.0  # strength of the prior, in tokens; held-out texts are likeliest with about this much
 STEP = 4096  # quantisation: steps per decade of probability
 MISSING = 0xFFFF
 END = np.uint64(0xE3779B97F4A7C15E)  # stands for the end among word hashes

@@ -12,7 +12,9 @@ null or equal turns    ordered by turn, nulls first, then by role and text
 null pair_id           no pair; such turns are left out
 repeated rows          turns like any other
 one side missing       the pair is returned with an empty completion for it
+very long texts        rendered whole; a conversation is one row
 extra columns          ignored
+empty table            no pairs from two, one-sided pairs from one
 """
 
 from __future__ import annotations

@@ -11,9 +11,11 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder of our own only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder of our own only where it is unset and all runs on one machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         shared = _own.setdefault(app, tempfile.mkdtemp(prefix="shopfloor-"))
     return f"{shared.rstrip('/')}/llm-{uuid.uuid4().hex}"

@@ -11,8 +11,9 @@ writers reach every store; ``content`` is the file.  File numbers ascend with th
 Rules for unusual input
 -----------------------
 null or empty text     the end id alone
+very long text         one frame like any other; a file holds at least one document, whatever its size
 null doc_id            stored first
-equal doc_ids          in the order of their texts, nulls first
+ties, equal doc_ids    in the order of their texts, nulls first; repeated rows are stored each
 extra columns          ignored
 empty table            no files
 """

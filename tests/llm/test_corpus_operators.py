@@ -157,20 +157,65 @@ def test_preference_pairs(spark):
 
 
 def test_pipeline(spark, sf_dir):
+    """Each stage's rows and texts against a plain version on the stage's own input."""
+    import re
+
+    from test_near_copies import kept as least_of_groups
+    from test_text_operators import plain_counts, plain_matches
+
+    from shopfloor.llm import quality, secrets
+
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    rules = quality.learn(quality.training_rows(docs, labels))
+    stats = {r["doc_id"]: r.asDict() for r in quality.with_statistics(docs).selectExpr("doc_id", *[f"{v} as {k}" for k, v in quality.FEATURES.items()]).collect()}
+
+    def by_rules(rows):
+        out = {}
+        for i, t in rows.items():
+            n, _, _, _, twice = plain_counts(t)
+            if n >= 50 and 100 * twice <= 50 * n and not any(r.holds(stats[i]) for r in rules):
+                out[i] = t
+        return out
+
+    def by_copies(rows):
+        own = sorted(rows.items())
+        return {i: rows[i] for i in least_of_groups([(i, t or "") for i, t in own])}
+
+    def by_benchmark(rows):
+        near = [(i, t) for i, t in rows.items() if any(len(set(words(lower(t))) & set(words(lower(u)))) >= 3 for _, u in items)]
+        dirty = {m[0] for m in plain_matches(near, items)}
+        return {i: t for i, t in rows.items() if i not in dirty}
+
     kept = docs
-    before = {r["doc_id"] for r in docs.collect()}
     for name, stage in pipeline.STAGES[:-1]:
+        before = {r["doc_id"]: r["text"] for r in kept.select("doc_id", "text").collect()}
+        spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["all_spans"]] for r in secrets.scan(kept).select("doc_id", "all_spans").collect()} if name == "secret_scan" else {}
         kept = pipeline.materialize(stage(spark, kept, sf_dir))
         assert tuple(kept.columns) == pipeline.COLUMNS, name
-        now = {r["doc_id"] for r in kept.collect()}
-        assert now <= before and (name != "secret_scan" or now == before)
-        before = now
-    texts = [r["text"] for r in kept.collect()]
-    assert len({lower(t) for t in texts}) == len(texts)
+        after = {r["doc_id"]: r["text"] for r in kept.select("doc_id", "text").collect()}
+        assert kept.count() == len(after)
+        if name == "secret_scan":
+            assert set(after) == set(before)
+            for i, t in before.items():
+                at, out = 0, ""
+                for a, b in spans[i]:
+                    out, at = (out + t[at:a] + "[SECRET]", b) if a >= at else (out, max(at, b))
+                assert after[i] == (out + t[at:] if spans[i] else t), i
+                assert not re.search("AKIA[A-Z0-9]{14,}", after[i] or "")
+        else:
+            assert after == {"quality_rules": by_rules, "near_duplicates": by_copies, "decontamination": by_benchmark}[name](before), name
+            assert 0 < len(after) <= len(before)
     places = pipeline.STAGES[-1][1](spark, kept, sf_dir)
-    assert {r["doc_id"] for r in places.collect()} == before
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    sizes = {}
+    for r in places.collect():
+        sizes[r["doc_id"]] = sizes.get(r["doc_id"], 0) + r["length"]
+    assert sizes == {i: len(model.encode(t or "")) + 1 for i, t in after.items()}
     empty = docs.limit(0)
     for name, stage in pipeline.STAGES:
         empty_out = stage(spark, empty, sf_dir)
