@@ -33,7 +33,8 @@ LEAST_BLOCKS = 16  # parts of the nodes, whose pairs are the units of testing
 PER_SHARD = 1_000_000  # keys that one task looks through, about
 KNOWN = 200_000  # shingles whose count in the sample is known to the order
 TABLES = 2  # fingerprints of a set, by different hashes
-WORDS = 16  # 64-bit words of a set's parity bitmap
+WORDS = 16  # 64-bit words of a set's parity bitmap; sets of more members than its bits have a wide one besides
+FOLD_WORDS = 1 << 21  # words of wide bitmaps that are compared at once
 ENTRY = [("key", "<i8"), ("node", "<i8"), ("label", "<i8"), ("pos", "<i4"), ("n", "<i4")]
 EPS = 1e-9
 
@@ -64,14 +65,45 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return h, n, s[fresh], np.bincount(owner[fresh], minlength=rows)
 
 
-def _bitmaps(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _bitmaps(flat: np.ndarray, n: np.ndarray, words: int = WORDS) -> np.ndarray:
     """Parity bitmaps of sets: two differ in no more bits than the sets have members in one only."""
-    bit = arrays.mixed(flat.view(np.uint64)) % np.uint64(64 * WORDS)
-    cell, times = np.unique(np.repeat(np.arange(len(n)), n) * (64 * WORDS) + bit.astype(np.int64), return_counts=True)
+    bit = arrays.mixed(flat.view(np.uint64)) % np.uint64(64 * words)
+    cell, times = np.unique(np.repeat(np.arange(len(n)), n) * (64 * words) + bit.astype(np.int64), return_counts=True)
     cell = cell[times % 2 == 1]
-    out = np.zeros(len(n) * WORDS, dtype=np.uint64)
+    out = np.zeros(len(n) * words, dtype=np.uint64)
     np.bitwise_or.at(out, cell >> 6, np.uint64(1) << (cell & 63).astype(np.uint64))
-    return out.reshape(-1, WORDS)
+    return out.reshape(-1, words)
+
+
+def _wide_bitmaps(flat: np.ndarray, n: np.ndarray) -> list[bytes | None]:
+    """Bitmaps of at least a bit a member for the sets that ``WORDS`` words cannot tell apart; None for the others.
+
+    Half full, a bitmap allows every pair; this is so from about two members a bit.  Widths are powers of two, so that a
+    wide bitmap folds to a narrower one.
+    """
+    out: list[bytes | None] = [None] * len(n)
+    width = np.array([1 << (int(x) - 1).bit_length() >> 6 if x > 64 * WORDS else 0 for x in n], dtype=np.int64)
+    for w in np.unique(width[width > 0]).tolist():
+        at = np.flatnonzero(width == w)
+        for i, bits in zip(at.tolist(), _bitmaps(flat[np.repeat(width == w, n)], n[at], w)):
+            out[i] = bits.tobytes()
+    return out
+
+
+def _wide_allow(a: np.ndarray, b: np.ndarray, wide: list[bytes | None], n: np.ndarray, t: float) -> np.ndarray:
+    """Whether sets ``a`` and ``b`` can be similar by their wide bitmaps, the wider folded to the other; true if one has none."""
+    width = np.array([len(x) // 8 if x else 0 for x in wide], dtype=np.int64)
+    least = np.minimum(width[a], width[b])
+    out = np.ones(len(a), dtype=bool)
+    for w in np.unique(least[least > 0]).tolist():
+        own = np.flatnonzero(least == w)
+        nodes, at = np.unique(np.concatenate([a[own], b[own]]), return_inverse=True)
+        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(wide[x], dtype=np.uint64).reshape(-1, w), axis=0) for x in nodes.tolist()])
+        step = max(1, FOLD_WORDS // w)
+        for i in range(0, len(own), step):
+            part, p, q = own[i : i + step], at[i : i + step][: len(own) - i], at[len(own) + i : len(own) + i + step]
+            out[part] = _bits_allow(bits[p], bits[q], n[a[part]] + n[b[part]], t)
+    return out
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -96,14 +128,14 @@ def common_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def named_keys(rows: DataFrame, t: float, k: int, fingerprint: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """``(doc_id, text_hash, cls, cls2, n, keys, bits, fp)``: two names of the word sequence; size, keys in order, bitmap and ``TABLES`` fingerprints of the shingle set."""
+    """``(doc_id, text_hash, cls, cls2, n, keys, bits, wide, fp)``: two names of the word sequence; size, keys in order, bitmaps and ``TABLES`` fingerprints of the shingle set."""
     known, counts = common_shingles(rows, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in arrays.chunks(batches, "text"):
             h, words, s, n = shingle_sets(data, offsets, k)
             names = arrays.row_digests(h, words)
-            bits = _bitmaps(s, n)
+            bits, wide = _bitmaps(s, n), _wide_bitmaps(s, n)
             fps = [fingerprint(arrays.mixed(s.view(np.uint64) + np.uint64(i)), n).view(np.int64) for i in range(TABLES)]
             rank = np.zeros(len(s), dtype=np.int64)
             if len(known):
@@ -112,9 +144,9 @@ def named_keys(rows: DataFrame, t: float, k: int, fingerprint: Callable[[np.ndar
             s = s[np.lexsort((s, rank, np.repeat(np.arange(len(n)), n)))]
             prefix = n - np.ceil(t * n - EPS).astype(np.int64) + 1
             keys = s[arrays.ranges(n) < np.repeat(prefix, n)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names[0]), pa.array(names[1]), pa.array(n.astype(np.int32)), _lists(keys, np.minimum(prefix, n)), pa.array([x.tobytes() for x in bits], pa.binary()), _lists(np.stack(fps, axis=1).ravel(), np.full(len(n), TABLES))], ["doc_id", "text_hash", "cls", "cls2", "n", "keys", "bits", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names[0]), pa.array(names[1]), pa.array(n.astype(np.int32)), _lists(keys, np.minimum(prefix, n)), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(wide, pa.binary()), _lists(np.stack(fps, axis=1).ravel(), np.full(len(n), TABLES))], ["doc_id", "text_hash", "cls", "cls2", "n", "keys", "bits", "wide", "fp"])
 
-    return rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, cls long, cls2 long, n int, keys array<long>, bits binary, fp array<long>")
+    return rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, cls long, cls2 long, n int, keys array<long>, bits binary, wide binary, fp array<long>")
 
 
 def _need(total, t: float):
@@ -248,12 +280,16 @@ def _tested(pairs: DataFrame, nodes: DataFrame, sets_of, labels: DataFrame | Non
     def rule_out(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("node", ignore_index=True)
         node, n, label = (right[c].to_numpy(np.int64) for c in ("node", "n", "label"))
-        bits = _matrix(right["bits"])
+        bits, wide = _matrix(right["bits"]), [x if isinstance(x, bytes) else None for x in right["wide"].tolist()]
         ends = _ends(left)
-        at, near = np.searchsorted(node, ends), np.zeros(len(ends), dtype=bool)
+        at, near = np.searchsorted(node, ends).reshape(-1, 2), np.zeros(len(ends), dtype=bool)
         for i in range(0, len(at), 1 << 16):
             a, b = at[i : i + (1 << 16)].T
             near[i : i + (1 << 16)] = _bits_allow(bits[a], bits[b], n[a] + n[b], t) & (label[a] != label[b])
+        sizes = n[at]
+        near &= sizes.max(axis=1) * t <= sizes.min(axis=1) + EPS
+        left_over = np.flatnonzero(near)
+        near[left_over] = _wide_allow(at[left_over, 0], at[left_over, 1], wide, n, t)
         return pd.DataFrame({"bu": left["bu"][:1], "bv": left["bv"][:1], "pairs": [ends[near].tobytes()]})
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -265,7 +301,7 @@ def _tested(pairs: DataFrame, nodes: DataFrame, sets_of, labels: DataFrame | Non
         good = node[np.array(good, dtype=np.int64).reshape(-1, 2)]
         return pd.DataFrame({"u": good[:, 0], "v": good[:, 1]})
 
-    light = _labels(_members(pairs).join(nodes.select("node", "n", "bits"), "node"), labels)
+    light = _labels(_members(pairs).join(nodes.select("node", "n", "bits", "wide"), "node"), labels)
     near = pairs.groupBy("bu", "bv").cogroup(light.groupBy("bu", "bv")).applyInPandas(rule_out, "bu long, bv long, pairs binary")
     near = materialize(near.where("length(pairs) > 0"))
     members = materialize(_labels(_members(near), labels))
@@ -286,7 +322,7 @@ def _dealt(links: DataFrame, blocks: int) -> DataFrame:
 
 
 def similar_components(nodes: DataFrame, sets_of, t: float, links: DataFrame) -> DataFrame:
-    """``(node, component)`` of all ``nodes(node, n, keys, bits)`` that a chain of pairs of similarity ``t`` links to another.
+    """``(node, component)`` of all ``nodes(node, n, keys, bits, wide)`` that a chain of pairs of similarity ``t`` links to another.
 
     ``links(u, v)`` are tested first; whatever they miss is found by the keys.
 

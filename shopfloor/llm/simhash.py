@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).where("doc_id is not null")
     marked = materialize(set_join.named_keys(rows, similarity, shingle, _majority))
-    first = [F.min(c).alias(c) for c in ("n", "keys", "bits", "fp")]
+    first = [F.min(c).alias(c) for c in ("n", "keys", "bits", "wide", "fp")]
     classes = marked.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *first)
     classes = materialize(classes.withColumnRenamed("cls", "node"))
     near = links(classes.select("node", "fp"), radius, tables=set_join.TABLES)

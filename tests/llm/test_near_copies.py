@@ -113,3 +113,35 @@ def test_similar_sets_share_a_key_that_does_not_rule_them_out():
         entries = [[(x, i, i, p, len(s)) for p, x in enumerate(sorted(s)[: len(s) - int(np.ceil(0.8 * len(s) - 1e-9)) + 1])] for i, s in enumerate((a, b))]
         u, _, _ = set_join._first_pairs(np.array(entries[0] + entries[1], dtype=set_join.ENTRY), 0.8)
         assert len(u)
+
+
+def test_wide_bitmaps_fold_and_never_exceed_the_difference_of_sets():
+    rnd = np.random.default_rng(5)
+    sizes = (1000, 1500, 3000, 3500, 9000)
+    base = rnd.integers(-(2**62), 2**62, 20_000)
+    sets = [np.unique(np.concatenate([base[: n - 200], rnd.integers(-(2**62), 2**62, 200)])) for n in sizes]
+    sets.append(np.unique(rnd.integers(-(2**62), 2**62, 3000)))
+    flat, n = np.concatenate(sets), np.array([len(s) for s in sets])
+    wide = set_join._wide_bitmaps(flat, n)
+    assert [len(x) * 8 if x else 0 for x in wide] == [0, 2048, 4096, 4096, 16384, 4096]
+    narrow = np.frombuffer(wide[4], np.uint64).reshape(-1, 32)
+    assert (np.bitwise_xor.reduce(narrow, axis=0) == set_join._bitmaps(sets[4], n[4:5], 32)[0]).all()
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(6), np.arange(6)))
+    got = set_join._wide_allow(a, b, wide, n, 0.8)
+    for i, j, ok in zip(a, b, got):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        alike = both / (n[i] + n[j] - both)
+        assert ok or alike < 0.8
+        if 0 not in (i, j) and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]):
+            assert not ok or alike > 0.6
+
+
+def test_long_texts_of_many_lengths(spark):
+    rnd = random.Random(9)
+    docs, base = [], words(text(rnd, 4000, 10**6))
+    for g in range(12):
+        own = words(text(rnd, 2600, 10**6))
+        shared = base[: 1000 + 200 * (g % 4)]
+        docs.append((10 * g, " ".join(shared + own)))
+        docs.append((10 * g + 1, " ".join(shared + own[: 2600 - 60 * g])))
+    assert found(spark, docs) == kept(docs)
