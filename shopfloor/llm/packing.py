@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .scratch import materialize
+from .scratch import materialize, working
 from .token_counts import token_counts
 
 CAPACITY = 4096
@@ -125,7 +125,8 @@ def with_sizes(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """
     rows = docs.select("doc_id", text, F.xxhash64("source").alias("source"), F.col("source").isNull().cast("long").alias("unsourced"))
     made = (("fp",), lambda data, offsets: {"fp": simhash.quick_fingerprints(data, offsets).view(np.int64)})
-    sized = materialize(token_counts(rows, model, text, ("source", "unsourced"), made))
+    with working(docs.sparkSession):
+        sized = materialize(token_counts(rows, model, text, ("source", "unsourced"), made), lasting=True)
     clustered = sized.join(simhash.labelled(sized), "fp")
     return clustered.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens"), F.when(F.col("unsourced") == 0, F.col("source")).alias("source"), F.col("label").alias("cluster"))
 

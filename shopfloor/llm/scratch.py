@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_passing: list[list[str]] = []  # tables of the open ``working`` blocks, innermost last
 
 
 def folder(spark: SparkSession) -> str:
@@ -33,10 +34,30 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, so that later steps do not recompute it."""
+@contextmanager
+def working(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are deleted at the end, but for lasting ones.
+
+    What is read after the block must not need the others: its last step inside is a lasting table or an action.
+    """
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, so that later steps do not recompute it.
+
+    Inside ``working``, a table that is not ``lasting`` goes at the block's end; outside, every table stays.
+    """
     spark = df.sparkSession
     path = folder(spark)
+    if _passing and not lasting:
+        _passing[-1].append(path)
     with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

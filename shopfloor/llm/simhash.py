@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import arrays, golay, set_join
 from .blocks import split
 from .components import connected_components
-from .scratch import materialize
+from .scratch import materialize, working
 
 
 #: Two of three segments of 64 bits hold at most 2 of 4 errors each.
@@ -203,8 +203,9 @@ def links(fps: DataFrame, radius: int = 4, segments=SEGMENTS, pairs=PAIRS, table
 def labelled(fps: DataFrame, radius: int = 4) -> DataFrame:
     """``(fp, label)`` for every distinct fingerprint of ``fps``: the least one of those that links lead to."""
     distinct = fps.select("fp").distinct()
-    linked = connected_components(links(distinct.select(F.col("fp").alias("node"), F.array("fp").alias("fp")), radius))
-    return materialize(distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", F.coalesce("component", "fp").alias("label")))
+    with working(fps.sparkSession):
+        linked = connected_components(links(distinct.select(F.col("fp").alias("node"), F.array("fp").alias("fp")), radius))
+        return materialize(distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", F.coalesce("component", "fp").alias("label")), lasting=True)
 
 
 def components(docs: DataFrame, text: str = "text", radius: int = 4) -> DataFrame:
@@ -231,20 +232,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
     stay.  Equal rows of one id are copies of each other; of them one stays.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).where("doc_id is not null")
-    marked = materialize(set_join.named_keys(rows, similarity, shingle, _majority))
-    first = [F.min(c).alias(c) for c in ("n", "keys", "bits", "wide", "fp")]
-    classes = marked.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *first)
-    classes = materialize(classes.withColumnRenamed("cls", "node"))
-    near = links(classes.select("node", "fp"), radius, tables=set_join.TABLES)
-    linked = set_join.similar_components(classes, lambda nodes: _sets_of(rows, classes, nodes, shingle), similarity, near)
-    named = classes.join(linked, "node", "left").select("rep", F.coalesce("component", "node").alias("label"))
-    best = named.groupBy("label").agg(F.min("rep").alias("best")).select("best.doc_id", "best.text_hash")
-    own = marked.select("doc_id", "text_hash")
-    dropped = own.join(best, ["doc_id", "text_hash"], "left_anti").distinct()
-    dropped = materialize(dropped.select(F.col("doc_id").alias("_dup_id"), F.col("text_hash").alias("_dup_hash")))
+    with working(docs.sparkSession):
+        marked = materialize(set_join.named_keys(rows, similarity, shingle, _majority))
+        first = [F.min(c).alias(c) for c in ("n", "keys", "bits", "wide", "fp")]
+        classes = marked.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *first)
+        classes = materialize(classes.withColumnRenamed("cls", "node"))
+        near = links(classes.select("node", "fp"), radius, tables=set_join.TABLES)
+        linked = set_join.similar_components(classes, lambda nodes: _sets_of(rows, classes, nodes, shingle), similarity, near)
+        named = classes.join(linked, "node", "left").select("rep", F.coalesce("component", "node").alias("label"))
+        best = named.groupBy("label").agg(F.min("rep").alias("best")).select("best.doc_id", "best.text_hash")
+        own = marked.select("doc_id", "text_hash")
+        dropped = own.join(best, ["doc_id", "text_hash"], "left_anti").distinct()
+        dropped = materialize(dropped.select(F.col("doc_id").alias("_dup_id"), F.col("text_hash").alias("_dup_hash")), lasting=True)
+        repeats = own.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     small = _sized(dropped, dropped.count())
     kept = docs.join(small, (docs["doc_id"].cast("long") == small["_dup_id"]) & (F.xxhash64(docs[text]) == small["_dup_hash"]), "left_anti")
-    if not own.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+    if not repeats:
         return kept
     once = kept.where("doc_id is not null").dropDuplicates(["doc_id", text])
     return once.unionByName(kept.where("doc_id is null"))
