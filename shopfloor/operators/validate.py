@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .splits import EXCLUDED
+from .splits import BROADCAST_FOLDS, EXCLUDED
 
 
 def _differs(a: DataFrame, b: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
@@ -16,18 +16,33 @@ def _differs(a: DataFrame, b: DataFrame, key: list[str], cols: list[str]) -> Dat
     return a.join(right, key).where(~same).select(*key)
 
 
-def history_leak(df: DataFrame, history: Callable[[DataFrame], DataFrame], order: str, k: int, change: dict[str, Column], cols: list[str]) -> DataFrame:
-    """Rows up to position ``k`` whose history moves when measurements at and after ``k`` are changed (V4)."""
-    later = F.col(order) >= k
-    changed = df.withColumns({c: F.when(later, v).otherwise(F.col(c)) for c, v in change.items()})
-    upto = F.col(order) <= k
-    return _differs(history(df).where(upto), history(changed).where(upto), [order], cols)
+def _where(change: dict[str, Column], cond: Column) -> dict[str, Column]:
+    return {c: F.when(cond, v).otherwise(F.col(c)) for c, v in change.items()}
 
 
-def history_mix(df: DataFrame, history: Callable[[DataFrame], DataFrame], order: str, run: str, value, cols: list[str]) -> DataFrame:
-    """Rows of one run whose history differs when the run is alone (V5)."""
-    one = F.col(run) == value
-    return _differs(history(df).where(one), history(df.where(one)), [order], cols)
+def middles(df: DataFrame, order: str, run: str) -> DataFrame:
+    """``(run, _sf_cut)``: of each run, the last position in the lower half of its span."""
+    spans = df.groupBy(run).agg(F.expr(f"(min({order}) + max({order})) div 2").alias("_sf_mid"))
+    return df.select(run, order).join(spans, run).where(F.col(order) <= F.col("_sf_mid")).groupBy(run).agg(F.max(order).alias("_sf_cut"))
+
+
+def history_leak(df: DataFrame, history: Callable[[DataFrame], DataFrame], order: str, run: str, change: dict[str, Column], cols: list[str]) -> DataFrame:
+    """Rows up to their run's middle whose history moves when measurements at and after it are changed (V4)."""
+    cut = df.join(middles(df, order, run), run)
+    upto = F.col(order) <= F.col("_sf_cut")
+    changed = cut.withColumns(_where(change, F.col(order) >= F.col("_sf_cut")))
+    return _differs(history(cut).where(upto), history(changed).where(upto), [order], cols)
+
+
+def history_mix(df: DataFrame, history: Callable[[DataFrame], DataFrame], order: str, run: str, change: dict[str, Column], cols: list[str]) -> DataFrame:
+    """Rows whose history moves when measurements of neighbouring runs are changed (V5).
+
+    Runs have numbers; those of odd number are changed to look at the even ones, and the other way round.
+    """
+    odd = F.col(run) % 2 == 1
+    plain = history(df)
+    moved = [_differs(plain.where(own), history(df.withColumns(_where(change, ~own))).where(own), [order], cols) for own in (odd, ~odd)]
+    return moved[0].unionByName(moved[1])
 
 
 def role_overlap(folds: DataFrame) -> DataFrame:
@@ -56,7 +71,9 @@ def episode_roles(folds: DataFrame) -> DataFrame:
 def fold_coverage(df: DataFrame, folds: DataFrame) -> DataFrame:
     """Rows of ``df`` that a combination has not exactly once, and assignments of unknown rows."""
     combos = folds.select("dataset", "scheme", "fold").distinct()
-    expected = df.select("row_id").join(F.broadcast(combos))  # a few dozen combinations
+    if combos.limit(BROADCAST_FOLDS + 1).count() <= BROADCAST_FOLDS:
+        combos = F.broadcast(combos)
+    expected = df.select("row_id").join(combos)  # as many rows as the assignments ought to have
     got = folds.groupBy("dataset", "scheme", "fold", "row_id").agg(F.count(F.lit(1)).alias("n"))
     both = expected.withColumn("wanted", F.lit(1)).join(got, ["dataset", "scheme", "fold", "row_id"], "full")
     return both.select("dataset", "scheme", "fold", "row_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("wanted", F.lit(0)).alias("wanted")).where("n != wanted")

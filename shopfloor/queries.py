@@ -69,7 +69,10 @@ def dedup_keep_first(spark, d: str) -> DataFrame:
     return ordered.dedup_keep_first(st.quality_runs(spark, d), RUN, ["id"], ORDER).select("id", "source_row", "run_id", "shot", "cycle_time")
 
 
-@query(QL + "select (select count(*) from qr)::bigint n_before, (select count(*) from qk where copy > 1)::bigint n_removed, (select count(*) from ql)::bigint n_after")
+@query(
+    QL + "select (select count(*) from qr)::bigint n_before, (select count(*) from qk where copy > 1)::bigint n_removed, (select count(*) "
+    "from ql)::bigint n_after"
+)
 def dedup_accounting(spark, d: str) -> DataFrame:
     return report.dedup_accounting(st.quality_runs(spark, d), st.quality(spark, d))
 
@@ -79,7 +82,10 @@ def episodes(spark, d: str) -> DataFrame:
     return ordered.islands(st.runs(spark, d), RUN, ORDER, "status").select("source_row", "run_id", "episode_id")
 
 
-@query(TL + "select episode_id, count(*)::bigint n_rows, min(shot)::bigint first, max(shot)::bigint as last, count(*) filter (where gate_eligible)::bigint n_observable from tl where episode_id is not null group by episode_id")
+@query(
+    TL + "select episode_id, count(*)::bigint n_rows, min(shot)::bigint first, max(shot)::bigint as last, count(*) filter (where "
+    "gate_eligible)::bigint n_observable from tl where episode_id is not null group by episode_id"
+)
 def episode_summary(spark, d: str) -> DataFrame:
     return report.island_summary(st.timeline(spark, d), "episode_id", "shot", "gate_eligible")
 
@@ -160,7 +166,10 @@ def combine_date_time(spark, d: str) -> DataFrame:
     return o.select("o_orderkey", F.date_format(fn.combine_date_time("timestamp", "date"), "yyyy-MM-dd HH:mm:ss").alias("event_time"))
 
 
-@query("select o_orderkey source_row, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') event_time, row_number() over (partition by o_orderdate order by o_orderkey)::bigint tie_place from orders")
+@query(
+    "select o_orderkey source_row, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') event_time, row_number() over (partition by o_orderdate "
+    "order by o_orderkey)::bigint tie_place from orders"
+)
 def stable_time_order(spark, d: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -198,7 +207,11 @@ SMALL_CONTRACT = {
 }
 
 
-@query(TL + "select source_row, cycle_time, lag(cycle_time) over w prev_cycle_time, max(cycle_time) over (partition by run_id order by source_row rows between 5 preceding and 1 preceding) max_cycle_previous_5 from tl window w as (partition by run_id order by source_row)")
+@query(
+    TL + "select source_row, cycle_time, lag(cycle_time) over w prev_cycle_time, max(cycle_time) over (partition by run_id order by "
+    "source_row rows between 5 preceding and 1 preceding) max_cycle_previous_5 from tl window w as (partition by run_id order by "
+    "source_row)"
+)
 def contract_select(spark, d: str) -> DataFrame:
     return contract.select_inputs(st.timeline(spark, d), SMALL_CONTRACT, "gate", ["source_row"])
 
@@ -222,18 +235,28 @@ def drop_columns(spark, d: str) -> DataFrame:
 # --- links -------------------------------------------------------------------------------------------------
 
 
-@query(QL + "select q.row_id, q.shot::bigint shot, t.status::bigint status, t.source_row source_row_m41, lag_ct prev_cycle_time from ql q left join (select *, lag(cycle_time) over (partition by run_id order by source_row) lag_ct from tl) t on t.run_id = q.run_id and t.shot = q.shot")
+@query(
+    QL + "select q.row_id, q.shot::bigint shot, t.status::bigint status, t.source_row source_row_m41, lag_ct prev_cycle_time from ql q left "
+    "join (select *, lag(cycle_time) over (partition by run_id order by source_row) lag_ct from tl) t on t.run_id = q.run_id and "
+    "t.shot = q.shot"
+)
 def enrich_join(spark, d: str) -> DataFrame:
     out = link.link_one_to_one(st.quality(spark, d), st.timeline(spark, d), ["run_id", "shot"], ["status", "source_row", "prev_cycle_time"], {"source_row": "source_row_m41"})
     return out.select("row_id", "shot", F.col("status").cast("bigint").alias("status"), "source_row_m41", "prev_cycle_time")
 
 
-@query(QL + "select 'cycle_time' column_name, count(*)::bigint n_rows, count(*) filter (where q.cycle_time is not distinct from t.cycle_time)::bigint n_equal from ql q join tl t on t.run_id = q.run_id and t.shot = q.shot")
+@query(
+    QL + "select 'cycle_time' column_name, count(*)::bigint n_rows, count(*) filter (where q.cycle_time is not distinct from "
+    "t.cycle_time)::bigint n_equal from ql q join tl t on t.run_id = q.run_id and t.shot = q.shot"
+)
 def join_cell_agreement(spark, d: str) -> DataFrame:
     return link.cell_agreement(st.quality(spark, d), st.timeline(spark, d), ["run_id", "shot"], ["cycle_time"])
 
 
-@query(QL + "select n_equal, n_cells, n_equal / n_cells rate from (select count(*)::bigint n_cells, count(*) filter (where q.cycle_time is not distinct from t.cycle_time)::bigint n_equal from ql q join tl t on t.run_id = q.run_id and t.shot = q.shot)")
+@query(
+    QL + "select n_equal, n_cells, n_equal / n_cells rate from (select count(*)::bigint n_cells, count(*) filter (where q.cycle_time is not "
+    "distinct from t.cycle_time)::bigint n_equal from ql q join tl t on t.run_id = q.run_id and t.shot = q.shot)"
+)
 def join_match_rate(spark, d: str) -> DataFrame:
     return link.match_rate(join_cell_agreement(spark, d))
 
@@ -341,7 +364,11 @@ def fold_consume(spark, d: str) -> DataFrame:
     return splits.use_fold(t, _folds(spark, d), "m41", "within_run", "primary").select("source_row", "cycle_time", "role")
 
 
-@query(FOLDS + "select f.dataset, scheme, fold, role, count(*)::bigint n, count(*) filter (where t.status = 1)::bigint n_positive, count(*) filter (where t.status = 1) between 1 and count(*) - 1 auc_computable from folds f join tl t on t.row_id = f.row_id where f.dataset = 'm41' and role <> 'excluded' group by all")
+@query(
+    FOLDS + "select f.dataset, scheme, fold, role, count(*)::bigint n, count(*) filter (where t.status = 1)::bigint n_positive, count(*) "
+    "filter (where t.status = 1) between 1 and count(*) - 1 auc_computable from folds f join tl t on t.row_id = f.row_id where "
+    "f.dataset = 'm41' and role <> 'excluded' group by all"
+)
 def slice_readiness(spark, d: str) -> DataFrame:
     folds = _folds(spark, d)
     return report.slice_readiness(st.timeline(spark, d), folds.where("dataset = 'm41'"), "status")
@@ -355,13 +382,19 @@ def key_duplicates(spark, d: str) -> DataFrame:
     return report.duplicate_keys(st.table(spark, d, "lineitem").withColumn("l_linenumber", F.col("l_linenumber").cast("bigint")), ["l_orderkey", "l_linenumber"])
 
 
-@query("select l_orderkey, l_linenumber::bigint l_linenumber, count(distinct (l_partkey, l_quantity))::bigint n_variants from lineitem group by all having count(distinct (l_partkey, l_quantity)) > 1")
+@query(
+    "select l_orderkey, l_linenumber::bigint l_linenumber, count(distinct (l_partkey, l_quantity))::bigint n_variants from lineitem "
+    "group by all having count(distinct (l_partkey, l_quantity)) > 1"
+)
 def key_contradictions(spark, d: str) -> DataFrame:
     li = st.table(spark, d, "lineitem").withColumn("l_linenumber", F.col("l_linenumber").cast("bigint"))
     return report.contradictory_keys(li, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_quantity"])
 
 
-@query(TL + "select 'status' column_name, count(*) filter (where status is null)::bigint n_null from tl union all select 'cycle_time', count(*) filter (where cycle_time is null)::bigint from tl")
+@query(
+    TL + "select 'status' column_name, count(*) filter (where status is null)::bigint n_null from tl union all select 'cycle_time', "
+    "count(*) filter (where cycle_time is null)::bigint from tl"
+)
 def null_audit(spark, d: str) -> DataFrame:
     return report.null_audit(st.raw_timeline(spark, d), ["status", "cycle_time"])
 
@@ -391,7 +424,11 @@ def mask_counts(spark, d: str) -> DataFrame:
     return report.masked_counts(st.process(spark, d), ["price_raw"], 10000)
 
 
-@query("select unnest(['price_suspect_high', 'low_flag', 'any']) column_name, unnest([count(*) filter (where o_totalprice > 450000), count(*) filter (where o_totalprice < 20000), count(*) filter (where o_totalprice > 450000 or o_totalprice < 20000)])::bigint n_set from orders")
+@query(
+    "select unnest(['price_suspect_high', 'low_flag', 'any']) column_name, unnest([count(*) filter (where o_totalprice > 450000), "
+    "count(*) filter (where o_totalprice < 20000), count(*) filter (where o_totalprice > 450000 or o_totalprice < 20000)])::bigint "
+    "n_set from orders"
+)
 def high_counts(spark, d: str) -> DataFrame:
     return report.flag_counts(st.process(spark, d).withColumn("low_flag", F.col("price_raw") < 20000), ["price_suspect_high", "low_flag"])
 
@@ -401,7 +438,10 @@ def label_counts(spark, d: str) -> DataFrame:
     return report.label_counts(st.process(spark, d), "label")
 
 
-@query("select strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') as first, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') as last, count(*)::bigint n_rows, (count(*) - count(distinct o_orderdate))::bigint n_extra from orders")
+@query(
+    "select strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') as first, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') as last, "
+    "count(*)::bigint n_rows, (count(*) - count(distinct o_orderdate))::bigint n_extra from orders"
+)
 def time_extent(spark, d: str) -> DataFrame:
     return report.time_extent(st.process(spark, d), "event_time")
 
@@ -416,7 +456,12 @@ def run_report(spark, d: str) -> DataFrame:
     return report.run_report(st.quality(spark, d), st.timeline(spark, d))
 
 
-@query("select unnest(['l_tax', 'fixed', 'rare']) column_name, unnest([avg(case when l_tax is null then 1.0 else 0 end), 0.0, avg(case when l_returnflag = 'R' and l_linenumber = 1 then 0.0 else 1 end)])::double null_rate, unnest([min(l_tax) = max(l_tax), true, true]) as constant, unnest([false, false, avg(case when l_returnflag = 'R' and l_linenumber = 1 then 0.0 else 1 end) > 0.5]) sparse from lineitem")
+@query(
+    "select unnest(['l_tax', 'fixed', 'rare']) column_name, unnest([avg(case when l_tax is null then 1.0 else 0 end), 0.0, avg(case "
+    "when l_returnflag = 'R' and l_linenumber = 1 then 0.0 else 1 end)])::double null_rate, unnest([min(l_tax) = max(l_tax), true, "
+    "true]) as constant, unnest([false, false, avg(case when l_returnflag = 'R' and l_linenumber = 1 then 0.0 else 1 end) > 0.5]) "
+    "sparse from lineitem"
+)
 def constant_columns(spark, d: str) -> DataFrame:
     li = st.table(spark, d, "lineitem").select("l_tax", F.lit("x").alias("fixed"), F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1), 1).alias("rare"))
     return report.constant_or_sparse(li).select("column_name", "null_rate", "constant", "sparse")
@@ -438,7 +483,10 @@ def quality_scorecard(spark, d: str) -> DataFrame:
     return report.quality_scorecard(parts, [("accuracy", "q42"), ("timeliness", "q42")])
 
 
-@query("select 'o_orderstatus' column_name, o_orderstatus as value, count(*)::bigint n from orders where o_orderstatus not in ('F', 'O') group by o_orderstatus")
+@query(
+    "select 'o_orderstatus' column_name, o_orderstatus as value, count(*)::bigint n from orders where o_orderstatus not in ('F', 'O') "
+    "group by o_orderstatus"
+)
 def domain_check(spark, d: str) -> DataFrame:
     return report.domain_violations(st.table(spark, d, "orders"), "o_orderstatus", ["F", "O"])
 
@@ -452,27 +500,38 @@ def _pair(spark, clean: DataFrame, planted: DataFrame) -> DataFrame:
 
 
 def _hist(df: DataFrame) -> DataFrame:
-    return ordered.history(df, RUN, ORDER, "shot", "status", "cycle_time", "process_missing")
+    return ordered.history_blocked(df, RUN, ORDER, "shot", "status", "cycle_time", "process_missing")
 
 
 PAST = ["prev_cycle_time", "max_cycle_previous_5", "missing_process_previous_20"]
 
 
-@query(TL + """select 0::bigint n_clean, count(*)::bigint n_planted from (select source_row, cycle_time, case when source_row >= 5000 then coalesce(cycle_time, 0) + 1000 else cycle_time end changed from tl) where source_row <= 5000 and changed is distinct from cycle_time""")
+def _measured(spark, d: str) -> DataFrame:
+    return _stored(st.timeline(spark, d).drop(*casting.HISTORY))
+
+
+def _changed() -> dict:
+    return {"cycle_time": F.coalesce("cycle_time", F.lit(0)) + 1000, "process_missing": ~F.col("process_missing")}
+
+
+@query(TL + """, cut as (select run_id, max(source_row) k from tl join (select run_id, (min(source_row) + max(source_row)) // 2 mid from tl group by run_id) m using (run_id) where source_row <= mid group by run_id)
+select 0::bigint n_clean, count(*)::bigint n_planted from (select source_row, k, cycle_time, case when source_row >= k then coalesce(cycle_time, 0) + 1000 else cycle_time end changed from tl join cut using (run_id)) where source_row <= k and changed is distinct from cycle_time""")
 def v_history_leak(spark, d: str) -> DataFrame:
-    base = st.timeline(spark, d).drop(*[c for c in casting.HISTORY])
-    change = {"cycle_time": F.coalesce("cycle_time", F.lit(0)) + 1000, "process_missing": ~F.col("process_missing")}
+    base = _measured(spark, d)
     leaky = lambda df: df.withColumn("prev_cycle_time", F.col("cycle_time"))  # noqa: E731  reads the current measurement
-    clean = validate.history_leak(base, _hist, ORDER, 5000, change, PAST)
-    return _pair(spark, clean, validate.history_leak(base, leaky, ORDER, 5000, change, ["prev_cycle_time"]))
+    clean = validate.history_leak(base, _hist, ORDER, "run_id", _changed(), PAST)
+    return _pair(spark, clean, validate.history_leak(base, leaky, ORDER, "run_id", _changed(), ["prev_cycle_time"]))
 
 
-@query(TL + "select 0::bigint n_clean, count(*)::bigint n_planted from (select *, lag(cycle_time) over (order by source_row) p, row_number() over (partition by run_id order by source_row) k from tl) where run_id = 3 and k = 1 and p is not null")
+@query(
+    TL + "select 0::bigint n_clean, count(*)::bigint n_planted from (select run_id, lag(run_id) over (order by source_row) before from tl) "
+    "where run_id % 2 = 1 and before = run_id - 1"
+)
 def v_run_mix(spark, d: str) -> DataFrame:
-    base = st.timeline(spark, d).drop(*casting.HISTORY)
-    mixing = lambda df: df.withColumn("prev_cycle_time", ordered.lag_feature("cycle_time", ["_all"], ORDER))
-    near = base.withColumn("_all", F.lit(0)).where(F.col("run_id").between(2, 3))
-    return _pair(spark, validate.history_mix(base, _hist, ORDER, "run_id", 3, PAST), validate.history_mix(near, mixing, ORDER, "run_id", 3, ["prev_cycle_time"]))
+    base = _measured(spark, d)
+    # The planted fault takes two neighbouring runs for one.
+    mixing = lambda df: df.withColumn("_two", F.expr("run_id div 2")).withColumn("prev_cycle_time", ordered.lag_feature("cycle_time", ["_two"], ORDER))
+    return _pair(spark, validate.history_mix(base, _hist, ORDER, "run_id", _changed(), PAST), validate.history_mix(base, mixing, ORDER, "run_id", _changed(), ["prev_cycle_time"]))
 
 
 @query(FOLDS + "select 0::bigint n_clean, count(*)::bigint n_planted from folds where dataset = 'q42' and scheme = 'within_run' and role = 'test'")
@@ -482,7 +541,10 @@ def v_split_overlap(spark, d: str) -> DataFrame:
     return _pair(spark, validate.role_overlap(folds), validate.role_overlap(folds.unionByName(again)))
 
 
-@query(PR + F5 + "select 0::bigint n_clean, count(*)::bigint n_planted from (select event_time from f5 where role <> 'excluded' group by event_time having count(distinct case when source_row % 2 = 0 then 'train' else 'test' end) > 1)")
+@query(
+    PR + F5 + "select 0::bigint n_clean, count(*)::bigint n_planted from (select event_time from f5 where role <> 'excluded' group by event_time "
+    "having count(distinct case when source_row % 2 = 0 then 'train' else 'test' end) > 1)"
+)
 def v_time_split(spark, d: str) -> DataFrame:
     folds = _folds(spark, d).where("dataset = 'p40'")
     odd = F.regexp_replace("row_id", "p40_", "").cast("bigint") % 2
@@ -503,7 +565,10 @@ def v_gate_alignment(spark, d: str) -> DataFrame:
     return _pair(spark, validate.role_alignment(a, b, keys), validate.role_alignment(a, moved, keys))
 
 
-@query(FOLDS + """select 0::bigint n_clean, count(*)::bigint n_planted from (select episode_id from f2 where role <> 'excluded' and episode_id is not null group by run_id, episode_id having count(distinct case when shot % 2 = 0 then 'train' else 'test' end) > 1)""")
+@query(
+    FOLDS + "select 0::bigint n_clean, count(*)::bigint n_planted from (select episode_id from f2 where role <> 'excluded' and episode_id is "
+    "not null group by run_id, episode_id having count(distinct case when shot % 2 = 0 then 'train' else 'test' end) > 1)"
+)
 def v_episode_roles(spark, d: str) -> DataFrame:
     folds = _with_shot(_folds(spark, d).where("dataset = 'm41' and scheme = 'within_run'"))
     torn = folds.withColumn("role", F.when(F.col("role") == "excluded", "excluded").when(F.col("shot") % 2 == 0, "train").otherwise("test"))
@@ -544,14 +609,16 @@ CSV_SCHEMA = "source_key bigint, shot bigint, cycle_time double, status int"
 
 
 def _timeline_csv(spark, d: str, headers: int) -> str:
-    """The raw timeline as CSV text in file order; with two header rows, the second one padded with blanks."""
+    """The raw timeline as CSV in order over files: a header in each, or two header rows, padded with blanks, atop the first."""
     base = files.shared_folder(spark)
     rows = st.raw_timeline(spark, d).select(F.col("source_row").alias("source_key"), "shot", "cycle_time", "status")
+    if headers == 1:
+        ordered.keep_order(rows, "source_key").write.option("header", True).csv(base)
+        return base
     line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns])
-    head = ["source_key,shot,cycle_time,status"] if headers == 1 else ["key,counter,measure,state", " source_key ,shot , cycle_time,status"]
-    lines = spark.createDataFrame([(-2 + i, h) for i, h in enumerate(head)], "k long, value string").unionByName(rows.select(F.col("source_key").alias("k"), line.alias("value")))
-    # One file, as the tables' owners deliver it.
-    lines.repartition(1).sortWithinPartitions("k").select("value").write.text(base)
+    head = [(-2, "key,counter,measure,state"), (-1, " source_key ,shot , cycle_time,status")]
+    lines = spark.createDataFrame(head, "k long, value string").unionByName(rows.select(F.col("source_key").alias("k"), line.alias("value")))
+    ordered.keep_order(lines, "k").select("value").write.text(base)
     return base
 
 
@@ -561,7 +628,10 @@ def source_row(spark, d: str) -> DataFrame:
     return files.with_source_row(read).select("source_key", "source_row", "shot", "cycle_time")
 
 
-@query(TL + "select source_row source_key, (row_number() over (order by source_row) - 1)::bigint source_row, shot::bigint shot, cycle_time, status::bigint status from tl")
+@query(
+    TL + "select source_row source_key, (row_number() over (order by source_row) - 1)::bigint source_row, shot::bigint shot, cycle_time, "
+    "status::bigint status from tl"
+)
 def two_header_csv(spark, d: str) -> DataFrame:
     read = files.read_csv_two_header(spark, _timeline_csv(spark, d, 2), CSV_SCHEMA)
     return read.select("source_key", "source_row", "shot", "cycle_time", F.col("status").cast("bigint").alias("status"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shopfloor.functions import columns as fn
-from shopfloor.operators import ordered
+from shopfloor.operators import ordered, validate
 
 RUN, ORDER = ["run_id"], "source_row"
 
@@ -88,6 +88,23 @@ def test_blocked_history_equals_plain_windows(spark, block):
     assert plain.orderBy(ORDER).collect() == blocked.select(*plain.columns).orderBy(ORDER).collect()
 
 
+def test_leaks_and_mixes_are_found_in_every_run(spark):
+    rnd = random.Random(4)
+    df = rows(spark, run_id=[i // 30 for i in range(150)], cycle=[rnd.choice([None, rnd.random()]) for _ in range(150)]).repartition(3)
+    change = {"cycle": F.coalesce("cycle", F.lit(0)) + 1000}
+    keep = lambda by, c: lambda d: d.withColumn("x", c(by))
+    past = keep(RUN, lambda by: ordered.rolling_max("cycle", 5, by, ORDER))
+    ahead = keep(RUN, lambda by: F.lead("cycle").over(ordered._run(by, ORDER)))
+    assert validate.history_leak(df, past, ORDER, "run_id", change, ["x"]).count() == 0
+    found = {r[0] for r in validate.history_leak(df, ahead, ORDER, "run_id", change, ["x"]).collect()}
+    assert found == {30 * k + i for k in range(5) for i in (13, 14)}
+    pairs = lambda d: d.withColumn("two", F.expr("run_id div 2"))
+    mixed = keep(["two"], lambda by: ordered.lag_feature("cycle", by, ORDER))
+    assert validate.history_mix(df, past, ORDER, "run_id", change, ["x"]).count() == 0
+    assert {r[0] for r in validate.history_mix(df, lambda d: mixed(pairs(d)), ORDER, "run_id", change, ["x"]).collect()} == {30, 90}
+    assert validate.history_leak(df.limit(0), past, ORDER, "run_id", change, ["x"]).count() == 0
+
+
 def test_labels(spark):
     df = spark.createDataFrame([(0, 3, 1, 0, 2, 1), (0, 0, 0, 0, 0, None)], "Short_1 int, Short_2 int, Dent_1 int, Dent_2 int, Bub_1 int, Bub_2 int")
     kinds = ["Short", "Dent", "Bub"]
