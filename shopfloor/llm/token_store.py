@@ -40,6 +40,7 @@ from .scratch import materialize
 
 MAGIC = b"SFT1"
 FILE = 8 << 20  # bytes of ids in a file, about
+PART = 64 << 20  # bytes of text that one task sorts and encodes, about
 SAMPLE = 1000  # documents that the dictionary is trained on, at most
 SAMPLE_CHARS = 1 << 16  # and none of them longer
 DICTIONARY = 64 << 10
@@ -223,6 +224,7 @@ class TokenFile:
 
 def write_files(docs: DataFrame, tokenizer: str, end_id: int, dictionary: bytes, text: str = "text") -> DataFrame:
     """``(file_no, n_docs, n_ids, content)``, written to the shared folder; documents ascend by id over all files."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
         own = _dictionary(dictionary)
@@ -246,7 +248,8 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, dictionary: bytes,
         if ids:
             yield finish()
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
     ordered = _texts(docs, text).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(ordered.mapInArrow(run, "file_no long, n_docs long, n_ids long, content binary"))
 
