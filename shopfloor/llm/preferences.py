@@ -11,7 +11,7 @@ null role              rendered as ``unknown``, never trained on; equal to anoth
 null or equal turns    ordered by turn, nulls first, then by role and text
 null pair_id           no pair; such turns are left out
 repeated rows          turns like any other
-one side missing       the pair is returned with an empty completion for it
+one side missing       the pair is returned with an empty completion for it and ``paired`` false
 very long texts        rendered whole; a conversation is one row
 extra columns          ignored
 empty table            no pairs from two, one-sided pairs from one
@@ -48,18 +48,25 @@ def _trained(turns: str) -> Column:
 
 
 def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``(pair_id, n_common, prompt, chosen, chosen_trained, rejected, rejected_trained)`` from two tables of turns.
+    """``(pair_id, paired, n_common, prompt, chosen, chosen_trained, rejected, rejected_trained)`` from two tables of turns.
 
-    ``chosen`` and ``rejected`` have ``pair_id, turn, role, text``.
+    ``chosen`` and ``rejected`` have ``pair_id, turn, role, text``.  Only pairs that are ``paired`` have turns on both sides.
     """
     both = _side(chosen, "c").join(_side(rejected, "r"), "pair_id", "full")
-    both = both.select("pair_id", *[F.coalesce(s, F.array().cast("array<struct<turn:bigint,role:string,text:string>>")).alias(s) for s in ("c", "r")])
-    differs = F.expr("filter(sequence(0, least(size(c), size(r))), i -> i >= least(size(c), size(r)) or not (c[i].role <=> r[i].role and c[i].text <=> r[i].text))")
+    none = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
+    paired = (F.col("c").isNotNull() & F.col("r").isNotNull()).alias("paired")
+    both = both.select("pair_id", paired, *[F.coalesce(s, none).alias(s) for s in ("c", "r")])
+    differs = F.expr(
+        """filter(sequence(0, least(size(c), size(r))),
+            i -> i >= least(size(c), size(r)) or not (c[i].role <=> r[i].role and c[i].text <=> r[i].text))"""
+    )
     df = both.withColumn("n_common", F.array_min(differs))
     rest = lambda s: F.slice(s, F.col("n_common") + 1, F.size(s) - F.col("n_common"))
-    df = df.select("pair_id", "n_common", F.slice("c", F.lit(1), F.col("n_common")).alias("p"), *[F.when(F.size(s) > F.col("n_common"), rest(s)).otherwise(F.slice(s, F.lit(1), F.lit(0))).alias(s) for s in ("c", "r")])
+    prompt = F.slice("c", F.lit(1), F.col("n_common")).alias("p")
+    sides = [F.when(F.size(s) > F.col("n_common"), rest(s)).otherwise(F.slice(s, F.lit(1), F.lit(0))).alias(s) for s in ("c", "r")]
+    df = df.select("pair_id", "paired", "n_common", prompt, *sides)
     return df.select(
-        "pair_id", F.col("n_common").cast("long").alias("n_common"), _render(F.col("p")).alias("prompt"),
+        "pair_id", "paired", F.col("n_common").cast("long").alias("n_common"), _render(F.col("p")).alias("prompt"),
         _render(F.col("c")).alias("chosen"), _trained("c").alias("chosen_trained"),
         _render(F.col("r")).alias("rejected"), _trained("r").alias("rejected_trained"),
     )
@@ -97,7 +104,7 @@ common as (select conv_id, bool_or(paired) paired, case when not bool_or(paired)
 rendered as (select s.*, c.n_common, '<|' || role || '|>' || chr(10) || text || chr(10) as own, '<|' || role || '|>' || chr(10) || other_text || chr(10) as swapped from sides s join common c using (conv_id)),
 placed as (select *, sum(case when place >= n_common then length(own) else 0 end) over w - length(own) as own_at, sum(case when place >= n_common then length(swapped) else 0 end) over w - length(swapped) as other_at
            from rendered window w as (partition by conv_id order by turn))
-select conv_id as pair_id, any_value(n_common)::bigint as n_common,
+select conv_id as pair_id, any_value(paired) as paired, any_value(n_common)::bigint as n_common,
        coalesce(string_agg(own, '' order by turn) filter (where place < n_common), '') as prompt,
        coalesce(string_agg(own, '' order by turn) filter (where place >= n_common), '') as chosen,
        coalesce(string_agg((own_at + 5 + length(role))::bigint::varchar || ':' || (own_at + length(own))::bigint::varchar, ',' order by turn) filter (where place >= n_common and role = 'assistant'), '') as chosen_trained,

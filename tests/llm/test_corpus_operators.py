@@ -143,7 +143,7 @@ def test_preference_pairs(spark):
     chosen = [(1, 0, "user", "hi", "x"), (1, 1, "assistant", "yes", "x"), (2, 0, "user", None, "x"), (3, 0, None, "a", "x"), (None, 0, "user", "a", "x"), (5, 0, "user", "same", "x")]
     rejected = [(1, 1, "assistant", "no", "x"), (1, 0, "user", "hi", "x"), (2, 0, "user", "", "x"), (2, 1, "assistant", "é", "x"), (5, 0, "user", "same", "x"), (6, 0, "user", "b", "x")]
     got = {r["pair_id"]: r for r in preferences.format_pairs(spark.createDataFrame(chosen, kind), spark.createDataFrame(rejected, kind)).collect()}
-    assert set(got) == {1, 2, 3, 5, 6}
+    assert set(got) == {1, 2, 3, 5, 6} and {k for k, r in got.items() if r["paired"]} == {1, 2, 5}
     assert (got[1]["n_common"], got[1]["prompt"], got[1]["chosen"], got[1]["rejected"]) == (1, "<|user|>\nhi\n", "<|assistant|>\nyes\n", "<|assistant|>\nno\n")
     assert got[1]["chosen"][int(got[1]["chosen_trained"].split(":")[0]) :] == "yes\n"
     assert (got[2]["n_common"], got[2]["chosen"], got[2]["rejected_trained"]) == (1, "", "14:16")
