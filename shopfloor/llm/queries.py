@@ -1,7 +1,10 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from .decontam import op2_decontamination
-from .lm import op3_lm_scores
+from .lm import MU, STEP, op3_lm_scores
 from .packing import op8_packing
 from .preferences import OP1_SQL, op1_preference_pairs
 from .quality import op10_quality_rules
@@ -49,4 +52,64 @@ kept as (select e.doc_id, count(g.pos) n_removed, string_agg(e.word, ' ' order b
 select l.doc_id, len(w)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from l left join kept using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_preference_pairs": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_repeat_removal": OP5_SQL}
+# What SQL can say of operators 3, 4 and 10, by queries of their own: the whole result of the first, its logarithms rounded.
+
+
+def lm_rounded(spark, sf_dir: str) -> DataFrame:
+    return op3_lm_scores(spark, sf_dir).withColumns({c: F.round(c, 4) for c in ("base_score", "score")})
+
+
+def secret_base_spans(spark, sf_dir: str) -> DataFrame:
+    return op4_secret_scan(spark, sf_dir).drop("spans")
+
+
+def quality_base_counts(spark, sf_dir: str) -> DataFrame:
+    return op10_quality_rules(spark, sf_dir).drop("kept")
+
+
+QUERIES |= {"lm_rounded": lm_rounded, "secret_base_spans": secret_base_spans, "quality_base_counts": quality_base_counts}
+
+# Bit by bit: each byte is followed by seven zeros, one for each further shift.
+CRC32 = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::varchar, ''), lambda x: [ascii(x)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)), 4294967295)"""
+LM_SQL = f"""
+with d as (select doc_id, row_number() over () r, coalesce({CRC32} % 5 = 1, false) held, {WORDS.format(LOWER)} w from documents),
+tok as (select r, held, unnest(list_append(w, ' ')) x, unnest(list_prepend('  ', w)) y from d),
+c as (select x, count(*) filter (where not held) c from tok group by x), total as (select sum(c)::bigint n, count(*) filter (where c > 0) v from c),
+pair as (select y, x, count(*) c2 from tok where not held group by y, x), before as (select y, count(*) b from tok where not held group by y),
+each as (select r, c.c, (c.c + 5e-1) / (n + 5e-1 * (v + 1)) p, coalesce(b, 0) b, c2 from tok cross join total join c using (x) left join pair using (y, x) left join before using (y)),
+logs as (select r, c, log10(p) base, case when c2 is null then log10(p) + log10({MU} / (b + {MU})) else round(-log10((c2 + {MU} * p) / (b + {MU})) * {STEP}) / -{STEP} end own from each),
+sums as (select r, count(*)::bigint n_tokens, count(*) filter (where c > 0)::bigint n_known, round(sum(base), 4) base_score, round(sum(own), 4) score from logs group by r)
+select doc_id, held held_out, n_tokens, n_known, n train_tokens, base_score, score from d join sums using (r) cross join total
+"""
+
+_NAMES = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+_BASE = (("assign", rf"""({_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))
+_FOUND = " union all ".join(
+    f"select r, {rank} as rank, '{kind}' kind, {least} least, unnest(m) hit, unnest(g) own, unnest(s[1 : len(m)]) gap, unnest(range(len(m))) i from "
+    f"(select r, regexp_extract_all(t, '{pattern}') m, regexp_extract_all(t, '{pattern}', {group}) g, string_split_regex(t, '{pattern}') s from d)"
+    for rank, (kind, pattern, group, least) in enumerate(_BASE)
+)
+SECRET_SQL = f"""
+with d as (select doc_id, row_number() over () r, coalesce(text, '') t from documents), found as ({_FOUND}),
+placed as (select *, (sum(length(gap) + length(hit)) over (partition by r, kind order by i))::bigint hi from found),
+spans as (select r, kind, rank, hi - length(hit) lo, hi from placed where length(own) >= least),
+each as (select r, count(*) filter (where kind = 'assign') a, count(*) filter (where kind = 'access') k, count(*) filter (where kind = 'hex') h, string_agg(kind || ':' || lo || ':' || hi, ',' order by lo, rank) x from spans group by r)
+select doc_id, coalesce(a, 0)::bigint n_assign, coalesce(k, 0)::bigint n_access, coalesce(h, 0)::bigint n_hex, sha256(coalesce(x, '')) base_sha256 from d left join each using (r)
+"""
+
+QUALITY_SQL = f"""
+with d as (select doc_id, row_number() over () r, coalesce(text, '') t, {WORDS.format("coalesce(text, '')")} w from documents),
+lines as (select *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) l from d),
+gram as (select r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g from (select r, w, unnest(range(1, len(w) - 1)) i from d where len(w) > 2)),
+twice as (select distinct r, unnest([i, i + 1, i + 2]) pos from (select r, i, count(*) over (partition by r, g) n from gram) where n > 1),
+again as (select r, count(*) n from twice group by r),
+made as (select doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols,
+  (len(l) - len(list_distinct(l)))::bigint n_dup_lines, coalesce(n, 0)::bigint n_repeat_words from lines left join again using (r))
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from made
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_preference_pairs": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_repeat_removal": OP5_SQL,
+    "lm_rounded": LM_SQL, "secret_base_spans": SECRET_SQL, "quality_base_counts": QUALITY_SQL,
+}
