@@ -3,14 +3,17 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import op11_bpe_round_trip
 from .decontam import op2_decontamination
 from .lm import MU, STEP, op3_lm_scores
 from .packing import op8_packing
 from .preferences import OP1_SQL, op1_preference_pairs
+from .prefix_trie import OP13_SQL, op13_conversation_trie
 from .quality import op10_quality_rules
 from .recompression import op5_repeat_removal
 from .secrets import op4_secret_scan
 from .simhash import op6_simhash_components
+from .source_audit import OP12_SQL, op12_source_divergence
 from .token_counts import op7_token_counts
 from .token_store import op9_token_files
 
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
+    "op11_bpe_round_trip": op11_bpe_round_trip,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -111,5 +117,5 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from m
 
 ORACLES: dict[str, str] = {
     "op1_preference_pairs": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_repeat_removal": OP5_SQL,
-    "lm_rounded": LM_SQL, "secret_base_spans": SECRET_SQL, "quality_base_counts": QUALITY_SQL,
+    "op12_source_divergence": OP12_SQL, "op13_conversation_trie": OP13_SQL, "lm_rounded": LM_SQL, "secret_base_spans": SECRET_SQL, "quality_base_counts": QUALITY_SQL,
 }
