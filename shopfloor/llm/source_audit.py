@@ -39,7 +39,7 @@ from .scratch import materialize
 LEAST_DOCS = 3  # documents of a language that a kept term is in, at least
 TOP = 200  # ranks of terms
 SCALE = 1_000_000_000
-COUNTED = 8 << 20  # bytes of text that are counted at once
+COUNTED = 4 << 20  # bytes of text that are counted at once
 CELLS = 2_000_000  # places of the matrix that a tree is made from, at most (one longer row stands alone)
 BROADCAST_GROUPS = 200_000  # sources with their totals that may be broadcast; more are joined by a shuffle
 WRAP = "cast(18446744073709551616 as decimal(38,0))"
@@ -58,21 +58,17 @@ def sources(docs: DataFrame) -> DataFrame:
     return found.withColumn("source_no", place).join(langs.drop("n"), "lang")
 
 
-def _term_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of maximal runs of letters; a text's end is marked by a space after it."""
-    letter = np.zeros(len(data) + 2, dtype=np.int8)
-    letter[1:-1] = (data >= 0x80) | ((data >= 97) & (data <= 122))
-    edge = np.diff(letter)
-    starts = np.flatnonzero(edge == 1)
-    return starts, np.flatnonzero(edge == -1) - starts
-
-
-def _spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts with one space after each, and the new offsets."""
-    n = np.diff(offsets)
-    out = np.full(len(data) + len(n), 32, dtype=np.uint8)
-    out[np.arange(len(data)) + np.repeat(np.arange(len(n)), n)] = data
-    return out, offsets + np.arange(len(offsets))
+def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and sizes of the terms, maximal runs of letters in one text, and the mask of letters."""
+    letter = (data >= 0x80) | ((data >= 97) & (data <= 122))
+    first, last = letter.copy(), letter.copy()
+    first[1:] &= ~letter[:-1]
+    last[:-1] &= ~letter[1:]
+    cuts = offsets[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    first[cuts], last[cuts - 1] = letter[cuts], letter[cuts - 1]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1 - starts, letter
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -84,13 +80,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in arrays.chunks(batches, "text", COUNTED):
-            data, offsets = _spaced(arrays.lower_ascii(data), offsets)
-            starts, sizes = _term_bounds(data)
+            data = arrays.lower_ascii(data)
+            starts, sizes, letter = _terms(data, offsets)
             if not len(starts):
                 continue
-            letters = data[np.repeat(starts, sizes) + arrays.ranges(sizes)]
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-            terms = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(letters)).dictionary_encode()
+            terms = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(data[letter])).dictionary_encode()
             code, known = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64), terms.dictionary
             of = np.searchsorted(offsets, starts, "right") - 1
             where = [rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lang_no", "source_no")]
