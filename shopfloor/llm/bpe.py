@@ -6,8 +6,8 @@ is gone or the pair that stands there now has another merge; otherwise the right
 the two new neighbours' pairs are put in.  Decoding joins the ids' vocabulary strings as the library does that has
 no decoder in the file: with one space between.
 
-The work is one pass over the rows without a shuffle.  A worker remembers the ids of up to ``CACHED`` pre-tokens of up to
-``LONG`` characters, so that a frequent word is merged once; what it has forgotten it merges again.
+The work is one pass over the rows without a shuffle.  A worker remembers the ids of up to twice ``CACHED`` pre-tokens of up
+to ``LONG`` characters, so that a frequent word is merged once; what it has forgotten it merges again.
 
 Rules for unusual input
 -----------------------
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 
 from . import arrays
 
-CACHED = 1_000_000  # pre-tokens that a worker remembers, at most
+CACHED = 150_000  # pre-tokens in each of the two generations that a worker remembers, at most
+DECODED = 256  # rows that are decoded at once
 LONG = 256  # characters of the longest pre-token that is remembered
 PLACES = 40  # bits of a queue entry that hold the place
 OLD = chr(0x0530)  # below it (Latin, Greek, Cyrillic) Python and the library agree on classes, order and lower case
@@ -89,6 +90,7 @@ class Vocabulary:
         self.old_pieces = re.compile(inside.replace(r"\p{L}", _ranges("L")).replace(r"\p{N}", _ranges("N")).replace(r"\s", WHITE)).findall
         self.apart = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before ``known`` was begun anew
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens of a text without special strings; where its characters are newer, as the library cuts them."""
@@ -136,16 +138,16 @@ class Vocabulary:
         return [s for s in symbols if s >= 0]
 
     def _ids(self, piece: str) -> bytes:
-        found = np.array(self.merged(piece.encode()), "<u4").tobytes()
+        found = self.older.get(piece) or np.array(self.merged(piece.encode()), "<u4").tobytes()
         if len(piece) <= LONG:
             if len(self.known) >= CACHED:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[piece] = found
         return found
 
     def _plain(self, text: str) -> bytes:
-        known, made = self.known.get, self._ids
-        return b"".join([known(p) or made(p) for p in self.pieces(text)])
+        made = self._ids
+        return b"".join([self.known.get(p) or made(p) for p in self.pieces(text)])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -186,9 +188,11 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", name: str = "de
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(tokenizer)
-        for batch in batches:
-            texts = [v.decode(x or b"") for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
+        for whole in batches:
+            for at in range(0, whole.num_rows, DECODED):
+                batch = whole.slice(at, DECODED)
+                texts = [v.decode(x or b"") for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields]
     return encoded.mapInArrow(run, ", ".join([*fields, f"`{name}` string"]))
