@@ -1,10 +1,17 @@
-"""Secret scan: fixed patterns, plus tokens that look random and do not look like the corpus.
+"""Secret scan: fixed patterns, plus tokens that look random and do not look like words.
 
 A candidate is reported if a battery of randomness tests cannot tell it from random characters of its encoding, and
-if it is a discovery against the null hypothesis that it is ordinary text.  The null model draws characters with the
-frequencies that they have in the whole corpus.  Under it the likelihood ratio of the two models has a mean of at most
-1, so a ratio of r or more has a probability of at most 1 / r (Markov): 1 / r is the p-value.  Benjamini-Hochberg
-on these p-values, within each length class, holds down the share of ordinary tokens among the reported ones.
+if it is a discovery against the null hypothesis that it is an ordinary token.  An ordinary token is, without regard to
+case, drawn by one of two models: letter pairs as in the words of the corpus, or kinds of characters that follow
+one another as there (vowel, consonant, digit, mark), each as likely as any other of its kind, which also takes words
+that this corpus does not know.  Case is a chain of its own that seldom changes inside a run of letters, so words
+in capitals, titles and joined words are ordinary.  Under the null hypothesis the likelihood ratio of random characters
+to an ordinary token has a mean of at most 1, so a ratio of r or more has a probability of at most 1 / r (Markov): 1 / r
+is the p-value.  Benjamini-Hochberg on the p-values of all candidates, within each length class, holds down the share of
+ordinary tokens among the discoveries.
+
+The models learn from distinct words of under ``LEAST`` characters and the number of documents that each is in: a key never
+trains the model that judges it, however many copies of its document there are.
 
 Everything is a column expression or a small aggregate; no Python runs on the executors.
 
@@ -36,6 +43,10 @@ CLASSES = 8  # length classes: 16+, 32+, 64+, ...
 ALPHA = 0.001  # a battery's p-value below this says: not random
 DECADES = 30  # p-values are told apart down to 10 to the minus this
 CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST
+KINDS = ("aeiouy", "bcdfghjklmnpqrstvwxz", "0123456789", "+/_-")
+SYMBOLS = "".join(KINDS)  # of an ordinary token; place 0 stands for its edge
+KNOWN = 0.95  # share of the learnt model in each step; the rest takes any symbol
+TURN = 0.05  # share of neighbouring letters of an ordinary token that differ in case
 ALPHABETS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
     ("HEX", "^[0-9A-F]+$", "0123456789ABCDEF"),
@@ -124,14 +135,34 @@ def _masked(text: str, spans: str) -> str:
         a -> concat(a.out, substring({text}, a.at + 1))) end"""
 
 
-def character_costs(docs: DataFrame, text: str = "text") -> dict[str, float]:
-    """-log10 of each alphabet character's frequency among the alphabet's characters in all texts, each counted once more."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    count = lambda c: F.coalesce(F.sum(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(c), F.lit("")))), F.lit(0)) + 1
-    letters = sorted(set("".join(a for _, _, a in ALPHABETS)))
-    row = docs.agg(*[count(c).alias(f"c{i}") for i, c in enumerate(letters)]).first()
-    total = sum(row)
-    return {c: math.log10(total / n) for c, n in zip(letters, row)}
+def pair_counts(docs: DataFrame, text: str = "text") -> dict[str, int]:
+    """How often two symbols follow one another in distinct words, by the documents that hold the word; an edge is a space.
+
+    A table of at most 41 x 41 numbers, whatever the corpus.
+    """
+    t = F.lower(F.coalesce(F.col(text), F.lit("")))
+    own = F.filter(F.array_distinct(F.split(t, "[^a-z0-9+/_-]+")), lambda w: (F.length(w) > 0) & (F.length(w) < LEAST))
+    words = docs.select(F.explode(own).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    edged = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
+    pairs = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(edged, i, F.lit(2)))).alias("pair"))
+    return {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+
+
+def step_costs(pairs: dict[str, int]) -> tuple[list[float], list[float]]:
+    """-log10 of each symbol after each symbol or edge, under both models; row and column 0 are the edge."""
+    all_of = " " + SYMBOLS
+    kind = {c: k for k, own in enumerate(KINDS) for c in own} | {" ": len(KINDS)}
+    turns = {(k, m): 1.0 for k in range(len(KINDS) + 1) for m in range(len(KINDS))}
+    for p, n in pairs.items():
+        if p[1] != " ":
+            turns[kind[p[0]], kind[p[1]]] += n
+    learnt, kinds = [], []
+    for c in all_of:
+        row = [pairs.get(c + d, 0) + 0.5 for d in SYMBOLS]
+        total, of_kind = sum(row), sum(turns[kind[c], m] for m in range(len(KINDS)))
+        learnt += [0.0] + [-math.log10(KNOWN * n / total + (1 - KNOWN) / len(SYMBOLS)) for n in row]
+        kinds += [0.0] + [-math.log10(KNOWN * turns[kind[c], kind[d]] / of_kind / len(KINDS[kind[d]]) + (1 - KNOWN) / len(SYMBOLS)) for d in SYMBOLS]
+    return learnt, kinds
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -146,27 +177,41 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.drop("_sec_found", t)
 
 
-def graded(found: DataFrame, costs: dict[str, float]) -> DataFrame:
+def _ordinary(costs: tuple[list[float], list[float]]) -> list[tuple[str, str]]:
+    """Fields added to each candidate: ``ratio``, log10 of the likelihood ratio of random to ordinary."""
+    size = len(SYMBOLS) + 1
+    table = lambda x: "cast(split('" + ",".join(f"{v:.6f}" for v in x) + "', ',') as array<double>)"
+    walk = lambda x: f"aggregate(sequence(0, c.n - 1), 0D, (s, i) -> s + {table(x)}[if(i = 0, 0, c.symbol[i - 1]) * {size} + c.symbol[i]])"
+    case = lambda same: f"size(filter(sequence(1, c.n - 1), i -> c.letter[i] != 0 and c.letter[i - 1] != 0 and c.letter[i] {'=' if same else '!='} c.letter[i - 1]))"
+    turned, kept = -math.log10(TURN), -math.log10(1 - TURN)
+    return [
+        ("symbol", f"transform(filter(split(lower(c.body), ''), x -> x != ''), x -> instr('{SYMBOLS}', x))"),
+        ("letter", "transform(filter(split(c.body, ''), x -> x != ''), x -> case when x between 'A' and 'Z' then 1 when x between 'a' and 'z' then 2 else 0 end)"),
+        ("words", f"least({walk(costs[0])}, {walk(costs[1])}) + {math.log10(2)}D"),
+        ("begun", "size(filter(sequence(0, c.n - 1), i -> c.letter[i] != 0 and (i = 0 or c.letter[i - 1] = 0)))"),
+        ("cases", f"{turned}D * {case(False)} + {kept}D * {case(True)} + {math.log10(2)}D * c.begun"),
+        ("ratio", "c.words + c.cases - c.n * log10(c.size)"),
+    ]
+
+
+def graded(found: DataFrame, costs: tuple[list[float], list[float]]) -> DataFrame:
     """Give each candidate its length class, whether the battery lets it pass, and its grade: 100 log10 of the likelihood ratio."""
     known = ["span", "token"]
-    for name, value in _battery():
+    for name, value in [*_battery(), *_ordinary(costs)]:
         found = found.withColumn("_sec_cands", F.expr(_with("_sec_cands", known, name, value)))
         known.append(name)
-    table = "map(" + ", ".join(f"'{c}', {v!r}D" for c, v in costs.items()) + ")"
-    ratio = f"aggregate(filter(split(c.body, ''), x -> x != ''), 0D, (s, x) -> s + coalesce({table}[x], 0D)) - c.n * log10(c.size)"
-    grade = f"cast(floor(greatest(least(100D * ({ratio}), {DECADES * 100}D), 0D)) as int)"
+    grade = f"cast(floor(greatest(least(100D * c.ratio, {DECADES * 100}D), 0D)) as int)"
     return found.withColumn("_sec_cands", F.expr(f"transform(_sec_cands, c -> named_struct('span', c.span, 'strength', c.strength, 'random', c.p >= {ALPHA}D, 'grade', {grade}))"))
 
 
 def discoveries(found: DataFrame, fdr: float) -> dict[int, int]:
     """Benjamini-Hochberg within each length class: the least grade that is a discovery.
 
-    The hypotheses are those of the candidates that pass the battery: it does not look at the ratio, and of ordinary
-    tokens it lets hardly any pass.  Classes double in length, so the many short tokens do not set the cutoff of long
-    ones.  P-values are rounded up to a hundredth of a decade, so the sorted list is a table of at most CLASSES x
+    The hypotheses are those of all candidates; the battery only takes from the discoveries what is surely not random.
+    Classes double in length, so the many short tokens do not set the cutoff of long ones.  P-values are rounded up to a hundredth of a decade, so the sorted list is a table of at most CLASSES x
     3,001 rows whatever the corpus.
     """
-    each = found.where(F.size("_sec_cands") > 0).select(F.explode("_sec_cands").alias("c")).where("c.random")
+    each = found.where(F.size("_sec_cands") > 0).select(F.explode("_sec_cands").alias("c"))
     grades = each.groupBy("c.strength", "c.grade").agg(F.count(F.lit(1)).alias("n"))
     ranked = grades.selectExpr("strength", "grade", "sum(n) over (partition by strength order by grade desc) as k", "sum(n) over (partition by strength) as m")
     passing = ranked.where(F.pow(F.lit(10.0), -F.col("grade") / 100) <= F.col("k") / F.col("m") * fdr)
@@ -177,10 +222,10 @@ def scan(docs: DataFrame, text: str = "text", fdr: float = 0.05, keep_text: bool
     """Add ``base_spans`` and ``all_spans`` (arrays of start, rank, end, kind, in order) to every row of ``docs``.
 
     Offsets are code points, the end is exclusive.  ``random`` spans do not overlap base spans.  The corpus is scanned
-    once and the spans and candidates are stored with its rows (without the text unless ``keep_text``); one more pass
-    counts characters.
+    once and the spans and candidates are stored with its rows (without the text unless ``keep_text``); another pass
+    counts words.
     """
-    costs = character_costs(docs, text)
+    costs = step_costs(pair_counts(docs, text))
     found = candidates(docs, text)
     found = graded(materialize(found if keep_text else found.drop(text)), costs)
     cuts = discoveries(found, fdr)
