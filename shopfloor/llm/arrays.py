@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,14 +59,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def new_key() -> int:
+    """A secret number for ``slice_hashes``, chosen by the driver for one run: nobody can prepare words that collide."""
+    return int.from_bytes(os.urandom(8), "little")
+
+
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
     """64-bit hashes of byte slices: eight bytes after eight are mixed in, slices above ``LONG`` bytes go to XXH3.
 
     One step is a bijection of the state for given bytes and of the bytes for a given state, so slices of up to eight
-    bytes and equal length never collide, and longer ones only by chance.
+    bytes and equal length never collide.  Longer ones do so by chance, and by design where the key is known: what decides
+    by hashes alone takes two of them, with keys from ``new_key``; all others compare the bytes.
     """
     sizes = ends - starts
-    out = mixed(sizes.astype(np.uint64) + _BASE)
+    step = np.uint64(int(_BASE) + 2 * key & 0xFFFFFFFFFFFFFFFF)
+    key = np.uint64(key)
+    out = mixed(sizes.astype(np.uint64) + _BASE ^ key)
     if not len(sizes):
         return out
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -74,13 +83,13 @@ def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     if not short.all():
         raw = data.tobytes()
         i = np.flatnonzero(~short)
-        out[i] = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[i].tolist(), ends[i].tolist())], dtype=np.uint64)
+        out[i] = np.array([xxhash.xxh3_64_intdigest(raw[a:b], int(key)) for a, b in zip(starts[i].tolist(), ends[i].tolist())], dtype=np.uint64)
     left = np.flatnonzero(short & (sizes > 0))
     at = 0
     while len(left):
         size = np.minimum(sizes[left] - at, 8).astype(np.uint64)
         lane = lanes[starts[left] + at] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * size))
-        out[left] = mixed((out[left] ^ lane) + _BASE)
+        out[left] = mixed((out[left] ^ lane) + step)
         at += 8
         left = left[sizes[left] > at]
     return out
@@ -106,8 +115,10 @@ def window_hashes(values: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
         level = mixed(level[: len(level) - size // 2] * _ODD + level[size // 2 :] + np.uint64(size))
 
 
-def row_digests(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two halves of 128-bit XXH3 digests of consecutive rows of a uint64 array."""
+def row_digests(values: np.ndarray, sizes: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of 128-bit XXH3 digests of consecutive rows of a uint64 array, or of it and ``more`` in turn."""
+    if more is not None:
+        values, sizes = np.stack([values, more], axis=1).ravel(), 2 * sizes
     ends = np.cumsum(sizes)
     raw = np.ascontiguousarray(values).view(np.uint8)
     found = b"".join(xxhash.xxh3_128_digest(raw[8 * a : 8 * b].tobytes()) for a, b in zip((ends - sizes).tolist(), ends.tolist()))

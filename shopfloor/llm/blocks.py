@@ -61,6 +61,19 @@ def bags(body: Arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(kinds)), kinds), body["place"][ends - np.repeat(before, kinds)], body["times"]
 
 
+def distinct(hashes: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct pairs of hash and check, by hash: the place of a first one, and how many; and for each token its pair."""
+    _, first, code, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    if checks is None or np.array_equal(checks[first][code], checks):
+        return first, count, code
+    order = np.lexsort((checks.view(np.int64), hashes))  # different words of one hash: hardly ever
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (hashes[order][1:] != hashes[order][:-1]) | (checks[order][1:] != checks[order][:-1])
+    code = np.empty(len(order), dtype=np.int64)
+    code[order] = np.cumsum(fresh) - 1
+    return order[fresh], np.bincount(code), code
+
+
 def build(
     docs: DataFrame,
     text: str = "text",
@@ -69,11 +82,15 @@ def build(
     bag: bool = False,
     carry: tuple[str, ...] = (),
     digest: bool = False,
+    checked: bool = False,
+    key: int | None = None,
     extra: tuple[tuple[str, ...], Callable[[np.ndarray, np.ndarray], Arrays]] = ((), lambda data, offsets: {}),
 ) -> DataFrame:
     """``(block, n_keys, n_tokens, dict, body)``, written to the shared folder.
 
-    The dictionary has ``words``, the sorted distinct hashes.  The body has ``ids`` (``doc_id`` as int64, null as ``NO_ID``),
+    The dictionary has ``words``, the sorted hashes of the distinct words, with ``key`` or a new key; with ``checked`` it also
+    has ``checks``, second hashes by an independent key: together they are a word's 128-bit name, and a hash that several
+    words share stands there once for each.  The body has ``ids`` (``doc_id`` as int64, null as ``NO_ID``),
     ``none`` (1 for a null id), ``lens`` (tokens per text), the int64 columns of ``carry``, with ``digest`` the two
     halves ``digest1`` and ``digest2`` of a 128-bit name of the text's tokens, what the function of ``extra`` gives for
     its names and each text, ``rank`` (each token's word by frequency, which compresses well) and ``place`` (where
@@ -84,10 +101,13 @@ def build(
     """
     columns = ["doc_id", *carry]
     kept = ["ids", "none", "lens", *carry, *(["digest1", "digest2"] if digest else []), *extra[0]]
+    key, second = arrays.new_key() if key is None else key, arrays.new_key()
 
     def finish(parts: list, n: int) -> pa.RecordBatch:
         hashes = np.concatenate([p["hash"] for p in parts])
-        words, code, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        checks = np.concatenate([p["check"] for p in parts]) if checked or bag else None
+        first, count, code = distinct(hashes, checks)
+        words = hashes[first]
         order = np.argsort(-count, kind="stable")
         rank = np.empty(len(order), dtype=np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -102,12 +122,12 @@ def build(
             fresh = np.flatnonzero(np.diff(of, prepend=-1))
             gap[fresh] = own[fresh]
             body |= {"kinds": np.bincount(of, minlength=n_texts), "gap": gap.astype(np.uint32), "times": times.astype(np.uint32)}
-            own, sizes, chars = (np.concatenate([p[k] for p in parts]) for k in ("own", "own_sizes", "own_chars"))
-            at = np.unique(own, return_index=True)[1]
+            own, own_checks, sizes, chars = (np.concatenate([p[k] for p in parts]) for k in ("own", "own_checks", "own_sizes", "own_chars"))
+            at = distinct(own, own_checks)[0]
             known = {"chars": chars[np.repeat((np.cumsum(sizes) - sizes)[at], sizes[at]) + arrays.ranges(sizes[at])], "sizes": sizes[at].astype(np.uint32)}
         else:
             body["rank"] = rank[code]
-            known = {"words": words}
+            known = {"words": words} | ({"checks": checks[first]} if checked else {})
         block = TaskContext.get().partitionId() << 32 | n
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(words)], pa.int64()), pa.array([len(hashes)], pa.int64()), pa.array([pack(known)], pa.binary()), pa.array([pack(body)], pa.binary())], ["block", "n_keys", "n_tokens", "dict", "body"])
 
@@ -116,7 +136,9 @@ def build(
         for rows, data, offsets in arrays.chunks(batches, text):
             data = arrays.lower_ascii(data) if lower else data
             starts, ends, of = cut(data, offsets)
-            part = {"hash": arrays.slice_hashes(data, starts, ends), "lens": np.bincount(of, minlength=len(rows))}
+            part = {"hash": arrays.slice_hashes(data, starts, ends, key), "lens": np.bincount(of, minlength=len(rows))}
+            if checked or bag:
+                part["check"] = arrays.slice_hashes(data, starts, ends, second)
             for name in columns:
                 value = rows.column(rows.schema.get_field_index(name)).cast(pa.int64())
                 part["ids" if name == "doc_id" else name] = value.fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
@@ -124,11 +146,11 @@ def build(
                     part["none"] = value.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
             part |= extra[1](data, offsets)
             if digest:
-                part["digest1"], part["digest2"] = arrays.row_digests(part["hash"], part["lens"])
+                part["digest1"], part["digest2"] = arrays.row_digests(part["hash"], part["lens"], part.get("check"))
             if bag:
-                distinct, at = np.unique(part["hash"], return_index=True)
+                at = distinct(part["hash"], part["check"])[0]
                 sizes = (ends - starts)[at]
-                part |= {"own": distinct, "own_sizes": sizes, "own_chars": data[np.repeat(starts[at], sizes) + arrays.ranges(sizes)]}
+                part |= {"own": part["hash"][at], "own_checks": part["check"][at], "own_sizes": sizes, "own_chars": data[np.repeat(starts[at], sizes) + arrays.ranges(sizes)]}
             parts.append(part)
             held += len(data)
             if held >= BLOCK:

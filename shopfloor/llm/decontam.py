@@ -2,8 +2,10 @@
 
 A mask looks at some positions of a 13-word window and ignores the others.  The 13 positions form four groups
 and each mask ignores two of them, so any two substituted words fall into groups that some mask ignores: six
-masks find every aligned window with at most two substitutions.  Hits are checked word by word, and the windows of
-one alignment are put together.  The overlap so found ends where it must: the word after it (or before it) differs
+masks find every aligned window with at most two substitutions.  An item of 7 to 12 words is one window that bears one
+substitution, found by two masks that ignore its even or its odd places; shorter items match whole and unchanged.
+Hits are checked word by word, and the windows of one alignment are put together.  Words are compared by 64-bit hashes with
+a secret key of the run.  The overlap so found ends where it must: the word after it (or before it) differs
 or is missing, as an equal one would have made one more window.
 
 Everything is DataFrame functions; no Python runs on the executors.
@@ -12,7 +14,8 @@ Rules for unusual input
 -----------------------
 null or empty text         no words, no match, on either side
 very long text             its windows are rows; no array of its words is shuffled
-items under 13 words       searched as a whole, every word equal, down to ``LEAST`` words; shorter ones match nothing
+items under 13 words       searched as a whole, with ``allowed`` substitutions, down to one word; marked as ``short``
+empty items                match nothing
 null ids                   kept as they are: a null doc_id or item_id can match
 ties, repeated rows        every row of ``docs`` is matched by itself, but equal results appear once
 extra columns              ignored by ``matches``; ``clean`` keeps them
@@ -27,65 +30,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize
-from .words import lower_ascii, words
+from .words import keyed, lower_ascii, new_key, words
 
 SPAN = 13  # words in a window
 SUBSTITUTIONS = 2  # at most, in a window
-LEAST = 5  # words of the shortest item that is searched
+LEAST = 5  # words of the shortest item for which ``clean`` drops a document: fewer are ordinary text
 BROADCAST_ROWS = 200_000  # seeds of up to 150 bytes that may be broadcast; more are joined by a shuffle
 BROADCAST_IDS = 1_000_000  # ids that may be broadcast
 GROUPS = ((0, 4, 8, 12), (1, 5, 9), (2, 6, 10), (3, 7, 11))
 MASKS = tuple(tuple(p for g in range(4) if g not in out for p in GROUPS[g]) for out in combinations(range(4), 2))
 
 
-def _hashes(text: Column) -> Column:
-    return F.transform(words(lower_ascii(text)), lambda w: F.xxhash64(w))
+def allowed(n: int) -> int:
+    """Substitutions that a window of ``n`` words bears."""
+    return SUBSTITUTIONS * n // SPAN
 
 
-def _window(array: str, at: Column, length: int) -> list[Column]:
-    return [F.get(F.col(array), at + p) for p in range(length)]
+def _masks(n: int) -> tuple[tuple[int, ...], ...]:
+    """Positions of a window of ``n`` words that each mask looks at."""
+    if n >= SPAN:
+        return MASKS
+    return (tuple(range(0, n, 2)), tuple(range(1, n, 2))) if allowed(n) else (tuple(range(n)),)
 
 
-def _mask_keys(array: str, at: Column) -> list[Column]:
-    window = _window(array, at, SPAN)
-    return [F.xxhash64(F.lit(m), *[window[p] for p in mask]) for m, mask in enumerate(MASKS)]
+def _hashes(text: Column, key: int) -> Column:
+    return F.transform(words(lower_ascii(text)), lambda w: keyed(key, w))
 
 
-def _whole_key(array: str, at: Column, length: int) -> Column:
-    return F.xxhash64(F.lit(-length), *_window(array, at, length))
+def _keys(array: str, at: Column, n: int) -> Column:
+    """Keys of the window of ``n`` words at a place, one for each mask; masks of other lengths have other keys."""
+    window = [F.get(F.col(array), at + p) for p in range(n)]
+    return F.array(*[F.xxhash64(F.lit(m - 100 * n), *[window[p] for p in mask]) for m, mask in enumerate(_masks(n))])
 
 
 def seeds(items: DataFrame) -> DataFrame:
-    """``(key, window, item_id, ipos)`` for every mask and window of every item, and one whole key for a short item."""
+    """``(key, window, item_id, ipos)`` for every mask and window of every item; a short item is one window."""
     last = F.greatest(F.size("b") - SPAN, F.lit(0))
     at = items.select("item_id", "b", F.explode(F.sequence(F.lit(0), last)).alias("ipos"))
-    keys = F.when(F.size("b") >= SPAN, F.array(*_mask_keys("b", F.col("ipos"))))
-    for n in range(LEAST, SPAN):
-        keys = keys.when(F.size("b") == n, F.array(_whole_key("b", F.lit(0), n)))
+    keys = F.when(F.size("b") >= SPAN, _keys("b", F.col("ipos"), SPAN))
+    for n in range(1, SPAN):
+        keys = keys.when(F.size("b") == n, _keys("b", F.lit(0), n))
     return at.select(F.explode(keys).alias("key"), F.slice("b", F.col("ipos") + 1, F.lit(SPAN)).alias("window"), "item_id", "ipos")
 
 
-def _items(benchmark: DataFrame, text: str) -> DataFrame:
-    return benchmark.select("item_id", _hashes(F.col(text)).alias("b")).where(F.size("b") >= LEAST)
+def _items(benchmark: DataFrame, text: str, key: int, least: int = 1) -> DataFrame:
+    return benchmark.select("item_id", _hashes(F.col(text), key).alias("b")).where(F.size("b") >= least)
 
 
-def _hits(docs: DataFrame, table: DataFrame, text: str) -> DataFrame:
+def _hits(docs: DataFrame, table: DataFrame, text: str, key: int) -> DataFrame:
     """``(doc_id, pos, span, ...)``: windows of documents that hold those of ``table(key, window, ...)``, word by word.
 
     Seeds are broadcast up to ``BROADCAST_ROWS``, so of the documents nothing is shuffled; beyond it, keys are shuffled
     to the seeds with the words of their window.
     """
     few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    short = [r[0] for r in table.select(F.size("window").alias("n")).where(F.col("n") < SPAN).distinct().collect()]  # at most SPAN - LEAST
-    at = docs.select("doc_id", _hashes(F.col(text)).alias("d")).select("doc_id", "d", F.posexplode("d").alias("pos", "first"))
+    short = [r[0] for r in table.select(F.size("window").alias("n")).where(F.col("n") < SPAN).distinct().collect()]  # at most SPAN - 1
+    at = docs.select("doc_id", _hashes(F.col(text), key).alias("d")).select("doc_id", "d", F.posexplode("d").alias("pos", "first"))
     left, pos = F.size("d") - F.col("pos"), F.col("pos")
-    keys = F.when(left >= SPAN, F.array(*_mask_keys("d", pos))).otherwise(F.array().cast("array<bigint>"))
+    keys = F.when(left >= SPAN, _keys("d", pos, SPAN)).otherwise(F.array().cast("array<bigint>"))
     for n in sorted(short):
-        keys = F.concat(keys, F.when(left >= n, F.array(_whole_key("d", pos, n))).otherwise(F.array().cast("array<bigint>")))
+        keys = F.concat(keys, F.when(left >= n, _keys("d", pos, n)).otherwise(F.array().cast("array<bigint>")))
     # Comparisons stay in generated code: a join condition outside it would copy the document's array for every probe.
     equal = lambda words, at: sum(F.coalesce((F.get(words, at + k) == F.get("window", F.lit(k))).cast("int"), F.lit(0)) for k in range(SPAN))
     span = F.size("window")
-    enough = span - F.when(span >= SPAN, SUBSTITUTIONS).otherwise(0)
+    enough = span - F.floor(span * SUBSTITUTIONS / SPAN)
     if few:
         both = at.select("doc_id", "d", "pos", F.explode(keys).alias("key")).join(F.broadcast(table), "key")
         found = both.where(equal(F.col("d"), pos) >= enough)
@@ -97,26 +105,29 @@ def _hits(docs: DataFrame, table: DataFrame, text: str) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
-    """``(doc_id, item_id, start, end, n_windows)``: one row for each document, item and alignment with a match.
+    """``(doc_id, item_id, start, end, n_windows, short)``: one row for each document, item and alignment with a match.
 
-    Words ``start`` to ``end`` (exclusive) of the document hold the matching windows, of which there are ``n_windows``.
+    Words ``start`` to ``end`` (exclusive) of the document hold the matching windows, of which there are ``n_windows``;
+    ``short`` says that the item has fewer words than a window, so that such matches can be left aside.
     """
-    found = _hits(docs, seeds(_items(benchmark, item_text)), text)
+    key = new_key()
+    found = _hits(docs, seeds(_items(benchmark, item_text, key)), text, key)
     windows = found.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "pos").agg(F.max("span").alias("span"))
-    ends = [F.min("pos").alias("start"), F.max(F.col("pos") + F.col("span")).alias("end"), F.count(F.lit(1)).alias("n_windows")]
+    ends = [F.min("pos").alias("start"), F.max(F.col("pos") + F.col("span")).alias("end"), F.count(F.lit(1)).alias("n_windows"), F.max(F.col("span") < SPAN).alias("short")]
     runs = windows.groupBy("doc_id", "item_id", "shift").agg(*ends)
-    return runs.select("doc_id", "item_id", F.col("start").cast("long"), F.col("end").cast("long"), "n_windows")
+    return runs.select("doc_id", "item_id", F.col("start").cast("long"), F.col("end").cast("long"), "n_windows", "short")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs``, columns as they are, whose document matches no item.
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", least: int = LEAST) -> DataFrame:
+    """The rows of ``docs``, columns as they are, whose document matches no item of ``least`` words or more.
 
     A window that many items share is looked for once, and ids of matching documents are made distinct before they
     are shuffled.  Up to ``BROADCAST_IDS`` of them are broadcast, so that texts are not shuffled; more are joined by a
     shuffle.
     """
-    table = seeds(_items(benchmark, item_text)).select("key", "window").distinct()
-    dirty = materialize(_hits(docs, table, text).select(F.col("doc_id").alias("_dirty")).distinct())
+    key = new_key()
+    table = seeds(_items(benchmark, item_text, key, least)).select("key", "window").distinct()
+    dirty = materialize(_hits(docs, table, text, key).select(F.col("doc_id").alias("_dirty")).distinct())
     if dirty.count() <= BROADCAST_IDS:
         dirty = F.broadcast(dirty)
     return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_dirty"]), "left_anti")
@@ -125,3 +136,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def short_items(benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """Every item cut to its first 1 to 12 words, by its id."""
+    first = F.slice(words(F.col(text)), 1, (1 + F.pmod("item_id", F.lit(SPAN - 1))).cast("int"))
+    return benchmark.select("item_id", F.array_join(first, " ").alias(text))
+
+
+def short_item_matches(spark, sf_dir: str) -> DataFrame:
+    """Operator 2 on items of 1 to 12 words, of which the benchmark has none."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return matches(docs, short_items(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))

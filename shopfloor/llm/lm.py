@@ -40,7 +40,7 @@ from .scratch import materialize
 MU = 100.0  # strength of the prior, in tokens; held-out texts are likeliest with about this much
 STEP = 4096  # quantisation: steps per decade of probability
 MISSING = 0xFFFF
-END = np.uint64(0xE3779B97F4A7C15E)  # stands for the end among word hashes
+END = np.uint64(0xE3779B97F4A7C15E)  # stands for the end among word hashes, as hash and as check
 BEGIN = (1 << 32) - 1  # the context of a text's first token
 LOW = np.uint64((1 << 32) - 1)
 
@@ -50,22 +50,24 @@ def _word_extract(body: blocks.Arrays):
     lens, train = body["lens"], body["train"].astype(bool)
     counts = np.bincount(blocks.codes(body), weights=np.repeat(train, lens), minlength=len(body["words"])).astype(np.int64)
     at = int(np.searchsorted(body["words"], END))
-    keys = np.insert(body["words"], at, END)
+    keys, checks = (np.insert(body[c], at, END) for c in ("words", "checks"))
     counts = np.insert(counts, at, int(train.sum()))
-    return keys, lambda i: {"count": counts[i]}
+    return keys, lambda i: {"count": counts[i], "check": checks[i]}
 
 
 def _word_reduce(shards: int):
     def reduce(keys: np.ndarray, parts: list[blocks.Arrays]):
-        distinct, where = np.unique(keys, return_inverse=True)
-        count = np.bincount(where, weights=np.concatenate([p["count"] for p in parts])).astype(np.int64)
+        checks = np.concatenate([p["check"] for p in parts] or [np.zeros(0, np.uint64)])
+        distinct, _, where = blocks.distinct(keys, checks)
+        count = np.zeros(len(distinct), dtype=np.int64)
+        np.add.at(count, where, np.concatenate([p["count"] for p in parts]))
         own = {"total": np.array([count.sum(), (count > 0).sum()])}
         # A number that no other shard gives: place in the shard, and the shard.
         shard = int(blocks.ranged(keys[:1], shards)[0])
         number = np.arange(len(distinct), dtype=np.int64) * shards + shard
         if number[-1] >= BEGIN:
             raise ValueError("more distinct words than 32-bit numbers")
-        count, number, end = (blocks.apart(x, parts) for x in (count[where], number[where].astype(np.uint32), keys == END))
+        count, number, end = (blocks.apart(x, parts) for x in (count[where], number[where].astype(np.uint32), (keys == END) & (checks == END)))
         answers = [{"count": c, "number": n, "end": e} for c, n, e in zip(count, number, end)]
         return answers, own
 
@@ -146,7 +148,7 @@ def score(docs: DataFrame, held_out: str, text: str = "text", mu: float = MU) ->
     Rows where the boolean column ``held_out`` is true are scored but not learnt from.
     """
     rows = docs.select("doc_id", F.col(text).alias("text"), F.when(F.col(held_out), 0).otherwise(1).cast("long").alias("train"))
-    corpus = blocks.build(rows, lower=True, carry=("train",))
+    corpus = blocks.build(rows, lower=True, carry=("train",), checked=True)
     shards = blocks.shards_for(blocks.total(corpus, "n_keys"))
     words = materialize(blocks.exchange(corpus, _word_extract, _word_reduce(shards), shards))
     n, v = _sums(words)

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACES, UPPER, words
+from .words import SPACES, UPPER, new_key, words
 
 SAMPLE = 8000  # labelled documents that the list is fitted on, at most
 SYMBOLS = "#*$%&|<>"
@@ -59,6 +59,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumns({"_q_words": words(F.col("_q_text")), "_q_split": F.filter(F.split("_q_text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""), "_q_kinds": kinds})
     count = lambda mark: (F.octet_length("_q_kinds") - F.octet_length(F.replace("_q_kinds", F.lit(mark), F.lit("")))).cast("long")
     upper, digits, marks, symbols = (count(m) for _, m in _KINDS)
+    key = f"cast('{new_key()}' as bigint)"  # windows are told apart by 64-bit hashes with a secret key of the run
     df = df.withColumns({
         "n_words": F.size("_q_words").cast("long"),
         "word_chars": F.length("_q_kinds").cast("long"),
@@ -66,7 +67,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("_q_split") - F.size(F.array_distinct("_q_split"))).cast("long"),
         "_q_lines": F.size("_q_split").cast("long"),
         "_q_upper": upper, "_q_digits": digits, "_q_marks": marks,
-        "_q_hash": F.expr("case when size(_q_words) < 3 then cast(array() as array<bigint>) else transform(sequence(0, size(_q_words) - 3), i -> xxhash64(_q_words[i], _q_words[i + 1], _q_words[i + 2])) end"),
+        "_q_hash": F.expr(f"case when size(_q_words) < 3 then cast(array() as array<bigint>) else transform(sequence(0, size(_q_words) - 3), i -> xxhash64({key}, _q_words[i], _q_words[i + 1], _q_words[i + 2])) end"),
     })
     df = df.drop("_q_text", "_q_words", "_q_split", "_q_kinds")
     # A generated row keeps later filters above it; pushed further down, they would hash the windows once per window.

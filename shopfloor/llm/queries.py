@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import op11_bpe_round_trip
-from .decontam import op2_decontamination
+from .decontam import op2_decontamination, short_item_matches
 from .lm import MU, STEP, op3_lm_scores
 from .packing import op8_packing
 from .preferences import OP1_SQL, op1_preference_pairs
@@ -35,19 +35,25 @@ QUERIES = {
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-# Two substitutions leave four equal words in a row in any 13: those find the alignments, which are then checked whole.
-OP2_SQL = f"""
-with dl as (select doc_id, {WORDS.format(LOWER)} w from documents), bl as (select item_id, {WORDS.format(LOWER)} w from benchmark),
-d as (select doc_id, unnest(w) word, unnest(range(len(w))) pos from dl),
-b as (select item_id, len(w) n, unnest(w) word, unnest(range(len(w))) pos from bl where len(w) >= 5),
-d4 as (select doc_id, unnest(range(len(w) - 3)) pos, w from dl), b4 as (select item_id, unnest(range(len(w) - 3)) pos, w from bl where len(w) >= 5),
-shifts as (select distinct doc_id, item_id, x.pos - y.pos as shift from (select doc_id, pos, array_to_string(w[pos + 1 : pos + 4], ' ') g from d4) x join (select item_id, pos, array_to_string(w[pos + 1 : pos + 4], ' ') g from b4) y using (g)),
+# Two substitutions leave four equal words in a row in any 13, one leaves three in any 7: those find the alignments, which are
+# then checked whole.
+def _op2_sql(items: str) -> str:
+    gram = lambda n: f"select doc_id, {n} g, unnest(range(len(w) - {n - 1})) pos, w from dl where len(w) >= {n}"
+    return f"""
+with dl as (select doc_id, {WORDS.format(LOWER)} w from documents), bl as (select item_id, w, case when len(w) >= 13 then 4 else least(len(w), 3) end g from ({items}) where len(w) > 0),
+d as (select doc_id, unnest(w) word, unnest(range(len(w))) pos from dl), b as (select item_id, len(w) n, unnest(w) word, unnest(range(len(w))) pos from bl),
+dg as ({" union all ".join(gram(n) for n in (1, 2, 3, 4))}), bg as (select item_id, g, unnest(range(len(w) - g + 1)) pos, w from bl),
+shifts as (select distinct doc_id, item_id, x.pos - y.pos as shift from (select doc_id, g, pos, array_to_string(w[pos + 1 : pos + g], ' ') k from dg where g in (select g from bl)) x join (select item_id, g, pos, array_to_string(w[pos + 1 : pos + g], ' ') k from bg) y using (g, k)),
 aligned as (select s.doc_id, s.item_id, s.shift, b.n, b.pos, (b.word = d.word)::int eq from shifts s join b on b.item_id = s.item_id join d on d.doc_id = s.doc_id and d.pos = b.pos + s.shift),
 windows as (select *, sum(eq) over w k, count(*) over w c from aligned window w as (partition by doc_id, item_id, shift order by pos rows between current row and 12 following)),
-hits as (select * from windows where (n >= 13 and c = 13 and k >= 11) or (n < 13 and pos = 0 and c = n and k = n))
-select doc_id, item_id, min(pos + shift)::bigint as start, max(pos + shift + least(13, n))::bigint as "end", count(*)::bigint n_windows from hits group by doc_id, item_id, shift
+hits as (select * from windows where (n >= 13 and c = 13 and k >= 11) or (n < 13 and pos = 0 and c = n and k >= n - case when n >= 7 then 1 else 0 end))
+select doc_id, item_id, min(pos + shift)::bigint as start, max(pos + shift + least(13, n))::bigint as "end", count(*)::bigint n_windows, any_value(n < 13) short from hits group by doc_id, item_id, shift
 """
 
+
+OP2_SQL = _op2_sql(f"select item_id, {WORDS.format(LOWER)} w from benchmark")
+SHORT_SQL = _op2_sql(f"select item_id, ({WORDS.format(LOWER)})[1 : 1 + item_id % 12] w from benchmark")
+
 OP5_SQL = f"""
 with l as (select doc_id, {WORDS.format("coalesce(text, '')")} w from documents),
 win as (select doc_id, i, array_to_string(w[i : i + 49], ' ') k from (select doc_id, w, unnest(range(1, len(w) - 48)) i from l where len(w) >= 50)),
@@ -73,7 +79,7 @@ def quality_base_counts(spark, sf_dir: str) -> DataFrame:
     return op10_quality_rules(spark, sf_dir).drop("kept")
 
 
-QUERIES |= {"lm_rounded": lm_rounded, "secret_base_spans": secret_base_spans, "quality_base_counts": quality_base_counts}
+QUERIES |= {"short_item_matches": short_item_matches, "lm_rounded": lm_rounded, "secret_base_spans": secret_base_spans, "quality_base_counts": quality_base_counts}
 
 # Bit by bit: each byte is followed by seven zeros, one for each further shift.
 CRC32 = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::varchar, ''), lambda x: [ascii(x)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
@@ -116,6 +122,6 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from m
 """
 
 ORACLES: dict[str, str] = {
-    "op1_preference_pairs": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_repeat_removal": OP5_SQL,
+    "op1_preference_pairs": OP1_SQL, "op2_decontamination": OP2_SQL, "short_item_matches": SHORT_SQL, "op5_repeat_removal": OP5_SQL,
     "op12_source_divergence": OP12_SQL, "op13_conversation_trie": OP13_SQL, "lm_rounded": LM_SQL, "secret_base_spans": SECRET_SQL, "quality_base_counts": QUALITY_SQL,
 }

@@ -11,7 +11,8 @@ documents of a run or pair, and one of a single document gets no name: windows t
 out, and words without a window left leave the next round.  So the rounds shrink to what repeats, shared symbols of
 the last round reveal it, and the windows there are verified by 128-bit hashes of their symbols' words.
 
-Identity: a word is its 64-bit hash, a text or window a 128-bit hash of its words; runs and pairs are exact.
+Identity: a word is two 64-bit hashes by secret keys of the run, so nobody can make two words alike; the first exchange gives
+each such word a number of its own.  Runs and pairs of numbers are exact, a text or window is a 128-bit hash of its words.
 
 Rules for unusual input
 -----------------------
@@ -124,7 +125,7 @@ def _texts(body: blocks.Arrays) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _extract_words(body: blocks.Arrays):
-    """Keys of words and of whole texts with their documents; a text's second half stands in ``a``."""
+    """Keys of words and of whole texts with their documents; the second half of either name stands in ``a``."""
     code = blocks.codes(body)
     ids = np.repeat(body["ids"], body["lens"])
     n = len(body["words"])
@@ -136,7 +137,7 @@ def _extract_words(body: blocks.Arrays):
     least_text, most_text = _documents(order, fresh, body["ids"])
     keys = np.concatenate([body["words"], body["digest1"].view(np.uint64)[one]])
     made = {
-        "a": np.concatenate([np.zeros(n, np.int64), body["digest2"][one]]), "text": np.repeat(np.array([0, 1], np.uint8), [n, len(one)]),
+        "a": np.concatenate([body["checks"].view(np.int64), body["digest2"][one]]), "text": np.repeat(np.array([0, 1], np.uint8), [n, len(one)]),
         "least": np.concatenate([least, least_text]), "several": np.concatenate([most > least, most_text > least_text]),
     }
     sort = np.lexsort((made["a"], made["text"], keys))
@@ -360,7 +361,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, ro
     Rows are named by id and hash of the text.  A null id is ``blocks.NO_ID`` here.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_h"))
-    corpus = blocks.build(rows, carry=("text_h",), digest=True)
+    corpus = blocks.build(rows, carry=("text_h",), digest=True, checked=True)
     shards = blocks.shards_for(blocks.total(corpus, "n_keys"))
     answers = blocks.exchange(corpus, _extract_words, _reduce_words(shards), shards)
     state = materialize(blocks.receive(corpus, answers, _begin(window), STATE, ("body",)))

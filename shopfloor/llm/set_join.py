@@ -39,14 +39,15 @@ ENTRY = [("key", "<i8"), ("node", "<i8"), ("label", "<i8"), ("pos", "<i4"), ("n"
 EPS = 1e-9
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, words per text, distinct shingle hashes text by text in ascending order, and their number per text.
 
-    A text of fewer than ``k`` words has one shingle, all of it.
+    A text of fewer than ``k`` words has one shingle, all of it.  ``key`` is the secret of one run, so that nobody can make
+    two words alike.
     """
     data = arrays.lower_ascii(data)
     starts, ends, of = arrays.word_bounds(data, offsets)
-    h = arrays.slice_hashes(data, starts, ends)
+    h = arrays.slice_hashes(data, starts, ends, key)
     rows = len(offsets) - 1
     n = np.bincount(of, minlength=rows)
     stop = np.cumsum(n)
@@ -110,14 +111,14 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values))
 
 
-def common_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(rows: DataFrame, k: int, key: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that repeat in a sample of ``rows(text_hash, text)``, in ascending order, and their counts."""
     total = rows.count()
     every = max(1, total // (5000 + total // 100))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in arrays.chunks(batches, "text"):
-            s, c = np.unique(shingle_sets(data, offsets, k)[2], return_counts=True)
+            s, c = np.unique(shingle_sets(data, offsets, k, key)[2], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(c.astype(np.int64))], ["s", "c"])
 
     seen = rows.where(F.pmod("text_hash", F.lit(every)) == 0).select("text").mapInArrow(run, "s long, c long")
@@ -127,13 +128,13 @@ def common_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return s[order], c[order]
 
 
-def named_keys(rows: DataFrame, t: float, k: int, fingerprint: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def named_keys(rows: DataFrame, t: float, k: int, key: int, fingerprint: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """``(doc_id, text_hash, cls, cls2, n, keys, bits, wide, fp)``: two names of the word sequence; size, keys in order, bitmaps and ``TABLES`` fingerprints of the shingle set."""
-    known, counts = common_shingles(rows, k)
+    known, counts = common_shingles(rows, k, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in arrays.chunks(batches, "text"):
-            h, words, s, n = shingle_sets(data, offsets, k)
+            h, words, s, n = shingle_sets(data, offsets, k, key)
             names = arrays.row_digests(h, words)
             bits, wide = _bitmaps(s, n), _wide_bitmaps(s, n)
             fps = [fingerprint(arrays.mixed(s.view(np.uint64) + np.uint64(i)), n).view(np.int64) for i in range(TABLES)]

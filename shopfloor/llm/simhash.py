@@ -233,12 +233,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).where("doc_id is not null")
     with working(docs.sparkSession):
-        marked = materialize(set_join.named_keys(rows, similarity, shingle, _majority))
+        key = arrays.new_key()
+        marked = materialize(set_join.named_keys(rows, similarity, shingle, key, _majority))
         first = [F.min(c).alias(c) for c in ("n", "keys", "bits", "wide", "fp")]
         classes = marked.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *first)
         classes = materialize(classes.withColumnRenamed("cls", "node"))
         near = links(classes.select("node", "fp"), radius, tables=set_join.TABLES)
-        linked = set_join.similar_components(classes, lambda nodes: _sets_of(rows, classes, nodes, shingle), similarity, near)
+        linked = set_join.similar_components(classes, lambda nodes: _sets_of(rows, classes, nodes, shingle, key), similarity, near)
         named = classes.join(linked, "node", "left").select("rep", F.coalesce("component", "node").alias("label"))
         best = named.groupBy("label").agg(F.min("rep").alias("best")).select("best.doc_id", "best.text_hash")
         own = marked.select("doc_id", "text_hash")
@@ -253,12 +254,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
     return once.unionByName(kept.where("doc_id is null"))
 
 
-def _sets_of(rows: DataFrame, classes: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+def _sets_of(rows: DataFrame, classes: DataFrame, nodes: DataFrame, shingle: int, key: int) -> DataFrame:
     """``(node, s)``: the shingle set of every one of ``nodes``, from the text that stands for its class; once per such row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in arrays.chunks(batches, "text"):
-            _, _, s, n = set_join.shingle_sets(data, offsets, shingle)
+            _, _, s, n = set_join.shingle_sets(data, offsets, shingle, key)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(s))
             yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "s"])
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .arrays import ranges, slice_hashes
+from .arrays import new_key, ranges, slice_hashes
 
 MARK = "▁"
 
@@ -68,9 +68,9 @@ def _counts(path: str, pieces: list[bytes]) -> np.ndarray:
     return np.array([(len(f) if len(t) > 1 else 1) if s else len(f) - 2 for f, s, t in zip(found, led, texts)], dtype=np.int32)
 
 
-def _names(chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _names(chars: np.ndarray, sizes: np.ndarray, key: int) -> np.ndarray:
     ends = np.cumsum(sizes, dtype=np.int64)
-    return slice_hashes(chars, ends - sizes, ends)
+    return slice_hashes(chars, ends - sizes, ends, key)
 
 
 def _unequal(chars: np.ndarray, sizes: np.ndarray, starts: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -103,7 +103,7 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", carry: tuple[s
                 def select(i: np.ndarray) -> blocks.Arrays:
                     return {"sizes": sizes[i].astype(np.uint32), "chars": known["chars"][np.repeat(starts[i], sizes[i]) + ranges(sizes[i])]}  # noqa: B023
 
-                out = blocks.messages(row["block"], None, blocks.ranged(_names(known["chars"], sizes), shards), select, shards)
+                out = blocks.messages(row["block"], None, blocks.ranged(_names(known["chars"], sizes, key), shards), select, shards)
                 if out:
                     s, b, body = zip(*out)
                     yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(b, pa.int64()), pa.array(body, pa.binary())], ["shard", "block", "body"])
@@ -111,7 +111,7 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", carry: tuple[s
     def reduce(keys: np.ndarray, parts: list[blocks.Arrays]):
         chars, sizes = (np.concatenate([p[k] for p in parts]) for k in ("chars", "sizes"))
         ends = np.cumsum(sizes, dtype=np.int64)
-        _, first, where = np.unique(_names(chars, sizes), return_index=True, return_inverse=True)
+        _, first, where = np.unique(_names(chars, sizes, key), return_index=True, return_inverse=True)
         raw = chars.tobytes()
         odd = _unequal(chars, sizes, ends - sizes, first[where])
         if len(odd):  # other bytes than the first of the same hash
@@ -137,7 +137,8 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", carry: tuple[s
     given = F.coalesce(F.col(text), F.lit(""))
     more = (*carry, *extra[0])
     ready = docs.select("doc_id", *carry, F.octet_length(given).cast("long").alias("given"), F.when(given == "", "").otherwise(F.concat(F.lit(" "), F.replace(given, F.lit(MARK), F.lit(" ")))).alias("text"))
-    corpus = blocks.build(ready, cut=cut, bag=True, carry=("given", *carry), extra=extra)
+    key = new_key()
+    corpus = blocks.build(ready, cut=cut, bag=True, key=key, carry=("given", *carry), extra=extra)
     shards = blocks.shards_for(blocks.total(corpus, "n_keys"))
     sent = corpus.select("block", "dict").mapInArrow(send, "shard int, block long, body binary")
     answers = blocks.answered(sent, reduce)

@@ -1,5 +1,7 @@
 """Column expressions on words: maximal runs of characters other than space and U+0009..U+000D."""
 
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,3 +19,13 @@ def words(text: Column) -> Column:
     """The words of a text, in order; null or blank text has none."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, GAP))
+
+
+def new_key() -> int:
+    """A secret number for ``keyed``, chosen by the driver for one run."""
+    return int.from_bytes(os.urandom(8), "little", signed=True)
+
+
+def keyed(key: int, *parts: Column) -> Column:
+    """64-bit hash by a secret key: nobody can prepare words that collide."""
+    return F.xxhash64(F.lit(key).cast("bigint"), *parts)

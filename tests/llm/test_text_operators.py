@@ -22,16 +22,16 @@ def plain_matches(docs, items):
         w = words(lower(t))
         for k, u in items:
             b = words(lower(u))
-            if len(b) < decontam.LEAST:
+            if not b:
                 continue
-            span = min(decontam.SPAN, len(b))
-            allowed = decontam.SUBSTITUTIONS if len(b) >= decontam.SPAN else 0
+            span = min(13, len(b))
+            allowed = 2 if len(b) >= 13 else 1 if len(b) >= 7 else 0
             at = collections.defaultdict(set)
             for p in range(len(w) - span + 1):
                 for q in range(len(b) - span + 1):
                     if sum(w[p + j] == b[q + j] for j in range(span)) >= span - allowed:
                         at[p - q].add(p)
-            out |= {(i, k, min(ps), max(ps) + span, len(ps)) for ps in at.values()}
+            out |= {(i, k, min(ps), max(ps) + span, len(ps), span < 13) for ps in at.values()}
             for shift, ps in at.items():  # the overlap cannot be extended: the next word differs
                 end = max(ps) + span
                 assert span < decontam.SPAN or end == len(w) or end - shift == len(b) or w[end] != b[end - shift]
@@ -53,7 +53,8 @@ def test_decontamination(spark, monkeypatch):
     assert {tuple(r) for r in decontam.matches(d, b).collect()} == wanted and len(wanted) > 20
     kept = decontam.clean(d, b)
     assert kept.columns == d.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in docs if i not in {x[0] for x in wanted})
+    long = [(k, t) for k, t in items if len(words(t)) >= decontam.LEAST]
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in docs if i not in {x[0] for x in plain_matches(docs, long)})
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)  # the way beyond the bound
     monkeypatch.setattr(decontam, "BROADCAST_IDS", 0)
     assert {tuple(r) for r in decontam.matches(d, b).collect()} == wanted
@@ -76,6 +77,48 @@ BASE = [
 RANDOM = base64.b64encode(hashlib.sha256(b"a key").digest()).decode()
 
 
+@pytest.mark.parametrize("n,borne", [(1, 0), (4, 0), (5, 0), (6, 0), (7, 1), (12, 1), (13, 2)])
+def test_short_items_whole_and_substituted(spark, n, borne):
+    w = [f"word{i}" for i in range(n)]
+    docs = [(0, "so " + " ".join(w).upper() + " end"), (1, " ".join(w[:-1]))]
+    for k in (1, 2, 3):
+        for at in range(n):  # each place once, with its neighbours
+            docs.append((100 * k + at, "so " + " ".join("other" if (i - at) % n < k else x for i, x in enumerate(w))))
+    got = {r.doc_id: (r.start, r.end, r.short) for r in decontam.matches(frame(spark, docs), spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")).collect()}
+    wanted = {i: (1, 1 + n, n < 13) for i, t in docs if i == 0 or (100 <= i and i // 100 <= borne)}
+    assert got == wanted
+
+
+def test_words_of_one_hash_stay_apart(spark):
+    """Two words that a known key would confuse, in texts that are equal otherwise."""
+    import numpy as np
+
+    from shopfloor.llm import arrays, simhash
+
+    pair = "interoperability", "1ax6zx7nx@w.|,#+"
+    raw = np.frombuffer("".join(pair).encode(), np.uint8)
+    cut = np.array([0, 16]), np.array([16, 32])
+    assert len(set(arrays.slice_hashes(raw, *cut).tolist())) == 1 and len(set(arrays.slice_hashes(raw, *cut, arrays.new_key()).tolist())) == 2
+    rest = [f"w{i}" for i in range(49)]
+    texts = [" ".join([*rest[:20], x, *rest[20:]]) for x in pair]
+    docs = spark.createDataFrame([(1, texts[0]), (2, texts[1])], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.n_removed for r in recompression.remove_repeats(docs).collect()} == {1: 0, 2: 0}
+    two = spark.createDataFrame([(1, pair[0], False), (2, pair[1], True)], "doc_id long, text string, held boolean").coalesce(1)
+    assert {r.doc_id: (r.n_tokens, r.n_known) for r in lm.score(two, "held").collect()} == {1: (2, 2), 2: (2, 1)}
+    few = spark.createDataFrame([(1, f"a b {pair[0]}"), (2, f"a b {pair[1]}")], "doc_id long, text string").coalesce(1)
+    assert simhash.near_duplicates(few).count() == 2
+
+
+def test_words_with_equal_first_halves_are_two_in_a_dictionary():
+    import numpy as np
+
+    from shopfloor.llm import blocks
+
+    hashes, checks = np.array([5, 9, 5, 5, 9], np.uint64), np.array([1, 1, 2, 1, 1], np.uint64)
+    first, count, code = blocks.distinct(hashes, checks)
+    assert hashes[first].tolist() == [5, 5, 9] and count.tolist() == [2, 1, 2] and code.tolist() == [0, 2, 1, 0, 2]
+
+
 def plain_base(t):
     found = sorted((m.start(), i, m.end(), k) for i, (k, p, g, n) in enumerate(BASE) for m in p.finditer(t or "") if len(m.group(g)) >= n)
     return ",".join(f"{k}:{s}:{e}" for s, _, e, k in found)
@@ -130,6 +173,32 @@ def test_planted_keys_are_found_and_ordinary_text_is_not(spark):
     assert wrong <= 0.05 * (wrong + sum(hit.values())), wrong
 
 
+ORDINARY = (
+    "RESPONSIBILITIES TELECOMMUNICATIONS UNCHARACTERISTICALLY CONFIGURATION_SETTINGS PSEUDOPSEUDOHYPOPARATHYROIDISM MAX_CONNECTION_POOL_SIZE internationalization "
+    "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT KRAFTFAHRZEUGHAFTPFLICHTVERSICHERUNG Rechtsschutzversicherungsgesellschaften SCHMETTERLINGSFLUEGEL "
+    "getElementsByTagNameAndClass AbstractSingletonProxyFactoryBean /usr/local/lib/python3/dist-packages com/example/project/ServiceFactoryBean user_profile_picture_2023"
+).split()
+
+
+def test_ordinary_tokens_are_no_secrets_and_all_spans_are_those_of_the_plain_version(spark, sf_dir):
+    import string
+
+    import plain_secrets
+
+    rnd = random.Random(3)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    docs += [(10**6 + i, f"see {w} here and there") for i, w in enumerate(ORDINARY)]
+    letters = (string.digits + "ABCDEF", string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "+/", string.ascii_letters)
+    keys = {2 * 10**6 + i: "".join(rnd.choices(letters[i % 4], k=rnd.choice([24, 32, 48]))) for i in range(40)}
+    docs += [(i, f"the key {k}") for i, k in keys.items()] + [(3 * 10**6 + j, f"the copied key {keys[2 * 10**6]}") for j in range(30)]
+    rows = secrets.scan(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    got = {r.doc_id: [(s["start"], s["end"]) for s in r.all_spans] for r in rows}
+    assert got == plain_secrets.spans(docs)
+    assert not [w for i, w in enumerate(ORDINARY) if got[10**6 + i]]
+    assert sum((8, 8 + len(k)) in got[i] for i, k in keys.items()) >= 38
+    assert all(got[3 * 10**6 + j] for j in range(30))
+
+
 def test_candidates_beside_base_spans(spark):
     tail = RANDOM.replace("=", "")
     texts = ["deadbeefdeadbeef0123 " + tail, f"0123456789abcdef0123{tail.upper()}", "x" * 40]
