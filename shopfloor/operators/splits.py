@@ -8,8 +8,12 @@ Shares are fractions of integers, ``(7, 10)``: in doubles, floor(90 * 0.7) is 62
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import BLOCK, with_position
+
 EXCLUDED = "excluded"
 BROADCAST_FOLDS = 100_000  # names of folds that may be broadcast
+SORTED = 10_000  # values that are sorted to find a place among them, at most
+PARTS = 1_000  # ranges that a round of the search for a place counts
 COLUMNS = ["dataset", "scheme", "fold", "row_id", "role", "order", "episode_id", "run_id"]
 
 
@@ -28,20 +32,19 @@ def _role(place: Column, n_train: Column, n_dev: Column) -> Column:
     return F.when(place <= n_train, "train").when(place <= n_dev, "validation").otherwise("test")
 
 
-def head_fraction(df: DataFrame, by: str, order: str, num: int, den: int) -> DataFrame:
-    """The first floor(N num / den) rows of each group (O3)."""
-    ranked = df.withColumn("_sf_k", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+def head_fraction(df: DataFrame, by: str, order: str, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """The first floor(N num / den) rows of each group (O3); places come from the block scan."""
+    ranked = with_position(df, [by], order, "_sf_place", block)
     sized = ranked.join(df.groupBy(by).agg(F.count(F.lit(1)).alias("_sf_n")), by)
-    return sized.where(F.expr(f"_sf_k <= _sf_n * {num} div {den}")).select(*df.columns)
+    return sized.where(F.expr(f"_sf_place < _sf_n * {num} div {den}")).select(*df.columns)
 
 
-def ratio_split(df: DataFrame, by: str, order: str, dev=(7, 10), train=(8, 10), least: int = 20) -> DataFrame:
-    """Add ``role``: by place in the run (W12, F1); runs under ``least`` rows are excluded."""
-    cuts = valid_runs(df, by, least).withColumns({f"_sf_{c}": v for c, v in cutoffs("n", dev, train).items()}).drop("n")
-    ranked = df.withColumn("_sf_k", F.row_number().over(Window.partitionBy(by).orderBy(order)))
-    joined = ranked.join(cuts, by, "left")
-    role = F.when(F.col("_sf_n_dev").isNull(), EXCLUDED).otherwise(_role(F.col("_sf_k"), F.col("_sf_n_train"), F.col("_sf_n_dev")))
-    return joined.withColumn("role", role).select(*df.columns, "role")
+def ratio_split(df: DataFrame, by: str, order: str, dev=(7, 10), train=(8, 10), least: int = 20, block: int = BLOCK) -> DataFrame:
+    """Add ``role``: by place in the run (W12, F1), from the block scan; runs under ``least`` rows are excluded."""
+    cuts = valid_runs(df, by, least).withColumns({f"_sf_{c}": v for c, v in cutoffs("n", dev, train).items()}).select(by, "_sf_n_dev", "_sf_n_train")
+    joined = with_position(df, [by], order, "_sf_place", block).join(cuts, by, "left")
+    role = F.when(F.col("_sf_n_dev").isNull(), EXCLUDED).otherwise(_role(F.col("_sf_place") + 1, F.col("_sf_n_train"), F.col("_sf_n_dev")))
+    return joined.withColumn("role", role).select(*[c for c in df.columns if c != "role"], "role")
 
 
 def boundaries(split: DataFrame, by: str, counter: str) -> DataFrame:
@@ -95,30 +98,67 @@ def distinct_times(df: DataFrame, t: str) -> DataFrame:
     return df.select(t).distinct()
 
 
-def time_cutoffs(df: DataFrame, t: str, dev=(7, 10), train=(8, 10)) -> tuple:
-    """Times of the last train and the last development place among the T distinct times.
+def _number(t: str, kind: str) -> Column:
+    """A time or number as a long of the same order; floating values by their bits."""
+    c = F.col(t)
+    if kind == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{t}`)")
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    if kind == "date":
+        return F.unix_date(c).cast("bigint")
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return c.cast("bigint")
+    raise ValueError(f"no places among values of type {kind}")
+
 
-    Counts per day find the day that holds a place; only that day's times are sorted.
+def kth_distinct(df: DataFrame, t: str, places: list[int], most: int = SORTED, parts: int = PARTS) -> list:
+    """The values at 1-based ``places`` among the distinct non-null values of ``t``, exactly; None outside them.
+
+    Every place keeps a range of values with how many come before it.  A round cuts a range into ``parts`` equal ones
+    and counts in each, which gives the one that holds the place; where a range has at most ``most`` values they are
+    sorted.  So nothing but ``parts`` counts and ``most`` values is ever collected or sorted, however the values lie: a
+    range of 2^63 is down to one value after seven rounds.
     """
-    times = distinct_times(df.where(F.col(t).isNotNull()), t).withColumn("_sf_day", F.to_date(t))
-    days = times.groupBy("_sf_day").agg(F.count(F.lit(1)).alias("n")).orderBy("_sf_day").collect()  # one row per day
-    total = sum(d["n"] for d in days)
+    kind = df.schema[t].dataType.simpleString()
+    values = df.where(F.col(t).isNotNull()).select(_number(t, kind).alias("_sf_v"), F.col(t).alias("_sf_t")).distinct()
+    low, high, total = values.agg(F.min("_sf_v"), F.max("_sf_v"), F.count(F.lit(1))).first()
+    ranges = {k: (low, high, 0, total) for k in places if 1 <= k <= total}  # least and greatest value, values before, values inside
+    while True:
+        wide = sorted({r for r in ranges.values() if r[3] > most and r[0] < r[1]})
+        if not wide:
+            break
+        for lo, hi, before, n in wide:
+            step = -(-(hi - lo + 1) // parts)
+            inside = values.where(F.col("_sf_v").between(lo, hi))
+            part = F.expr(f"cast((cast(_sf_v as decimal(20,0)) - {lo}) div {step} as int)")
+            counts = inside.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # at most ``parts`` rows
+            for k in [k for k, r in ranges.items() if r == (lo, hi, before, n)]:
+                seen = before
+                for row in counts:
+                    if seen + row["n"] >= k:
+                        first = lo + row["p"] * step
+                        ranges[k] = (first, min(hi, first + step - 1), seen, row["n"])
+                        break
+                    seen += row["n"]
+    found = {}
+    for lo, hi, before, n in sorted(set(ranges.values())):
+        held = values.where(F.col("_sf_v").between(lo, hi)).orderBy("_sf_v").limit(min(n, most) if lo < hi else 1).collect()
+        found |= {k: held[k - before - 1]["_sf_t"] for k, r in ranges.items() if r == (lo, hi, before, n)}
+    return [found.get(k) for k in places]
+
+
+def time_cutoffs(df: DataFrame, t: str, dev=(7, 10), train=(8, 10), most: int = SORTED) -> tuple:
+    """Times of the last train and the last development place among the T distinct times."""
+    total = df.where(F.col(t).isNotNull()).select(F.count_distinct(t)).first()[0]
     n_dev = total * dev[0] // dev[1]
-    out = []
-    for k in (n_dev * train[0] // train[1], n_dev):
-        before, found = 0, None
-        for d in days:
-            if k and before + d["n"] >= k:
-                found = times.where(F.col("_sf_day") == d["_sf_day"]).orderBy(t).limit(k - before).agg(F.max(t)).first()[0]
-                break
-            before += d["n"]
-        out.append(found)
-    return out[0], out[1]
-
-
-def time_ratio_split(df: DataFrame, t: str, dev=(7, 10), train=(8, 10)) -> DataFrame:
+    last_train, last_dev = kth_distinct(df, t, [n_dev * train[0] // train[1], n_dev], most)
+    return last_train, last_dev
+
+
+def time_ratio_split(df: DataFrame, t: str, dev=(7, 10), train=(8, 10), most: int = SORTED) -> DataFrame:
     """Add ``role`` by the rank of a row's time among distinct times; equal times get one role."""
-    last_train, last_dev = time_cutoffs(df, t, dev, train)
+    last_train, last_dev = time_cutoffs(df, t, dev, train, most)
     kind = df.schema[t].dataType
     upto = lambda cut: F.lit(False) if cut is None else F.col(t) <= F.lit(cut).cast(kind)
     role = F.when(F.col(t).isNull(), EXCLUDED).when(upto(last_train), "train").when(upto(last_dev), "validation").otherwise("test")

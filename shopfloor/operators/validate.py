@@ -9,10 +9,10 @@ from .splits import BROADCAST_FOLDS, EXCLUDED
 
 
 def _differs(a: DataFrame, b: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
-    right = b.select(*key, *[F.col(c).alias(f"_b_{c}") for c in cols])
+    right = b.select(*key, *[F.col(c).alias(f"_sf_b_{c}") for c in cols])
     same = F.lit(True)
     for c in cols:
-        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+        same = same & F.col(c).eqNullSafe(F.col(f"_sf_b_{c}"))
     return a.join(right, key).where(~same).select(*key)
 
 

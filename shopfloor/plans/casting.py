@@ -1,13 +1,15 @@
 """The three process tables: quality rows, equipment timeline and the separate process log.
 
-Only this module and the stand-ins know column names of the casting data; operators take names as parameters.
+Only this module and the stand-ins know column names of the casting data; operators take names as parameters.  A builder
+writes its rows once they have runs, to the shared folder, as the scans after it read them twice.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
-from ..operators import link, ordered, splits
+from ..operators import bitmaps, link, ordered, splits
+from ..sources import files
 
 # Column names of the source tables.
 PROCESS = ["Velocity_1", "Velocity_2", "Velocity_3", "High_Velocity", "Cylinder_Pressure", "Rapid_Rise_Time", "Biscuit_Thickness", "Clamping_Force", "Cycle_Time", "Pressure_Rise_Time", "Casting_Pressure", "Spray_Time", "Spray_1_Time", "Spray_2_Time"]
@@ -27,7 +29,7 @@ def quality_table(raw: DataFrame) -> DataFrame:
     ``raw`` has ``source_row``.  Runs are cut before repeats go, positions counted after.
     """
     runs = ordered.segment_on_decrease(raw, "source_row", "Shot")
-    kept = ordered.dedup_keep_first(runs, ["run_id"], ["id"], "source_row").drop(*LIMITS)
+    kept = files.stored(ordered.dedup_keep_first(runs, ["run_id"], ["id"], "source_row").drop(*LIMITS))
     cells = lambda k: [f"{t}_{k}" for t in TYPES]
     out = kept.withColumns({
         "row_id": fn.row_id("q42", ("r", "run_id"), ("s", "Shot")),
@@ -35,12 +37,12 @@ def quality_table(raw: DataFrame) -> DataFrame:
         **fn.type_flags(TYPES),
     })
     out = out.withColumns({"defect_type_count": fn.count_true([f"y_type_{t}" for t in TYPES]), "y_type_Etc": fn.any_positive([f"y_type_{t}" for t in OTHER_TYPES])})
-    return out.withColumn("shot_position", ordered.position_in_group(["run_id"], "source_row"))
+    return ordered.with_position(out, ["run_id"], "source_row")
 
 
 def timeline_table(raw: DataFrame) -> DataFrame:
     """All timeline records with runs, eligibility, episodes and history; ``raw`` has ``source_row``."""
-    out = ordered.segment_on_decrease(raw, "source_row", "Shot")
+    out = files.stored(ordered.segment_on_decrease(raw, "source_row", "Shot"))
     out = out.withColumns({
         "row_id": fn.row_id("m41", ("r", "run_id"), ("s", "Shot")),
         "process_missing": fn.any_null(PROCESS), "gate_eligible": fn.eligible("Machine_Status", PROCESS),
@@ -62,22 +64,35 @@ def process_table(raw: DataFrame) -> DataFrame:
     return ordered.sort_stable(out, "event_time", "source_row")
 
 
-def folds_table(quality: DataFrame, timeline: DataFrame, process: DataFrame | None = None, run: str = "run_id", shot: str = "Shot", order: str = "source_row", eligible: str = "gate_eligible", time: str = "event_time", labelled: str = "label_available", least: int = 20, names=("q42", "m41", "p40")) -> DataFrame:
-    """Every row of each table once in every combination of its schemes and folds (F8)."""
+def fold_bitmaps(
+    quality: DataFrame, timeline: DataFrame, process: DataFrame | None = None, run: str = "run_id", shot: str = "Shot", order: str = "source_row",
+    eligible: str = "gate_eligible", time: str = "event_time", labelled: str = "label_available", least: int = 20, names=("q42", "m41", "p40"),
+) -> tuple[DataFrame, DataFrame]:
+    """``(dataset, row_id, order, episode_id, run_id, roles)``, one row for each row of each table, and the combinations.
+
+    The role of a run in every fold of the run schemes is worked out once for the run.
+    """
     q, m, p = names
+    text = F.lit(None).cast("string")
+    keys = lambda df, name, place, episode, of: df.select(F.lit(name).alias("dataset"), "row_id", place.alias("order"), episode.alias("episode_id"), of.cast("bigint").alias("run_id"), "roles")
     by_place = splits.ratio_split(quality, run, order, least=least)
     aligned = splits.align_to_boundaries(timeline, splits.boundaries(by_place, run, shot), run, shot)
-    ineligible = ~F.col(eligible)
+    runs = splits.valid_runs(quality, run, least).select(run)
+    words = bitmaps.run_words(runs, run)
     parts = [
-        splits.as_folds(by_place, q, "within_run", splits.order_key(order), "primary", run=run),
-        splits.as_folds(splits.apply_exclusions(aligned, ineligible), m, "within_run", splits.order_key(order), "primary", "episode_id", run),
+        keys(bitmaps.with_roles(by_place, words, run), q, splits.order_key(order), text, F.col(run)),
+        keys(bitmaps.with_roles(aligned, words, run, used=F.col(eligible)), m, splits.order_key(order), F.col("episode_id"), F.col(run)),
     ]
-    runs = splits.valid_runs(quality, run, least)
-    for scheme in ("run_holdout", "forward_run"):
-        parts.append(splits.as_folds(splits.run_split(quality, runs, run, scheme), q, scheme, splits.order_key(order), run=run))
-        held = splits.apply_exclusions(splits.run_split(timeline, runs, run, scheme), ineligible)
-        parts.append(splits.as_folds(held, m, scheme, splits.order_key(order), episode="episode_id", run=run))
+    of_runs = bitmaps.run_combinations(runs, run)
+    combinations = [of_runs.withColumn("dataset", F.lit(name)) for name in (q, m)]
     if process is not None:
-        timed = splits.apply_exclusions(splits.time_ratio_split(process, time), ~F.col(labelled))
-        parts.append(splits.as_folds(timed, p, "chronological", splits.order_key(time, True), "primary"))
-    return splits.union_folds(parts)
+        timed = splits.apply_exclusions(splits.time_ratio_split(process, time), ~F.col(labelled)).withColumn("roles", bitmaps.single(F.col("role")))
+        parts.append(keys(timed, p, splits.order_key(time, True), text, F.lit(None)))
+        one = quality.sparkSession.range(1).select(F.lit("chronological").alias("scheme"), F.lit("primary").alias("fold"), F.lit(0).cast("bigint").alias("place"), F.lit(p).alias("dataset"))
+        combinations.append(one)
+    return splits.union_folds(parts), splits.union_folds(combinations)
+
+
+def folds_table(*tables: DataFrame, **how) -> DataFrame:
+    """Every row of each table once in every combination of its schemes and folds (F8), from ``fold_bitmaps``."""
+    return bitmaps.expand(*fold_bitmaps(*tables, **how))

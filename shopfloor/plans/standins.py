@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..operators import ordered
+from ..sources import files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +29,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The timeline with runs, ids, eligibility, episodes and history."""
-    out = runs(spark, sf_dir).withColumns({
+    """The timeline with runs, ids, eligibility, episodes and history; scans read the stored runs, not their plan twice."""
+    out = files.stored(runs(spark, sf_dir)).withColumns({
         "row_id": fn.row_id("m41", ("r", "run_id"), ("s", "shot")),
         "process_missing": fn.any_null(["cycle_time"]), "gate_eligible": fn.eligible("status", ["cycle_time"]),
     })
@@ -50,9 +51,9 @@ def quality_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rows without repeats, with ids, positions and a label (cycle times of 90 and more)."""
-    out = ordered.dedup_keep_first(quality_runs(spark, sf_dir), ["run_id"], ["id"], "source_row")
+    out = files.stored(ordered.dedup_keep_first(quality_runs(spark, sf_dir), ["run_id"], ["id"], "source_row"))
     out = out.withColumn("row_id", fn.row_id("q42", ("r", "run_id"), ("s", "shot")))
-    out = out.withColumn("shot_position", ordered.position_in_group(["run_id"], "source_row"))
+    out = ordered.with_position(out, ["run_id"], "source_row")
     return out.withColumn("y_defect", (F.col("cycle_time") >= 90).cast("int"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import columns as fn
-from .operators import contract, link, ordered, report, splits, validate
+from .operators import bitmaps, contract, link, ordered, report, splits, validate
 from .plans import casting, standins as st
 from .sources import files
 
@@ -263,7 +263,7 @@ def join_match_rate(spark, d: str) -> DataFrame:
 
 @query(QL + "select run_id, shot::bigint shot, 'b' side from tl where (run_id, shot) not in (select run_id, shot from ql)")
 def join_unmatched(spark, d: str) -> DataFrame:
-    return link.match_coverage(st.quality(spark, d), st.timeline(spark, d), ["run_id", "shot"])
+    return link.match_coverage(files.stored(st.quality(spark, d)), files.stored(st.timeline(spark, d)), ["run_id", "shot"])
 
 
 # --- splits ------------------------------------------------------------------------------------------------
@@ -288,16 +288,14 @@ union all select 'p40', 'chronological', 'primary', row_id, role, strftime(event
 """
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Written once and read again: a table that several schemes use is not built for each of them."""
-    path = files.shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _bitmaps(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    q, t = files.stored(st.quality(spark, d)), files.stored(st.timeline(spark, d))
+    made, combinations = casting.fold_bitmaps(q, t, st.process(spark, d), shot="shot")
+    return files.stored(made), combinations
 
 
 def _folds(spark, d: str) -> DataFrame:
-    q, t = _stored(st.quality(spark, d)), _stored(st.timeline(spark, d))
-    return casting.folds_table(q, t, st.process(spark, d), shot="shot")
+    return bitmaps.expand(*_bitmaps(spark, d))
 
 
 @query(QL + "select run_id, any_value(n_run)::bigint n from ql group by run_id having any_value(n_run) >= 20")
@@ -307,22 +305,22 @@ def valid_runs(spark, d: str) -> DataFrame:
 
 @query(QL + "select row_id from ql where place <= (n_run * 7) // 10")
 def head_fraction(spark, d: str) -> DataFrame:
-    return splits.head_fraction(st.quality(spark, d), "run_id", ORDER, 7, 10).select("row_id")
+    return splits.head_fraction(files.stored(st.quality(spark, d)), "run_id", ORDER, 7, 10).select("row_id")
 
 
 @query(QL + F1 + "select row_id, role from f1")
 def split_within_run(spark, d: str) -> DataFrame:
-    return splits.ratio_split(st.quality(spark, d), "run_id", ORDER).select("row_id", "role")
+    return splits.ratio_split(files.stored(st.quality(spark, d)), "run_id", ORDER).select("row_id", "role")
 
 
 @query(QL + F1 + "select row_id, role from f2")
 def split_within_run_aligned(spark, d: str) -> DataFrame:
-    cuts = splits.boundaries(splits.ratio_split(st.quality(spark, d), "run_id", ORDER), "run_id", "shot")
+    cuts = splits.boundaries(splits.ratio_split(files.stored(st.quality(spark, d)), "run_id", ORDER), "run_id", "shot")
     return splits.apply_exclusions(splits.align_to_boundaries(st.timeline(spark, d), cuts, "run_id", "shot"), ~F.col("gate_eligible")).select("row_id", "role")
 
 
 def _run_scheme(spark, d: str, scheme: str) -> DataFrame:
-    q, t = _stored(st.quality(spark, d)), _stored(st.timeline(spark, d))
+    q, t = files.stored(st.quality(spark, d)), files.stored(st.timeline(spark, d))
     runs = splits.valid_runs(q, "run_id")
     held = splits.apply_exclusions(splits.run_split(t, runs, "run_id", scheme), ~F.col("gate_eligible"))
     return splits.run_split(q, runs, "run_id", scheme).select("row_id", "fold", "role").unionByName(held.select("row_id", "fold", "role"))
@@ -355,13 +353,33 @@ def fold_table(spark, d: str) -> DataFrame:
 
 @query(FOLDS + "select dataset, scheme, fold, role, count(*)::bigint n from folds group by all")
 def fold_role_counts(spark, d: str) -> DataFrame:
-    return report.role_counts(_folds(spark, d))
+    return bitmaps.role_counts(*_bitmaps(spark, d))
 
 
 @query(QL + F1 + "select source_row, cycle_time, role from f2 where role <> 'excluded'")
 def fold_consume(spark, d: str) -> DataFrame:
-    t = st.timeline(spark, d)
-    return splits.use_fold(t, _folds(spark, d), "m41", "within_run", "primary").select("source_row", "cycle_time", "role")
+    """A store of all combinations is written by dataset, scheme and fold; the reader opens one of them."""
+    path = files.shared_folder(spark)
+    files.write_fold_store(_folds(spark, d), path)
+    store = files.read_fold_store(spark, path, "m41", "within_run", "primary")
+    return splits.use_fold(st.timeline(spark, d), store, "m41", "within_run", "primary").select("source_row", "cycle_time", "role")
+
+
+@query(FOLDS + "select row_id, role from f1 union all select row_id, role from f2")
+def fold_bitmap_roles(spark, d: str) -> DataFrame:
+    """The roles of one scheme read off the bitmaps, which have one row per record."""
+    made, _ = _bitmaps(spark, d)
+    return made.where("dataset in ('q42', 'm41')").select("row_id", bitmaps.role_at("roles", "0").alias("role"))
+
+
+@query(FOLDS + "select dataset, scheme, fold, role, count(*)::bigint n from folds where role = 'test' and scheme <> 'within_run' group by all")
+def fold_store_chosen(spark, d: str) -> DataFrame:
+    """Several combinations of a store, by a list that is known only when the query runs."""
+    made, combinations = _bitmaps(spark, d)
+    path = files.shared_folder(spark)
+    files.write_fold_store(bitmaps.expand(made, combinations), path)
+    chosen = files.chosen_folds(files.read_fold_store(spark, path), combinations.where("scheme <> 'within_run'"))
+    return report.role_counts(chosen.where("role = 'test'"))
 
 
 @query(
@@ -370,8 +388,8 @@ def fold_consume(spark, d: str) -> DataFrame:
     "f.dataset = 'm41' and role <> 'excluded' group by all"
 )
 def slice_readiness(spark, d: str) -> DataFrame:
-    folds = _folds(spark, d)
-    return report.slice_readiness(st.timeline(spark, d), folds.where("dataset = 'm41'"), "status")
+    made, combinations = _bitmaps(spark, d)
+    return bitmaps.readiness(made.where("dataset = 'm41'"), combinations, st.timeline(spark, d), "status")
 
 
 # --- reports -----------------------------------------------------------------------------------------------
@@ -507,7 +525,7 @@ PAST = ["prev_cycle_time", "max_cycle_previous_5", "missing_process_previous_20"
 
 
 def _measured(spark, d: str) -> DataFrame:
-    return _stored(st.timeline(spark, d).drop(*casting.HISTORY))
+    return files.stored(st.timeline(spark, d).drop(*casting.HISTORY))
 
 
 def _changed() -> dict:
@@ -530,15 +548,17 @@ def v_history_leak(spark, d: str) -> DataFrame:
 def v_run_mix(spark, d: str) -> DataFrame:
     base = _measured(spark, d)
     # The planted fault takes two neighbouring runs for one.
-    mixing = lambda df: df.withColumn("_two", F.expr("run_id div 2")).withColumn("prev_cycle_time", ordered.lag_feature("cycle_time", ["_two"], ORDER))
+    mixing = lambda df: df.withColumn("_sf_two", F.expr("run_id div 2")).withColumn("prev_cycle_time", ordered.lag_feature("cycle_time", ["_sf_two"], ORDER)).drop("_sf_two")
     return _pair(spark, validate.history_mix(base, _hist, ORDER, "run_id", _changed(), PAST), validate.history_mix(base, mixing, ORDER, "run_id", _changed(), ["prev_cycle_time"]))
 
 
 @query(FOLDS + "select 0::bigint n_clean, count(*)::bigint n_planted from folds where dataset = 'q42' and scheme = 'within_run' and role = 'test'")
 def v_split_overlap(spark, d: str) -> DataFrame:
-    folds = _folds(spark, d)
-    again = folds.where("dataset = 'q42' and scheme = 'within_run' and role = 'test'").withColumn("role", F.lit("train"))
-    return _pair(spark, validate.role_overlap(folds), validate.role_overlap(folds.unionByName(again)))
+    made, _ = _bitmaps(spark, d)
+    # The planted fault: rows that are tested get a second bitmap, in which they are trained on.
+    again = made.where(F.col("dataset") == "q42").where(bitmaps.role_at("roles", "0") == "test")
+    again = again.withColumn("roles", F.transform("roles", lambda w, i: F.when(i == 0, w.bitwiseAND(~3).bitwiseOR(1)).otherwise(w)))
+    return _pair(spark, bitmaps.differing(made), bitmaps.differing(made.unionByName(again)))
 
 
 @query(
@@ -577,14 +597,13 @@ def v_episode_roles(spark, d: str) -> DataFrame:
 
 @query(QL + "select 0::bigint n_clean, count(*)::bigint n_planted from ql where shot % 10 = 0")
 def v_fold_coverage(spark, d: str) -> DataFrame:
-    q = st.quality(spark, d)
-    folds = _folds(spark, d).where("dataset = 'q42' and scheme = 'within_run'")
-    return _pair(spark, validate.fold_coverage(q, folds), validate.fold_coverage(q, _with_shot(folds).where("shot % 10 != 0").drop("shot")))
+    q, made = files.stored(st.quality(spark, d)), _bitmaps(spark, d)[0].where("dataset = 'q42'")
+    return _pair(spark, bitmaps.uncovered(q, made), bitmaps.uncovered(q, _with_shot(made).where("shot % 10 != 0")))
 
 
 @query(QL + "select 0::bigint n_clean, count(*)::bigint n_planted from ql where shot % 7 = 0")
 def v_join_gaps(spark, d: str) -> DataFrame:
-    q, t = st.quality(spark, d), st.timeline(spark, d)
+    q, t = files.stored(st.quality(spark, d)), files.stored(st.timeline(spark, d))
     t = t.join(q.select("run_id", "shot"), ["run_id", "shot"], "left_semi")
     broken = t.withColumn("cycle_time", F.when(F.col("shot") % 7 == 0, F.col("cycle_time") + 1).otherwise(F.col("cycle_time")))
     keys = ["run_id", "shot"]
@@ -593,7 +612,7 @@ def v_join_gaps(spark, d: str) -> DataFrame:
 
 @query(QL + "select 0::bigint n_clean, count(*)::bigint n_planted from ql where shot % 5 = 0")
 def v_row_identity(spark, d: str) -> DataFrame:
-    q = st.quality(spark, d)
+    q = files.stored(st.quality(spark, d))
     return _pair(spark, report.duplicate_keys(q, ["row_id"]), report.duplicate_keys(q.unionByName(q.where("shot % 5 = 0")), ["row_id"]))
 
 

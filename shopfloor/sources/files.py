@@ -1,6 +1,8 @@
 """Readers and writers for the process files, and a manifest of them.
 
-Rows of a file get their position where an order matters: Spark rows have none of their own.
+Rows of a file get their position where an order matters: Spark rows have none of their own.  Helper columns begin
+with ``_sf_``, which is reserved; other names never clash.  Null values, empty files and empty tables are read and
+written as they are; a file without rows has no positions.
 """
 
 import tempfile
@@ -11,16 +13,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.columns import nan_to_null
+from ..operators.ordered import with_position
 
 _own: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on one machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if not shared:
-        shared = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="shopfloor-"))
-    return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        shared = _own.setdefault(app, tempfile.mkdtemp(prefix="shopfloor-"))
+    path = f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
+    _made.setdefault(app, []).append(path)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def discard(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete folders that ``shared_folder`` gave, all of this application's unless named; what reads them has to be done."""
+    known = _made.get(spark.sparkContext.applicationId, [])
+    gone = 0
+    for path in list(known if paths is None else paths):
+        fs, where = _file_system(spark, path)
+        gone += bool(fs.delete(where, True))
+        if path in known:
+            known.remove(path)
+    return gone
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written once to the shared folder and read again: what several steps use is not built for each of them."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -33,24 +66,19 @@ def normalize_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def _positioned(df: DataFrame) -> DataFrame:
-    """Add ``_file``, ``_block`` and ``_at``, which order rows of one read as in their files."""
-    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-
-
 def with_source_row(df: DataFrame, name: str = "source_row") -> DataFrame:
     """0-based position in reading order over all splits, before any sort (S4); ``df`` comes straight from files.
 
-    Rows are numbered in their split; the splits' counts, one row each, are summed up and carried on.
+    The splits are the blocks of the scan: they are numbered in the order of file and offset (a table of one row per
+    split), rows count in their split, and the splits' counts are carried on.  An old column ``name`` is replaced.
     """
-    marked = _positioned(df)
-    inside = Window.partitionBy("_file", "_block").orderBy("_at")
-    marked = marked.withColumn("_k", F.row_number().over(inside) - 1)
-    counts = marked.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    across = Window.partitionBy(F.lit(0)).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(across), F.lit(0))).drop("_n")
-    joined = marked.join(offsets, ["_file", "_block"])
-    return joined.select(*df.columns, (F.col("_k") + F.col("_before")).cast("bigint").alias(name))
+    old = [c for c in df.columns if c != name]
+    meta = {"_sf_file": F.col("_metadata.file_path"), "_sf_start": F.col("_metadata.file_block_start"), "_sf_at": F.monotonically_increasing_id()}
+    marked = df.select(*[F.col(f"`{c}`") for c in old], *[v.alias(k) for k, v in meta.items()])
+    parts = marked.groupBy("_sf_file", "_sf_start").agg(F.count(F.lit(1)).alias("_sf_rows"))
+    numbered = parts.select("_sf_file", "_sf_start", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_sf_file", "_sf_start")) - 1).alias("_sf_split"))
+    placed = with_position(marked.join(numbered, ["_sf_file", "_sf_start"]), [], "_sf_at", name, F.col("_sf_split"))
+    return placed.select(*[F.col(f"`{c}`") for c in old], name)
 
 
 def read_csv_two_header(spark: SparkSession, path: str, schema: str, name: str = "source_row") -> DataFrame:
@@ -58,14 +86,14 @@ def read_csv_two_header(spark: SparkSession, path: str, schema: str, name: str =
 
     ``schema`` gives names, without blanks around them, and types; the file's second row has to name the same columns.
     """
-    lines = with_source_row(spark.read.text(path), "_line")
-    head = lines.where("_line = 1").first()
+    lines = with_source_row(spark.read.text(path), "_sf_line")
+    head = lines.where("_sf_line = 1").first()
     own = spark.createDataFrame([], schema).columns
     found = [c.strip().strip('"').strip() for c in head["value"].lstrip("﻿").split(",")] if head else []
     if found != own:
         raise ValueError(f"columns are {found}, not {own}")
-    rows = lines.where("_line >= 2").select(F.from_csv("value", F.lit(schema), {"mode": "FAILFAST"}).alias("r"), (F.col("_line") - 2).alias(name))
-    return nan_to_null(rows.select("r.*", name))
+    rows = lines.where("_sf_line >= 2").select(F.from_csv("value", F.lit(schema), {"mode": "FAILFAST"}).alias("_sf_r"), (F.col("_sf_line") - 2).alias(name))
+    return nan_to_null(rows.select("_sf_r.*", name))
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -91,6 +119,26 @@ def read_folds(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FOLD_SCHEMA).csv(path, header=True)
 
 
+def write_fold_store(folds: DataFrame, path: str, files: int = 8) -> None:
+    """Assignments by dataset, scheme and fold, each in up to ``files`` files, so that a reader opens one combination only."""
+    part = F.pmod(F.xxhash64("row_id"), F.lit(files))
+    columns = [c.split()[0].strip("`") for c in FOLD_SCHEMA.split(", ")]
+    folds.select(*columns).repartition("dataset", "scheme", "fold", part).write.partitionBy("dataset", "scheme", "fold").parquet(path)
+
+
+def read_fold_store(spark: SparkSession, path: str, dataset: str | None = None, scheme: str | None = None, fold: str | None = None) -> DataFrame:
+    """Assignments of a store; what is named is a filter on partitions, so other files are not opened."""
+    store = spark.read.schema(FOLD_SCHEMA).parquet(path)
+    for c, v in (("dataset", dataset), ("scheme", scheme), ("fold", fold)):
+        store = store if v is None else store.where(F.col(c) == v)
+    return store
+
+
+def chosen_folds(store: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The combinations ``wanted(dataset, scheme, fold)`` of a store, a short list; partitions are pruned when the list is known."""
+    return store.join(F.broadcast(wanted.select("dataset", "scheme", "fold").distinct()), ["dataset", "scheme", "fold"])
+
+
 def read_contract(spark: SparkSession, path: str) -> dict:
     """JSON contract: lists of column names."""
     return spark.read.json(path, multiLine=True).first().asDict(recursive=True)

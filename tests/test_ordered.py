@@ -46,7 +46,7 @@ def test_keep_first_treats_missing_as_equal_and_keeps_runs_apart(spark):
     df = rows(spark, id=[1, 2, 3, 4], run_id=[0, 0, 0, 1], shot=[1, 1, 2, 1], cycle=[None, None, 7.0, None])
     kept = ordered.dedup_keep_first(df, RUN, ["id"], ORDER)
     assert values(kept, "id") == [1, 3, 4]
-    assert values(kept.withColumn("p", ordered.position_in_group(RUN, ORDER)), "p") == [0, 1, 0]
+    assert values(ordered.with_position(kept, RUN, ORDER, "p"), "p") == [0, 1, 0]
 
 
 def test_episodes(spark):
