@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import contract, ordered
+from .operators import contract, ordered, report
 from .plans import casting, standins as st
 from .queries import QL, TL, query
 from .sources import files
@@ -152,3 +152,66 @@ def ordered_parquet(spark, d: str) -> DataFrame:
     path = files.shared_folder(spark)
     ordered.keep_order(st.raw_timeline(spark, d), "source_row").write.parquet(path)
     return files.with_source_row(spark.read.parquet(path), "place").select("source_row", "place", "cycle_time")
+
+
+# --- accounts of the pass that writes, totals, stored tables -------------------------------------------------
+
+_BEFORE = {c: v.replace("base", "(id % 1000000000)") for c, v in {**SENSORS, **CELLS}.items()}
+_both = lambda c, cond: f"select '{c}' column_name{{more}}, (select count(*) filter (where {cond}) from qr)::bigint n_before, (select count(*) filter (where {cond}) from ql)::bigint n_after"
+
+
+def _runs(spark, d: str) -> DataFrame:
+    return files.stored(ordered.segment_on_decrease(raw_quality(spark, d), "source_row", "Shot"))
+
+
+def _dedup(df: DataFrame) -> DataFrame:
+    return ordered.dedup_keep_first(df, ["run_id"], ["id"], "source_row")
+
+
+def _writer(spark):
+    path = files.shared_folder(spark)
+    return lambda df: df.write.parquet(path)
+
+
+@query(MQL + "select * from (" + " union all ".join(_both(c, f"({_BEFORE[c]}) is null").format(more="") for c in SENSORS) + ")")
+def doc_null_account(spark, d: str) -> DataFrame:
+    """Missing sensor values before and after repeats go (A4), counted while the rows are written."""
+    return report.null_account(_runs(spark, d), _dedup, list(SENSORS), _writer(spark))
+
+
+@query(MQL + "select * from (" + " union all ".join(_both(c, f"({_BEFORE[c]}) = {v}").format(more=f", {v}::bigint as value") for c in CELLS for v in (2, 3)) + ") where n_before > 0 or n_after > 0")
+def doc_cell_account(spark, d: str) -> DataFrame:
+    """Defect cells of 2 and 3 before and after repeats go."""
+    return report.cell_account(_runs(spark, d), _dedup, list(CELLS), 2, 3, _writer(spark))
+
+
+@query(MQL + "select status::double status, process_missing missing, grouping(status, process_missing)::int as level, count(*)::bigint n from tl group by grouping sets ((status, process_missing), (status), (process_missing), ())")
+def doc_status_totals(spark, d: str) -> DataFrame:
+    """Status by completeness with all totals, from one aggregate."""
+    return report.status_totals(timeline(spark, d), "Machine_Status", "process_missing")
+
+
+_STORED = {"source_row": "bigint not null", "run_id": "bigint not null", "row_id": "string not null", "process_missing": "boolean not null", "Machine_Status": "double", "Cycle_Time": "double"}
+
+
+@query(MQL + "select source_row, run_id, row_id, process_missing, status::double Machine_Status, cycle_time Cycle_Time, 0::bigint n_problems, 3::bigint n_planted from tl")
+def doc_schema_contract(spark, d: str) -> DataFrame:
+    """A table written with its declared types, without missing values where none are allowed, and read back with checked footers.
+
+    ``n_planted`` counts what is found if the file is held against a declaration with another type, another name and one more.
+    """
+    path = files.shared_folder(spark)
+    files.write_table(timeline(spark, d), path, _STORED)
+    other = {c: t for c, t in _STORED.items() if c not in ("run_id", "Cycle_Time")} | {"run_id": "int", "Cycle": "double"}
+    found = files.footer_problems(spark, path, other).groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).count()
+    clean = files.footer_problems(spark, path, _STORED).count()
+    kinds = ", ".join(f"{c} {t.removesuffix(' not null')}" for c, t in _STORED.items())
+    read = files.read_table(spark, path, kinds, checked=True)
+    return read.withColumns({"n_problems": F.lit(clean).cast("bigint"), "n_planted": F.lit(found).cast("bigint")})
+
+
+@query(HIST + "select q.row_id, t.status::double Machine_Status, t.source_row source_row_m41, t.episode_id, " + ", ".join(f"t.{c}" for c in casting.HISTORY) + " from ql q left join hl t on t.run_id = q.run_id and t.shot = q.shot")
+def doc_joined_stored(spark, d: str) -> DataFrame:
+    """``doc_joined`` over tables stored in buckets of run and shot, sorted: the join needs no exchange."""
+    q, t = (files.store_bucketed(df, ["run_id", "Shot"]) for df in (quality(spark, d), timeline(spark, d)))
+    return casting.joined_table(q, t).select("row_id", "Machine_Status", "source_row_m41", "episode_id", *casting.HISTORY)

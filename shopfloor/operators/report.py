@@ -1,6 +1,17 @@
-"""Counts, rates and reports over process tables."""
+"""Counts, rates and reports over process tables.
 
-from pyspark.sql import Column, DataFrame
+Rules for unusual input, where a docstring says nothing else: missing values count as not set, not positive and not
+equal to a value; repeated rows count each; an empty table gives counts of 0, and rates, least and greatest values that
+are missing; grouped reports then have no row.  Columns may have any name but those that a report adds; helper columns
+begin with ``_sf_``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -21,6 +32,39 @@ def dedup_accounting(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.withColumn("_", F.lit(1)).join(a.withColumn("_", F.lit(1)), "_").select("n_before", (F.col("n_before") - F.col("n_after")).alias("n_removed"), "n_after")
 
 
+def account(before: DataFrame, step: Callable[[DataFrame], DataFrame], measures: dict[str, Column], write: Callable[[DataFrame], None]) -> dict[str, tuple]:
+    """``{measure: (before, after)}`` of a step, counted in the one pass that writes its result.
+
+    The measures are aggregates, observed on the rows that go in and on those that come out; nothing is read twice.
+    """
+    seen = [Observation(), Observation()]
+    named = [v.alias(f"m{i}") for i, v in enumerate(measures.values())]
+    write(step(before.observe(seen[0], *named)).observe(seen[1], *named))
+    none = before.limit(0).agg(*named).first().asDict()
+
+    def of(observed: Observation) -> dict:
+        try:
+            return observed.get
+        except Py4JJavaError:  # Spark took the measures away with an input or result that it knows to be empty
+            return none
+
+    first, last = of(seen[0]), of(seen[1])
+    return {k: (first[f"m{i}"], last[f"m{i}"]) for i, k in enumerate(measures)}
+
+
+def null_account(before: DataFrame, step: Callable[[DataFrame], DataFrame], cols: list[str], write: Callable[[DataFrame], None]) -> DataFrame:
+    """``(column_name, n_before, n_after)``: missing cells before and after a step (A4)."""
+    found = account(before, step, {c: _n(F.col(f"`{c}`").isNull()) for c in cols}, write)
+    return before.sparkSession.createDataFrame([(c, *found[c]) for c in cols], "column_name string, n_before bigint, n_after bigint")
+
+
+def cell_account(before: DataFrame, step: Callable[[DataFrame], DataFrame], cols: list[str], lo: int, hi: int, write: Callable[[DataFrame], None]) -> DataFrame:
+    """``(column_name, value, n_before, n_after)``: cells of each value from ``lo`` to ``hi`` before and after a step (A8); 0 is left out."""
+    found = account(before, step, {(c, v): _n(F.col(f"`{c}`") == v) for c in cols for v in range(lo, hi + 1)}, write)
+    rows = [(c, v, *n) for (c, v), n in found.items() if any(n)]
+    return before.sparkSession.createDataFrame(rows, "column_name string, value bigint, n_before bigint, n_after bigint")
+
+
 def null_audit(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """``(column_name, n_null)`` (A4)."""
     return _long(df, cols or df.columns, ("n_null", lambda c: _n(F.col(c).isNull())))
@@ -32,6 +76,18 @@ def status_crosstab(df: DataFrame, status: str, missing: str) -> DataFrame:
     return out.withColumn("eligible", F.col("status").isNotNull() & ~F.col("missing"))
 
 
+def status_totals(df: DataFrame, status: str, missing: str) -> DataFrame:
+    """``(status, missing, level, n)``: the crosstab with its totals, from one aggregate over grouping sets (A5).
+
+    ``level`` is 0 for a cell, 1 for a total over ``missing``, 2 for one over ``status`` and 3 for the whole, which tells a
+    total's gap from a missing status.
+    """
+    sets = [("s", "m"), ("s",), ("m",), ()]
+    named = df.select(F.col(status).alias("s"), F.col(missing).alias("m"))
+    out = named.groupingSets([[F.col(c) for c in x] for x in sets], "s", "m").agg(F.grouping_id("s", "m").cast("int").alias("level"), F.count(F.lit(1)).alias("n"))
+    return out.select(F.col("s").alias("status"), F.col("m").alias("missing"), "level", "n")
+
+
 def island_summary(df: DataFrame, island: str, counter: str, observable: str) -> DataFrame:
     """Rows, counter span and observable rows of each stretch."""
     return df.where(F.col(island).isNotNull()).groupBy(island).agg(F.count(F.lit(1)).alias("n_rows"), F.min(counter).alias("first"), F.max(counter).alias("last"), _n(F.col(observable)).alias("n_observable"))
@@ -91,13 +147,53 @@ def run_report(quality: DataFrame, timeline: DataFrame, run: str = "run_id") ->
     return out.withColumn("defect_rate", F.when(F.col("n_shots") > 0, F.col("n_defects") / F.col("n_shots")))
 
 
+def distinct_sketches(df: DataFrame, cols: list[str], parts: list[str] | None = None, precision: int = 12) -> DataFrame:
+    """``(*parts, column_name, n_rows, n_null, sketch)``: a mergeable HyperLogLog sketch of each column, per values of ``parts``.
+
+    One pass and 2^``precision`` registers a column; sketches of several tables or days are merged by ``merged_sketches``.
+    """
+    parts = parts or []
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    made = [F.struct(F.count(F.lit(1)).alias("n_rows"), _n(F.col(f"`{c}`").isNull()).alias("n_null"), F.hll_sketch_agg(text(c), precision).alias("sketch")).alias(f"_sf_{i}") for i, c in enumerate(cols)]
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"_sf_{i}")[k].alias(k) for k in ("n_rows", "n_null", "sketch")]) for i, c in enumerate(cols)]))
+    return df.groupBy(*parts).agg(*made).select(*parts, rows.alias("_sf_x")).select(*parts, "_sf_x.*")
+
+
+def merged_sketches(sketches: DataFrame) -> DataFrame:
+    """``(column_name, n_rows, n_null, n_distinct)``, the last by estimate (about 1.6 % at the default precision)."""
+    whole = sketches.groupBy("column_name").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_null").alias("n_null"), F.hll_union_agg("sketch").alias("_sf_s"))
+    return whole.select("column_name", "n_rows", "n_null", F.hll_sketch_estimate("_sf_s").alias("n_distinct"))
+
+
+SUSPECT = 64  # estimates up to this are counted exactly
+
+
+def run_report_totals(quality: DataFrame, timeline: DataFrame, run: str = "run_id") -> DataFrame:
+    """``run_report`` with one more row for all runs (A15): sums are rolled up, rates and episodes worked out anew."""
+    rows = run_report(quality, timeline, run)
+    sums = [F.sum(c).alias(c) for c in ("n_shots", "n_defects", "n_records", "n_warm", "n_episodes")]
+    out = rows.rollup(run).agg(F.grouping_id().cast("int").alias("level"), *sums)
+    return out.withColumn("defect_rate", F.when(F.col("n_shots") > 0, F.col("n_defects") / F.col("n_shots")))
+
+
 def constant_or_sparse(df: DataFrame, max_null_rate: float = 0.5) -> DataFrame:
     """``(column_name, n_distinct, null_rate, constant, sparse)``.
 
-    A column is constant where its least and greatest values are equal, which needs no distinct count.
+    One pass gives a sketch of each column; those with a small estimate, which could be constant, are counted exactly in
+    another.  ``n_distinct`` is exact up to ``SUSPECT`` and an estimate beyond; missing values are no value.
     """
-    flat = _long(df, df.columns, ("low", lambda c: F.min(F.col(c).cast("string"))), ("high", lambda c: F.max(F.col(c).cast("string"))), ("null_rate", lambda c: F.avg(F.col(c).isNull().cast("double"))))
-    return flat.select("column_name", "null_rate", F.coalesce(F.col("low") == F.col("high"), F.lit(True)).alias("constant"), (F.col("null_rate") > max_null_rate).alias("sparse"))
+    if not df.columns:
+        raise ValueError("no columns")
+    near = {r["column_name"]: r for r in merged_sketches(distinct_sketches(df, df.columns)).collect()}  # one row per column
+    low = [c for c in df.columns if (near[c]["n_distinct"] if c in near else 0) <= SUSPECT]
+    exact = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(low)]).first() if low else ()
+    counts = {c: r["n_distinct"] for c, r in near.items()} | dict(zip(low, exact))
+    rows = []
+    for c in df.columns:
+        n, missing = near[c]["n_rows"], near[c]["n_null"]
+        share = missing / n if n else None
+        rows.append((c, counts[c], share, counts[c] <= 1, bool(n) and share > max_null_rate))
+    return df.sparkSession.createDataFrame(rows, "column_name string, n_distinct bigint, null_rate double, constant boolean, sparse boolean")
 
 
 def domain_violations(df: DataFrame, col: str, allowed: list) -> DataFrame:

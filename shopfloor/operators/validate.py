@@ -1,10 +1,16 @@
-"""Violation queries: no row means that the check passes."""
+"""Violation queries: no row means that the check passes.
+
+Rules for unusual input, where a docstring says nothing else: missing equals missing; repeated rows are violations of
+their own where rows are counted; an empty table has no violation, but for rows that it ought to have; helper columns
+begin with ``_sf_``, which is reserved.
+"""
 
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
 from .splits import BROADCAST_FOLDS, EXCLUDED
 
 
@@ -85,6 +91,76 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum"), F.bit_xor(h).cast("string").alias("hash_xor"))
 
 
+FAN = 256  # children of a node of the hash tree
+
+
+def _row_sums(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows as ``(_sf_place, n, s, x)``: place in the key space, and count, sum and xor of the rows' hashes, per place."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(FAN**3))
+    h = F.xxhash64(*df.columns)
+    hashed = df.select(place.alias("_sf_place"), h.alias("_sf_h"), F.xxhash64(F.lit(1), *df.columns).alias("_sf_g"))
+    return hashed.groupBy("_sf_place").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_sf_h").cast("decimal(38,0)")).alias("s"), F.bit_xor("_sf_g").alias("x"))
+
+
+def hash_tree(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``(level, node, n, s, x)``: the sums of all rows (level 0), of 256 ranges of the key space, of 65,536 and of 16.8 million.
+
+    A tree of that size at most, whatever the table; sums of children are sums of their parent, so one pass makes it.
+    """
+    leaves = _row_sums(df, keys)
+    up = lambda level: F.expr(f"_sf_place div {FAN ** (3 - level)}")
+    sums = [F.sum("n").alias("n"), F.sum("s").alias("s"), F.bit_xor("x").alias("x")]
+    parts = [leaves.groupBy(up(level).alias("node")).agg(*sums).select(F.lit(level).alias("level"), "node", "n", "s", "x") for level in range(3)]
+    parts.append(leaves.select(F.lit(3).alias("level"), F.col("_sf_place").alias("node"), "n", "s", "x"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def differing_ranges(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(node,)``: leaves of two hash trees that differ, found level by level: below equal nodes nothing is looked at.
+
+    The trees are best stored ones, as each level reads them.
+    """
+    nodes = None
+    for level in range(1, 4):
+        x, y = (t.where(F.col("level") == level).drop("level") for t in (a, b))
+        if nodes is not None:
+            if not nodes.limit(1).count():
+                return nodes
+            wanted = nodes.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda i: F.col("node") * FAN + i)).alias("node"))
+            x, y = x.join(wanted, "node", "left_semi"), y.join(wanted, "node", "left_semi")
+        both = x.join(y.toDF("node", "n2", "s2", "x2"), "node", "full")
+        same = F.col("n").eqNullSafe(F.col("n2")) & F.col("s").eqNullSafe(F.col("s2")) & F.col("x").eqNullSafe(F.col("x2"))
+        nodes = both.where(~same).select("node")
+    return nodes
+
+
+def changed_keys(a: DataFrame, b: DataFrame, keys: list[str], trees: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``(*keys, change)``: keys whose rows differ, ``added`` or ``removed`` if only ``b`` or ``a`` has them, else ``changed``.
+
+    Only rows in ranges where the hash trees differ are compared; ``trees`` are stored ones, if there are.  Rows of one key
+    count as a bag.  Both tables have the same columns.
+    """
+    tree_a, tree_b = trees or (files.stored(hash_tree(a, keys)), files.stored(hash_tree(b, keys)))
+    ranges = files.stored(differing_ranges(tree_a, tree_b).withColumnRenamed("node", "_sf_place"))
+    few = ranges.limit(BROADCAST_FOLDS + 1).count() <= BROADCAST_FOLDS
+    ranges = F.broadcast(ranges) if few else ranges
+
+    def of(df: DataFrame, side: str) -> DataFrame:
+        own = df.withColumn("_sf_place", F.pmod(F.xxhash64(*keys), F.lit(FAN**3))).join(ranges, "_sf_place", "left_semi")
+        rows = F.sort_array(F.collect_list(F.struct(*a.columns))).alias(f"_sf_{side}")
+        return own.groupBy(*[F.col(k).alias(f"_sf_{side}{i}") for i, k in enumerate(keys)]).agg(rows)
+
+    cond = F.lit(True)
+    for i in range(len(keys)):
+        cond = cond & F.col(f"_sf_a{i}").eqNullSafe(F.col(f"_sf_b{i}"))
+    both = of(a, "a").join(of(b, "b"), cond, "full").where(~F.col("_sf_a").eqNullSafe(F.col("_sf_b")))
+    change = F.when(F.col("_sf_a").isNull(), "added").when(F.col("_sf_b").isNull(), "removed").otherwise("changed")
+    return both.select(*[F.coalesce(f"_sf_a{i}", f"_sf_b{i}").alias(k) for i, k in enumerate(keys)], change.alias("change"))
+
+
 def same_result(build: Callable[[], DataFrame]) -> DataFrame:
     """Fingerprints of two builds that are not equal."""
     a, b = fingerprint(build()), fingerprint(build())

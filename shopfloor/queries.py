@@ -216,20 +216,33 @@ def contract_select(spark, d: str) -> DataFrame:
     return contract.select_inputs(st.timeline(spark, d), SMALL_CONTRACT, "gate", ["source_row"])
 
 
-@query("""select v.list_name, v.column_name, v.problem, count(e.event_id)::bigint n_values
-from (values ('leaky', 'status', 'target'), ('leaky', 'oracle_prior_episodes', 'forbidden'), ('leaky', 'absent_column', 'not in table')) v(list_name, column_name, problem) cross join events e group by all""")
+@query(
+    TL + "select 'leaky' list_name, 'status' column_name, 'target' problem, count(status)::bigint n_values from tl union all select 'leaky', "
+    "'oracle_prior_episodes', 'forbidden', count(*) from tl union all select 'leaky', 'absent_column', 'not in table', 0"
+)
 def contract_violations(spark, d: str) -> DataFrame:
-    """Each violation with the number of event records behind it."""
-    tl = st.timeline(spark, d)
+    """Each violation with the number of values that the input would have had from the table."""
+    tl = files.stored(st.timeline(spark, d))
     bad = contract.check_contract(spark, SMALL_CONTRACT, {"gate": tl.columns, "leaky": tl.columns})
-    n = st.table(spark, d, "events").agg(F.count(F.lit(1)).alias("n_values"))
-    return bad.withColumn("_", F.lit(1)).join(n.withColumn("_", F.lit(1)), "_").drop("_")
+    values = report.null_audit(tl).crossJoin(tl.agg(F.count(F.lit(1)).alias("n")))  # one row of counts
+    counted = values.select("column_name", (F.col("n") - F.col("n_null")).alias("n_values"))
+    return bad.join(counted, "column_name", "left").select("list_name", "column_name", "problem", F.coalesce("n_values", F.lit(0)).alias("n_values"))
+
 
+DROPPED = ["o_orderpriority", "o_comment", "o_custkey", "o_totalprice"]
 
-@query("select l_orderkey, l_quantity, l_discount from lineitem")
+
+@query(
+    "select o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') o_orderdate, (select count(*) filter (where n <= 1) from (select "
+    "count(distinct case when o_orderstatus = 'P' then o_custkey end) n from orders where o_orderstatus <> 'P'))::bigint n_constant from orders"
+)
 def drop_columns(spark, d: str) -> DataFrame:
-    li = st.table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_discount", F.lit(1).alias("line_unit"))
-    return contract.drop_columns(li, ["line_unit"])
+    """Columns go that are constant or named; a column that only one status fills is found constant where that status is absent."""
+    o = st.table(spark, d, "orders").withColumn("part_of", F.when(F.col("o_orderstatus") == "P", F.col("o_custkey")))
+    found = [r["column_name"] for r in report.constant_or_sparse(o.where("o_orderstatus != 'P'")).where("constant").collect()]
+    kept = contract.drop_columns(o, [*found, *DROPPED])
+    kept = kept.select("o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"), *[c for c in kept.columns if c not in ("o_orderkey", "o_orderstatus", "o_orderdate")])
+    return kept.withColumn("n_constant", F.lit(len(found)).cast("bigint"))
 
 
 # --- links -------------------------------------------------------------------------------------------------
@@ -475,14 +488,22 @@ def run_report(spark, d: str) -> DataFrame:
 
 
 @query(
-    "select unnest(['l_tax', 'fixed', 'rare']) column_name, unnest([avg(case when l_tax is null then 1.0 else 0 end), 0.0, avg(case "
+    f"with rep as ({REPORT_SQL}) select run_id, 0::int as level, n_shots, n_defects, n_records, n_warm, n_episodes, defect_rate from rep union all select null, 1, sum(n_shots)::bigint, "
+    "sum(n_defects)::bigint, sum(n_records)::bigint, sum(n_warm)::bigint, sum(n_episodes)::bigint, sum(n_defects) / sum(n_shots) from rep"
+)
+def run_report_totals(spark, d: str) -> DataFrame:
+    return report.run_report_totals(st.quality(spark, d), st.timeline(spark, d))
+
+
+@query(
+    "select unnest(['l_tax', 'fixed', 'rare']) column_name, unnest([count(distinct l_tax), 1, 1])::bigint n_distinct, unnest([avg(case when l_tax is null then 1.0 else 0 end), 0.0, avg(case "
     "when l_returnflag = 'R' and l_linenumber = 1 then 0.0 else 1 end)])::double null_rate, unnest([min(l_tax) = max(l_tax), true, "
     "true]) as constant, unnest([false, false, avg(case when l_returnflag = 'R' and l_linenumber = 1 then 0.0 else 1 end) > 0.5]) "
     "sparse from lineitem"
 )
 def constant_columns(spark, d: str) -> DataFrame:
     li = st.table(spark, d, "lineitem").select("l_tax", F.lit("x").alias("fixed"), F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1), 1).alias("rare"))
-    return report.constant_or_sparse(li).select("column_name", "null_rate", "constant", "sparse")
+    return report.constant_or_sparse(li)
 
 
 @query(QL + """select 'uniqueness' dimension, 'q42' dataset, (select count(*) from ql)::double numerator, (select count(*) from qr)::double denominator, (select count(*) from ql) / (select count(*) from qr) as value, 'measured' status
@@ -616,10 +637,17 @@ def v_row_identity(spark, d: str) -> DataFrame:
     return _pair(spark, report.duplicate_keys(q, ["row_id"]), report.duplicate_keys(q.unionByName(q.where("shot % 5 = 0")), ["row_id"]))
 
 
-@query("select 0::bigint n_clean, 2::bigint n_planted")
+@query(
+    TL + "select source_row, case when source_row % 97 = 0 then 'removed' else 'changed' end as change from tl where source_row % 97 = 0 or (shot % 50 = 0 and cycle_time is not null) "
+    "union all select source_row + 1000000000, 'added' from tl where source_row % 89 = 0 and source_row % 97 <> 0"
+)
 def v_same_result(spark, d: str) -> DataFrame:
-    builds = iter([st.timeline(spark, d), st.timeline(spark, d).where("run_id != 1")])
-    return _pair(spark, validate.same_result(lambda: st.timeline(spark, d)), validate.same_result(lambda: next(builds)))
+    """Keys in which two builds differ: none for a build that is only dealt out anew, and the planted ones of another."""
+    a = files.stored(st.raw_timeline(spark, d))
+    b = a.where("source_row % 97 != 0").withColumn("cycle_time", F.when(F.col("shot") % 50 == 0, F.col("cycle_time") + 1).otherwise(F.col("cycle_time")))
+    b = b.unionByName(b.where("source_row % 89 = 0").withColumn("source_row", F.col("source_row") + 1_000_000_000))
+    clean = validate.changed_keys(a, a.repartition(5), ["source_row"])
+    return clean.unionByName(validate.changed_keys(a, b, ["source_row"]))
 
 
 # --- files -------------------------------------------------------------------------------------------------

@@ -56,16 +56,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_bucketed(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """A table of this session, stored in the shared folder by buckets of ``keys`` and sorted by them.
+
+    Tables with equal keys and bucket numbers are joined, grouped and counted by these keys without an exchange.  A bucket
+    is one task: their number is that of shuffle partitions unless given.
+    """
+    spark = df.sparkSession
+    name, path = f"stored_{uuid.uuid4().hex}", shared_folder(spark)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # One file for each bucket, from the task that has it.
+    dealt = df.repartition(n, *keys)
+    dealt.write.format("parquet").option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+    return spark.table(name)
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """CSV with one header row, names checked, NaN as missing."""
     return nan_to_null(spark.read.schema(schema).csv(path, header=True, enforceSchema=False, mode="FAILFAST"))
 
 
-def normalize_names(df: DataFrame) -> DataFrame:
-    """Column names without blanks around them (S3)."""
-    return df.toDF(*[c.strip() for c in df.columns])
-
-
 def with_source_row(df: DataFrame, name: str = "source_row") -> DataFrame:
     """0-based position in reading order over all splits, before any sort (S4); ``df`` comes straight from files.
 
@@ -96,14 +106,62 @@ def read_csv_two_header(spark: SparkSession, path: str, schema: str, name: str =
     return nan_to_null(rows.select("_sf_r.*", name))
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Parquet with a declared schema."""
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, column_name, type)`` of every Parquet file at or below ``path``, from the files' own footers."""
+    names = spark.createDataFrame([(f,) for f, _ in _listed(spark, [path])], "path string")
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            rows = []
+            for uri in batch.column(0).to_pylist():
+                with _opened(uri) as f:
+                    schema = pq.ParquetFile(f).schema_arrow
+                rows += [(uri, field.name, str(field.type)) for field in schema]
+            a, b, c = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (a, b, c)], ["path", "column_name", "type"])
+
+    return names.repartition(max(1, min(names.count(), 1000)), "path").mapInArrow(run, "path string, column_name string, type string")
+
+
+# What a declared Spark type is called in a file.
+STORED_TYPES = {"tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float", "double": "double", "string": "string", "boolean": "bool", "date": "date32[day]", "binary": "binary", "timestamp_ntz": "timestamp[us]", "timestamp": "timestamp[us, tz=UTC]"}
+
+
+def footer_problems(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """``(path, column_name, problem)``: columns that a file lacks, has besides the declared ones, or stores as another type."""
+    found = footers(spark, path)
+    wanted = spark.createDataFrame([(c, STORED_TYPES.get(t.split(" not null")[0], t.split(" not null")[0])) for c, t in columns.items()], "column_name string, wanted string")
+    each = found.select("path").distinct().join(F.broadcast(wanted))  # files times declared columns: the rows of the result at most
+    both = each.join(found, ["path", "column_name"], "full")
+    problem = F.when(F.col("type").isNull(), "missing").when(F.col("wanted").isNull(), "not declared").when(F.col("type") != F.col("wanted"), F.concat(F.lit("stored as "), "type"))
+    return both.withColumn("problem", problem).where("problem is not null").select("path", "column_name", "problem")
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType | str, checked: bool = False) -> DataFrame:
+    """Parquet with a declared schema (S5); ``checked`` compares the files' footers with it first, and fails naming what differs.
+
+    Unchecked, a column that a file lacks reads as missing values.
+    """
+    if checked:
+        kinds = spark.createDataFrame([], schema).dtypes
+        bad = footer_problems(spark, path, dict(kinds)).orderBy("path", "column_name").limit(20).collect()
+        if bad:
+            raise ValueError("; ".join(f"{r['path'].rsplit('/', 1)[-1]}: {r['column_name']} {r['problem']}" for r in bad))
     return nan_to_null(spark.read.schema(schema).parquet(path))
 
 
 def write_table(df: DataFrame, path: str, columns: dict[str, str]) -> None:
-    """Parquet with the declared columns, in order and cast."""
-    df.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()]).write.parquet(path)
+    """Parquet with the declared columns, in order and cast (S6); a type that ends in ``not null`` fails on a missing value."""
+    made = []
+    for c, t in columns.items():
+        kind, strict = t.removesuffix(" not null"), t.endswith(" not null")
+        value = F.col(f"`{c}`").cast(kind)
+        message = F.raise_error(F.lit(f"missing value in {c}")).cast(kind)
+        made.append((F.when(value.isNull(), message).otherwise(value) if strict else value).alias(c))
+    df.select(*made).write.parquet(path)
 
 
 FOLD_SCHEMA = "dataset string, scheme string, fold string, row_id string, role string, `order` string, episode_id string, run_id bigint"
@@ -144,12 +202,65 @@ def read_contract(spark: SparkSession, path: str) -> dict:
     return spark.read.json(path, multiLine=True).first().asDict(recursive=True)
 
 
-def build_manifest(spark: SparkSession, paths: list[str], tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """``(path, bytes, sha256)`` of files, and for tables ``(n_rows, n_columns, columns)``.
+CHUNK = 4 << 20  # bytes of a file that a task holds at once
+
+
+def _listed(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]:
+    """Path and length of each file at or directly below ``paths``, but for those that begin with ``_`` or ``.``; a missing path has none."""
+    out = {}
+    for path in paths:
+        fs, where = _file_system(spark, path)
+        if not fs.exists(where):
+            continue
+        for f in fs.listStatus(where):
+            if f.isFile() and f.getPath().getName()[:1] not in ("_", "."):
+                out[f.getPath().toString()] = f.getLen()
+    return sorted(out.items())
+
+
+def _opened(uri: str):
+    """A file of a task's own file system: local paths directly, others through Arrow's file systems."""
+    from urllib.parse import urlsplit
+    from urllib.request import url2pathname
+
+    parts = urlsplit(uri)
+    if parts.scheme in ("", "file"):
+        return open(url2pathname(parts.path), "rb")
+    from pyarrow.fs import FileSystem
+
+    fs, path = FileSystem.from_uri(uri)
+    return fs.open_input_stream(path)
+
 
-    A file is hashed as one value, so single files have to stay under 2 GB.
+def file_digests(spark: SparkSession, paths: list[str], chunk: int = CHUNK) -> DataFrame:
+    """``(path, bytes, sha256)`` of files of any size: a task reads a file chunk by chunk and carries the digest's state on.
+
+    Files are dealt to tasks one by one; no file is held as a value, so there is no limit of 2 GB.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    listed = _listed(spark, paths)
+    names = spark.createDataFrame(listed, "path string, bytes bigint").repartition(max(1, min(len(listed), 10_000)), "path")
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            sums = []
+            for uri in batch.column(0).to_pylist():
+                state = hashlib.sha256()
+                with _opened(uri) as f:
+                    while part := f.read(chunk):
+                        state.update(part)
+                sums.append(state.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.string())], ["path", "bytes", "sha256"])
+
+    return names.mapInArrow(run, "path string, bytes bigint, sha256 string")
+
+
+def build_manifest(spark: SparkSession, paths: list[str], tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``(path, bytes, sha256)`` of files, and for tables ``(n_rows, n_columns, columns)``."""
+    files = file_digests(spark, paths)
     files = files.withColumns({"n_rows": F.lit(None).cast("bigint"), "n_columns": F.lit(None).cast("bigint"), "columns": F.lit(None).cast("map<string,string>")})
     for path, df in (tables or {}).items():
         kinds = F.create_map(*[x for c, t in df.dtypes for x in (F.lit(c), F.lit(t))])
@@ -160,7 +271,7 @@ def build_manifest(spark: SparkSession, paths: list[str], tables: dict[str, Data
 
 def verify_manifest(spark: SparkSession, manifest: DataFrame, paths: list[str]) -> DataFrame:
     """``(path, problem)`` of files that changed, are missing or are not listed."""
-    now = spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("now"))
+    now = file_digests(spark, paths).select("path", F.col("sha256").alias("now"))
     both = manifest.where("sha256 is not null").select("path", "sha256").join(now, "path", "full")
     problem = F.when(F.col("now").isNull(), "missing").when(F.col("sha256").isNull(), "not listed").when(F.col("now") != F.col("sha256"), "changed")
     return both.withColumn("problem", problem).where("problem is not null").select("path", "problem")
