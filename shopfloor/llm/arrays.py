@@ -118,7 +118,7 @@ def window_hashes(values: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
 def row_digests(values: np.ndarray, sizes: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The two halves of 128-bit XXH3 digests of consecutive rows of a uint64 array, or of it and ``more`` in turn."""
     if more is not None:
-        values, sizes = np.stack([values, more], axis=1).ravel(), 2 * sizes
+        values, sizes = np.stack([values, more.astype(np.uint64)], axis=1).ravel(), 2 * sizes
     ends = np.cumsum(sizes)
     raw = np.ascontiguousarray(values).view(np.uint8)
     found = b"".join(xxhash.xxh3_128_digest(raw[8 * a : 8 * b].tobytes()) for a, b in zip((ends - sizes).tolist(), ends.tolist()))

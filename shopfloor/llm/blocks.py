@@ -66,7 +66,7 @@ def distinct(hashes: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray,
     _, first, code, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
     if checks is None or np.array_equal(checks[first][code], checks):
         return first, count, code
-    order = np.lexsort((checks.view(np.int64), hashes))  # different words of one hash: hardly ever
+    order = np.lexsort((checks, hashes))  # different words of one hash: hardly ever
     fresh = np.ones(len(order), dtype=bool)
     fresh[1:] = (hashes[order][1:] != hashes[order][:-1]) | (checks[order][1:] != checks[order][:-1])
     code = np.empty(len(order), dtype=np.int64)
@@ -89,8 +89,8 @@ def build(
     """``(block, n_keys, n_tokens, dict, body)``, written to the shared folder.
 
     The dictionary has ``words``, the sorted hashes of the distinct words, with ``key`` or a new key; with ``checked`` it also
-    has ``checks``, second hashes by an independent key: together they are a word's 128-bit name, and a hash that several
-    words share stands there once for each.  The body has ``ids`` (``doc_id`` as int64, null as ``NO_ID``),
+    has ``checks``, 32 bits of second hashes by an independent key: together they are a word's 96-bit name, and a hash that
+    several words share stands there once for each.  The body has ``ids`` (``doc_id`` as int64, null as ``NO_ID``),
     ``none`` (1 for a null id), ``lens`` (tokens per text), the int64 columns of ``carry``, with ``digest`` the two
     halves ``digest1`` and ``digest2`` of a 128-bit name of the text's tokens, what the function of ``extra`` gives for
     its names and each text, ``rank`` (each token's word by frequency, which compresses well) and ``place`` (where
@@ -138,7 +138,7 @@ def build(
             starts, ends, of = cut(data, offsets)
             part = {"hash": arrays.slice_hashes(data, starts, ends, key), "lens": np.bincount(of, minlength=len(rows))}
             if checked or bag:
-                part["check"] = arrays.slice_hashes(data, starts, ends, second)
+                part["check"] = (arrays.slice_hashes(data, starts, ends, second) >> np.uint64(32)).astype(np.uint32)
             for name in columns:
                 value = rows.column(rows.schema.get_field_index(name)).cast(pa.int64())
                 part["ids" if name == "doc_id" else name] = value.fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)

@@ -40,7 +40,8 @@ from .scratch import materialize
 MU = 100.0  # strength of the prior, in tokens; held-out texts are likeliest with about this much
 STEP = 4096  # quantisation: steps per decade of probability
 MISSING = 0xFFFF
-END = np.uint64(0xE3779B97F4A7C15E)  # stands for the end among word hashes, as hash and as check
+END = np.uint64(0xE3779B97F4A7C15E)  # stands for the end among word hashes
+END_CHECK = np.uint32(0xE3779B97)
 BEGIN = (1 << 32) - 1  # the context of a text's first token
 LOW = np.uint64((1 << 32) - 1)
 
@@ -50,14 +51,14 @@ def _word_extract(body: blocks.Arrays):
     lens, train = body["lens"], body["train"].astype(bool)
     counts = np.bincount(blocks.codes(body), weights=np.repeat(train, lens), minlength=len(body["words"])).astype(np.int64)
     at = int(np.searchsorted(body["words"], END))
-    keys, checks = (np.insert(body[c], at, END) for c in ("words", "checks"))
+    keys, checks = np.insert(body["words"], at, END), np.insert(body["checks"], at, END_CHECK)
     counts = np.insert(counts, at, int(train.sum()))
     return keys, lambda i: {"count": counts[i], "check": checks[i]}
 
 
 def _word_reduce(shards: int):
     def reduce(keys: np.ndarray, parts: list[blocks.Arrays]):
-        checks = np.concatenate([p["check"] for p in parts] or [np.zeros(0, np.uint64)])
+        checks = np.concatenate([p["check"] for p in parts] or [np.zeros(0, np.uint32)])
         distinct, _, where = blocks.distinct(keys, checks)
         count = np.zeros(len(distinct), dtype=np.int64)
         np.add.at(count, where, np.concatenate([p["count"] for p in parts]))
@@ -67,7 +68,7 @@ def _word_reduce(shards: int):
         number = np.arange(len(distinct), dtype=np.int64) * shards + shard
         if number[-1] >= BEGIN:
             raise ValueError("more distinct words than 32-bit numbers")
-        count, number, end = (blocks.apart(x, parts) for x in (count[where], number[where].astype(np.uint32), (keys == END) & (checks == END)))
+        count, number, end = (blocks.apart(x, parts) for x in (count[where], number[where].astype(np.uint32), (keys == END) & (checks == END_CHECK)))
         answers = [{"count": c, "number": n, "end": e} for c, n, e in zip(count, number, end)]
         return answers, own
 
@@ -126,11 +127,13 @@ def _bigram_shard(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def _bigram_reduce(n: int, v: int, mu: float):
     def reduce(keys: np.ndarray, parts: list[blocks.Arrays]):
+        # Counts of the words come with the training bigrams only.
         seen, before, count = (np.concatenate([p[k] for p in parts]) for k in ("seen", "before", "count"))
-        distinct, some, where = np.unique(keys, return_index=True, return_inverse=True)
+        distinct, where = np.unique(keys, return_inverse=True)
         times = np.bincount(where, weights=seen)
         known = np.flatnonzero(times)
-        p = (times[known] + mu * _base(count[some[known]], n, v)) / (before[some[known]] + mu)
+        some = np.unique(keys[seen > 0], return_index=True)[1]
+        p = (times[known] + mu * _base(count[some], n, v)) / (before[some] + mu)
         codes = np.clip(np.rint(-np.log10(p) * STEP), 0, MISSING - 1).astype(np.uint16)
         trie = Trie.build(distinct[known] >> np.uint64(32), distinct[known] & LOW, codes)
         with mapped(trie) as levels:
@@ -156,7 +159,8 @@ def score(docs: DataFrame, held_out: str, text: str = "text", mu: float = MU) ->
 
     def send(block: int, body: blocks.Arrays, answers: pd.DataFrame) -> pd.DataFrame:
         b = _Bigrams(body, answers)
-        select = lambda i: {"seen": b.seen[i], "before": b.before[b.some[i]], "count": b.count[b.some[i]]}
+        learnt = lambda i: b.some[i[b.seen[i] > 0]]
+        select = lambda i: {"seen": b.seen[i], "before": b.before[learnt(i)], "count": b.count[learnt(i)]}
         return pd.DataFrame(blocks.messages(block, b.keys, _bigram_shard(b.keys, shards2), select, shards2), columns=["shard", "block", "body"])
 
     sent = blocks.receive(corpus, words, send, "shard int, block long, body binary", ("body",))

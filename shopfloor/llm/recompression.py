@@ -11,7 +11,7 @@ documents of a run or pair, and one of a single document gets no name: windows t
 out, and words without a window left leave the next round.  So the rounds shrink to what repeats, shared symbols of
 the last round reveal it, and the windows there are verified by 128-bit hashes of their symbols' words.
 
-Identity: a word is two 64-bit hashes by secret keys of the run, so nobody can make two words alike; the first exchange gives
+Identity: a word is 96 bits of two hashes by secret keys of the run, so nobody can make two words alike; the first exchange gives
 each such word a number of its own.  Runs and pairs of numbers are exact, a text or window is a 128-bit hash of its words.
 
 Rules for unusual input
@@ -137,7 +137,7 @@ def _extract_words(body: blocks.Arrays):
     least_text, most_text = _documents(order, fresh, body["ids"])
     keys = np.concatenate([body["words"], body["digest1"].view(np.uint64)[one]])
     made = {
-        "a": np.concatenate([body["checks"].view(np.int64), body["digest2"][one]]), "text": np.repeat(np.array([0, 1], np.uint8), [n, len(one)]),
+        "a": np.concatenate([body["checks"].astype(np.int64), body["digest2"][one]]), "text": np.repeat(np.array([0, 1], np.uint8), [n, len(one)]),
         "least": np.concatenate([least, least_text]), "several": np.concatenate([most > least, most_text > least_text]),
     }
     sort = np.lexsort((made["a"], made["text"], keys))
