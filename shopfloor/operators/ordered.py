@@ -71,6 +71,16 @@ def ordered_scan(
     return inside.join(_prefixes(states, by, combine, levels), keys)
 
 
+def levels_for(rows: int | None, block: int) -> int:
+    """Levels of a scan over so many rows, so that no fold has more than ``FAN`` summaries; two where the number is not known."""
+    if rows is None:
+        return 2
+    levels, reach = 1, block * FAN
+    while reach < rows:
+        levels, reach = levels + 1, reach * FAN
+    return levels
+
+
 def _upto(keys: list[str], order: str):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
 
@@ -94,10 +104,13 @@ def segment_on_decrease(df: DataFrame, order: str, counter: str, by: tuple[str,
     return out.select(*df.columns, (F.col("_sf_local") + before).alias(name))
 
 
-def with_position(df: DataFrame, by: list[str], order: str, name: str = "shot_position", block: int | Column = BLOCK) -> DataFrame:
-    """Add the 0-based place in the group (W2): the place in the block, after the counts of the blocks before."""
+def with_position(df: DataFrame, by: list[str], order: str, name: str = "shot_position", block: int | Column = BLOCK, rows: int | None = None) -> DataFrame:
+    """Add the 0-based place in the group (W2): the place in the block, after the counts of the blocks before.
+
+    ``rows`` is the greatest order value, if it is known: it saves levels of the scan.
+    """
     local = lambda d, keys: d.withColumn("_sf_k", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
-    out = ordered_scan(df, order, local, {"n": F.count(F.lit(1))}, lambda a, b: F.struct((a["n"] + b["n"]).alias("n")), by, block)
+    out = ordered_scan(df, order, local, {"n": F.count(F.lit(1))}, lambda a, b: F.struct((a["n"] + b["n"]).alias("n")), by, block, levels_for(rows, block) if isinstance(block, int) else 2)
     place = (F.col("_sf_k") + F.coalesce(F.col(CARRY)["n"], F.lit(0))).cast("bigint")
     return out.select(*[c for c in df.columns if c != name], place.alias(name))
 
@@ -198,11 +211,12 @@ def history(df: DataFrame, by: list[str], order: str, counter: str, status: str,
     return prior_islands(out, by, order, status)
 
 
-def history_blocked(df: DataFrame, by: list[str], order: str, counter: str, status: str, cycle: str, missing: str, block: int = BLOCK, value=1) -> DataFrame:
+def history_blocked(df: DataFrame, by: list[str], order: str, counter: str, status: str, cycle: str, missing: str, block: int = BLOCK, value=1, rows: int | None = None) -> DataFrame:
     """``history`` and ``episode_id`` for runs of any length: the same columns, block by block.
 
     Blocks are cut by rows of a run.  Each gets the last 20 rows of the one before as a halo for the bounded frames and
-    for the row before; episodes begun and the last warm-up counter are carried on by the scan.
+    for the row before; episodes begun and the last warm-up counter are carried on by the scan.  ``rows`` is the number of
+    rows, if it is known.
     """
     halo = 20
     if block < halo:
@@ -227,7 +241,7 @@ def history_blocked(df: DataFrame, by: list[str], order: str, counter: str, stat
     # A halo shows where a stretch goes on, so the starts of blocks simply add up.
     summary = {"n": F.sum("_sf_start"), "warm": F.max_by(warm, F.when(warm.isNotNull(), F.col(at)))}
     combine = lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), F.coalesce(b["warm"], a["warm"]).alias("warm"))
-    out = ordered_scan(placed, at, local, summary, combine, by, block)
+    out = ordered_scan(placed, at, local, summary, combine, by, block, levels_for(rows, block))
     begun = F.col("_sf_begun") + F.coalesce(F.col(CARRY)["n"], F.lit(0))
     out = out.withColumns({
         "episode_id": F.when(_is(status, value), F.format_string("r%d_e%d", F.col(by[0]), begun + F.col("_sf_start"))),

@@ -42,12 +42,12 @@ def quality_table(raw: DataFrame) -> DataFrame:
 
 def timeline_table(raw: DataFrame) -> DataFrame:
     """All timeline records with runs, eligibility, episodes and history; ``raw`` has ``source_row``."""
-    out = files.stored(ordered.segment_on_decrease(raw, "source_row", "Shot"))
-    out = out.withColumns({
+    kept = files.stored(ordered.segment_on_decrease(raw, "source_row", "Shot"))
+    out = kept.withColumns({
         "row_id": fn.row_id("m41", ("r", "run_id"), ("s", "Shot")),
         "process_missing": fn.any_null(PROCESS), "gate_eligible": fn.eligible("Machine_Status", PROCESS),
     })
-    return ordered.history_blocked(out, ["run_id"], "source_row", "Shot", "Machine_Status", "Cycle_Time", "process_missing")
+    return ordered.history_blocked(out, ["run_id"], "source_row", "Shot", "Machine_Status", "Cycle_Time", "process_missing", rows=kept.count())
 
 
 def joined_table(quality: DataFrame, timeline: DataFrame) -> DataFrame:

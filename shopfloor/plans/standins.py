@@ -30,11 +30,12 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The timeline with runs, ids, eligibility, episodes and history; scans read the stored runs, not their plan twice."""
-    out = files.stored(runs(spark, sf_dir)).withColumns({
+    kept = files.stored(runs(spark, sf_dir))
+    out = kept.withColumns({
         "row_id": fn.row_id("m41", ("r", "run_id"), ("s", "shot")),
         "process_missing": fn.any_null(["cycle_time"]), "gate_eligible": fn.eligible("status", ["cycle_time"]),
     })
-    return ordered.history_blocked(out, ["run_id"], "source_row", "shot", "status", "cycle_time", "process_missing")
+    return ordered.history_blocked(out, ["run_id"], "source_row", "shot", "status", "cycle_time", "process_missing", rows=kept.count())
 
 
 def raw_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
