@@ -130,7 +130,7 @@ def contract_file(spark, d: str) -> DataFrame:
     path = files.shared_folder(spark)
     spark.createDataFrame([(json.dumps(CONTRACT),)], "value string").write.text(path)
     lists = files.read_contract(spark, path)
-    q, t = quality(spark, d), timeline(spark, d)
+    q, t = files.stored(quality(spark, d)), files.stored(timeline(spark, d))
     tables = {"q42_A0": q, "q42_A": q, "m41_gate": t, "leaky": t}
     bad = contract.check_contract(spark, lists, {k: df.columns for k, df in tables.items()}).groupBy("list_name").agg(F.count(F.lit(1)).alias("n_violations"))
     out = None

@@ -334,9 +334,13 @@ def split_within_run_aligned(spark, d: str) -> DataFrame:
 
 def _run_scheme(spark, d: str, scheme: str) -> DataFrame:
     q, t = files.stored(st.quality(spark, d)), files.stored(st.timeline(spark, d))
-    runs = splits.valid_runs(q, "run_id")
-    held = splits.apply_exclusions(splits.run_split(t, runs, "run_id", scheme), ~F.col("gate_eligible"))
-    return splits.run_split(q, runs, "run_id", scheme).select("row_id", "fold", "role").unionByName(held.select("row_id", "fold", "role"))
+    runs = files.stored(splits.valid_runs(q, "run_id").select("run_id"))
+    words, combinations = bitmaps.run_words(runs, "run_id"), bitmaps.run_combinations(runs, "run_id").where(F.col("scheme") == scheme)
+    none = lambda df, name: df.withColumns({"dataset": F.lit(name), "role": F.lit(None).cast("string"), "order": F.lit(None), "episode_id": F.lit(None)})
+    made = [bitmaps.with_roles(none(q, "q42"), words, "run_id"), bitmaps.with_roles(none(t, "m41"), words, "run_id", used=F.col("gate_eligible"))]
+    rows = made[0].select(*bitmaps.KEYS, "roles").unionByName(made[1].select(*bitmaps.KEYS, "roles"))
+    both = F.explode(F.array(F.lit("q42"), F.lit("m41"))).alias("dataset")
+    return bitmaps.expand(rows, combinations.select("scheme", "fold", "place", both)).select("row_id", "fold", "role")
 
 
 @query(QL + F1 + "select row_id, fold, role from hold")
