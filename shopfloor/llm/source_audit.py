@@ -39,8 +39,8 @@ from .scratch import materialize
 LEAST_DOCS = 3  # documents of a language that a kept term is in, at least
 TOP = 200  # ranks of terms
 SCALE = 1_000_000_000
-COUNTED = 4 << 20  # bytes of text that are counted at once
-CELLS = 2_000_000  # places of the matrix that a tree is made from, at most (one longer row stands alone)
+COUNTED = 2 << 20  # bytes of text that are counted at once
+CELLS = 500_000  # places of the matrix that a tree is made from, at most (one longer row stands alone)
 BROADCAST_GROUPS = 200_000  # sources with their totals that may be broadcast; more are joined by a shuffle
 WRAP = "cast(18446744073709551616 as decimal(38,0))"
 
