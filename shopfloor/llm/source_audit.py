@@ -163,17 +163,22 @@ class Tree:
         np.add.at(count, np.searchsorted(first, inside, "right") - 1, self.times[inside])
         return first, count
 
-    def corrections(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(s, t, value)`` of every node with every ancestor, both ways, modulo 2^64."""
+    def corrections(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys ``s << 32 | t`` and values of every node with every ancestor, both ways, modulo 2^64; one sum by key for each pair of depths."""
         p, p0 = _shares(self.n, self.whole), _shares(np.zeros_like(self.n), self.whole)
-        parts = []
         for d in range(1, self.depth):
             rows, times = self.nodes(d)
             for a in range(d):
                 for x, y in ((d, a), (a, d)):
                     px, x0, qy, y0 = p[rows, x], p0[rows, x], p[rows, y], p0[rows, y]
-                    parts.append((self.s[rows, x], self.s[rows, y], times * (_f(px, qy) - _f(px, y0) - _f(x0, qy) + _f(x0, y0))))
-        return tuple(np.concatenate([x[i] for x in parts] or [np.zeros(0, np.int64)]) for i in range(3))
+                    yield _summed(self.s[rows, x] << 32 | self.s[rows, y], times * (_f(px, qy) - _f(px, y0) - _f(x0, qy) + _f(x0, y0)))
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, place = np.unique(keys, return_inverse=True)
+    out = np.zeros(len(keys), dtype=np.int64)
+    np.add.at(out, place, values)
+    return keys, out
 
 
 def pair_corrections(rows: DataFrame) -> DataFrame:
@@ -181,10 +186,8 @@ def pair_corrections(rows: DataFrame) -> DataFrame:
 
     def summed(lang: int, kept: list[tuple]) -> pa.RecordBatch:
         tree = Tree(*[np.concatenate(x) for x in zip(*kept)])
-        s, t, value = tree.corrections()
-        keys, place = np.unique(s << 32 | t, return_inverse=True)
-        out = np.zeros(len(keys), dtype=np.int64)
-        np.add.at(out, place, value)
+        parts = list(tree.corrections()) or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        keys, out = _summed(*[np.concatenate(x) for x in zip(*parts)])
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), lang), pa.int32()), pa.array(keys >> 32, pa.int32()), pa.array(keys & 0xFFFFFFFF, pa.int32()), pa.array(out)], ["lang_no", "s", "t", "value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
