@@ -120,14 +120,32 @@ def thresholds(values: list[float], bad: list[bool], most: int) -> list[float]:
     return cuts if len(cuts) <= most else [cuts[len(cuts) * k // most] for k in range(most)]
 
 
+def needed(parts: tuple[tuple[tuple[str, bool, float], int], ...], rows: int) -> list[tuple[tuple[str, bool, float], int]]:
+    """The tests of ``parts`` but for those without which the others hold for the same ``rows``, the last ones first."""
+
+    def covered(some: list) -> int:
+        out = rows
+        for _, mask in some:
+            out &= mask
+        return out
+
+    kept = list(parts)
+    for part in reversed(parts):
+        others = [x for x in kept if x is not part]
+        if others and covered(others) == covered(kept):
+            kept = others
+    return kept
+
+
 def learn(rows: list[tuple[dict[str, float], bool]], max_rules: int = 12, max_tests: int = 4, cuts: int = 100, least_precision: float = 0.98, least_bad: int = 5, max_tries: int = 20) -> list[Rule]:
     """Sequential covering for the bad class.
 
-    Two thirds of the rows grow a rule test by test for the largest information gain, the last third prunes its tail;
-    rows that a rule covers are taken out before the next one.  A head of the rule counts only if it is right at
-    least ``least_precision`` of the time, on all rows and on the pruning rows, and covers ``least_bad`` bad rows.  Where no head
-    does, no rule begins with that first test again; after ``max_tries`` of these the list ends.  Row sets are bit
-    sets in integers.
+    Two thirds of the rows grow a rule test by test for the largest information gain, the last third prunes it to what
+    it was after one of its steps; rows that a rule covers are taken out before the next one.  A stricter threshold on a
+    feature and side takes the place of the one before it, and a test without which the rule covers the same rows goes.
+    A step counts only if the rule is right at least ``least_precision`` of the time then, on all rows and on the pruning
+    rows, and covers ``least_bad`` bad rows.  Where none does, no rule begins with that first test again; after
+    ``max_tries`` of these the list ends.  Row sets are bit sets in integers.
     """
     everything = (1 << len(rows)) - 1
     bad = sum(1 << i for i, (_, is_bad) in enumerate(rows) if is_bad)
@@ -147,35 +165,37 @@ def learn(rows: list[tuple[dict[str, float], bool]], max_rules: int = 12, max_te
 
     left, rules, banned = everything, [], set()
     while len(rules) < max_rules and len(banned) <= max_tries and count(left & ~prune)[0]:
-        chosen, cover = [], left
-        while len(chosen) < max_tests:
+        chosen, cover, steps, first = {}, left, [], None
+        while True:
             p0, n0 = count(cover & ~prune)
             if not n0:
                 break
             base, best = math.log2(p0 / (p0 + n0)), None
             for test, mask in tests:
-                if not chosen and test in banned:
+                if (not chosen and test in banned) or (len(chosen) == max_tests and test[:2] not in chosen):
                     continue
                 p1, n1 = count(cover & mask & ~prune)
                 if p1 and (gain := p1 * (math.log2(p1 / (p1 + n1)) - base)) > 1e-9 and (best is None or gain > best[0]):
                     best = (gain, test, mask)
             if best is None:
                 break
-            chosen.append(best[1:])
-            cover &= best[2]
-        if not chosen:
+            _, test, mask = best
+            first = first or test
+            chosen[test[:2]] = (test, mask)
+            cover &= mask
+            steps.append((tuple(chosen.values()), cover))
+        if not steps:
             break
-        heads, mask = [], left
-        for k, (_, m) in enumerate(chosen, 1):
-            mask &= m
+        heads = []
+        for k, (_, mask) in enumerate(steps):
             p, n = count(mask & prune)
             if right(mask & prune) and right(mask) and count(mask)[0] >= least_bad:
-                heads.append(((p - n) / (p + n), -k, mask))
+                heads.append(((p - n) / (p + n), -k))
         if not heads:
-            banned.add(chosen[0][0])
+            banned.add(first)
             continue
-        _, k, cover = max(heads)
-        rules.append(Rule(tuple(t for t, _ in chosen[:-k]), *count(cover)))
+        parts, cover = steps[-max(heads)[1]]
+        rules.append(Rule(tuple(t for t, _ in needed(parts, left)), *count(cover)))
         left &= ~cover
     return rules
 

@@ -319,11 +319,12 @@ def plain_learn(rows, max_rules=12, max_tests=4, cuts=100, least_precision=0.98,
     left, rules, banned = list(range(len(rows))), [], set()
     while len(rules) < max_rules and len(banned) <= max_tries and split(grows(left))[0]:
         chosen, cover = [], left
-        while len(chosen) < max_tests and split(grows(cover))[1]:
+        while split(grows(cover))[1]:
+            sides = {t[:2] for t in chosen}
             p0, n0 = split(grows(cover))
             best = None
             for test in tests:
-                if chosen or test not in banned:
+                if (chosen or test not in banned) and (len(sides) < max_tests or test[:2] in sides):
                     p1, n1 = split([i for i in grows(cover) if holds(test, rows[i][0])])
                     gain = p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p0 / (p0 + n0))) if p1 else 0
                     if gain > 1e-9 and (best is None or gain > best[0]):
@@ -344,7 +345,12 @@ def plain_learn(rows, max_rules=12, max_tests=4, cuts=100, least_precision=0.98,
             banned.add(chosen[0])
             continue
         _, k, some = max(heads)
-        rules.append((tuple(chosen[:-k]), *split(some)))
+        last = {t[:2]: t for t in chosen[:-k]}  # of one feature and side, the strictest comes last
+        for side in list(reversed(last)):
+            rest = [t for s, t in last.items() if s != side]
+            if rest and [i for i in left if all(holds(t, rows[i][0]) for t in rest)] == some:
+                del last[side]
+        rules.append((tuple(last.values()), *split(some)))
         left = [i for i in left if i not in set(some)]
     return rules
 
@@ -362,6 +368,16 @@ def test_rules_equal_a_plain_search():
         assert all(r.bad >= 5 and r.bad / (r.bad + r.good) >= 0.98 for r in found)
         assert sum(r.bad for r in found) >= 0.5 * sum(b for _, b in rows)
         assert any(len(r.tests) > 1 for r in found)
+        assert all(len({t[:2] for t in r.tests}) == len(r.tests) <= 4 for r in found)  # no threshold is said twice
+
+
+def test_a_test_that_changes_nothing_goes():
+    rows = [({**dict.fromkeys(quality.FEATURES, 0.0), "capitals": i / 100, "digits": float(i >= 40)}, i >= 60) for i in range(100)]
+    [rule] = quality.learn(rows)
+    assert rule.tests == (("capitals", True, 0.595),)
+    tests = {t: sum(1 << i for i in range(100) if i >= t) for t in (40, 60)}
+    parts = tuple((("capitals", True, t / 100), m) for t, m in tests.items())
+    assert quality.needed(parts, (1 << 100) - 1) == [parts[1]] and quality.needed(parts[:1], (1 << 100) - 1) == [parts[0]]
 
 
 def plain_lm(docs, mu=lm.MU):
