@@ -3,8 +3,10 @@
 A mask looks at some positions of a 13-word window and ignores the others.  The 13 positions form four groups
 and each mask ignores two of them, so any two substituted words fall into groups that some mask ignores: six
 masks find every aligned window with at most two substitutions.  An item of 7 to 12 words is one window that bears one
-substitution, found by two masks that ignore its even or its odd places; shorter items match whole and unchanged.
-Hits are checked word by word, and the windows of one alignment are put together.  Words are compared by 64-bit hashes with
+substitution, found by two masks, its first half and its second, of which one is unchanged; shorter items match whole
+and unchanged.  Masks of equal places serve items of several lengths, so that all lengths under 13 words ask for ten keys
+of a place at most; longer items are looked for by a pass of their own, which keeps the generated code of each pass small
+enough to be compiled.  Hits are checked word by word, and the windows of one alignment are put together.  Words are compared by 64-bit hashes with
 a secret key of the run.  The overlap so found ends where it must: the word after it (or before it) differs
 or is missing, as an equal one would have made one more window.
 
@@ -24,6 +26,7 @@ empty table                no match on either side; ``clean`` then keeps all row
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -50,26 +53,25 @@ def _masks(n: int) -> tuple[tuple[int, ...], ...]:
     """Positions of a window of ``n`` words that each mask looks at."""
     if n >= SPAN:
         return MASKS
-    return (tuple(range(0, n, 2)), tuple(range(1, n, 2))) if allowed(n) else (tuple(range(n)),)
+    return (tuple(range(n // 2)), tuple(range(n // 2, n // 2 * 2))) if allowed(n) else (tuple(range(n)),)
 
 
 def _hashes(text: Column, key: int) -> Column:
     return F.transform(words(lower_ascii(text)), lambda w: keyed(key, w))
 
 
-def _keys(array: str, at: Column, n: int) -> Column:
-    """Keys of the window of ``n`` words at a place, one for each mask; masks of other lengths have other keys."""
-    window = [F.get(F.col(array), at + p) for p in range(n)]
-    return F.array(*[F.xxhash64(F.lit(m - 100 * n), *[window[p] for p in mask]) for m, mask in enumerate(_masks(n))])
+def _keys(array: str, at: Column, masks: Iterable[tuple[int, ...]]) -> Column:
+    """Keys of the words from a place on, one for each mask; different masks have different keys."""
+    return F.array(*[F.xxhash64(F.lit(sum(1 << p for p in mask)), *[F.get(F.col(array), at + p) for p in mask]) for mask in masks])
 
 
 def seeds(items: DataFrame) -> DataFrame:
     """``(key, window, item_id, ipos)`` for every mask and window of every item; a short item is one window."""
     last = F.greatest(F.size("b") - SPAN, F.lit(0))
     at = items.select("item_id", "b", F.explode(F.sequence(F.lit(0), last)).alias("ipos"))
-    keys = F.when(F.size("b") >= SPAN, _keys("b", F.col("ipos"), SPAN))
+    keys = F.when(F.size("b") >= SPAN, _keys("b", F.col("ipos"), MASKS))
     for n in range(1, SPAN):
-        keys = keys.when(F.size("b") == n, _keys("b", F.lit(0), n))
+        keys = keys.when(F.size("b") == n, _keys("b", F.lit(0), _masks(n)))
     return at.select(F.explode(keys).alias("key"), F.slice("b", F.col("ipos") + 1, F.lit(SPAN)).alias("window"), "item_id", "ipos")
 
 
@@ -77,30 +79,36 @@ def _items(benchmark: DataFrame, text: str, key: int, least: int = 1) -> DataFra
     return benchmark.select("item_id", _hashes(F.col(text), key).alias("b")).where(F.size("b") >= least)
 
 
-def _hits(docs: DataFrame, table: DataFrame, text: str, key: int) -> DataFrame:
+def _parts(table: DataFrame) -> list[tuple[DataFrame, list[int]]]:
+    """Seeds of whole windows and those of short items, each with the lengths of their windows; what does not occur is left out."""
+    span = F.size("window")
+    found = sorted(r[0] for r in table.select(span.alias("n")).distinct().collect())  # at most SPAN
+    short = [n for n in found if n < SPAN]
+    parts = [(table.where(span < SPAN), short)] if short else []
+    return parts if short == found and found else [*parts, (table.where(span == SPAN), [SPAN])]
+
+
+def _hits(docs: DataFrame, table: DataFrame, lengths: list[int], text: str, key: int) -> DataFrame:
     """``(doc_id, pos, span, ...)``: windows of documents that hold those of ``table(key, window, ...)``, word by word.
 
-    Seeds are broadcast up to ``BROADCAST_ROWS``, so of the documents nothing is shuffled; beyond it, keys are shuffled
-    to the seeds with the words of their window.
+    ``lengths`` are those of the table's windows.  Seeds are broadcast up to ``BROADCAST_ROWS``, so of the documents nothing
+    is shuffled; beyond it, keys are shuffled to the seeds with the words of their window.
     """
     few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    short = [r[0] for r in table.select(F.size("window").alias("n")).where(F.col("n") < SPAN).distinct().collect()]  # at most SPAN - 1
+    masks = sorted({mask for n in lengths for mask in _masks(n)})
     at = docs.select("doc_id", _hashes(F.col(text), key).alias("d")).select("doc_id", "d", F.posexplode("d").alias("pos", "first"))
-    left, pos = F.size("d") - F.col("pos"), F.col("pos")
-    keys = F.when(left >= SPAN, _keys("d", pos, SPAN)).otherwise(F.array().cast("array<bigint>"))
-    for n in sorted(short):
-        keys = F.concat(keys, F.when(left >= n, _keys("d", pos, n)).otherwise(F.array().cast("array<bigint>")))
+    pos, span = F.col("pos"), F.size("window")
+    at = at.where(F.size("d") - pos >= min(lengths))
     # Comparisons stay in generated code: a join condition outside it would copy the document's array for every probe.
-    equal = lambda words, at: sum(F.coalesce((F.get(words, at + k) == F.get("window", F.lit(k))).cast("int"), F.lit(0)) for k in range(SPAN))
-    span = F.size("window")
+    equal = lambda words, at: sum(F.coalesce((F.get(words, at + k) == F.get("window", F.lit(k))).cast("int"), F.lit(0)) for k in range(max(lengths)))
     enough = span - F.floor(span * SUBSTITUTIONS / SPAN)
     if few:
-        both = at.select("doc_id", "d", "pos", F.explode(keys).alias("key")).join(F.broadcast(table), "key")
-        found = both.where(equal(F.col("d"), pos) >= enough)
+        both = at.select("doc_id", "d", "pos", F.explode(_keys("d", pos, masks)).alias("key")).join(F.broadcast(table), "key")
+        found = both.where((F.size("d") - pos >= span) & (equal(F.col("d"), pos) >= enough))
     else:
-        own = at.select("doc_id", "pos", F.slice("d", pos + 1, F.lit(SPAN)).alias("own"), keys.alias("keys"))
+        own = at.select("doc_id", "pos", F.slice("d", pos + 1, F.lit(max(lengths))).alias("own"), _keys("d", pos, masks).alias("keys"))
         both = own.select("doc_id", "pos", "own", F.explode("keys").alias("key")).join(table.hint("merge"), "key")
-        found = both.where(equal(F.col("own"), F.lit(0)) >= enough)
+        found = both.where((F.size("own") >= span) & (equal(F.col("own"), F.lit(0)) >= enough))
     return found.select("doc_id", "pos", span.alias("span"), *[c for c in table.columns if c not in ("key", "window")])
 
 
@@ -108,14 +116,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text
     """``(doc_id, item_id, start, end, n_windows, short)``: one row for each document, item and alignment with a match.
 
     Words ``start`` to ``end`` (exclusive) of the document hold the matching windows, of which there are ``n_windows``;
-    ``short`` says that the item has fewer words than a window, so that such matches can be left aside.
+    ``short`` says that the item has fewer words than a window, so that such matches can be left aside.  A short item is one
+    window, so its matches are made distinct and need no further sums.
     """
     key = new_key()
-    found = _hits(docs, seeds(_items(benchmark, item_text, key)), text, key)
-    windows = found.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "pos").agg(F.max("span").alias("span"))
-    ends = [F.min("pos").alias("start"), F.max(F.col("pos") + F.col("span")).alias("end"), F.count(F.lit(1)).alias("n_windows"), F.max(F.col("span") < SPAN).alias("short")]
-    runs = windows.groupBy("doc_id", "item_id", "shift").agg(*ends)
-    return runs.select("doc_id", "item_id", F.col("start").cast("long"), F.col("end").cast("long"), "n_windows", "short")
+    made = []
+    for table, lengths in _parts(seeds(_items(benchmark, item_text, key))):
+        found = _hits(docs, table, lengths, text, key)
+        if lengths == [SPAN]:
+            windows = found.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "pos").distinct()
+            runs = windows.groupBy("doc_id", "item_id", "shift").agg(F.min("pos").alias("start"), (F.max("pos") + SPAN).alias("end"), F.count(F.lit(1)).alias("n_windows"))
+            runs = runs.withColumn("short", F.lit(False))
+        else:
+            windows = found.groupBy("doc_id", "item_id", "pos").agg(F.max("span").alias("span"))
+            runs = windows.select("doc_id", "item_id", F.col("pos").alias("start"), (F.col("pos") + F.col("span")).alias("end"), F.lit(1).cast("long").alias("n_windows"), F.lit(True).alias("short"))
+        made.append(runs.select("doc_id", "item_id", F.col("start").cast("long"), F.col("end").cast("long"), "n_windows", "short"))
+    return made[0] if len(made) == 1 else made[0].unionByName(made[1])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", least: int = LEAST) -> DataFrame:
@@ -127,7 +143,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
     """
     key = new_key()
     table = seeds(_items(benchmark, item_text, key, least)).select("key", "window").distinct()
-    dirty = materialize(_hits(docs, table, text, key).select(F.col("doc_id").alias("_dirty")).distinct())
+    found = [_hits(docs, part, lengths, text, key).select(F.col("doc_id").alias("_dirty")).distinct() for part, lengths in _parts(table)]
+    dirty = materialize(found[0] if len(found) == 1 else found[0].unionByName(found[1]).distinct())
     if dirty.count() <= BROADCAST_IDS:
         dirty = F.broadcast(dirty)
     return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_dirty"]), "left_anti")

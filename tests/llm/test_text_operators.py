@@ -89,6 +89,23 @@ def test_short_items_whole_and_substituted(spark, n, borne):
     assert got == wanted
 
 
+def test_search_of_short_items_is_compiled(spark):
+    """Java leaves methods of over 8,000 bytes of code to the interpreter, which takes many times as long."""
+    w = [f"word{i}" for i in range(20)]
+    docs, items = frame(spark, [(0, " ".join(w))]), spark.createDataFrame([(n, " ".join(w[:n])) for n in range(1, 13)], "item_id long, text string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = decontam.matches(docs, items)
+        stages = found._jdf.queryExecution().debug().codegenToSeq()
+        parts = [stages.apply(i) for i in range(stages.size())]
+        searching = [x._3().maxMethodCodeSize() for x in parts if "Generate posexplode" in x._1()]
+        assert searching and max(searching) <= 8000
+        assert {(r.item_id, r.start, r.end) for r in found.collect()} == {(n, 0, n) for n in range(1, 13)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_words_of_one_hash_stay_apart(spark):
     """Two words that a known key would confuse, in texts that are equal otherwise."""
     import numpy as np
