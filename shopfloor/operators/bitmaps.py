@@ -122,6 +122,38 @@ def uncovered(df: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return both.select("row_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("wanted", F.lit(0)).alias("wanted")).where("n != wanted")
 
 
+def role_alignment(a: DataFrame, b: DataFrame, combinations: DataFrame, keys: list[str]) -> DataFrame:
+    """``(scheme, fold, *keys, role_a, role_b)``: same key in both, different roles, neither excluded.
+
+    Records meet once, whatever the number of folds; a row is made for each violation only.
+    """
+    both = a.select(*keys, F.col("roles").alias("_sf_a")).join(b.select(*keys, F.col("roles").alias("_sf_b")), keys)
+    # The lower bit of each pair of bits is set where both have a role and the roles differ.
+    torn = "zip_with(_sf_a, _sf_b, (x, y) -> coalesce((x | shiftright(x, 1)) & (y | shiftright(y, 1)) & ((x ^ y) | shiftright(x ^ y, 1)) & 6148914691236517205L, 0L))"
+    bad = both.withColumn("_sf_torn", F.expr(torn)).where("exists(_sf_torn, w -> w != 0)")
+    places = f"filter(sequence(0L, size(_sf_torn) * {PER_WORD}L - 1), p -> (shiftright(get(_sf_torn, cast(p div {PER_WORD} as int)), cast(2 * (p % {PER_WORD}) as int)) & 1) = 1)"
+    each = bad.select("*", F.explode(F.expr(places)).alias("place"))
+    named = each.join(_small(combinations.select("scheme", "fold", "place").distinct()), "place")
+    return named.select("scheme", "fold", *keys, role_at("_sf_a", "place").alias("role_a"), role_at("_sf_b", "place").alias("role_b"))
+
+
+def stored_counts(store: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Records of each role of the combinations ``wanted(dataset, scheme, fold, place)`` of a store of bitmaps.
+
+    Words without a wanted place are pruned when the list is known; equal words are counted once.
+    """
+    wanted = wanted.select("dataset", "scheme", "fold", "place", F.expr(f"cast(place div {PER_WORD} as int)").alias("word"))
+    words = _small(wanted.select("dataset", "word").distinct())
+    kinds = store.join(words, ["dataset", "word"]).groupBy("dataset", "word", "bits").agg(F.count(F.lit(1)).alias("_sf_n"))
+    each = kinds.join(_small(wanted), ["dataset", "word"]).withColumn("role", role_at("array(bits)", f"(place % {PER_WORD})"))
+    return each.groupBy("dataset", "scheme", "fold", "role").agg(F.sum("_sf_n").alias("n"))
+
+
+def use_stored(df: DataFrame, store: DataFrame, place: int, scored: bool = True) -> DataFrame:
+    """Rows with their role at one place of a store of bitmaps, of which one dataset and the word of the place were read."""
+    return use_bitmap(df, store.select("row_id", F.array("bits").alias("roles")), int(place) % PER_WORD, scored)
+
+
 def use_bitmap(df: DataFrame, bitmaps: DataFrame, place: int, scored: bool = True) -> DataFrame:
     """Rows with their role at one place (P24, J2): one join on ``row_id``, whatever the number of folds."""
     one = bitmaps.select("row_id", role_at("roles", str(int(place))).alias("role"))

@@ -197,6 +197,28 @@ def chosen_folds(store: DataFrame, wanted: DataFrame) -> DataFrame:
     return store.join(F.broadcast(wanted.select("dataset", "scheme", "fold").distinct()), ["dataset", "scheme", "fold"])
 
 
+BITMAP_SCHEMA = "dataset string, word int, row_id string, `order` string, episode_id string, run_id bigint, bits bigint"
+
+
+def write_bitmap_store(bitmaps: DataFrame, combinations: DataFrame, path: str) -> None:
+    """Assignments as bitmaps by dataset and word, a row for each record and 32 combinations, excluded ones too.
+
+    A store grows with the records, not with records times folds, and nothing is shuffled to write it; a reader opens the
+    words that its combinations are in, ``place div 32``.
+    """
+    last = combinations.groupBy("dataset").agg(F.expr("cast(max(place) div 32 as int)").alias("_sf_last"))  # one row for each dataset
+    each = bitmaps.join(F.broadcast(last), "dataset").select("*", F.explode(F.expr("sequence(0, _sf_last)")).alias("word"))
+    bits = F.coalesce(F.get("roles", F.col("word")), F.lit(0)).cast("bigint").alias("bits")
+    each.select("dataset", "word", "row_id", "order", "episode_id", "run_id", bits).write.partitionBy("dataset", "word").parquet(path)
+
+
+def read_bitmap_store(spark: SparkSession, path: str, dataset: str | None = None, place: int | None = None) -> DataFrame:
+    """Bitmaps of a store; a dataset and place that are named are filters on partitions, so other files are not opened."""
+    store = spark.read.schema(BITMAP_SCHEMA).parquet(path)
+    store = store if dataset is None else store.where(F.col("dataset") == dataset)
+    return store if place is None else store.where(F.col("word") == int(place) // 32)
+
+
 def read_contract(spark: SparkSession, path: str) -> dict:
     """JSON contract: lists of column names."""
     return spark.read.json(path, multiLine=True).first().asDict(recursive=True)

@@ -97,3 +97,40 @@ def test_store_opens_one_combination(spark, made, tmp_path):
     assert "dynamicpruning" in chosen._jdf.queryExecution().executedPlan().toString().lower()
     assert rows(chosen) == rows(long.join(wanted.select("dataset", "scheme", "fold"), ["dataset", "scheme", "fold"]))
     assert validate.role_overlap(files.read_fold_store(spark, path)).count() == 0
+
+
+def test_bitmap_store_has_a_row_for_each_record_and_word(spark, tables, made, tmp_path):
+    maps, combinations = made
+    path = str(tmp_path / "words")
+    files.write_bitmap_store(maps, combinations, path)
+    store = files.read_bitmap_store(spark, path)
+    assert store.count() == maps.count() * 3  # 76 combinations; the long store has a row for each
+    wanted = combinations.where("fold in ('3', '4', '39')")
+    counts = bitmaps.stored_counts(store, wanted)
+    assert "dynamicpruning" in counts._jdf.queryExecution().executedPlan().toString().lower()
+    rows = lambda df: sorted(map(tuple, df.select("dataset", "scheme", "fold", "role", "n").collect()))
+    assert rows(counts) == rows(bitmaps.role_counts(maps, wanted))
+    for scheme, fold in (("within_run", "primary"), ("run_holdout", "31"), ("forward_run", "30")):
+        place = combinations.where((F.col("dataset") == "m41") & (F.col("scheme") == scheme) & (F.col("fold") == fold)).first().place
+        one = files.read_bitmap_store(spark, path, "m41", place)
+        filters = one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+        assert "dataset#" in filters and "word#" in filters
+        got = bitmaps.use_stored(tables[1], one, place).select("row_id", "role")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, bitmaps.use_bitmap(tables[1], maps.where("dataset = 'm41'"), place).select("row_id", "role").collect()))
+
+
+def test_alignment_by_bitmaps_equals_that_of_assignments(tables, made):
+    maps, combinations = made
+    keys = ["run_id", "shot"]
+    with_shot = lambda df: df.withColumn("shot", F.regexp_extract("row_id", "_s(\\d+)$", 1).cast("bigint"))
+    a, b = (with_shot(maps.where(F.col("dataset") == name)) for name in ("q42", "m41"))
+    # Roles are torn in every word, the last place of a word too; some bits become excluded, which is no violation.
+    torn = b.withColumn("roles", F.when(F.col("shot") % 7 == 0, F.transform("roles", lambda w: w.bitwiseXOR(-4611686018427387904 + 7))).otherwise(F.col("roles")))
+    of_q = combinations.where("dataset = 'q42'")
+    columns = ["scheme", "fold", *keys, "role_a", "role_b"]
+    for other in (b, torn):
+        found = bitmaps.role_alignment(a, other, of_q, keys)
+        long = [with_shot(bitmaps.expand(x, combinations)) for x in (a, other)]
+        wanted = validate.role_alignment(*long, ["scheme", "fold", *keys])
+        assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, wanted.select(*columns).collect()))
+    assert found.count() > 500
