@@ -167,9 +167,13 @@ def write_table(df: DataFrame, path: str, columns: dict[str, str]) -> None:
 FOLD_SCHEMA = "dataset string, scheme string, fold string, row_id string, role string, `order` string, episode_id string, run_id bigint"
 
 
-def write_folds(df: DataFrame, path: str) -> None:
-    """CSV of assignments with its eight columns."""
-    df.select("dataset", "scheme", "fold", "row_id", "role", "order", "episode_id", "run_id").write.option("header", True).csv(path)
+def write_folds(df: DataFrame, path: str, rows: int = 5_000_000) -> None:
+    """CSV of assignments with its eight columns (S7), compressed, as each record is repeated in every fold.
+
+    A compressed file is read by one task: none has more than ``rows`` rows.
+    """
+    named = df.select("dataset", "scheme", "fold", "row_id", "role", "order", "episode_id", "run_id")
+    named.write.options(header=True, compression="gzip", maxRecordsPerFile=rows).csv(path)
 
 
 def read_folds(spark: SparkSession, path: str) -> DataFrame:

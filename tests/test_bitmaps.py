@@ -134,3 +134,15 @@ def test_alignment_by_bitmaps_equals_that_of_assignments(tables, made):
         wanted = validate.role_alignment(*long, ["scheme", "fold", *keys])
         assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, wanted.select(*columns).collect()))
     assert found.count() > 500
+
+
+def test_assignments_are_written_compressed_in_files_of_bounded_rows(spark, made, tmp_path):
+    long = bitmaps.expand(*made)
+    path, plain = tmp_path / "folds", tmp_path / "plain"
+    files.write_folds(long, str(path), 20_000)
+    long.write.option("header", True).csv(str(plain))
+    size = lambda folder: sum(f.stat().st_size for f in folder.glob("part-*"))
+    assert 5 * size(path) < size(plain)
+    assert max(spark.read.option("header", True).csv(str(f)).count() for f in path.glob("part-*")) <= 20_000
+    rows = lambda df: sorted(map(str, df.select(*splits.COLUMNS).collect()))
+    assert rows(files.read_folds(spark, str(path))) == rows(long)
