@@ -104,7 +104,7 @@ def test_bitmap_store_has_a_row_for_each_record_and_word(spark, tables, made, tm
     path = str(tmp_path / "words")
     files.write_bitmap_store(maps, combinations, path)
     store = files.read_bitmap_store(spark, path)
-    assert store.count() == maps.count() * 3  # 76 combinations; the long store has a row for each
+    assert store.count() == maps.count() * 3  # 77 combinations; the long store has a row for each
     wanted = combinations.where("fold in ('3', '4', '39')")
     counts = bitmaps.stored_counts(store, wanted)
     assert "dynamicpruning" in counts._jdf.queryExecution().executedPlan().toString().lower()
@@ -146,3 +146,10 @@ def test_assignments_are_written_compressed_in_files_of_bounded_rows(spark, made
     assert max(spark.read.option("header", True).csv(str(f)).count() for f in path.glob("part-*")) <= 20_000
     rows = lambda df: sorted(map(str, df.select(*splits.COLUMNS).collect()))
     assert rows(files.read_folds(spark, str(path))) == rows(long)
+
+
+def test_records_are_dealt_out_before_they_become_many_rows(made):
+    long = bitmaps.expand(made[0].coalesce(1), made[1])
+    by_task = [r["count"] for r in long.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(by_task) > 1 and max(by_task) < sum(by_task) / 2
+    assert sum(by_task) == made[0].count() * 77
